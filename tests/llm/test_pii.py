@@ -1,0 +1,90 @@
+import re
+from hashlib import sha256
+
+from tidelake.llm import pii
+
+
+def brute(text):
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m.group())) <= 15]
+
+
+TEXTS = [
+    None, "", "a@b.c", "a@b@c.d e@f.g@h.i", "..@x.y.", "a@b.c.d@e.f", "@@a.b", "1.2.3.4.5.6.7.8.9", "256.1.1.1.2.2.2.2", "1..2.3.4.5", "0001.2.3.4 999999.1.1.1",
+    "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111111", "+1 (017) 555-7713 190.137.223.204", "++49 30 1234567", "+1+123456789", "é+44 20 7946 0958ü", "x" * 3000 + "@", "1" * 4000, "1.1." * 1000, "+1" * 500,
+    "a%b+c-d_e@x-y.z-", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "4465758382889437 4465758382889437",
+]
+
+
+def test_base_against_brute_force():
+    import random
+
+    r = random.Random(5)
+    alphabet = "ab1234567890..@@--++ ()%é"
+    for text in TEXTS + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 80))) for _ in range(4000)]:
+        assert pii.base_spans(text or "") == brute(text), text
+
+
+def test_query_rows(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(1, "", "x"), (None, "a@b.c", None)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    want = {}
+    for i, t, _ in rows:
+        spans = brute(t)
+        kinds = [k for k, _, _ in spans]
+        want.setdefault(i, []).append((*(kinds.count(k) for k in pii.BASE_KINDS), sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) in want[r.doc_id]
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(dict((i, t) for i, t, _ in rows)[r.doc_id])}
+        assert base <= set(r.spans.split(",")) | {""}
+        assert len([x for x in r.spans.split(",") if x]) == len(base) + r.n_added
+
+
+def test_random_field_held_out_accuracy():
+    field = pii.field()
+    hit = wrong = missed = 0
+    for text, gold in pii.generated(99, 200):
+        got, want = set(field.best(text)), set(gold)
+        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
+
+
+def test_best_path_against_enumeration():
+    field = pii.field()
+    text = "mail ab at cd dot org 12"
+    lat = field.lattice(text)
+    z = field.scores(lat)
+
+    def paths(k):
+        if k == lat[0]:
+            yield 0.0
+        for q in range(len(lat[1])):
+            if lat[1][q] == k:
+                for rest in paths(int(lat[2][q])):
+                    yield rest + z[q].max()
+
+    chosen = field.best(text)
+    spans = lat[6]
+    total, k = 0.0, 0
+    at = {spans_start: (kind, end) for kind, spans_start, end in chosen}
+    while k < lat[0]:
+        kind, end = at.get(spans[k][0], (None, spans[k][1]))
+        q = next(q for q in range(len(lat[1])) if lat[1][q] == k and spans[lat[2][q] - 1][1] == end)
+        total += z[q, pii.KINDS.index(kind) + 1 if kind else 0]
+        k = int(lat[2][q])
+    assert abs(total - max(paths(0))) < 1e-6
+
+
+def test_redaction_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "write a@b.cd now"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "write [EMAIL] now", 2: None}
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
