@@ -44,7 +44,7 @@ def distinct_words(text: str) -> set[str]:
     return {w.strip(EDGES) for w in set(text.lower().split())}
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-3) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model under the non-negative risk, logistic loss, by Adam."""
     xp, xu = x[positive], x[~positive]
     w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
@@ -66,12 +66,13 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rat
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, max_words: int = 512, least: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, max_words: int = 512, least: int = 4, clear: float = 5.0) -> Model:
     """A model from rows that are not held out.
 
     max_positive and max_unlabelled bound the training documents (those of least
-    id hash); max_words bounds the words looked up, those whose share differs most
-    between positives and unlabelled. The prior is the share of toxic labels among
+    id hash); max_words bounds the words looked up, those in `least` positives or
+    more whose share among positives is most clearly, and by `clear` standard
+    errors at least, above that among unlabelled documents. The prior is the share of toxic labels among
     all labels that are not held out. With no positives the model scores every
     text the prior (0.01 at least, also where there are no labels).
     """
@@ -98,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
         counts = bags.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
         share = (F.col("p") + F.col("u")) / (n_pos + n_unl)
         z = (F.col("p") / n_pos - F.col("u") / n_unl) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl) + 1e-12)
-        chosen = [r["word"] for r in counts.where(F.col("p") + F.col("u") >= least).orderBy(F.abs(z).desc(), "word").limit(max_words).collect()]
+        chosen = [r["word"] for r in counts.withColumn("z", z).where((F.col("p") >= least) & (F.col("z") >= clear)).orderBy(F.col("z").desc(), "word").limit(max_words).collect()]
         place = {w: k for k, w in enumerate(chosen)}
 
         def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
