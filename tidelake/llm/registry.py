@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, pii, quality_rules, toxicity
+from . import decontam, minhash, mixing, pii, quality_rules, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -41,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op7_decontamination": op7_decontamination, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
+    return {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
