@@ -2,8 +2,8 @@
 
 Confirmed toxic documents are the positives; all other training documents count
 as unlabelled. The risk of calling unlabelled text clean is corrected by the
-class prior, pi * R_p+ + max(0, R_u- - pi * R_p-), and the gradient turns where
-the corrected part would fall below zero (Kiryo et al., NeurIPS 2017).
+class prior, pi * R_p+ + max(0, R_u- - pi * R_p-), where the gradient turns once
+the second part has fallen below zero by more than a slack (Kiryo et al., NeurIPS 2017).
 """
 
 from __future__ import annotations
@@ -45,20 +45,24 @@ def distinct_words(text: str) -> set[str]:
 
 
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model under the non-negative risk, logistic loss, by Adam."""
+    """Weights and bias of a linear model under the non-negative risk, logistic loss, by Adam.
+
+    The slack is the risk of calling every positive clean at even odds or so: sampling
+    may put fewer positives into the unlabelled part than the prior says.
+    """
     xp, xu = x[positive], x[~positive]
     w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
+    slack = prior
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
         corrected = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = -prior * (1 - sigmoid(zp)) / len(zp), np.zeros_like(zu)
-        sign = 1.0 if corrected >= 0 else -1.0
-        if sign < 0:
-            gp[:] = 0
-        gu += sign * sigmoid(zu) / len(zu)
-        gp -= sign * prior * sigmoid(zp) / len(zp)
+        sure = corrected >= -slack
+        gp = -prior * (1 - sigmoid(zp)) / len(zp) * sure
+        gu, turn = sigmoid(zu) / len(zu), 1.0 if sure else -1.0
+        gp -= turn * prior * sigmoid(zp) / len(zp)
+        gu *= turn
         g = np.append(gp @ xp + gu @ xu, gp.sum() + gu.sum())
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -72,9 +76,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     max_positive and max_unlabelled bound the training documents (those of least
     id hash); max_words bounds the words looked up, those in `least` positives or
     more whose share among positives is most clearly, and by `clear` standard
-    errors at least, above that among unlabelled documents. The prior is the share of toxic labels among
-    all labels that are not held out. With no positives the model scores every
-    text the prior (0.01 at least, also where there are no labels).
+    errors at least, above that among unlabelled documents. The prior is the share
+    of toxic labels among all labels that are not held out. With no positives the
+    model scores every text the prior (0.01 at least, also where there are no labels).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
