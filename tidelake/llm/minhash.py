@@ -25,8 +25,9 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 #: Texts of fewer different shingles than this agree at 0.8 only where their sets are equal (weights aside).
 FEW = 4
-#: Buckets of up to so many texts yield all their pairs, larger ones those with hubs, round by round.
-SMALL_BUCKET = 6
+#: Buckets of up to so many texts yield all their pairs, larger ones those with their hubs.
+SMALL_BUCKET = 8
+HUBS = 8
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,30 +180,27 @@ def links_within(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame
 
     Buckets of up to SMALL_BUCKET nodes yield all their pairs. In a larger one the
     nodes of largest weight, which meet most others over all their buckets, are
-    hubs: first one, then four times as many a round. Every node not yet near a
-    hub of the bucket is held against the new hubs, until all are near one or have
-    been held against the whole bucket, so there is no cap. Two nodes near
-    different hubs are not held against each other in that bucket.
+    hubs: first one, and for those that are not near it HUBS. A text far from the
+    hubs of a bucket is near another text only if both depart from the hubs in the
+    same way, and then they meet in other buckets, which those hubs are not in.
     """
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     few = buckets.join(size.where(F.col("n") <= SMALL_BUCKET), "bucket").select("bucket", "node")
-    other = few.select("bucket", F.col("node").alias("b"))
-    asked = few.withColumnRenamed("node", "a").join(other, "bucket").where("a < b").select("a", "b")
-    many = buckets.join(size.where(F.col("n") > SMALL_BUCKET), "bucket").select("bucket", "node", "weight").checkpoint()
-    largest = many.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
-    opened, seen, lo, hi = many.select("bucket", "node"), None, 0, 1
-    while True:
-        hubs = many.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hi).where(F.col("rank") > lo).select("bucket", F.col("node").alias("hub"))
-        meet = opened.join(hubs, "bucket").where("node != hub").select("bucket", "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).checkpoint()
-        new = meet.select("a", "b").unionByName(asked).distinct() if seen is None else meet.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-        answers = verified(new, sets, least).checkpoint()
-        seen = answers if seen is None else seen.unionByName(answers).checkpoint()
-        settled = meet.join(seen.where("near"), ["a", "b"]).select("bucket", "node").distinct()
-        opened = opened.join(settled, ["bucket", "node"], "left_anti").checkpoint()
-        lo, hi = hi, 4 * hi
-        if lo >= largest or opened.isEmpty():
-            return seen.where("near").select("a", "b").distinct()
+    asked = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b")
+    many = buckets.join(size.where(F.col("n") > SMALL_BUCKET), "bucket").select("bucket", "node", "weight")
+    # The limit on the rank is applied before the shuffle too, so a very large bucket sends a few rows a task.
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node"))
+    hubs = many.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("bucket", F.col("node").alias("hub"), "rank").checkpoint()
+
+    def meet(nodes: DataFrame, with_hubs: DataFrame) -> DataFrame:
+        both = nodes.join(with_hubs.select("bucket", "hub"), "bucket").where("node != hub")
+        return both.select("bucket", "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+    first = meet(many.select("bucket", "node"), hubs.where("rank = 1")).checkpoint()
+    answers = verified(first.select("a", "b").unionByName(asked).distinct(), sets, least).checkpoint()
+    away = first.join(answers.where("not near"), ["a", "b"]).select("bucket", "node")
+    more = meet(away, hubs.where("rank > 1")).select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    return answers.where("near").unionByName(verified(more, sets, least).where("near")).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
