@@ -1 +1,103 @@
-"""Queries."""
+"""Queries that weigh choices and select within budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelake.operators import selection as s
+from tidelake.registry import query
+from tidelake.sources.tables import table
+
+_CHOICES = """(SELECT n_regionkey AS region, n_nationkey AS nation, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY m) - 1 AS INTEGER) AS choice, cost, utility FROM
+(SELECT n_regionkey, n_nationkey, c_mktsegment AS m, count(*) AS cost, CAST(round(sum(c_acctbal)) AS DOUBLE) AS utility FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING' AND n_nationkey < 15 GROUP BY ALL))"""
+_BUDGETS = f"(SELECT region, CAST(sum(lo) + floor((sum(hi) - sum(lo)) * 0.5) AS BIGINT) AS budget FROM (SELECT region, nation, min(cost) AS lo, max(cost) AS hi FROM {_CHOICES} GROUP BY ALL) GROUP BY region)"
+
+
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segments of each nation as choices: customers as cost, balance as utility; regions are the cases."""
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").where("n_nationkey < 15"), F.col("n_nationkey") == F.col("c_nationkey")).where("c_mktsegment <> 'BUILDING'")
+    sums = joined.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), "c_mktsegment").agg(F.count("*").alias("cost"), F.round(F.sum("c_acctbal")).alias("utility"))
+    return sums.withColumn("choice", F.row_number().over(Window.partitionBy("nation").orderBy("c_mktsegment")) - 1).drop("c_mktsegment")
+
+
+_VECTORS = f"""(SELECT region, utility, cost, selection FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY utility DESC, selection) AS k FROM
+(SELECT a.region, a.utility + b.utility + c.utility AS utility, a.cost + b.cost + c.cost AS cost, [a.choice, b.choice, c.choice] AS selection FROM ranked a JOIN ranked b ON a.region = b.region AND a.i = 1 AND b.i = 2 JOIN ranked c ON c.region = a.region AND c.i = 3) JOIN {_BUDGETS} USING (region) WHERE cost <= budget) WHERE k = 1)"""
+_SELECT = f"WITH ranked AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY nation) AS i FROM {_CHOICES}) SELECT region, utility, CAST(cost AS BIGINT) AS cost, array_to_string(selection, ',') AS selection FROM {_VECTORS}"
+
+
+def _budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = choices(spark, sf_dir)
+    return c.join(s.budget_ladder(c, ["region"], "nation", "cost", [0.5]).select("region", "budget"), "region")
+
+
+def _three(df: DataFrame) -> DataFrame:
+    """Regions of exactly three nations, as the enumerating SQL has them."""
+    sizes = df.groupBy("region").agg(F.count_distinct("nation").alias("n")).where("n = 3")
+    return df.join(sizes.select("region"), "region")
+
+
+@query(_SELECT)
+def knapsack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment a nation within each region's budget, by dynamic programming."""
+    out = s.select_within_budget(_three(_budgeted(spark, sf_dir)), "region", "nation", "choice", "cost", "utility", "budget")
+    return out.where("status = 'optimal'").select("region", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+
+
+@query(_SELECT)
+def knapsack_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by enumeration: the oracle of small cases."""
+    out = s.enumerate_allocations(_three(_budgeted(spark, sf_dir)), "region", "nation", "choice", "cost", "utility", "budget", 3)
+    return out.select("region", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+
+
+@query(f"SELECT region, f AS fraction, CAST(lo + floor((hi - lo) * f) AS BIGINT) AS budget FROM (SELECT region, sum(lo) AS lo, sum(hi) AS hi FROM (SELECT region, nation, min(cost) AS lo, max(cost) AS hi FROM {_CHOICES} GROUP BY ALL) GROUP BY region), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(f)")
+def budget_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.budget_ladder(choices(spark, sf_dir), ["region"], "nation", "cost", [0.25, 0.5, 0.75])
+
+
+@query("SELECT p_partkey, round(p_size * (first_value(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - p_retailprice), 4) AS utility FROM part")
+def weighted_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size-weighted gain of each part over the first of its brand; negative gains stay."""
+    p = table(spark, sf_dir, "part").withColumn("k", F.struct("p_size", "p_partkey"))
+    return s.weighted_gain(p, ["p_brand"], "k", "p_retailprice", F.col("p_size")).select("p_partkey", F.round("utility", 4).alias("utility"))
+
+
+_NAMED = {
+    "nava": "coalesce(l_tax / nullif(l_quantity, 0) * l_discount, 0)",
+    "visibility_psnr": "CASE WHEN l_tax > 0 THEN l_discount ELSE 0 END",
+    "visibility_mse": "coalesce(l_tax / nullif(l_quantity, 0) * (50 - l_quantity), 0)",
+    "solo_sse": "l_quantity * (50 - l_quantity)",
+    "weighted_sse": "l_tax * (50 - l_quantity)",
+    "historical_mse": "coalesce(sqrt(greatest(l_tax / nullif(l_quantity, 0), 0)) * (50 - l_quantity), 0)",
+}
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"round(sum({e}), 3) AS {n}" for n, e in _NAMED.items()) + " FROM lineitem GROUP BY l_returnflag")
+def named_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six objectives over the same rows."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("d0", F.lit(50.0))
+    return rows.groupBy("l_returnflag").agg(*[F.round(F.sum(s.utility(n, "l_discount", "l_tax", "l_quantity", "d0", "l_quantity")), 3).alias(n) for n in _NAMED])
+
+
+@query("SELECT c_custkey, CAST(ceil(c_acctbal / 250) AS BIGINT) AS cost_bins, CAST(floor(c_acctbal / 250) AS BIGINT) AS budget_bins, CAST(floor(CAST(c_acctbal AS DECIMAL(20, 4)) * CAST(0.9 AS DECIMAL(6, 4)) * 2 / 8) AS BIGINT) AS body_bytes FROM customer WHERE c_acctbal > 0".replace("* 2 / 8)", "* CAST(2 AS DECIMAL(10, 2)) / 8)"))
+def discretised_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs in bins upwards, budgets downwards, and the bytes that a rate carries in two seconds."""
+    b = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", s.discretised(b, 250).alias("cost_bins"), s.discretised(b, 250, False).alias("budget_bins"), s.budget_bytes(b, F.lit(2), 0.9).alias("body_bytes"))
+
+
+@query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part WHERE p_retailprice <= 1500) WHERE k = 1")
+def smallest_within_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest part of each brand within a price limit."""
+    from tidelake.operators.relational import best
+
+    return best(table(spark, sf_dir, "part").where("p_retailprice <= 1500"), ["p_brand"], [F.col("p_size"), F.col("p_partkey")]).select("p_brand", "p_partkey")
+
+
+@query(f"SELECT region, CASE WHEN base > budget THEN 'fallback' ELSE 'planned' END AS status, CAST(greatest(base - budget, 0) AS BIGINT) AS overrun FROM (SELECT region, sum(cost) AS base FROM {_CHOICES} WHERE choice = 0 GROUP BY region) JOIN {_BUDGETS} USING (region)")
+def base_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions whose first choices alone exceed the budget, and by how much."""
+    base = _budgeted(spark, sf_dir).where("choice = 0").groupBy("region").agg(F.sum("cost").alias("base"), F.first("budget").alias("budget"))
+    over = F.col("base") - F.col("budget")
+    return base.select("region", F.when(over > 0, "fallback").otherwise("planned").alias("status"), F.greatest(over, F.lit(0)).alias("overrun"))

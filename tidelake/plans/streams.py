@@ -1 +1,48 @@
-"""Queries."""
+"""Queries of event-time operators in batch form; tests run the same functions over streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelake.plans.sequences import events
+from tidelake.registry import query
+from tidelake.sources.tables import table
+from tidelake.streaming import states
+
+
+@query("SELECT user_id, CAST(count(DISTINCT event_id) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def duplicates_counted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come twice, out of order, count once."""
+    e = table(spark, sf_dir, "events")
+    twice = e.unionByName(e.where("event_id % 3 = 0")).dropDuplicates(["event_id"])
+    return twice.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT user_id, count(*) AS n_sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY ALL) GROUP BY user_id")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that end after thirty minutes without an event."""
+    rows = states.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "30 minutes", "user_id")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
+
+
+@query()
+def playback_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as segments of an hour of media each, played from a buffer of four hours."""
+    segments = events(spark, sf_dir).withColumn("media_s", F.lit(3600.0))
+    return states.playback(segments, 4 * 3600.0)
+
+
+@query("SELECT event_id, coalesce(arg_max(v, ts) OVER w, '') AS held FROM (SELECT *, CASE WHEN event_type <> 'error' THEN event_type END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)".replace("coalesce(arg_max(v, ts) OVER w, '')", "coalesce(last_value(v IGNORE NULLS) OVER w, '')"))
+def carried_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event type that is no error, carried forward."""
+    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("event_type") != "error", F.col("event_type")), ignorenulls=True).over(upto)
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(seen, F.lit("")).alias("held"))
+
+
+@query("SELECT user_id, b AS bucket, arg_min(event_id, ts) AS event_id FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS b FROM events) GROUP BY ALL".replace("arg_min(event_id, ts)", "arg_min(event_id, struct_pack(t := ts, e := event_id))"))
+def cadenced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user's day."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 day")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return rows.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_id")

@@ -1 +1,67 @@
-"""Queries."""
+"""Queries over scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelake.functions import scalars as f
+from tidelake.registry import query
+from tidelake.sources.tables import table
+
+
+@query("SELECT event_id, format('{:02d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) AS clock, 'PT' || regexp_replace(CAST(CAST(value AS DECIMAL(20, 6)) AS VARCHAR), '\\.?0+$', '') || 'S' AS duration FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS s FROM events)")
+def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock and ISO duration texts."""
+    return table(spark, sf_dir, "events").select("event_id", f.clock_text(F.floor(F.col("value") * 100)).alias("clock"), f.iso_duration(F.col("value")).alias("duration"))
+
+
+@query("SELECT s_suppkey, round(((s_acctbal - 90 + 180) - 360 * floor((s_acctbal - 90 + 180) / 360)) - 180, 4) AS turn, round(s_acctbal - 30 * floor(s_acctbal / 30), 4) AS content_time FROM supplier")
+def periodic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest turns and looped times."""
+    b = F.col("s_acctbal")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(f.angle_difference(b, F.lit(90.0)), 4).alias("turn"), F.round(f.looped_time(b, 30.0), 4).alias("content_time"))
+
+
+_UNIT = "CAST('0x' || substr(sha256('7:' || c_custkey || ':{}'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"SELECT c_custkey, round((1 + sin(2 * pi() * (c_nationkey / (5 + 25 * {_UNIT.format('period')}) + {_UNIT.format('phase')}))) / 2, 6) AS weight FROM customer")
+def synthetic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic weights from hashes of keys."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(f.synthetic_weight(F.col("c_custkey"), F.col("c_nationkey"), 7), 6).alias("weight"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '^https?://') AS absolute, sha256(html) AS digest FROM pages")
+def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, scheme check and content digest of pages."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.col("url").rlike("^https?://").alias("absolute"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT p_partkey, CAST(round((least(greatest(p_retailprice, 900), 2000) - 900) / 1100 * 255) AS INTEGER) AS code, round(CAST(round((least(greatest(p_retailprice, 900), 2000) - 900) / 1100 * 255) AS INTEGER) / 255 * 1100 + 900, 6) AS decoded FROM part")
+def quantised_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-bit codes of prices and back."""
+    code = f.quantised(F.col("p_retailprice"), 900.0, 2000.0, 8)
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), F.round(f.dequantised(code, 900.0, 2000.0, 8), 6).alias("decoded"))
+
+
+@query("SELECT l_orderkey, round(list_product(list_transform(list(l_discount), lambda x: 1 - x)), 8) AS passed, round(sum(least(greatest(l_tax, 0), l_discount)), 6) AS visible, count(*) FILTER (WHERE l_discount <= 0.000001) AS hidden FROM lineitem GROUP BY l_orderkey")
+def layered_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transmittance of an order's discounts as layers, and visibility of taxes within them."""
+    v = f.visibility(F.col("l_tax"), F.col("l_discount"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", v.alias("v"))
+    return rows.groupBy("l_orderkey").agg(F.round(f.transmittance(F.collect_list("l_discount")), 8).alias("passed"), F.round(F.sum("v.visible"), 6).alias("visible"), F.count_if(F.col("v.out_of_view")).alias("hidden"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, 'unavailable' AS missing, printf('%.2f', value) AS shown FROM events")
+def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of nested JSON, and numbers as text."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), f.available(F.lit(None).cast("double"), 2).alias("missing"), f.available(F.col("value"), 2).alias("shown"))
+
+
+@query("""SELECT s_suppkey, sha256('{"owner":' || s_suppkey || ',"policy":"isolated","sha":"' || sha256(s_name) || '"}') AS namespaced, '{"id":' || s_suppkey || ',"nation":' || s_nationkey || '}' AS frame_key FROM supplier""")
+def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys from canonical JSON of sorted columns, and hashes kept apart by owner."""
+    own = F.to_json(F.struct(F.col("s_suppkey").alias("owner"), F.lit("isolated").alias("policy"), F.sha2(F.col("s_name").cast("binary"), 256).alias("sha")))
+    key = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(own.cast("binary"), 256).alias("namespaced"), key.alias("frame_key"))
