@@ -116,3 +116,41 @@ def test_knapsack_cap_and_empty(spark):
     assert selection.select_within_budget(df, *args).first()["selection"] == [1]
     assert selection.select_within_budget(df, *args, max_cells=10).first()["status"] == "skipped"
     assert selection.select_within_budget(df.limit(0), *args).count() == 0
+
+
+def test_exact_bytes_against_enumeration():
+    r = random.Random(7)
+    for _ in range(150):
+        items = r.randint(1, 4)
+        costs = np.array([[float(r.randrange(15)) for _ in range(3)] for _ in range(items)])
+        gains = np.array([[float(r.randrange(-3, 6)) for _ in range(3)] for _ in range(items)])
+        budget = r.randrange(40)
+        options = [(-sum(gains[k, c] for k, c in enumerate(v)), sum(costs[k, c] for k, c in enumerate(v)), v) for v in itertools.product(range(3), repeat=items)]
+        fits = [o for o in options if o[1] <= budget]
+        status, gain, cost, chosen = selection.solve_exact_bytes(costs, gains, budget)
+        if fits:
+            assert status == "optimal" and (-gain, cost) == min(fits)[:2] and sum(costs[k, c] for k, c in enumerate(chosen)) == cost
+        else:
+            assert status == "infeasible"
+
+
+def test_shared_resources_against_enumeration(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for case in range(25):
+        size = {f"r{k}": r.randrange(1, 12) for k in range(6)}
+        table = {(i, c): (float(r.randrange(-2, 8)), sorted(r.sample(sorted(size), r.randint(0, 3)))) for i in range(3) for c in range(3)}
+        room = r.randrange(30)
+        rows += [(case, i, c, u, [{"id": x, "bytes": size[x]} for x in own], room) for (i, c), (u, own) in table.items()]
+        best = None
+        for v in itertools.product(range(3), repeat=3):
+            cost = sum(size[x] for x in {x for i, c in enumerate(v) for x in table[i, c][1]})
+            gain = sum(table[i, c][0] for i, c in enumerate(v))
+            if cost <= room and (best is None or gain > best):
+                best = gain
+        want[case] = best
+    df = spark.createDataFrame(rows, "case int, item int, choice int, gain double, own array<struct<id:string,bytes:long>>, room int")
+    got = {x.case: x for x in selection.select_with_shared_resources(df, "case", "item", "choice", "gain", "own", "room").collect()}
+    for case, best in want.items():
+        assert got[case].utility == best and (got[case].status == "optimal") == (best is not None)
+    assert selection.select_with_shared_resources(df, "case", "item", "choice", "gain", "own", "room", max_shared=0).where("status = 'skipped'").count() > 0

@@ -100,3 +100,10 @@ def shoelace(points: Column) -> Column:
     n = F.size(points)
     turns = F.transform(points, lambda p, i: p["x"] * F.get(points, (i + 1) % n)["y"] - F.get(points, (i + 1) % n)["x"] * p["y"])
     return F.abs(F.aggregate(turns, F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def array_mse(a: Column, b: Column) -> Column:
+    """Mean squared difference of two arrays of equal length; null where lengths differ or are zero."""
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.nullif(F.size(a), F.lit(0)))

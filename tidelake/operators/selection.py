@@ -112,6 +112,83 @@ def select_within_budget(choices: DataFrame, case: str, item: str, choice: str,
     return choices.select(case, item, choice, cost, utility, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {SELECTED}")
 
 
+def solve_exact_bytes(costs: np.ndarray, utilities: np.ndarray, budget: int, max_states: int = 200_000) -> tuple[str, float | None, int | None, list[int] | None]:
+    """Exact optimum over unrounded costs: after each item only spendings that no cheaper one beats are kept.
+
+    Of equal utilities the cheaper wins, then the smaller first choices. More than
+    max_states spendings end it with the status skipped.
+    """
+    states = {0: (0.0, ())}
+    for k in range(len(costs)):
+        grown: dict[int, tuple[float, tuple]] = {}
+        for spent, (gain, chosen) in states.items():
+            for c in range(costs.shape[1]):
+                if np.isfinite(costs[k, c]) and (total := spent + int(costs[k, c])) <= budget:
+                    option = (gain + float(utilities[k, c]), (*chosen, c))
+                    if total not in grown or (-option[0], option[1]) < (-grown[total][0], grown[total][1]):
+                        grown[total] = option
+        states, top = {}, -np.inf
+        for spent in sorted(grown):
+            if grown[spent][0] > top:
+                states[spent], top = grown[spent], grown[spent][0]
+        if len(states) > max_states:
+            return "skipped", None, None, None
+    if not states:
+        return "infeasible", None, None, None
+    spent = max(states, key=lambda b: (states[b][0], -b))
+    return "optimal", states[spent][0], spent, list(states[spent][1])
+
+
+def select_with_shared_resources(choices: DataFrame, case: str, item: str, choice: str, utility: str, resources: str, budget: str, max_shared: int = 12) -> DataFrame:
+    """case and SELECTED where choices cost the distinct bytes of their resources, and resources may be shared.
+
+    resources is an array of structs (id, bytes). Resources that different items may
+    want, grouped by which choices want them, are paid for or not: for each pattern of
+    payments the rest is a knapsack over own bytes. More than max_shared groups in a
+    case give the status skipped.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        key, room = rows[case].iloc[0], int(rows[budget].iloc[0])
+        items, width = sorted(rows[item].unique()), int(rows[choice].max()) + 1
+        wants: dict[str, set] = {}
+        size: dict[str, int] = {}
+        for i, c, own in zip(rows[item], rows[choice], rows[resources], strict=True):
+            for r in own:
+                wants.setdefault(r["id"], set()).add((i, c))
+                size[r["id"]] = int(r["bytes"])
+        groups: dict[frozenset, int] = {}
+        for r, w in wants.items():
+            if len({i for i, _ in w}) > 1:
+                groups[frozenset(w)] = groups.get(frozenset(w), 0) + size[r]
+        shared = sorted(groups.items(), key=lambda g: (sorted(g[0]), g[1]))
+        gain = np.full((len(items), width), np.nan)
+        private = np.full((len(items), width), np.nan)
+        for i, c, u, own in zip(rows[item], rows[choice], rows[utility], rows[resources], strict=True):
+            gain[items.index(i), c] = u
+            private[items.index(i), c] = sum(size[r] for r in {r["id"] for r in own} if len({x for x, _ in wants[r]}) == 1)
+        best = ("infeasible", None, None, None)
+        if len(shared) > max_shared:
+            best = ("skipped", None, None, None)
+        else:
+            for pattern in range(1 << len(shared)):
+                paid = sum(b for k, (_, b) in enumerate(shared) if pattern >> k & 1)
+                cost = private.copy()
+                for k, (w, _) in enumerate(shared):
+                    if not pattern >> k & 1:
+                        for i, c in w:
+                            cost[items.index(i), c] = np.nan
+                if paid > room or np.isnan(cost).all(1).any():
+                    continue
+                status, u, spent, chosen = solve_exact_bytes(cost, gain, room - paid)
+                if status == "optimal" and (best[1] is None or (-u, spent + paid, chosen) < (-best[1], best[2], best[3])):
+                    best = (status, u, spent + paid, chosen)
+        return pd.DataFrame({case: [key], "status": pd.Series([best[0]], dtype=object), "utility": [best[1]], "cost": pd.array([best[2]], "Int64"), "selection": [best[3]]})
+
+    kind = dict(choices.dtypes)[case]
+    return choices.select(case, item, choice, utility, resources, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {SELECTED}")
+
+
 def enumerate_allocations(choices: DataFrame, case: str, item: str, choice: str, cost: str, utility: str, budget: str, items: int) -> DataFrame:
     """case, utility, cost, selection of the best allocation by enumeration, for cases of exactly `items` few items: the oracle of small cases."""
     numbered = choices.withColumn("__i", F.dense_rank().over(Window.partitionBy(case).orderBy(item)))

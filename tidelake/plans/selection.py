@@ -101,3 +101,14 @@ def base_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _budgeted(spark, sf_dir).where("choice = 0").groupBy("region").agg(F.sum("cost").alias("base"), F.first("budget").alias("budget"))
     over = F.col("base") - F.col("budget")
     return base.select("region", F.when(over > 0, "fallback").otherwise("planned").alias("status"), F.greatest(over, F.lit(0)).alias("overrun"))
+
+
+@query()
+def shared_resource_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' choices where nations of equal parity share a resource of forty customers' worth, within the budget and that once more."""
+    c = _budgeted(spark, sf_dir)
+    own = F.struct(F.concat_ws("-", "nation", "choice").alias("id"), F.col("cost").alias("bytes"))
+    common = F.struct(F.concat(F.lit("common-"), F.col("choice") % 2).alias("id"), F.lit(40).cast("long").alias("bytes"))
+    rows = c.withColumn("resources", F.array(own, common)).withColumn("budget", F.col("budget") + 40)
+    out = s.select_with_shared_resources(rows, "region", "nation", "choice", "utility", "resources", "budget")
+    return out.select("region", "status", "utility", "cost", F.array_join("selection", ",").alias("selection"))

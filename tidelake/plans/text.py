@@ -65,3 +65,11 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.to_json(F.struct(F.col("s_suppkey").alias("owner"), F.lit("isolated").alias("policy"), F.sha2(F.col("s_name").cast("binary"), 256).alias("sha")))
     key = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(own.cast("binary"), 256).alias("namespaced"), key.alias("frame_key"))
+
+
+@query("SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2)) / len(a.embedding), 6) AS mse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared error of each vector against the next."""
+    e = table(spark, sf_dir, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(f.array_mse(F.col("embedding"), F.col("b")), 6).alias("mse"))
