@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
     per_source = F.broadcast(slots.select("__s", "__n").distinct())
     whole = sizes.join(per_source, "__s").withColumn("__b", F.floor(F.col("__rows") / block_rows)).withColumn("__k", (F.col("__b") % F.col("__n")).cast("int"))
     at = lambda b: F.floor(F.col(b) / F.col("__n")) * period + F.col("__t")
-    first_gap = F.broadcast(whole.join(F.broadcast(slots.drop("__n")), ["__s", "__k"]).agg(F.min(at("__b")).alias("__gap")))
+    first_gap = whole.join(F.broadcast(slots.drop("__n")), ["__s", "__k"]).agg(F.min(at("__b"))).first()[0]
     known = F.when(F.col("__n").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.col("__s")))).otherwise(F.col("__n"))
     out = (
         numbered.withColumn("mix_block", block)
@@ -106,8 +106,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
         .join(F.broadcast(slots.drop("__n")), ["__s", "__k"])  # `period` rows
         .withColumn("mix_slot", at("mix_block"))
         .withColumn("mix_place", (F.col("__i") % block_rows).cast("int"))
-        .join(first_gap)  # one row
-        .withColumn("mix_on_target", F.coalesce(F.col("mix_slot") < F.col("__gap"), F.lit(False)))
+        .withColumn("mix_on_target", F.col("mix_slot") < F.lit(first_gap if first_gap is not None else 0))
     )
     return out.select(*docs.columns, "mix_block", "mix_slot", "mix_place", "mix_on_target")
 
