@@ -28,30 +28,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, kept by the worker for its next batch."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known[0]) < n:
+        size = max(n, 1 << 20)
+        known = tuple(np.full(size, x, np.uint64) for x in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+        for x in known:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        if size <= 1 << 23:
+            _POWERS[int(base)] = known
+    return known
+
+
 class Rolling:
     """Hashes of any stretch of a sequence of 64-bit values in constant time each."""
 
     def __init__(self, values: np.ndarray, base: np.uint64):
         n = len(values) + 1
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        powers = np.full(n, base, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
+        forth, self.back = powers(base, n)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(values * powers[:-1], out=self.sums[1:])
-        powers[:] = inverse
-        powers[0] = 1
-        self.back = np.multiply.accumulate(powers)
+        np.cumsum(values * forth[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
+    def windows(self, lo: int, hi: int, length: int) -> np.ndarray:
+        """Of the stretches of this length that start at lo to hi - 1; high bits are as good as of()'s, low bits are not."""
+        return (self.sums[lo + length : hi + length] - self.sums[lo:hi]) * self.back[lo:hi]
+
+
+def batched(docs: DataFrame, text: Column, batch_bytes: int, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
+    """(batch, doc_id, text as bytes) and how many buckets keys are to meet in.
 
-def batched(docs: DataFrame, text: Column, batch_bytes: int) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text as bytes) and how many batches there are."""
+    A batch holds about batch_bytes of text, a bucket the keys of about bucket_bytes.
+    A batch sends a row to each bucket, so for very large inputs both are raised
+    together: rows then follow the input as long as a batch has a few keys a bucket.
+    """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // batch_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), "doc_id", text.cast("binary").alias("text")), n
+    batches = max(1, -(-total // batch_bytes))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-total // bucket_bytes), min(batches, partitions))
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", text.cast("binary").alias("text")), buckets
 
 
 def columns(table: pa.Table) -> tuple[list, list]:

@@ -33,6 +33,8 @@ SEGMENT = 1 << 20
 CUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 _ANCHORS, _UNIONS, _COMMON, _WINDOWS = range(4)
 _LOW = np.uint64((1 << 24) - 1)
+#: What each byte counts as in hashes.
+CODES = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,8 +57,8 @@ class Batch:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(self.texts), np.uint8)
-        codes = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64)
-        self.hash = [Rolling(codes[data], b) for b in BASES]
+        self.values = CODES[data]
+        self.hash = [Rolling(self.values, BASES[0])]
         # Window starts, document by document, lie where LENGTH bytes are left.
         room = np.zeros(len(data) + 1, np.int64)
         fits = np.flatnonzero(sizes >= LENGTH)
@@ -77,8 +79,9 @@ class Batch:
             a, b = np.searchsorted(starts, [lo, lo + SEGMENT])
             if b == a:
                 continue
-            at = np.arange(lo, min(n, lo + SEGMENT + LENGTH) - ANCHOR + 1)
-            value = (self.hash[0].of(at, at + ANCHOR) & ~_LOW) | (at - lo).astype(np.uint64)
+            value = self.hash[0].windows(lo, min(n, lo + SEGMENT + LENGTH) - ANCHOR + 1, ANCHOR)
+            value &= ~_LOW
+            value |= np.arange(len(value), dtype=np.uint64)
             out[a:b] = lo + (sliding_least(value, width)[starts[a:b] - lo] & _LOW).astype(np.int64)
         return out
 
@@ -89,6 +92,7 @@ class Batch:
 
     def cut_pieces(self, elsewhere: np.ndarray) -> None:
         """Pieces of the runs whose anchor occurs twice, with the keys of their unions and common parts."""
+        self.hash.append(Rolling(self.values, BASES[1]))
         runs = np.flatnonzero((elsewhere | (self.core_count > 1))[self.core_of])
         p, lo, hi = self.anchor[runs], self.low[runs], self.high[runs]
         j0, j1 = (p - hi) // PIECE, (p - lo) // PIECE
