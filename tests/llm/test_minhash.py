@@ -79,11 +79,10 @@ def test_classes_against_all_pairs(spark):
 
 def test_signature_agreement_estimates_similarity():
     r = random.Random(1)
-    cache = m.WordHashes()
     base = [f"w{k}" for k in range(400)]
     for k in (1, 5, 15):
         a, b = " ".join(base), " ".join(edited(base, r, k))
-        owner, shingle, count = m.weighted_shingles([a, b], cache)
+        owner, shingle, count = m.weighted_shingles([a, b])
         sig = m.signatures(owner, shingle, count.astype(float), 2)
         x, y = [(shingle[owner == t], count[owner == t].astype(float)) for t in (0, 1)]
         assert abs((sig[0] == sig[1]).mean() - brute_similarity(shingles(a), shingles(b))) < 0.16
@@ -94,11 +93,10 @@ def test_exact_similarity_of_weighted_sets():
     r = random.Random(8)
     for _ in range(200):
         a, b = (" ".join(r.choice("abc") for _ in range(r.randint(1, 40))) for _ in range(2))
-        cache = m.WordHashes()
-        owner, shingle, count = m.weighted_shingles([a, b], cache)
+        owner, shingle, count = m.weighted_shingles([a, b])
         x, y = [(shingle[owner == t], count[owner == t].astype(float)) for t in (0, 1)]
         assert abs(m.similarity(x, y) - brute_similarity(shingles(a), shingles(b))) < 1e-9
-    assert np.isfinite(m.signatures(*m.weighted_shingles(["a"], cache), 1)).all()
+    assert np.isfinite(m.signatures(*m.weighted_shingles(["a"]), 1)).all()
 
 
 def test_empty(spark):

@@ -38,26 +38,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hash of each word, remembered; forgets all when it has grown past `most`."""
-
-    most = 300_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.most:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def weighted_shingles(texts: list[str], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle, count), sorted; a text of one to four words is one shingle."""
     owners, parts = [], []
     for k, text in enumerate(texts):
         words = text.lower().split()
         if not words:
             continue
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         n = max(1, len(h) - WORDS + 1)
         s = np.full(n, np.uint64(min(len(h), WORDS)), np.uint64)
         for j in range(min(WORDS, len(h))):
@@ -134,9 +122,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession, 500)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in batches:
-            owner, shingle, count = weighted_shingles(batch["text"].tolist(), cache)
+            owner, shingle, count = weighted_shingles(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": band_hashes(owner, shingle, count, len(batch))})
 
     return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInPandas(rows, "doc_id long, text_key string, bands array<long>")
@@ -147,9 +134,8 @@ def weighted_sets(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession, 500)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in batches:
-            owner, shingle, count = weighted_shingles(batch["text"].tolist(), cache)
+            owner, shingle, count = weighted_shingles(batch["text"].tolist())
             edges = np.searchsorted(owner, np.arange(len(batch) + 1))
             packed = [(shingle[a:b].tobytes(), count[a:b].astype(np.uint16 if count[a:b].max(initial=0) < 65536 else np.uint64).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pd.DataFrame({"node": batch["node"], "shingles": [p[0] for p in packed], "counts": [p[1] for p in packed]})
@@ -235,8 +221,8 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     ensure_checkpoint_dir(docs.sparkSession)
     base = keyed_text(docs, id_col, text_col)
     sketch = sketches(base.where("doc_id is not null")).checkpoint()
-    same = sketch.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = same.select("text_key", "node", "bands")
+    # Written out, so that the join with all copies of a text is one that Spark can split by size.
+    nodes = sketch.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).checkpoint()
     rows = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(crowded, "bucket")

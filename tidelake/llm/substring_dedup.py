@@ -9,6 +9,8 @@ their whole length and compared as such.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_text
-from .rounds import BASES, Rolling, answer, answers_of, asked, asked_table, batched, columns, from_planes, groups
+from .rounds import ASKED, BASES, Rolling, answer, answers_of, asked, asked_table, batched, columns, from_planes, groups
 
 #: A perfect difference set: every residue is the difference of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -26,16 +28,6 @@ ANCHOR = WINDOW - PERIOD + 1
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-class WordHashes(dict):
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
 class Batch:
     """The words of a batch in a row, with hashes of anchors and windows."""
 
@@ -44,8 +36,8 @@ class Batch:
         self.words = [t.split() for t in texts]  # bytes split at space and 9 to 13
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        cache, n = WordHashes(), int(self.first[-1])
-        values = np.fromiter((cache[w] for ws in self.words for w in ws), np.uint64, n)
+        n = int(self.first[-1])
+        values = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(self.words)), np.uint64, n)
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         place, end = np.arange(n) - self.first[self.owner], self.first[self.owner + 1]
         self.at = np.arange(n)
@@ -144,6 +136,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({f.name: pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)}, schema)
 
     by_batch = dealt.groupBy("batch")
-    anchors = answer(by_batch.applyInArrow(name_anchors, "bucket int, batch int, kind int, keys binary, more binary"), seen_elsewhere)
-    windows = answer(by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(name_windows, "bucket int, batch int, kind int, keys binary, more binary"), seen_earlier)
+    anchors = answer(by_batch.applyInArrow(name_anchors, ASKED), seen_elsewhere)
+    windows = answer(by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(name_windows, ASKED), seen_earlier)
     return by_batch.cogroup(anchors.unionByName(windows).groupBy("batch")).applyInArrow(cut, KEPT)
