@@ -29,7 +29,7 @@ def utility(method: str, quality: str, area: str, pixels: str, base_mse: str, ms
     q, a, n, d0, d = (F.col(c) for c in (quality, area, pixels, base_mse, mse))
     share = a / F.nullif(n, F.lit(0))
     methods = {
-        "nava": lambda: share * q,
+        "share_quality": lambda: share * q,
         "visibility_psnr": lambda: F.when(a > 0, q).otherwise(0.0),
         "visibility_mse": lambda: share * (d0 - d),
         "solo_sse": lambda: n * (d0 - d),

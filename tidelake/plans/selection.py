@@ -64,7 +64,7 @@ def weighted_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = {
-    "nava": "coalesce(l_tax / nullif(l_quantity, 0) * l_discount, 0)",
+    "share_quality": "coalesce(l_tax / nullif(l_quantity, 0) * l_discount, 0)",
     "visibility_psnr": "CASE WHEN l_tax > 0 THEN l_discount ELSE 0 END",
     "visibility_mse": "coalesce(l_tax / nullif(l_quantity, 0) * (50 - l_quantity), 0)",
     "solo_sse": "l_quantity * (50 - l_quantity)",
