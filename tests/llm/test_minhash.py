@@ -77,6 +77,37 @@ def test_classes_against_all_pairs(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(brute_classes(docs).values())) and ids.count(None) == 1
 
 
+def test_large_buckets_with_one_hub_lose_no_link(spark, monkeypatch):
+    """With every bucket taken for large and one hub each, most links are left to the prefix join."""
+    monkeypatch.setattr(m, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(m, "HUBS", 1)
+    docs = corpus()
+    got = m.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(docs)
+
+
+def test_links_apart_are_all_links_between_classes(spark, monkeypatch):
+    """One bucket of texts that share much: those near and those just too far, some with very uneven counts."""
+    monkeypatch.setattr(m, "SMALL_BUCKET", 1)
+    r = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
+    texts = [" ".join(edited(base, r, r.randint(0, 5))) for _ in range(60)]
+    texts += [" ".join(["x"] * r.randint(20, 80) + edited(base[:30], r, r.randint(0, 2))) for _ in range(30)]
+    sets = m.weighted_sets(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    buckets = spark.createDataFrame([(7, i) for i in range(len(texts))], "bucket long, node long")
+    s = [shingles(t) for t in texts]
+    near = {(i, j) for j in range(len(s)) for i in range(j) if brute_similarity(s[i], s[j]) >= 0.8}
+    none = spark.createDataFrame([], "node long, class long")
+    assert {tuple(x) for x in m.links_apart(buckets, none, sets, 0.8).collect()} == near
+    classes = {i: i % 3 if i < 40 else i for i in range(len(s))}
+    label = spark.createDataFrame(list(classes.items()), "node long, class long")
+    got = [tuple(x) for x in m.links_apart(buckets, label, sets, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in near if classes[i] != classes[j]}
+    assert 100 < len(near) < 3000
+    one = spark.createDataFrame([(i, 0) for i in range(len(s))], "node long, class long")
+    assert m.links_apart(buckets, one, sets, 0.8).count() == 0
+
+
 def test_signature_agreement_estimates_similarity():
     r = random.Random(1)
     base = [f"w{k}" for k in range(400)]

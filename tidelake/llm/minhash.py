@@ -28,6 +28,8 @@ FEW = 4
 #: Buckets of up to so many texts yield all their pairs, larger ones those with their hubs.
 SMALL_BUCKET = 8
 HUBS = 8
+#: Counters of shingles by hash: an order of all shingles, rare ones first, needs no more than this on the driver.
+CELLS = 1 << 16
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,14 +163,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInPandas(rows, "a long, b long, near boolean")
 
 
-def links_within(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def hub_links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b), a < b, that verification keeps, from distinct (bucket, node, weight).
 
     Buckets of up to SMALL_BUCKET nodes yield all their pairs. In a larger one the
     nodes of largest weight, which meet most others over all their buckets, are
-    hubs: first one, and for those that are not near it HUBS. A text far from the
-    hubs of a bucket is near another text only if both depart from the hubs in the
-    same way, and then they meet in other buckets, which those hubs are not in.
+    hubs: first one, and for those that are not near it HUBS. This joins most of a
+    large bucket at the cost of its size; links_apart finds the links that it leaves.
     """
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     few = buckets.join(size.where(F.col("n") <= SMALL_BUCKET), "bucket").select("bucket", "node")
@@ -189,6 +190,75 @@ def links_within(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame
     return answers.where("near").unionByName(verified(more, sets, least).where("near")).select("a", "b").distinct()
 
 
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of CELLS cells by hash."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for packed in batch["shingles"]:
+                n += np.bincount((np.frombuffer(packed, np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cell, "n": n[cell]})
+
+    out = np.zeros(CELLS, np.int64)
+    for cell, n in sets.select("shingles").mapInPandas(rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[cell] = n
+    return out
+
+
+def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """(shingle, node, class, p, u): the first shingles of each set in one order of all shingles, rare cells first.
+
+    p and u are one over the share of the set from this shingle on, by counts and by
+    shingles. Shingles are left out once both shares are below `least`: two sets with
+    no shingle in common up to there have less than that in common.
+    """
+
+    def first(node: int, group: int, packed: bytes, counts: bytes) -> pd.DataFrame:
+        x, w = unpacked(packed, counts)
+        order = np.lexsort((x, common[(x % np.uint64(CELLS)).astype(np.int64)]))
+        w = w[order]
+        p = np.cumsum(w[::-1])[::-1] / w.sum()
+        u = np.arange(len(x), 0, -1) / len(x)
+        n = np.count_nonzero(np.maximum(p, u) >= least - 1e-9)
+        return pd.DataFrame({"shingle": x[order[:n]].view(np.int64), "node": node, "class": group, "p": 1 / p[:n], "u": 1 / u[:n]})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets_of = list(zip(batch["node"], batch["class"], batch["shingles"], batch["counts"], strict=True))
+            for k in range(0, len(sets_of), 50):
+                yield pd.concat([first(*x) for x in sets_of[k : k + 50]])
+
+    return sets.select("node", "class", "shingles", "counts").mapInPandas(rows, "shingle long, node long, class long, p double, u double")
+
+
+def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """All links (a, b) between classes of label that meet in a bucket of more than SMALL_BUCKET nodes.
+
+    Whatever meets in a bucket and is of one class already needs no look. The rest is
+    an exact prefix-filter join: with shares P and Q of two sets from their first
+    common shingle on, probability Jaccard and Jaccard are at most 1 / (1/P + 1/Q - 1),
+    since sum of 1 / (1/p + (1 - Q)/q) over common shingles is greatest where p and q
+    are in proportion. Within a shingle, the class with most sets is not held against
+    itself, so a group of thousands that is one class costs its size.
+    """
+    of = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    split = of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where(f"n > {SMALL_BUCKET} and lo < hi")
+    nodes = of.join(split.select("bucket"), "bucket").select("node", "class").distinct()
+    parts = sets.join(nodes, "node").checkpoint()
+    if parts.isEmpty():
+        return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    first = prefixes(parts, cell_counts(parts), least).checkpoint()
+    most = first.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("k"))
+    shared = first.join(most.where("k > 1").select("shingle", "main"), "shingle")
+    left = shared.where("class != main").select("shingle", F.col("node").alias("x"), F.col("class").alias("xc"), F.col("p").alias("xp"), F.col("u").alias("xu"))
+    bound = 1 + 1 / least + 1e-9
+    may = (F.col("xc") != F.col("class")) & ((F.col("class") == F.col("main")) | (F.col("xc") < F.col("class"))) & ((F.col("xp") + F.col("p") <= bound) | (F.col("xu") + F.col("u") <= bound))
+    pairs = left.join(shared, "shingle").where(may).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return verified(pairs, sets, least).where("near").select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the least node that links lead to; label passing with pointer jumping.
 
@@ -230,7 +300,10 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     buckets = shared.join(weights, "node").select("bucket", "node", "weight").checkpoint()
     wanted = base.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = weighted_sets(wanted.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])).checkpoint()
-    label = components(links_within(buckets, sets, least))
+    label = components(hub_links(buckets, sets, least)).checkpoint()
+    apart = links_apart(buckets, label, sets, least).checkpoint()
+    if not apart.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(apart))
     out = sketch.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").join(label, "node", "left")
     known = out.select("doc_id", F.coalesce("class", "node").alias("class_id"), "node")
     none = base.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("node"))
