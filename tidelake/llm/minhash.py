@@ -208,11 +208,11 @@ def cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
-    """(shingle, node, class, p, u): the first shingles of each set in one order of all shingles, rare cells first.
+    """(shingle, node, class, p, rest, n, even): the first shingles of each set in one order of all shingles, rare cells first.
 
-    p and u are one over the share of the set from this shingle on, by counts and by
-    shingles. Shingles are left out once both shares are below `least`: two sets with
-    no shingle in common up to there have less than that in common.
+    Of a set of n shingles, rest are from this one on, and 1 / p of its counts; even:
+    all counts are one number. Shingles are left out once both shares are below
+    `least`: two sets with no shingle in common up to there have less than that in common.
     """
 
     def first(node: int, group: int, packed: bytes, counts: bytes) -> pd.DataFrame:
@@ -220,9 +220,9 @@ def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
         order = np.lexsort((x, common[(x % np.uint64(CELLS)).astype(np.int64)]))
         w = w[order]
         p = np.cumsum(w[::-1])[::-1] / w.sum()
-        u = np.arange(len(x), 0, -1) / len(x)
-        n = np.count_nonzero(np.maximum(p, u) >= least - 1e-9)
-        return pd.DataFrame({"shingle": x[order[:n]].view(np.int64), "node": node, "class": group, "p": 1 / p[:n], "u": 1 / u[:n]})
+        rest = np.arange(len(x), 0, -1)
+        n = np.count_nonzero(np.maximum(p, rest / len(x)) >= least - 1e-9)
+        return pd.DataFrame({"shingle": x[order[:n]].view(np.int64), "node": node, "class": group, "p": 1 / p[:n], "rest": rest[:n], "n": len(x), "even": bool((w == w[0]).all())})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,18 +230,20 @@ def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
             for k in range(0, len(sets_of), 50):
                 yield pd.concat([first(*x) for x in sets_of[k : k + 50]])
 
-    return sets.select("node", "class", "shingles", "counts").mapInPandas(rows, "shingle long, node long, class long, p double, u double")
+    return sets.select("node", "class", "shingles", "counts").mapInPandas(rows, "shingle long, node long, class long, p double, rest long, n long, even boolean")
 
 
 def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """All links (a, b) between classes of label that meet in a bucket of more than SMALL_BUCKET nodes.
 
     Whatever meets in a bucket and is of one class already needs no look. The rest is
-    an exact prefix-filter join: with shares P and Q of two sets from their first
-    common shingle on, probability Jaccard and Jaccard are at most 1 / (1/P + 1/Q - 1),
-    since sum of 1 / (1/p + (1 - Q)/q) over common shingles is greatest where p and q
-    are in proportion. Within a shingle, the class with most sets is not held against
-    itself, so a group of thousands that is one class costs its size.
+    an exact prefix-filter join. From the first common shingle of two sets on, no more
+    can be common than the smaller rest has, which bounds Jaccard, and so probability
+    Jaccard where counts are even. With shares P and Q of uneven counts from there on,
+    probability Jaccard is at most 1 / (1/P + 1/Q - 1), since the sum over common
+    shingles of 1 / (1/p + (1 - Q)/q) is greatest where p and q are in proportion.
+    Within a shingle, the class with most sets is not held against itself, so a group
+    of thousands that is one class costs its size.
     """
     of = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     split = of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where(f"n > {SMALL_BUCKET} and lo < hi")
@@ -252,9 +254,10 @@ def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: fl
     first = prefixes(parts, cell_counts(parts), least).checkpoint()
     most = first.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("k"))
     shared = first.join(most.where("k > 1").select("shingle", "main"), "shingle")
-    left = shared.where("class != main").select("shingle", F.col("node").alias("x"), F.col("class").alias("xc"), F.col("p").alias("xp"), F.col("u").alias("xu"))
-    bound = 1 + 1 / least + 1e-9
-    may = (F.col("xc") != F.col("class")) & ((F.col("class") == F.col("main")) | (F.col("xc") < F.col("class"))) & ((F.col("xp") + F.col("p") <= bound) | (F.col("xu") + F.col("u") <= bound))
+    left = shared.where("class != main").select("shingle", F.col("node").alias("x"), F.col("class").alias("xc"), F.col("p").alias("xp"), F.col("rest").alias("xrest"), F.col("n").alias("xn"), F.col("even").alias("xeven"))
+    overlap = F.least("xrest", "rest") * (1 + least) >= least * (F.col("xn") + F.col("n")) - 1e-6
+    uneven = ~(F.col("xeven") & F.col("even")) & (F.col("xp") + F.col("p") <= 1 + 1 / least + 1e-9)
+    may = (F.col("xc") != F.col("class")) & ((F.col("class") == F.col("main")) | (F.col("xc") < F.col("class"))) & (overlap | uneven)
     pairs = left.join(shared, "shingle").where(may).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     return verified(pairs, sets, least).where("near").select("a", "b")
 
