@@ -74,3 +74,46 @@ def test_empty_and_repeated(spark):
         assert d.overlaps(docs.limit(0), items, **limits).count() == 0
         assert d.overlaps(docs, items.limit(0), **limits).count() == 0
         assert d.drop_contaminated(docs, items, **limits).count() == 0
+
+
+def by_definition(docs, items, least=13, share=0.8):
+    """Every stretch of every diagonal of every pair, by the docstring of overlaps()."""
+    out = {}
+    for doc, text in docs:
+        a = d.tokens(text or "")
+        for item, other in items:
+            b = d.tokens(other or "")
+            need = min(least, math.ceil(share * len(b)))
+            for diagonal in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, diagonal), min(len(a), len(b) + diagonal)
+                for s in range(lo, hi - need + 1):
+                    equal = 0
+                    for e in range(s, hi):
+                        equal += a[e] == b[e - diagonal]
+                        if e + 1 - s >= need and 5 * equal >= 4 * (e + 1 - s):
+                            out[doc, item] = max(out.get((doc, item), (0,)), (e + 1 - s, equal, -s))
+    return out
+
+
+def replaced(item, *at):
+    return " ".join("SUBST" if k in at else w for k, w in enumerate(item.split()))
+
+
+def test_longest_stretch_by_definition(spark):
+    docs, items = tables()
+    words = [f"v{k}" for k in range(60)]
+    items += [(200 + n, " ".join(words[:n])) for n in (*range(4, 18), 20, 27, 40)]
+    text = dict(items)
+    leaks = [replaced(text[213], 8), replaced(text[216], 7, 8), replaced(text[220], 5, 9, 13), replaced(text[227], 12, 13, 14), replaced(text[215], 3, 7, 11)]
+    leaks += [replaced(text[200 + n], k) for n in range(5, 10) for k in range(n)]
+    r = random.Random(7)
+    leaks += [replaced(text[200 + n], *(r.randrange(n) for _ in range(n // 5 + 1))) for n in (10, 11, 12, 13, 14, 15, 16, 17, 20, 40) for _ in range(3)]
+    docs += [(1000 + k, f"before {t} after") for k, t in enumerate(leaks)]
+    want = by_definition(docs, items)
+    assert all(any(i == 1000 + k for i, _ in want) for k in range(5 + 35))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limits in ({}, {"broadcast_items": 2}):
+        got = {(x.doc_id, x.item_id): (x.n_tokens, x.n_equal, -x.doc_start) for x in d.overlaps(left, right, stretch="longest", **limits).collect()}
+        assert got == want, limits
+        kept = {x.doc_id for x in d.drop_contaminated(left, right, stretch="longest", **limits).collect()}
+        assert kept == {i for i, _ in docs} - {i for i, _ in want}

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, keyed_text
 
-MASKS = ("11011011", "1110010111", "1011101101")
+#: Every stretch of 13 or more tokens of which 80 % are equal has a hit of one of these.
+MASKS = ("11011011", "1110010111", "1011101101", "110001000111", "1110101001")
+#: The same for items of 5 to 15 tokens, by their number; shorter items must be equal throughout.
+SHORT_MASKS = {
+    5: ("111", "1101"), 6: ("111", "1101"), 7: ("11011", "1111"), 8: ("111011", "11111", "110111"), 9: ("1111011", "1101111", "111111"),
+    10: ("111011", "11010011", "11111"), 11: ("111011", "11010011", "11111"), 12: ("111011", "11010011", "11111"), 13: ("111011", "11010011"),
+    14: ("11101011", "101100111", "111111"), 15: ("111011", "11111"),
+}
 #: Gained by an equal token, lost by a substituted one: a stretch pays off while about four fifths agree.
 MATCH, MISMATCH = 1, -4
 
@@ -35,10 +43,9 @@ def tokens(text: str) -> list[str]:
 
 
 def mask_offsets(length: int) -> list[np.ndarray]:
-    """Offsets under the ones of each mask; a text shorter than the longest mask has one mask of all its tokens."""
-    if length < max(map(len, MASKS)):
-        return [np.arange(length)]
-    return [np.array([k for k, c in enumerate(m) if c == "1"]) for m in MASKS]
+    """Offsets under the ones of each mask of an item of so many tokens; one of under 5 has one mask of all its tokens."""
+    masks = ("1" * length,) if length < min(SHORT_MASKS) else SHORT_MASKS.get(length, MASKS)
+    return [np.array([k for k, c in enumerate(m) if c == "1"]) for m in masks]
 
 
 def seed_hashes(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -68,6 +75,28 @@ def aligned(a: np.ndarray, b: np.ndarray, diagonal: int, least: int, share: floa
     return lo + start, lo + start - diagonal, size, equal
 
 
+def longest(a: np.ndarray, b: np.ndarray, diagonal: int, least: int, share: float) -> tuple[int, int, int, int] | None:
+    """As aligned(), of the longest stretch that is long and equal enough (ties: more equal tokens, then the earliest)."""
+    lo, hi = max(0, diagonal), min(len(a), len(b) + diagonal)
+    if hi - lo < least:
+        return None
+    same = a[lo:hi] == b[lo - diagonal : hi - diagonal]
+    part = Fraction(str(share))  # in whole numbers, so that exactly `share` is enough
+    sums = np.concatenate([[0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))])
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)  # the leftmost place whose sum is not above that of the end
+    sizes = np.arange(len(sums)) - starts
+    size = int(sizes.max())
+    if not size or size < least:
+        return None
+    ends = np.flatnonzero(sizes == size)
+    start = int(ends[(sums[ends] - sums[ends - size]).argmax()]) - size
+    return lo + start, lo + start - diagonal, size, int(same[start : start + size].sum())
+
+
+#: Ways to look at a diagonal: the top-scoring stretch only, or every stretch.
+STRETCHES: dict[str, Callable[[np.ndarray, np.ndarray, int, int, float], tuple[int, int, int, int] | None]] = {"top": aligned, "longest": longest}
+
+
 class Index:
     """Benchmark items as token ids, and their seeds in order of hash."""
 
@@ -94,7 +123,7 @@ class Index:
         self.bounds = np.searchsorted(k[order], np.arange(len(self.offsets) + 1))
         self.hashes, self.owners, self.places = h[order], cat(owners, np.int64)[order], cat(places, np.int64)[order]
 
-    def overlaps(self, text: str, least: int, share: float) -> list[tuple[int, int, int, int, int]]:
+    def overlaps(self, text: str, least: int, share: float, stretch: str = "top") -> list[tuple[int, int, int, int, int]]:
         """(item, doc start, item start, tokens, equal tokens) of the best verified stretch with each item."""
         get = self.vocabulary.get
         ids = np.array([get(t, 0) for t in tokens(text)], np.uint64)
@@ -125,19 +154,21 @@ class Index:
         best: dict[int, tuple] = {}
         for owner, diagonal in sorted(found):
             item_id, item = self.items[owner]
-            if hit := aligned(ids, item, diagonal, enough(len(item), least, share), share):
+            if hit := STRETCHES[stretch](ids, item, diagonal, enough(len(item), least, share), share):
                 rank = (hit[2], hit[3], -hit[0])
                 if item_id not in best or rank > best[item_id][0]:
                     best[item_id] = (rank, hit)
         return [(item, *hit) for item, (_, hit) in sorted(best.items())]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "top") -> DataFrame:
     """One row for each document and benchmark item that share a stretch: HITS.
 
     A stretch has `least` tokens or more, or `share` of a shorter item's, of which
     `share` are equal at equal distance; the longest is reported (ties: more equal
-    tokens, then the earliest). The benchmark goes to every executor where it has
+    tokens, then the earliest). With stretch "longest" every such stretch counts, and
+    none is missed for a least of 13 or more and a share of 0.8 or more; with "top"
+    only the best-scoring one (MATCH, MISMATCH) of each diagonal. The benchmark goes to every executor where it has
     at most broadcast_chars characters in at most broadcast_items rows, else seeds
     are joined by a shuffle with the same result. Null or empty texts on either
     side share nothing. Rows that repeat give rows that repeat on the training
@@ -147,13 +178,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     docs, items = keyed_text(docs), keyed_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id")
     index = small_index(items, broadcast_chars, broadcast_items)
     if index is None:
-        return overlaps_by_shuffle(docs, items, least, share)
+        return overlaps_by_shuffle(docs, items, least, share, stretch)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True) for hit in index.overlaps(text, least, share)]
+            rows = [(doc, *hit) for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True) for hit in index.overlaps(text, least, share, stretch)]
             yield as_hits(rows)
 
     return docs.mapInPandas(found, HITS)
@@ -178,7 +209,7 @@ def as_hits(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: float, stretch: str = "top") -> DataFrame:
     """As overlaps(), for a benchmark of any size: seeds of both sides meet by hash.
 
     Seeds of training windows that no benchmark window has leave in the join; a
@@ -187,13 +218,19 @@ def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: fl
     """
     token_ids = lambda text: np.array([xxhash.xxh64_intdigest(t) for t in tokens(text)], np.uint64)
 
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"n": [min(len(tokens(t)), max(SHORT_MASKS) + 1) for t in batch["text"]]})
+
+    sizes = [r["n"] for r in items.select("text").mapInPandas(lengths, "n int").where("n > 0").distinct().collect()]
+    kinds_of_items = [np.array(o) for o in sorted({tuple(map(int, o)) for n in sizes for o in mask_offsets(n)})]
+
     def seeds(batches: Iterator[pd.DataFrame], every_kind: bool) -> Iterator[pd.DataFrame]:
-        longest = max(map(len, MASKS))
         for batch in batches:
             out = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 ids = token_ids(text)
-                kinds = mask_offsets(longest) + [np.arange(k) for k in range(1, longest)] if every_kind else mask_offsets(len(ids)) if len(ids) else []
+                kinds = kinds_of_items if every_kind else mask_offsets(len(ids)) if len(ids) else []
                 for offsets in kinds:
                     h = seed_hashes(ids, offsets).view(np.int64)
                     out.append(pd.DataFrame({"key": key, "seed": h, "place": np.arange(len(h))}))
@@ -212,7 +249,7 @@ def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: fl
             rows = []
             for doc, item, diagonal, a, b in zip(batch["doc_id"].astype(object), batch["item_id"].astype(object), batch["diagonal"], batch["doc_text"], batch["item_text"], strict=True):
                 x, y = token_ids(a), token_ids(b)
-                if hit := aligned(x, y, diagonal, enough(len(y), least, share), share):
+                if hit := STRETCHES[stretch](x, y, diagonal, enough(len(y), least, share), share):
                     rows.append((doc, item, *hit))
             yield as_hits(rows)
 
@@ -222,7 +259,7 @@ def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: fl
     return best.select("doc_id", "item_id", (-F.col("b")["col3"]).cast("int").alias("doc_start"), F.col("b.item_start"), F.col("b.n_tokens"), F.col("b.n_equal"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "top") -> DataFrame:
     """docs without the rows that share a stretch with a benchmark item, as overlaps() finds it; other columns stay as they are."""
     bounded_batches(docs.sparkSession)
     index = small_index(keyed_text(benchmark, "item_id"), broadcast_chars, broadcast_items)
@@ -231,8 +268,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, sh
 
         @F.pandas_udf("boolean")
         def clean(texts: pd.Series) -> pd.Series:
-            return pd.Series([not shared.value.overlaps(t or "", least, share) for t in texts], dtype=bool)
+            return pd.Series([not shared.value.overlaps(t or "", least, share, stretch) for t in texts], dtype=bool)
 
         return docs.where(clean(F.coalesce("text", F.lit(""))))
-    bad = overlaps(docs, benchmark, least, share, broadcast_chars, broadcast_items).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = overlaps(docs, benchmark, least, share, broadcast_chars, broadcast_items, stretch).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
