@@ -133,3 +133,18 @@ def test_exact_similarity_of_weighted_sets():
 def test_empty(spark):
     assert m.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert m.keep_one(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 1
+
+
+def test_near_copies_with_a_line_repeated_dozens_of_times(spark):
+    """Sets agree, counts do not: candidates must come from the sets."""
+    r = random.Random(21)
+    docs, apart = [], 0
+    for k in range(40):
+        base, line = [f"g{k}w{r.randrange(900)}" for _ in range(300)], [f"g{k}line{j}" for j in range(10)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + line * r.choice((30, 40, 60))))]
+        x, y = shingles(docs[-2][1]), shingles(docs[-1][1])
+        apart += brute_similarity(Counter(dict.fromkeys(x, 1)), Counter(dict.fromkeys(y, 1))) >= 0.8
+    docs += [(200, " ".join(base + line)), (201, " ".join(base + line * 40)), (202, " ".join(base * 2 + line * 2))]
+    got = m.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert apart == 40
+    assert {x.doc_id: x.class_id for x in got} == brute_classes(docs)

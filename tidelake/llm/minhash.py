@@ -4,7 +4,9 @@ A document is its five-word shingles weighted by their counts. Each shingle send
 out arrivals of a Poisson process whose rate is its weight; each arrival falls on
 one of K components, which keep their earliest. Processes end as soon as they are
 later than every component's earliest (Ertl, TKDE 2020). Two signatures agree in a
-component with the probability Jaccard similarity of the weighted shingles.
+component with the probability Jaccard similarity of the weighted shingles. With
+all weights equal that is the Jaccard similarity of the sets, so a text of uneven
+counts has a second signature, without them.
 """
 
 from __future__ import annotations
@@ -86,17 +88,31 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
 
 
 def band_hashes(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> list[np.ndarray]:
-    """A hash for each band of each text's signature; one hash of the set for texts of few shingles; none for no words."""
+    """A hash for each band of each text's signatures; one hash of the set for texts of few shingles; none for no words.
+
+    Bands of the set's signature are hashed as those of counts are. Where all counts
+    are one number the two signatures are the same, and such a text has one.
+    """
     size = np.bincount(owner, minlength=n)
-    sig = signatures(owner, shingle, weight.astype(float), n).astype(np.uint64).reshape(n, BANDS, ROWS)
-    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
+    low, high = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+    np.minimum.at(low, owner, weight), np.maximum.at(high, owner, weight)
+    uneven = low < high
+    of = uneven[owner]
+    # Texts n and up are those of uneven counts once more, with all weights 1.
+    again = n + np.cumsum(uneven)[owner[of]] - 1
+    owners, shingles = np.concatenate([owner, again]), np.concatenate([shingle, shingle[of]])
+    m = n + int(uneven.sum())
+    sig = signatures(owners, shingles, np.concatenate([np.where(of, weight, 1), np.ones(len(again))]).astype(float), m).astype(np.uint64).reshape(m, BANDS, ROWS)
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (m, 1))
     for j in range(ROWS):
         h = mixed(h * _GOLD + sig[:, :, j])
     h = h.view(np.int64)
+    both = dict(zip(np.flatnonzero(uneven).tolist(), h[n:], strict=True))
     sums = np.zeros(n, np.uint64)
     np.add.at(sums, owner, mixed(shingle))
     exact = mixed(sums).view(np.int64)
-    return [np.append(h[k], exact[k]) if 0 < size[k] < FEW else h[k] if size[k] else h[k][:0] for k in range(n)]
+    bands = [np.union1d(h[k], both[k]) if k in both else h[k] for k in range(n)]
+    return [np.append(bands[k], exact[k]) if 0 < size[k] < FEW else bands[k] if size[k] else h[k][:0] for k in range(n)]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -296,7 +312,7 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     sketch = sketches(base.where("doc_id is not null")).checkpoint()
     # Written out, so that the join with all copies of a text is one that Spark can split by size.
     nodes = sketch.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).checkpoint()
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))  # a hash has its band in it
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(crowded, "bucket")
     weights = shared.groupBy("node").agg(F.sum(F.col("n").cast("double")).alias("weight"))
