@@ -12,13 +12,13 @@ def shingles(text):
 
 
 def brute_similarity(x, y):
-    if not x or not y:
+    if not x.keys() & y.keys():
         return 0.0
     plain = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
-    p = {k: v / x.total() for k, v in x.items()}
-    q = {k: v / y.total() for k, v in y.items()}
-    prob = sum(1 / sum(max(p.get(e, 0) / p[d], q.get(e, 0) / q[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
-    return max(plain, prob)
+    every, common = sorted(x.keys() | y.keys()), sorted(x.keys() & y.keys())
+    p, q = (np.array([[z[e] / z.total() for e in every]]) for z in (x, y))
+    own = [np.array([[z[d] / z.total()] for d in common]) for z in (x, y)]
+    return max(plain, float((1 / np.maximum(p / own[0], q / own[1]).sum(1)).sum()))
 
 
 def brute_classes(docs, least=0.8):

@@ -48,10 +48,15 @@ def mask_offsets(length: int) -> list[np.ndarray]:
     return [np.array([k for k, c in enumerate(m) if c == "1"]) for m in masks]
 
 
+def first_hash(offsets: np.ndarray) -> np.uint64:
+    """What hashes of a mask begin with, so that masks differ."""
+    return np.uint64((len(offsets) * 0x9FB21C651E98DF25 + int(offsets[-1])) % (1 << 64))
+
+
 def seed_hashes(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of the tokens under the mask for every start; ids are uint64."""
     n = len(ids) - int(offsets[-1])
-    out = np.full(max(n, 0), np.uint64(len(offsets)) * np.uint64(0x9FB21C651E98DF25) + np.uint64(offsets[-1]), np.uint64)
+    out = np.full(max(n, 0), first_hash(offsets))
     if n > 0:
         for k, at in enumerate(offsets):
             out = (out ^ (ids[at : at + n] * _PRIMES[k])) * np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +147,7 @@ class Index:
                     break
             if not len(at):
                 continue
-            h = np.full(len(at), np.uint64(len(offsets)) * np.uint64(0x9FB21C651E98DF25) + np.uint64(offsets[-1]), np.uint64)
+            h = np.full(len(at), first_hash(offsets))
             for k, o in enumerate(offsets):
                 h = (h ^ (ids[at + o] * _PRIMES[k])) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)

@@ -16,11 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_batches, ensure_checkpoint_dir, keyed_text
+from .common import Scratch, ensure_checkpoint_dir, keyed_text, parts_by_size
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -29,7 +28,7 @@ K = BANDS * ROWS
 FEW = 4
 #: Buckets of up to so many texts yield all their pairs, larger ones those with their hubs.
 SMALL_BUCKET = 8
-HUBS = 8
+HUBS = 1
 #: Counters of shingles by hash: an order of all shingles, rare ones first, needs no more than this on the driver.
 CELLS = 1 << 16
 
@@ -137,26 +136,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, bands) of every text: text_key is equal for equal texts."""
-    bounded_batches(docs.sparkSession, 500)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, shingle, count = weighted_shingles(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": band_hashes(owner, shingle, count, len(batch))})
+            for part in parts_by_size(batch):
+                owner, shingle, count = weighted_shingles(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "bands": band_hashes(owner, shingle, count, len(part))})
 
-    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInPandas(rows, "doc_id long, text_key string, bands array<long>")
+    return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInPandas(rows, "doc_id long, text_key binary, bands array<long>")
+
+
+def text_key(text: str) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def weighted_sets(docs: DataFrame) -> DataFrame:
     """(node, shingles, counts): sorted shingles of a text and their counts as packed bytes."""
-    bounded_batches(docs.sparkSession, 500)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, shingle, count = weighted_shingles(batch["text"].tolist())
-            edges = np.searchsorted(owner, np.arange(len(batch) + 1))
-            packed = [(shingle[a:b].tobytes(), count[a:b].astype(np.uint16 if count[a:b].max(initial=0) < 65536 else np.uint64).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pd.DataFrame({"node": batch["node"], "shingles": [p[0] for p in packed], "counts": [p[1] for p in packed]})
+            for part in parts_by_size(batch):
+                owner, shingle, count = weighted_shingles(part["text"].tolist())
+                edges = np.searchsorted(owner, np.arange(len(part) + 1))
+                packed = [(shingle[a:b].tobytes(), count[a:b].astype(np.uint16 if count[a:b].max(initial=0) < 65536 else np.uint64).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pd.DataFrame({"node": part["node"], "shingles": [p[0] for p in packed], "counts": [p[1] for p in packed]})
 
     return docs.select("node", "text").mapInPandas(rows, "node long, shingles binary, counts binary")
 
@@ -166,44 +170,41 @@ def unpacked(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(x) else np.uint64).astype(float)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, near) of each pair of nodes."""
+def links_of(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets are near."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "ca", "sb", "cb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             near = [similarity(unpacked(sa, ca), unpacked(sb, cb)) >= least - 1e-12 for sa, ca, sb, cb in zip(x["sa"], x["ca"], x["sb"], x["cb"], strict=True)]
-            yield pd.DataFrame({"a": x["a"], "b": x["b"], "near": np.array(near, bool)})
+            yield x.loc[near, ["a", "b"]]
 
-    return both.mapInPandas(rows, "a long, b long, near boolean")
+    return both.mapInPandas(rows, "a long, b long")
 
 
-def hub_links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b), a < b, that verification keeps, from distinct (bucket, node, weight).
+def shared_buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, n, hubs) of the buckets that several nodes are in: n nodes, of whom hubs are the least of each of HUBS parts by hash."""
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))  # a hash has its band in it
+    hub = lambda k: F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HUBS)) == k, F.col("node")))
+    # Written out, so that the join with a very large bucket is one that Spark can split by size, or broadcast where it is small.
+    crowded = scratch.store(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.array_compact(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs")).where("n > 1"))
+    out = scratch.store(rows.join(crowded, "bucket").select("bucket", "node", "n", "hubs"))
+    scratch.drop(crowded)
+    return out
 
-    Buckets of up to SMALL_BUCKET nodes yield all their pairs. In a larger one the
-    nodes of largest weight, which meet most others over all their buckets, are
-    hubs: first one, and for those that are not near it HUBS. This joins most of a
-    large bucket at the cost of its size; links_apart finds the links that it leaves.
-    """
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    few = buckets.join(size.where(F.col("n") <= SMALL_BUCKET), "bucket").select("bucket", "node")
-    asked = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b")
-    many = buckets.join(size.where(F.col("n") > SMALL_BUCKET), "bucket").select("bucket", "node", "weight")
-    # The limit on the rank is applied before the shuffle too, so a very large bucket sends a few rows a task.
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node"))
-    hubs = many.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("bucket", F.col("node").alias("hub"), "rank").checkpoint()
 
-    def meet(nodes: DataFrame, with_hubs: DataFrame) -> DataFrame:
-        both = nodes.join(with_hubs.select("bucket", "hub"), "bucket").where("node != hub")
-        return both.select("bucket", "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, from (bucket, node, n, hubs).
 
-    first = meet(many.select("bucket", "node"), hubs.where("rank = 1")).checkpoint()
-    answers = verified(first.select("a", "b").unionByName(asked).distinct(), sets, least).checkpoint()
-    away = first.join(answers.where("not near"), ["a", "b"]).select("bucket", "node")
-    more = meet(away, hubs.where("rank > 1")).select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    return answers.where("near").unionByName(verified(more, sets, least).where("near")).select("a", "b").distinct()
+    Buckets of up to SMALL_BUCKET nodes yield all their pairs. In a larger one each
+    node is held against the bucket's hubs, which joins most of it at the cost of its
+    size; links_apart finds the links that this leaves.
+    """
+    few = buckets.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node")
+    asked = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b")
+    many = buckets.where(F.col("n") > SMALL_BUCKET).select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    return asked.unionByName(many.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
 
 
 def cell_counts(sets: DataFrame) -> np.ndarray:
@@ -249,7 +250,7 @@ def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
     return sets.select("node", "class", "shingles", "counts").mapInPandas(rows, "shingle long, node long, class long, p double, rest long, n long, even boolean")
 
 
-def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: float, scratch: Scratch | None = None) -> DataFrame:
     """All links (a, b) between classes of label that meet in a bucket of more than SMALL_BUCKET nodes.
 
     Whatever meets in a bucket and is of one class already needs no look. The rest is
@@ -261,79 +262,112 @@ def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: fl
     Within a shingle, the class with most sets is not held against itself, so a group
     of thousands that is one class costs its size.
     """
-    of = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    scratch = scratch or Scratch(sets.sparkSession)
+    of = scratch.store(buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
     split = of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where(f"n > {SMALL_BUCKET} and lo < hi")
     nodes = of.join(split.select("bucket"), "bucket").select("node", "class").distinct()
-    parts = sets.join(nodes, "node").checkpoint()
+    parts = scratch.store(sets.join(nodes, "node"))
+    scratch.drop(of)
     if parts.isEmpty():
         return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    first = prefixes(parts, cell_counts(parts), least).checkpoint()
+    first = scratch.store(prefixes(parts, cell_counts(parts), least))
+    scratch.drop(parts)
     most = first.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("k"))
-    shared = first.join(most.where("k > 1").select("shingle", "main"), "shingle")
+    shared = scratch.store(first.join(most.where("k > 1").select("shingle", "main"), "shingle"))
+    scratch.drop(first)
     left = shared.where("class != main").select("shingle", F.col("node").alias("x"), F.col("class").alias("xc"), F.col("p").alias("xp"), F.col("rest").alias("xrest"), F.col("n").alias("xn"), F.col("even").alias("xeven"))
     overlap = F.least("xrest", "rest") * (1 + least) >= least * (F.col("xn") + F.col("n")) - 1e-6
     uneven = ~(F.col("xeven") & F.col("even")) & (F.col("xp") + F.col("p") <= 1 + 1 / least + 1e-9)
     may = (F.col("xc") != F.col("class")) & ((F.col("class") == F.col("main")) | (F.col("xc") < F.col("class"))) & (overlap | uneven)
     pairs = left.join(shared, "shingle").where(may).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return verified(pairs, sets, least).where("near").select("a", "b")
+    return links_of(pairs, sets, least)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, class): the least node that links lead to; label passing with pointer jumping.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, class): class is one of the nodes that links lead to, the same for all of them; by contraction.
 
-    Each round a node takes the least label among its own and its neighbours', then
-    its label's label; labels that no longer change end it, so the rounds follow
-    the logarithm of the longest chain. A node with very many links is combined
-    before the shuffle.
+    In a round each node takes the first of itself and its neighbours in one order
+    for its label, and links are put between labels; those within one label go. The
+    last round leaves none. The first order is by number, as hubs are least; the later
+    ones are by hash, so that a chain shrinks by a part in every round whatever its
+    numbers. A node with very many links is combined before the shuffle.
     """
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
+    rounds: list[DataFrame] = []
     while True:
-        seen = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = label.join(seen, "u").select("u", F.least("c", "m").alias("n"), "c")
-        jump = step.join(label.select(F.col("u").alias("n"), F.col("c").alias("nn")), "n").select("u", F.least("n", "nn").alias("n"), "c").checkpoint()
-        done = jump.where("n != c").isEmpty()
-        label = jump.select("u", F.col("n").alias("c"))
-        if done:
-            return label.select(F.col("u").alias("node"), F.col("c").alias("class"))
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("v")))
+        if rounds:
+            place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c), F.col(c).alias("v"))
+            first = F.least(F.min(place("v")), F.first(place("node")))["v"]
+        else:
+            first = F.least(F.min("v"), F.first("node"))
+        label = scratch.store(both.groupBy("node").agg(first.alias("class")))
+        rounds.append(label)
+        side = lambda c, to: label.select(F.col("node").alias(c), F.col("class").alias(to))  # noqa: B023, E731
+        apart = links.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x != y")
+        links = scratch.store(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if links.isEmpty():
+            break
+    out = rounds.pop()
+    while rounds:
+        inner, outer = rounds.pop(), out.select(F.col("node").alias("class"), F.col("class").alias("top"))
+        out = inner.join(outer, "class", "left").select("node", F.coalesce("top", "class").alias("class"))
+    return scratch.store(out)
+
+
+def keyed_classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, class_id, class_key): a row a document with an id; the last two are the least (doc_id, text_key) of its class."""
+    base = keyed_text(docs, id_col, text_col)
+    ensure_checkpoint_dir(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        sketch = scratch.store(sketches(base.where("doc_id is not null")))
+        one = sketch.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+        # Numbers of nodes hold from here on, as they are read from what was written.
+        nodes = scratch.store(one.withColumn("node", F.monotonically_increasing_id()))
+        buckets = shared_buckets(nodes, scratch)
+        pairs = scratch.store(candidates(buckets))
+        keys = nodes.select("node", F.col("first").alias("doc_id"), "text_key")
+        met = buckets.select("node").distinct()
+        wanted = scratch.store(keys.join(met, "node"))
+        texts = base.withColumn("text_key", text_key("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+        sets = scratch.store(weighted_sets(texts))
+        links = scratch.store(links_of(pairs, sets, least))
+        scratch.drop(pairs, wanted)
+        label = components(links, scratch)
+        apart = scratch.store(links_apart(buckets, label, sets, least, scratch))
+        if not apart.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(apart), scratch)
+        scratch.drop(buckets, sets)
+        of = keys.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        # Only nodes with links are in classes of several.
+        least_of = of.join(label.select("node"), "node", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+        top = of.join(least_of, "class", "left").select("text_key", F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("least.text_key", "text_key").alias("class_key"))
+        return sketch.select("doc_id", "text_key").join(scratch.store(top), "text_key").checkpoint()
 
 
 def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, node): one row a document; class_id is the least doc_id of its class.
-
-    Documents of equal text are one node, the least doc_id among them. Nodes are
-    linked where the exact similarity of their five-word shingles (lower case, split
-    at white space) is `least` or more; classes are what links connect. Empty and
-    null texts are equal texts. A null id is its own class of null, unlinked. Rows
-    that repeat give rows that repeat. Other columns are not read.
+    """(doc_id, class_id): one row a document; class_id is the least doc_id of its class.
+
+    Documents of equal text are one node. Nodes are linked where the exact similarity
+    of their five-word shingles (lower case, split at white space) is `least` or more;
+    classes are what links connect. Empty and null texts are equal texts. A null id is
+    its own class of null, unlinked. Rows that repeat give rows that repeat; rows of
+    one id and different texts are documents of their own. Very long texts are read
+    whole, each by itself. Other columns are not read.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    base = keyed_text(docs, id_col, text_col)
-    sketch = sketches(base.where("doc_id is not null")).checkpoint()
-    # Written out, so that the join with all copies of a text is one that Spark can split by size.
-    nodes = sketch.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).checkpoint()
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))  # a hash has its band in it
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(crowded, "bucket")
-    weights = shared.groupBy("node").agg(F.sum(F.col("n").cast("double")).alias("weight"))
-    buckets = shared.join(weights, "node").select("bucket", "node", "weight").checkpoint()
-    wanted = base.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = weighted_sets(wanted.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])).checkpoint()
-    label = components(hub_links(buckets, sets, least)).checkpoint()
-    apart = links_apart(buckets, label, sets, least).checkpoint()
-    if not apart.isEmpty():
-        label = components(label.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(apart))
-    out = sketch.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").join(label, "node", "left")
-    known = out.select("doc_id", F.coalesce("class", "node").alias("class_id"), "node")
-    none = base.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("node"))
+    known = keyed_classes(docs, least, id_col, text_col).select("doc_id", "class_id")
+    none = keyed_text(docs, id_col, text_col).where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return known.unionByName(none)
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with one document of each class, the one of least doc_id; rows with a null id stay.
+    """docs with one document of each class: that of least doc_id, of equal ids that of least text digest.
 
-    Of rows that repeat an id one stays, if it is the class's.
+    Rows with a null id stay. Of rows that repeat both id and text one stays; where
+    they differ in other columns it is any of them. Rows of one id and different texts
+    stay or go each by its own class.
     """
-    kept = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    id_, key = "__doc_id_of_class", "__text_key_of_class"
+    kept = keyed_classes(docs, least, "doc_id", "text").select(F.col("class_id").alias(id_), F.col("class_key").alias(key)).distinct()
+    keyed = docs.where("doc_id is not null").withColumns({id_: F.col("doc_id").cast("long"), key: text_key("text")})
+    first = keyed.join(kept, [id_, key], "left_semi").dropDuplicates([id_, key])
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
