@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tidelake.llm import minhash as m
+from tidelake.llm.common import Scratch
 
 
 def shingles(text):
@@ -148,3 +149,25 @@ def test_near_copies_with_a_line_repeated_dozens_of_times(spark):
     got = m.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert apart == 40
     assert {x.doc_id: x.class_id for x in got} == brute_classes(docs)
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch, tmp_path):
+    """By rounds of contraction down to few links, and by one task."""
+    r = random.Random(3)
+    links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(200 + a, 200 + b) for a, b in (r.sample(range(50), 2) for _ in range(40))]
+    links += [links[5], (300, 301)]
+    frame = spark.createDataFrame([tuple(sorted(x)) for x in links], "a long, b long")
+    up = {}
+    for a, b in sorted(map(sorted, links)) * 60:
+        up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+    whole = {}
+    for limit in (1 << 20, 3):
+        monkeypatch.setattr(m, "LINKS_AT_ONCE", limit)
+        with Scratch(spark) as scratch:
+            got = {x.node: x["class"] for x in m.components(frame, scratch).collect()}
+            assert m.components(frame.limit(0), scratch).count() == 0
+        for a in got:
+            whole.setdefault((limit, got[a]), set()).add(a)
+        assert got.keys() == up.keys()
+    groups = {frozenset(i for i in up if up[i] == c) for c in set(up.values())}
+    assert {frozenset(g) for (k, _), g in whole.items() if k == 3} == groups == {frozenset(g) for (k, _), g in whole.items() if k > 3}

@@ -28,7 +28,9 @@ K = BANDS * ROWS
 FEW = 4
 #: Buckets of up to so many texts yield all their pairs, larger ones those with their hubs.
 SMALL_BUCKET = 8
-HUBS = 1
+HUBS = 3
+#: Links between classes so far, up to so many of which one task joins at once (16 MB).
+LINKS_AT_ONCE = 1 << 20
 #: Counters of shingles by hash: an order of all shingles, rare ones first, needs no more than this on the driver.
 CELLS = 1 << 16
 
@@ -283,17 +285,39 @@ def links_apart(buckets: DataFrame, label: DataFrame, sets: DataFrame, least: fl
     return links_of(pairs, sets, least)
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that links lead to) of the nodes of links (a, b): labels of labels until links agree."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (apart := label[x] != label[y]).any():
+        x, y = x[apart], y[apart]
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least), np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, class): class is one of the nodes that links lead to, the same for all of them; by contraction.
 
     In a round each node takes the first of itself and its neighbours in one order
-    for its label, and links are put between labels; those within one label go. The
-    last round leaves none. The first order is by number, as hubs are least; the later
-    ones are by hash, so that a chain shrinks by a part in every round whatever its
-    numbers. A node with very many links is combined before the shuffle.
+    for its label, and links are put between labels; those within one label go. Once
+    at most LINKS_AT_ONCE are left, one task joins them. The first order is by number,
+    as hubs are least; the later ones are by hash, so that a chain shrinks by a part in
+    every round whatever its numbers. A node with very many links is combined before
+    the shuffle.
     """
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := list(batches):
+            whole = pd.concat(parts)
+            nodes, least = joined(whole["a"].to_numpy(np.int64), whole["b"].to_numpy(np.int64))
+            yield pd.DataFrame({"node": nodes, "class": least})
+
     rounds: list[DataFrame] = []
-    while True:
+    while links.count() > LINKS_AT_ONCE:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("v")))
         if rounds:
             place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c), F.col(c).alias("v"))
@@ -305,9 +329,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         side = lambda c, to: label.select(F.col("node").alias(c), F.col("class").alias(to))  # noqa: B023, E731
         apart = links.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x != y")
         links = scratch.store(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if links.isEmpty():
-            break
-    out = rounds.pop()
+    out = links.coalesce(1).mapInPandas(last, "node long, class long")
     while rounds:
         inner, outer = rounds.pop(), out.select(F.col("node").alias("class"), F.col("class").alias("top"))
         out = inner.join(outer, "class", "left").select("node", F.coalesce("top", "class").alias("class"))
