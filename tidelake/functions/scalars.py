@@ -102,6 +102,25 @@ def shoelace(points: Column) -> Column:
     return F.abs(F.aggregate(turns, F.lit(0.0), lambda s, x: s + x)) / 2
 
 
+def whole_ticks(seconds: Column, scale: int, tolerance: float = 1e-6) -> Column:
+    """A time in ticks of 1 / scale seconds; null where it falls between them."""
+    ticks = seconds * scale
+    return F.when(F.abs(ticks - F.round(ticks)) < tolerance, F.round(ticks).cast("long"))
+
+
+def rotation(w: Column, x: Column, y: Column, z: Column) -> Column:
+    """Rows of the rotation matrix of a quaternion of any length above zero; null for one of none."""
+    n = F.sqrt(w * w + x * x + y * y + z * z)
+    w, x, y, z = (F.when(n > 0, c / F.when(n > 0, n)) for c in (w, x, y, z))
+    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+    return F.array(*[F.array(*r) for r in rows])
+
+
+def transformed(matrix: Column, point: Column) -> Column:
+    """A matrix, given by rows, times a point."""
+    return F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, point, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
 def array_mse(a: Column, b: Column) -> Column:
     """Mean squared difference of two arrays of equal length; null where lengths differ or are zero."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))

@@ -78,6 +78,32 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2 - 1
 
 
+def ranks_by_value(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with the rank from 0 of each row's value, ties sharing the mean of their ranks.
+
+    Rows are counted by value first, so that a window sees a group's different values
+    and not its rows.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn(name, before + (F.col("__n") - 1) / 2).drop("__n")
+    return df.join(ranks, [*by, value])
+
+
+def top_agreement(df: DataFrame, by: Sequence[str], key: str, predicted: str, actual: str, k: int) -> DataFrame:
+    """by, top_hit and recall: is the first by prediction among the best in fact, and which share of the k best in fact, ties included, is among the k best predicted, ties included."""
+    w = Window.partitionBy(*by)
+    place = lambda c: F.rank().over(w.orderBy(F.col(c).desc()))
+    ranked = df.select(*by, place(predicted).alias("__p"), place(actual).alias("__a"), F.row_number().over(w.orderBy(F.col(predicted).desc(), key)).alias("__k"))
+    hit = F.max(((F.col("__k") == 1) & (F.col("__a") == 1)).cast("int"))
+    return ranked.groupBy(*by).agg(hit.alias("top_hit"), (F.count_if((F.col("__a") <= k) & (F.col("__p") <= k)) / F.count_if(F.col("__a") <= k)).alias("recall"))
+
+
+def share_of_total(value: str, by: Sequence[str]) -> Column:
+    """A row's part of its group's sum; 0 where the sum is 0."""
+    return F.coalesce(F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*by)), F.lit(0.0)), F.lit(0.0))
+
+
 def ranking_agreement(df: DataFrame, by: Sequence[str], predicted: str, actual: str) -> DataFrame:
     """mae, rmse, bias and Spearman correlation (average ranks) of two columns, by group."""
     e = F.col(predicted) - F.col(actual)

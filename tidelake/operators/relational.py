@@ -48,17 +48,61 @@ def dedup_counted(df: DataFrame, key: Sequence[str], keep: str, name: str = "n")
 def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """(ancestor, node, depth) of all pairs that edges lead to; the least depth, self pairs of cycles left out.
 
-    Paths double in each round, so rounds follow the logarithm of the longest path.
+    Paths double in each round, so rounds follow the logarithm of the longest path;
+    only paths found in the last round are led on. Parents may be of any type that
+    can be compared, structs too.
     """
-    step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().withColumn("depth", F.lit(1))
-    done = step.checkpoint()
-    count = done.count()
-    while True:
-        longer = done.alias("x").join(done.alias("y"), F.col("x.node") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.node").alias("node"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        done = done.unionByName(longer.where("ancestor != node")).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")).checkpoint()
-        if (now := done.count()) == count:
-            return done
-        count = now
+    new = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().withColumn("depth", F.lit(1)).checkpoint()
+    done = new
+    while not new.isEmpty():
+        longer = new.alias("x").join(done.alias("y"), F.col("x.node") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.node").alias("node"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
+        least = longer.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        known = done.select(F.col("ancestor").alias("__a"), F.col("node").alias("__n"))
+        new = least.join(known, (F.col("ancestor") == F.col("__a")) & (F.col("node") == F.col("__n")), "left_anti").select("ancestor", "node", "depth").checkpoint()
+        done = done.unionByName(new).checkpoint()
+    return done.where("ancestor != node")
+
+
+def shared_prefix(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """by, n_a, n_b, shared: how many first rows of two runs agree, row by row in order, nulls being equal; runs may differ in length."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    side = lambda df, s: df.select(*by, F.row_number().over(w).alias("__k"), F.struct(value).alias(s))
+    both = side(a, "__a").join(side(b, "__b"), [*by, "__k"], "full")
+    differ = F.min(F.when(~F.coalesce(F.col("__a").eqNullSafe(F.col("__b")), F.lit(False)), F.col("__k")))
+    sums = both.groupBy(*by).agg(F.count("__a").alias("n_a"), F.count("__b").alias("n_b"), differ.alias("__d"))
+    return sums.select(*by, "n_a", "n_b", F.coalesce(F.col("__d") - 1, F.col("n_a")).cast("long").alias("shared"))
+
+
+def zipped(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows of a with the value of b's row of the same place, of groups that have as many rows on both sides; others are left out."""
+    w = Window.partitionBy(*by)
+    numbered = lambda df: df.withColumns({"__k": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
+    mate = numbered(b).select(*by, "__k", "__n", F.col(value).alias(name))
+    return numbered(a).join(mate, [*by, "__k", "__n"]).drop("__k", "__n")
+
+
+def inverse_distance(near: DataFrame, items: DataFrame, item_id: str, value: str, name: str) -> DataFrame:
+    """query and the mean of its near items' values, weighted by 1 / distance^2; at distance 0 the mean of those items alone. near as of nearest()."""
+    known = near.join(items.select(F.col(item_id).alias("item"), F.col(value).alias("__v")), "item")
+    at = F.avg(F.when(F.col("distance") == 0, F.col("__v")))
+    w = F.when(F.col("distance") > 0, 1 / (F.col("distance") * F.col("distance")))
+    return known.groupBy("query").agg(F.coalesce(at, F.sum(w * F.col("__v")) / F.sum(w)).alias(name))
+
+
+def bracket(axis: DataFrame, points: DataFrame, at: str, period: float | None = None) -> DataFrame:
+    """points with lo, hi and w: the axis values on both sides and the share of hi; clipped at the ends, or going round where the axis has a period.
+
+    axis has one column of few distinct values; it goes to every task as one array.
+    """
+    known = axis.select(F.col(axis.columns[0]).cast("double").alias("v")).distinct().agg(F.array_sort(F.collect_set("v")).alias("__axis"))
+    both = points.join(F.broadcast(known))  # one row
+    x = F.pmod(F.col(at).cast("double"), F.lit(period)) if period else F.col(at).cast("double")
+    below, above = F.array_max(F.filter("__axis", lambda v: v <= x)), F.array_min(F.filter("__axis", lambda v: v > x))
+    first, last = F.array_min("__axis"), F.array_max("__axis")
+    lo, hi = F.coalesce(below, last if period else first), F.coalesce(above, first if period else last)
+    gap = F.pmod(hi - lo, F.lit(period)) if period else hi - lo
+    part = F.pmod(x - lo, F.lit(period)) if period else x - lo
+    return both.withColumns({"lo": lo, "hi": hi, "w": F.when(gap > 0, F.greatest(part, F.lit(0.0)) / F.when(gap > 0, gap)).otherwise(0.0)}).drop("__axis")
 
 
 def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, blocks: int = 8) -> DataFrame:

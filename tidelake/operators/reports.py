@@ -65,6 +65,23 @@ def coverage_faults(df: DataFrame, by: Sequence[str], start: str, end: str) -> D
     return df.withColumn("kind", kind).where("kind is not null").select(*by, start, "kind")
 
 
+def restricted(df: DataFrame, by: Sequence[str], rank: str, allowed: DataFrame) -> DataFrame:
+    """Rows whose rank is allowed, of groups whose base, the least rank, is; allowed has the one column `rank`."""
+    least = df.groupBy(*by).agg(F.min(rank).alias(rank)).join(allowed, rank, "left_semi")
+    return df.join(allowed, rank, "left_semi").join(least.select(*by), list(by), "left_semi")
+
+
+def package_faults(members: DataFrame, sources: DataFrame, source: str, place: str) -> DataFrame:
+    """rule and key of what an index breaks: keys (source, place) that repeat, members without a source, sources without members, places that do not add up to those from 1 on."""
+    row = lambda df, rule, *key: df.select(F.lit(rule).alias("rule"), F.concat_ws(":", *key).alias("key"))
+    sums = members.groupBy(source).agg(F.sum(place).alias("__s"), F.count("*").alias("__n"))
+    twice = members.groupBy(source, place).agg(F.count("*").alias("__n")).where("__n > 1")
+    out = row(twice, "repeated key", source, place)
+    out = out.unionByName(row(sums.join(sources, source, "left_anti"), "no source", source))
+    out = out.unionByName(row(sources.join(members, source, "left_anti"), "not covered", source))
+    return out.unionByName(row(sums.where("__s != __n * (__n + 1) / 2"), "offset sum", source))
+
+
 def synthetic_cases(spark: SparkSession, n: int, items: int, seed: int) -> DataFrame:
     """case, item, weight of a generated workload: hashes of (seed, case, item), so that more cases leave the first as they are."""
     unit = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1_000_003)) / 1_000_003.0

@@ -91,110 +91,165 @@ def solve(costs: np.ndarray, utilities: np.ndarray, budget: int, step: int) -> t
     return "optimal", float(value[0, room]), int(sum(costs[k, c] for k, c in enumerate(chosen))), chosen
 
 
+def fronts(costs: np.ndarray, utilities: np.ndarray, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the items from each number on: the spendings that no cheaper one beats, rising, and the most utility of each.
+
+    Spendings that leave too little for the cheapest choices of the items before are
+    left out. There are no bins, so memory follows the spendings and not the budget.
+    """
+    before = np.concatenate([[0], np.cumsum(np.nanmin(costs, 1))]) if len(costs) else np.zeros(1)
+    out = [(np.zeros(1, np.int64), np.zeros(1))]
+    for k in range(len(costs) - 1, -1, -1):
+        spent, gain = out[-1]
+        can = np.flatnonzero(np.isfinite(costs[k]))
+        total = (costs[k, can].astype(np.int64)[:, None] + spent).ravel()
+        value = (utilities[k, can][:, None] + gain).ravel()
+        order = np.lexsort((-value, total))
+        order = order[total[order] <= budget - before[k]]
+        top = np.maximum.accumulate(value[order])
+        rises = np.diff(top, prepend=-np.inf) > 0
+        out.append((total[order][rises], value[order][rises]))
+    return out[::-1]
+
+
+def solve_by_fronts(costs: np.ndarray, utilities: np.ndarray, step: int, budget: int) -> tuple[str, float | None, int | None, list[int] | None]:
+    """What solve() gives, by fronts of spendings in bins: for budgets of very many bins."""
+    if len(costs) and np.nanmin(costs, 1).sum() > budget:
+        return "infeasible", None, None, None
+    bins, left = np.ceil(costs / step), int(budget // step)
+    suffix = fronts(bins, utilities, left)
+    if not len(suffix[0][0]):
+        return "rounded_infeasible", None, None, None
+    need, chosen = suffix[0][1][-1], []
+    for k in range(len(costs)):
+        spent, gain = suffix[k + 1]
+        for c in range(costs.shape[1]):
+            at = np.searchsorted(spent, left - bins[k, c], "right") - 1 if np.isfinite(bins[k, c]) else -1
+            if at >= 0 and utilities[k, c] + gain[at] == need:
+                need, left = gain[at], left - int(bins[k, c])
+                chosen.append(c)
+                break
+    return "optimal", float(suffix[0][1][-1]), int(sum(costs[k, c] for k, c in enumerate(chosen))), chosen
+
+
+def solve_exact_bytes(costs: np.ndarray, utilities: np.ndarray, budget: int) -> tuple[str, float | None, int | None, list[int] | None]:
+    """Exact optimum over unrounded costs. Of equal utilities the cheaper wins, then the smaller first choices."""
+    suffix = fronts(costs, utilities, budget)
+    if not len(suffix[0][0]):
+        return "infeasible", None, None, None
+    left, need, chosen = int(suffix[0][0][-1]), suffix[0][1][-1], []
+    spent_in_all, best = left, float(need)
+    for k in range(len(costs)):
+        spent, gain = suffix[k + 1]
+        for c in np.flatnonzero(np.isfinite(costs[k])).tolist():
+            at = int(np.searchsorted(spent, left - int(costs[k, c])))
+            if at < len(spent) and spent[at] == left - int(costs[k, c]) and utilities[k, c] + gain[at] == need:
+                left, need = int(spent[at]), gain[at]
+                chosen.append(c)
+                break
+    return "optimal", best, spent_in_all, chosen
+
+
 def select_within_budget(choices: DataFrame, case: str, item: str, choice: str, cost: str, utility: str, budget: str, step: int = 1, max_cells: int = 50_000_000) -> DataFrame:
     """case and SELECTED: the best choice (from 0) of each item, items by order.
 
-    Cases of more than max_cells items times bins get the status skipped, never a
-    wrong answer.
+    Cases of more than max_cells items times bins are solved by fronts of spendings
+    instead of a table, with the same result.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         key, room = rows[case].iloc[0], int(rows[budget].iloc[0])
         wide_cost = rows.pivot_table(index=item, columns=choice, values=cost, aggfunc="first")
         wide_gain = rows.pivot_table(index=item, columns=choice, values=utility, aggfunc="first").reindex_like(wide_cost)
-        if len(wide_cost) * (room // step + 1) > max_cells:
-            status, gain, spent, chosen = "skipped", None, None, None
-        else:
-            status, gain, spent, chosen = solve(wide_cost.to_numpy(float), wide_gain.to_numpy(float), room, step)
+        costs, gains = wide_cost.to_numpy(float), wide_gain.to_numpy(float)
+        large = len(wide_cost) * (room // step + 1) > max_cells
+        status, gain, spent, chosen = solve_by_fronts(costs, gains, step, room) if large else solve(costs, gains, room, step)
         return pd.DataFrame({case: [key], "status": pd.Series([status], dtype=object), "utility": [gain], "cost": pd.array([spent], "Int64"), "selection": [chosen]})
 
     kind = dict(choices.dtypes)[case]
     return choices.select(case, item, choice, cost, utility, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {SELECTED}")
 
 
-def solve_exact_bytes(costs: np.ndarray, utilities: np.ndarray, budget: int, max_states: int = 200_000) -> tuple[str, float | None, int | None, list[int] | None]:
-    """Exact optimum over unrounded costs: after each item only spendings that no cheaper one beats are kept.
+Spendings = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
-    Of equal utilities the cheaper wins, then the smaller first choices. More than
-    max_states spendings end it with the status skipped.
+def undominated(spent: np.ndarray, gain: np.ndarray, path: np.ndarray) -> Spendings:
+    """The rows that none of at most their spending equals in gain; of equal rows the first in order of path."""
+    order = np.lexsort((*path.T[::-1], -gain, spent))
+    order = order[np.diff(np.maximum.accumulate(gain[order]), prepend=-np.inf) > 0]
+    return spent[order], gain[order], path[order]
+
+
+def solve_shared(own: np.ndarray, utilities: np.ndarray, wants: list[list[int]], sizes: list[int], budget: int) -> tuple[str, float | None, int | None, list[int] | None]:
+    """Exact optimum where choices also want shared resources, each paid for once.
+
+    own: [items, choices] bytes that no other item wants, nan where there is no choice;
+    wants: a bit for each shared resource. What later choices cost depends on the past
+    only by what is paid already, so spendings are compared among equal sets of paid
+    resources. Of equal utilities the cheaper wins, then the smaller first choices.
     """
-    states = {0: (0.0, ())}
-    for k in range(len(costs)):
-        grown: dict[int, tuple[float, tuple]] = {}
-        for spent, (gain, chosen) in states.items():
-            for c in range(costs.shape[1]):
-                if np.isfinite(costs[k, c]) and (total := spent + int(costs[k, c])) <= budget:
-                    option = (gain + float(utilities[k, c]), (*chosen, c))
-                    if total not in grown or (-option[0], option[1]) < (-grown[total][0], grown[total][1]):
-                        grown[total] = option
-        states, top = {}, -np.inf
-        for spent in sorted(grown):
-            if grown[spent][0] > top:
-                states[spent], top = grown[spent], grown[spent][0]
-        if len(states) > max_states:
-            return "skipped", None, None, None
-    if not states:
+    items = len(own)
+    rest = np.append(np.cumsum(np.nanmin(own, 1)[::-1])[::-1], 0) if items else np.zeros(1)
+    paid: dict[int, Spendings] = {0: (np.zeros(1, np.int64), np.zeros(1), np.zeros((1, 0), np.int16))}
+    for k in range(items):
+        grown: dict[int, list[Spendings]] = {}
+        for had, (spent, gain, path) in paid.items():
+            for c in np.flatnonzero(np.isfinite(own[k])).tolist():
+                more = wants[k][c] & ~had
+                total = spent + int(own[k, c]) + sum(size for j, size in enumerate(sizes) if more >> j & 1)
+                fits = total <= budget - rest[k + 1]
+                if fits.any():
+                    grown.setdefault(had | more, []).append((total[fits], gain[fits] + utilities[k, c], np.column_stack([path[fits], np.full(fits.sum(), c, np.int16)])))
+        paid = {now: undominated(*map(np.concatenate, zip(*parts, strict=True))) for now, parts in grown.items()}
+    ends = [(-float(gain[-1]), int(spent[-1]), path[-1].tolist()) for spent, gain, path in paid.values()]
+    if not ends:
         return "infeasible", None, None, None
-    spent = max(states, key=lambda b: (states[b][0], -b))
-    return "optimal", states[spent][0], spent, list(states[spent][1])
+    loss, spent, chosen = min(ends)
+    return "optimal", -loss, spent, chosen
 
 
-def select_with_shared_resources(choices: DataFrame, case: str, item: str, choice: str, utility: str, resources: str, budget: str, max_shared: int = 12) -> DataFrame:
+def select_with_shared_resources(choices: DataFrame, case: str, item: str, choice: str, utility: str, resources: str, budget: str) -> DataFrame:
     """case and SELECTED where choices cost the distinct bytes of their resources, and resources may be shared.
 
-    resources is an array of structs (id, bytes). Resources that different items may
-    want, grouped by which choices want them, are paid for or not: for each pattern of
-    payments the rest is a knapsack over own bytes. More than max_shared groups in a
-    case give the status skipped.
+    resources is an array of structs (id, bytes). Resources that several items may
+    want count as one where the same choices want them; see solve_shared().
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         key, room = rows[case].iloc[0], int(rows[budget].iloc[0])
-        items, width = sorted(rows[item].unique()), int(rows[choice].max()) + 1
-        wants: dict[str, set] = {}
-        size: dict[str, int] = {}
-        for i, c, own in zip(rows[item], rows[choice], rows[resources], strict=True):
+        place = {i: k for k, i in enumerate(sorted(rows[item].unique()))}
+        each = [(place[i], int(c), float(u), {r["id"]: int(r["bytes"]) for r in own}) for i, c, u, own in zip(rows[item], rows[choice], rows[utility], rows[resources], strict=True)]
+        wanted: dict[str, set] = {}
+        for i, c, _, own in each:
             for r in own:
-                wants.setdefault(r["id"], set()).add((i, c))
-                size[r["id"]] = int(r["bytes"])
-        groups: dict[frozenset, int] = {}
-        for r, w in wants.items():
-            if len({i for i, _ in w}) > 1:
-                groups[frozenset(w)] = groups.get(frozenset(w), 0) + size[r]
-        shared = sorted(groups.items(), key=lambda g: (sorted(g[0]), g[1]))
-        gain = np.full((len(items), width), np.nan)
-        private = np.full((len(items), width), np.nan)
-        for i, c, u, own in zip(rows[item], rows[choice], rows[utility], rows[resources], strict=True):
-            gain[items.index(i), c] = u
-            private[items.index(i), c] = sum(size[r] for r in {r["id"] for r in own} if len({x for x, _ in wants[r]}) == 1)
-        best = ("infeasible", None, None, None)
-        if len(shared) > max_shared:
-            best = ("skipped", None, None, None)
-        else:
-            for pattern in range(1 << len(shared)):
-                paid = sum(b for k, (_, b) in enumerate(shared) if pattern >> k & 1)
-                cost = private.copy()
-                for k, (w, _) in enumerate(shared):
-                    if not pattern >> k & 1:
-                        for i, c in w:
-                            cost[items.index(i), c] = np.nan
-                if paid > room or np.isnan(cost).all(1).any():
-                    continue
-                status, u, spent, chosen = solve_exact_bytes(cost, gain, room - paid)
-                if status == "optimal" and (best[1] is None or (-u, spent + paid, chosen) < (-best[1], best[2], best[3])):
-                    best = (status, u, spent + paid, chosen)
-        return pd.DataFrame({case: [key], "status": pd.Series([best[0]], dtype=object), "utility": [best[1]], "cost": pd.array([best[2]], "Int64"), "selection": [best[3]]})
+                wanted.setdefault(r, set()).add((i, c))
+        alike: dict[frozenset, int] = {}
+        for r, size in {r: n for *_, own in each for r, n in own.items()}.items():
+            if len({i for i, _ in wanted[r]}) > 1:
+                alike[frozenset(wanted[r])] = alike.get(frozenset(wanted[r]), 0) + size
+        width = max(c for _, c, *_ in each) + 1
+        gain, private = np.full((len(place), width), np.nan), np.full((len(place), width), np.nan)
+        bits = [[0] * width for _ in place]
+        for i, c, u, own in each:
+            gain[i, c], private[i, c] = u, sum(n for r, n in own.items() if len({x for x, _ in wanted[r]}) == 1)
+            bits[i][c] = sum(1 << k for k, w in enumerate(alike) if (i, c) in w)
+        status, best, spent, chosen = solve_shared(private, gain, bits, list(alike.values()), room)
+        return pd.DataFrame({case: [key], "status": pd.Series([status], dtype=object), "utility": [best], "cost": pd.array([spent], "Int64"), "selection": [chosen]})
 
     kind = dict(choices.dtypes)[case]
     return choices.select(case, item, choice, utility, resources, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {SELECTED}")
 
 
-def enumerate_allocations(choices: DataFrame, case: str, item: str, choice: str, cost: str, utility: str, budget: str, items: int) -> DataFrame:
-    """case, utility, cost, selection of the best allocation by enumeration, for cases of exactly `items` few items: the oracle of small cases."""
-    numbered = choices.withColumn("__i", F.dense_rank().over(Window.partitionBy(case).orderBy(item)))
-    out = numbered.where("__i = 1").select(case, budget, F.col(cost).alias("__c"), F.col(utility).alias("__u"), F.array(choice).alias("selection"))
-    for k in range(2, items + 1):
+def enumerate_allocations(choices: DataFrame, case: str, item: str, choice: str, cost: str, utility: str, budget: str, most: int) -> DataFrame:
+    """case, utility, cost, selection of the best allocation by enumeration, for cases of at most `most` few items: the oracle of small cases."""
+    w = Window.partitionBy(case)
+    numbered = choices.withColumn("__i", F.dense_rank().over(w.orderBy(item))).withColumn("__n", F.max("__i").over(w))
+    row = [F.col(cost).alias("__c"), F.col(utility).alias("__u")]
+    level = numbered.where("__i = 1").select(case, budget, "__n", *row, F.array(choice).alias("selection"))
+    done = level.where("__n = 1")
+    for k in range(2, most + 1):
         nxt = numbered.where(F.col("__i") == k).select(case, F.col(cost).alias("__c2"), F.col(utility).alias("__u2"), F.col(choice).alias("__k2"))
-        out = out.join(nxt, case).select(case, budget, (F.col("__c") + F.col("__c2")).alias("__c"), (F.col("__u") + F.col("__u2")).alias("__u"), F.concat("selection", F.array("__k2")).alias("selection"))
-    best = F.row_number().over(Window.partitionBy(case).orderBy(F.col("__u").desc(), "selection"))
-    return out.where(F.col("__c") <= F.col(budget)).withColumn("__k", best).where("__k = 1").select(case, F.col("__u").alias("utility"), F.col("__c").alias("cost"), "selection")
+        level = level.join(nxt, case).select(case, budget, "__n", (F.col("__c") + F.col("__c2")).alias("__c"), (F.col("__u") + F.col("__u2")).alias("__u"), F.concat("selection", F.array("__k2")).alias("selection"))
+        done = done.unionByName(level.where(F.col("__n") == k))
+    best = F.row_number().over(w.orderBy(F.col("__u").desc(), "selection"))
+    return done.where(F.col("__c") <= F.col(budget)).withColumn("__k", best).where("__k = 1").select(case, F.col("__u").alias("utility"), F.col("__c").alias("cost"), "selection")

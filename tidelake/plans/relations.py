@@ -26,11 +26,11 @@ def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(where, "l_suppkey").select("l_partkey", "l_suppkey", "n_name", "quantity")
 
 
-@query("SELECT c_custkey, 'no order' AS missing FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT p_partkey, 'never sold' FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("SELECT doc_id AS key, 'no label' AS missing FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) UNION ALL SELECT p_partkey, 'never sold' FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
 def missing_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders and parts never sold."""
-    a = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", F.lit("no order").alias("missing"))
-    b = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select(F.col("p_partkey").alias("c_custkey"), F.lit("never sold").alias("missing"))
+    """Documents without labels and parts never sold."""
+    a = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("key"), F.lit("no label").alias("missing"))
+    b = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select(F.col("p_partkey").alias("key"), F.lit("never sold").alias("missing"))
     return a.unionByName(b)
 
 
@@ -75,13 +75,15 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query", "item", "rank", F.round("distance", 4).alias("distance"))
 
 
-@query("WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS c, conv_id * 1000 + turn - 1 AS p FROM conversations WHERE turn > 0), t AS (SELECT p AS ancestor, c AS node, 1 AS depth FROM e WHERE p IN (SELECT conv_id * 1000 + turn FROM conversations) UNION SELECT t.ancestor, e.c, t.depth + 1 FROM t JOIN e ON e.p = t.node) SELECT ancestor, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY ALL")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c.conv_id, c.turn - 1 AS p, c.turn AS c FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1), t AS (SELECT conv_id, p AS ancestor, c AS node, 1 AS depth FROM e UNION SELECT t.conv_id, t.ancestor, e.c, t.depth + 1 FROM t JOIN e ON e.conv_id = t.conv_id AND e.p = t.node) SELECT conv_id, ancestor, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY ALL")
 def reply_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns that each turn of a conversation leads to."""
     ensure_checkpoint_dir(spark)
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"))
-    edges = c.select((F.col("node") - 1).alias("parent"), "node").join(c.select(F.col("node").alias("parent")), "parent", "left_semi")
-    return r.closure(edges, "parent", "node")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    parent = c.select("conv_id", (F.col("turn") + 1).alias("turn"))
+    edges = c.join(parent, ["conv_id", "turn"], "left_semi").select(F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"), F.struct("conv_id", "turn").alias("node"))
+    out = r.closure(edges, "parent", "node")
+    return out.select("ancestor.conv_id", F.col("ancestor.turn").alias("ancestor"), F.col("node.turn").alias("node"), "depth")
 
 
 @query("SELECT conv_id, turn, role FROM conversations a WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.role <> a.role)")
@@ -136,9 +138,9 @@ def fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.fair_share(c, ["c_nationkey"], "c_custkey", "d", 20000.0).select("c_nationkey", "c_custkey", F.round("granted", 4).alias("granted"))
 
 
-@query("SELECT c_custkey AS id, c_name AS name, -1 AS size FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_size = 50")
+@query("SELECT c_custkey AS id, c_name AS name, -1 AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size FROM part")
 def heterogeneous_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two shapes under the union of their columns."""
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    b = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
     return a.unionByName(b, allowMissingColumns=True).fillna(-1, ["size"])

@@ -166,26 +166,27 @@ def expected_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("expected", expected).where("role != expected").select("conv_id", "turn", "role", "expected")
 
 
-@query("SELECT k AS segment, c_custkey FROM range(0, 4) r(k), customer WHERE c_custkey <= 100 AND (c_custkey + k) % 4 <> 0")
+@query("SELECT k AS segment, c_custkey FROM range(0, 4) r(k), customer WHERE (c_custkey + k) % 4 <> 0")
 def bound_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows repeated for every segment of a timeline that they are on."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey <= 100").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("segment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("segment"))
     return rows.where((F.col("c_custkey") + F.col("segment")) % 4 != 0).select("segment", "c_custkey")
 
 
-@query("SELECT o_custkey, count(*) AS steps, round(sum(media), 2) AS media_s FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, o_totalprice / 1000 AS media FROM orders) WHERE k <= 5 GROUP BY o_custkey")
+@query("""WITH wanted AS (SELECT o_custkey, l_partkey, min(o_orderdate) AS first, min(o_orderkey) AS key, max(l_quantity) AS size FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey),
+held AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY first, key, l_partkey ROWS UNBOUNDED PRECEDING) AS used FROM wanted) SELECT o_custkey, count(*) AS admitted, round(sum(size), 2) AS used FROM held WHERE used <= 200 GROUP BY o_custkey""")
 def prefetch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next five steps of each customer and what they hold."""
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    steps = table(spark, sf_dir, "orders").withColumn("k", k).where("k <= 5")
-    return steps.groupBy("o_custkey").agg(F.count("*").alias("steps"), F.round(F.sum(F.col("o_totalprice") / 1000), 2).alias("media_s"))
+    """Parts that each customer will want, each once and in order of the first order for it, as long as a capacity of 200 lasts."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    wanted = joined.groupBy("o_custkey", "l_partkey").agg(F.min("o_orderdate").alias("first"), F.min("o_orderkey").alias("key"), F.max("l_quantity").alias("size"))
+    used = F.sum("size").over(Window.partitionBy("o_custkey").orderBy("first", "key", "l_partkey").rowsBetween(Window.unboundedPreceding, 0))
+    return wanted.withColumn("used", used).where("used <= 200").groupBy("o_custkey").agg(F.count("*").alias("admitted"), F.round(F.sum("size"), 2).alias("used"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 = 0 EXCEPT ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT l_partkey AS key FROM lineitem EXCEPT ALL SELECT p_partkey FROM part")
 def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded rows that a second run does not give."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return c.where("c_custkey % 5 = 0").exceptAll(c.where("c_custkey % 10 = 0"))
+    """Recorded rows that a second run does not give as often: sales of each part beyond the first."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")).exceptAll(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
 
 
 @query("SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN 'override' ELSE 'default' END AS chosen FROM part")

@@ -10,20 +10,27 @@ from tidelake.registry import query
 from tidelake.sources.tables import table
 
 _CHOICES = """(SELECT n_regionkey AS region, n_nationkey AS nation, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY m) - 1 AS INTEGER) AS choice, cost, utility FROM
-(SELECT n_regionkey, n_nationkey, c_mktsegment AS m, count(*) AS cost, CAST(round(sum(c_acctbal)) AS DOUBLE) AS utility FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING' AND n_nationkey < 15 GROUP BY ALL))"""
+(SELECT n_regionkey, n_nationkey, c_mktsegment AS m, count(*) AS cost, CAST(round(sum(c_acctbal)) AS DOUBLE) AS utility FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL))"""
 _BUDGETS = f"(SELECT region, CAST(sum(lo) + floor((sum(hi) - sum(lo)) * 0.5) AS BIGINT) AS budget FROM (SELECT region, nation, min(cost) AS lo, max(cost) AS hi FROM {_CHOICES} GROUP BY ALL) GROUP BY region)"
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four segments of each nation as choices: customers as cost, balance as utility; regions are the cases."""
-    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").where("n_nationkey < 15"), F.col("n_nationkey") == F.col("c_nationkey")).where("c_mktsegment <> 'BUILDING'")
+    """Segments of each nation as choices: customers as cost, balance as utility; regions are the cases."""
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     sums = joined.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), "c_mktsegment").agg(F.count("*").alias("cost"), F.round(F.sum("c_acctbal")).alias("utility"))
     return sums.withColumn("choice", F.row_number().over(Window.partitionBy("nation").orderBy("c_mktsegment")) - 1).drop("c_mktsegment")
 
 
-_VECTORS = f"""(SELECT region, utility, cost, selection FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY utility DESC, selection) AS k FROM
-(SELECT a.region, a.utility + b.utility + c.utility AS utility, a.cost + b.cost + c.cost AS cost, [a.choice, b.choice, c.choice] AS selection FROM ranked a JOIN ranked b ON a.region = b.region AND a.i = 1 AND b.i = 2 JOIN ranked c ON c.region = a.region AND c.i = 3) JOIN {_BUDGETS} USING (region) WHERE cost <= budget) WHERE k = 1)"""
-_SELECT = f"WITH ranked AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY nation) AS i FROM {_CHOICES}) SELECT region, utility, CAST(cost AS BIGINT) AS cost, array_to_string(selection, ',') AS selection FROM {_VECTORS}"
+#: Every allocation of every region, item by item.
+_WALK = f"""WITH RECURSIVE ranked AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY nation) AS i FROM {_CHOICES}),
+walk AS (SELECT region, i, cost, utility, [choice] AS selection FROM ranked WHERE i = 1 UNION ALL
+SELECT r.region, r.i, w.cost + r.cost, w.utility + r.utility, list_append(w.selection, r.choice) FROM walk w JOIN ranked r ON r.region = w.region AND r.i = w.i + 1),
+whole AS (SELECT walk.* FROM walk JOIN (SELECT region, max(i) AS i FROM ranked GROUP BY region) USING (region, i))"""
+_SELECT = f"""{_WALK} SELECT region, 'optimal' AS status, utility, CAST(cost AS BIGINT) AS cost, array_to_string(selection, ',') AS selection FROM
+(SELECT *, row_number() OVER (PARTITION BY region ORDER BY utility DESC, selection) AS k FROM whole JOIN {_BUDGETS} USING (region) WHERE cost <= budget) WHERE k = 1"""
+_SHARED = f"""{_WALK} SELECT region, 'optimal' AS status, utility, CAST(cost AS BIGINT) AS cost, array_to_string(selection, ',') AS selection FROM
+(SELECT *, row_number() OVER (PARTITION BY region ORDER BY utility DESC, cost, selection) AS k FROM (SELECT region, utility, selection, budget + 40 AS budget, cost + 40 * len(list_distinct(list_transform(selection, lambda c: c % 2))) AS cost
+FROM whole JOIN {_BUDGETS} USING (region)) WHERE cost <= budget) WHERE k = 1"""
 
 
 def _budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,24 +38,27 @@ def _budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s.budget_ladder(c, ["region"], "nation", "cost", [0.5]).select("region", "budget"), "region")
 
 
-def _three(df: DataFrame) -> DataFrame:
-    """Regions of exactly three nations, as the enumerating SQL has them."""
-    sizes = df.groupBy("region").agg(F.count_distinct("nation").alias("n")).where("n = 3")
-    return df.join(sizes.select("region"), "region")
-
-
 @query(_SELECT)
 def knapsack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One segment a nation within each region's budget, by dynamic programming."""
-    out = s.select_within_budget(_three(_budgeted(spark, sf_dir)), "region", "nation", "choice", "cost", "utility", "budget")
-    return out.where("status = 'optimal'").select("region", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+    out = s.select_within_budget(_budgeted(spark, sf_dir), "region", "nation", "choice", "cost", "utility", "budget")
+    return out.select("region", "status", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+
+
+@query(_SELECT)
+def knapsack_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by fronts of spendings, as cases with very many bins are solved."""
+    out = s.select_within_budget(_budgeted(spark, sf_dir), "region", "nation", "choice", "cost", "utility", "budget", max_cells=0)
+    return out.select("region", "status", "utility", "cost", F.array_join("selection", ",").alias("selection"))
 
 
 @query(_SELECT)
 def knapsack_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by enumeration: the oracle of small cases."""
-    out = s.enumerate_allocations(_three(_budgeted(spark, sf_dir)), "region", "nation", "choice", "cost", "utility", "budget", 3)
-    return out.select("region", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+    c = _budgeted(spark, sf_dir)
+    most = c.groupBy("region").agg(F.count_distinct("nation").alias("n")).agg(F.max("n")).first()[0] or 0
+    out = s.enumerate_allocations(c, "region", "nation", "choice", "cost", "utility", "budget", most)
+    return out.select("region", F.lit("optimal").alias("status"), "utility", "cost", F.array_join("selection", ",").alias("selection"))
 
 
 @query(f"SELECT region, f AS fraction, CAST(lo + floor((hi - lo) * f) AS BIGINT) AS budget FROM (SELECT region, sum(lo) AS lo, sum(hi) AS hi FROM (SELECT region, nation, min(cost) AS lo, max(cost) AS hi FROM {_CHOICES} GROUP BY ALL) GROUP BY region), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(f)")
@@ -103,9 +113,9 @@ def base_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("region", F.when(over > 0, "fallback").otherwise("planned").alias("status"), F.greatest(over, F.lit(0)).alias("overrun"))
 
 
-@query()
+@query(_SHARED)
 def shared_resource_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions' choices where nations of equal parity share a resource of forty customers' worth, within the budget and that once more."""
+    """Regions' choices where those of equal parity share a resource of forty customers' worth, within the budget and that once more."""
     c = _budgeted(spark, sf_dir)
     own = F.struct(F.concat_ws("-", "nation", "choice").alias("id"), F.col("cost").alias("bytes"))
     common = F.struct(F.concat(F.lit("common-"), F.col("choice") % 2).alias("id"), F.lit(40).cast("long").alias("bytes"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.plans.sequences import events
 from tidelake.registry import query
 from tidelake.sources.tables import table
 from tidelake.streaming import states
@@ -26,11 +25,18 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
-@query()
+_SEGMENTS = "(SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, 3600.0::DOUBLE AS m FROM events)"
+
+
+@query(f"""WITH a AS (SELECT *, sum(m) OVER w AS have, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) IS NULL AS final FROM {_SEGMENTS} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, coalesce(bool_or(have >= 14400 OR final) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun FROM a),
+c AS (SELECT *, CASE WHEN begun THEN t - (have - m) WHEN have >= 14400 OR final THEN t END AS lag_s FROM b),
+d AS (SELECT *, max(lag_s) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM c)
+SELECT user_id, round(min(t) FILTER (WHERE lag_s IS NOT NULL AND NOT begun), 3) AS started, round(coalesce(sum(lag_s - held) FILTER (WHERE begun AND lag_s > held + 1e-9), 0), 3) AS stalled_s, count(*) FILTER (WHERE begun AND lag_s > held + 1e-9) AS n_stalls, sum(m) AS played_s FROM d GROUP BY user_id""")
 def playback_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as segments of an hour of media each, played from a buffer of four hours."""
-    segments = events(spark, sf_dir).withColumn("media_s", F.lit(3600.0))
-    return states.playback(segments, 4 * 3600.0)
+    segments = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"), F.lit(3600.0).alias("media_s"))
+    return states.playback(segments, 4 * 3600.0).withColumns({"started": F.round("started", 3), "stalled_s": F.round("stalled_s", 3)})
 
 
 @query("SELECT event_id, coalesce(arg_max(v, ts) OVER w, '') AS held FROM (SELECT *, CASE WHEN event_type <> 'error' THEN event_type END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)".replace("coalesce(arg_max(v, ts) OVER w, '')", "coalesce(last_value(v IGNORE NULLS) OVER w, '')"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,33 +56,25 @@ def causal_estimate(events: DataFrame, last: int = 5) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, ESTIMATE, ESTIMATE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-PLAYBACK = "user_id long, started double, stalled_s double, n_stalls long, played_s double"
-
-
 def playback(segments: DataFrame, startup_s: float = 4.0) -> DataFrame:
-    """PLAYBACK of each user: a buffer that fills with each segment (t: when it is there, media_s: how long it plays) and drains in real time.
+    """user_id, started, stalled_s, n_stalls and played_s of each user: a buffer that fills with each segment (t: when it is there, media_s: how long it plays) and drains in real time.
 
     Play starts once startup_s are buffered, or with the last segment; it stalls
-    when the buffer is empty until the next segment. One pass over a user's segments
-    in order; users run in parallel.
+    when the buffer is empty until the next segment. All that is buffered has been
+    played by the sum of media so far plus the largest lag of a segment's arrival
+    behind the media before it, which is a running maximum; a segment that arrives
+    later than that ends a stall.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        buffered, started, clock, stalled, stalls, played = 0.0, None, None, 0.0, 0, 0.0
-        for k, (t, media) in enumerate(zip(rows["t"], rows["media_s"], strict=True)):
-            if started is not None:
-                passed = t - clock
-                used = min(passed, buffered)
-                buffered, played = buffered - used, played + used
-                if passed > used + 1e-9:
-                    stalled, stalls = stalled + passed - used, stalls + 1
-            buffered, clock = buffered + media, t
-            if started is None and (buffered >= startup_s or k == len(rows) - 1):
-                started = t
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "started": [started], "stalled_s": [stalled], "n_stalls": [stalls], "played_s": [played + buffered]})
-
-    return segments.select("user_id", "event_id", "t", "media_s").groupBy("user_id").applyInPandas(run, PLAYBACK)
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = segments.select("user_id", "event_id", "t", "media_s").withColumns({"have": F.sum("media_s").over(w.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lead("t").over(w).isNull()})
+    marks = sums.withColumn("ready", (F.col("have") >= startup_s) | F.col("last"))
+    begun = marks.withColumn("begun", F.coalesce(F.max("ready").over(past), F.lit(False)))
+    lag = F.when(F.col("begun"), F.col("t") - (F.col("have") - F.col("media_s"))).when(F.col("ready"), F.col("t"))
+    known = begun.withColumn("lag", lag).withColumn("held", F.max("lag").over(past))
+    stall = F.when(F.col("begun") & (F.col("lag") > F.col("held") + 1e-9), F.col("lag") - F.col("held"))
+    start = F.min(F.when(F.col("ready") & ~F.col("begun"), F.col("t")))
+    return known.withColumn("stall", stall).groupBy("user_id").agg(start.alias("started"), F.coalesce(F.sum("stall"), F.lit(0.0)).alias("stalled_s"), F.count("stall").alias("n_stalls"), F.sum("media_s").alias("played_s"))
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
