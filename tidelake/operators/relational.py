@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.storage import Scratch, ensure_checkpoint_dir
+
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequence[str], missing: str = "reason") -> DataFrame:
     """Left rows with a right row's values; where there is none, nulls and the reason "not found". Right keys are unique."""
@@ -52,15 +54,15 @@ def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
     only paths found in the last round are led on. Parents may be of any type that
     can be compared, structs too.
     """
-    new = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().withColumn("depth", F.lit(1)).checkpoint()
-    done = new
-    while not new.isEmpty():
-        longer = new.alias("x").join(done.alias("y"), F.col("x.node") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.node").alias("node"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        least = longer.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
-        known = done.select(F.col("ancestor").alias("__a"), F.col("node").alias("__n"))
-        new = least.join(known, (F.col("ancestor") == F.col("__a")) & (F.col("node") == F.col("__n")), "left_anti").select("ancestor", "node", "depth").checkpoint()
-        done = done.unionByName(new).checkpoint()
-    return done.where("ancestor != node")
+    ensure_checkpoint_dir(edges.sparkSession)
+    with Scratch(edges.sparkSession) as scratch:
+        new = scratch.store(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().withColumn("depth", F.lit(1)))
+        done = new
+        while not new.isEmpty():
+            longer = new.alias("x").join(done.alias("y"), F.col("x.node") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.node").alias("node"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
+            new = scratch.store(longer.groupBy("ancestor", "node").agg(F.min("depth").alias("depth")).join(done.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
+            done = scratch.store(done.unionByName(new))
+        return done.checkpoint().where("ancestor != node")
 
 
 def shared_prefix(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators import relational as r
-from tidelake.operators.storage import ensure_checkpoint_dir
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -78,7 +77,6 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT DISTINCT c.conv_id, c.turn - 1 AS p, c.turn AS c FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1), t AS (SELECT conv_id, p AS ancestor, c AS node, 1 AS depth FROM e UNION SELECT t.conv_id, t.ancestor, e.c, t.depth + 1 FROM t JOIN e ON e.conv_id = t.conv_id AND e.p = t.node) SELECT conv_id, ancestor, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY ALL")
 def reply_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns that each turn of a conversation leads to."""
-    ensure_checkpoint_dir(spark)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     parent = c.select("conv_id", (F.col("turn") + 1).alias("turn"))
     edges = c.join(parent, ["conv_id", "turn"], "left_semi").select(F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent"), F.struct("conv_id", "turn").alias("node"))
