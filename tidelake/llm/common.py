@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.operators.storage import Scratch, ensure_checkpoint_dir, shared_folder
+
+__all__ = ["SEPARATORS", "Scratch", "bounded_batches", "ensure_checkpoint_dir", "keyed_text", "let", "parts_by_size", "shared_folder", "table"]
+
 #: Between words: space and the control characters 9 to 13.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -42,53 +44,3 @@ def parts_by_size(batch: pd.DataFrame, text: str = "text", chars: int = 2 << 20)
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chars, "right")))
         yield batch.iloc[a:b]
         a = b
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the cluster shares; where that is unset, a new one on a single machine only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() writes to the folder that the cluster shares."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors; each goes when nothing reads it any more."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        self.paths: list[tuple[DataFrame, str]] = []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.remove(self.folder)
-
-    def remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def store(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths.append((out, path))
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for out, path in self.paths:
-            if any(out is f for f in frames):
-                self.remove(path)
