@@ -8,13 +8,13 @@ takes them for copies of each other.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm import decontam, minhash, mixing, pii, toxicity
+from tidelake.operators.storage import Scratch, ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,13 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's result is written to the shared checkpoint folder and read again."""
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = shared.get() if shared.isDefined() else spark.conf.get("spark.checkpoint.dir", "spark-checkpoints")
-    name = f"pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{name}-{k}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """STAGES over documents; each stage's result is written to the shared folder and read again, and goes once the next is written."""
+    ensure_checkpoint_dir(spark)
+    with Scratch(spark) as scratch:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for _, stage in STAGES:
+            before, docs = docs, scratch.store(stage(spark, docs, sf_dir))
+            scratch.drop(before)
+        return docs.checkpoint()
