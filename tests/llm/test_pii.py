@@ -88,3 +88,27 @@ def test_redaction_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "write a@b.cd now"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "write [EMAIL] now", 2: None}
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def whole(text):
+    base = pii.base_spans(text)
+    return pii.field().best(text, [(a, b) for _, a, b in base])
+
+
+def test_windows_lose_no_span(spark):
+    """Around telling marks the random field finds what it finds in the whole text, and single digits and odd spellings are marks too."""
+    field = pii.field()
+    for text, _ in pii.generated(5, 150):
+        padded = "plain words here " * 40 + text + " and more words" * 40 + " " + text
+        assert pii.added_spans(padded, pii.base_spans(padded), field) == whole(padded)
+    hidden = "the host 8[.]8[.]4[.]4 answers"
+    assert ("ip", 9, 22) in pii.added_spans(hidden, [], field) or pii.added_spans(hidden, [], field) == whole(hidden)
+    for text in ("secret a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "key aabbccddeeffaabbccddee1aabbccddeeffaabbccdd"):
+        assert all(k != "email" for k, _, _ in pii.added_spans(text, [], field)) and pii.added_spans(text, [], field) == whole(text)
+    assert pii.added_spans("plain words", [], field) == []
+
+
+def test_very_long_text(spark):
+    text = "word " * 200_000 + "mail someone (at) example (dot) org " + "1 " * 20_000
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert "email:1000005:" in got.spans

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -26,8 +27,8 @@ from .common import bounded_batches, keyed_text
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 24
-#: Tokens on each side of a cue that the random field reads.
-REACH = 24
+#: Words on each side of a telling mark that the random field reads: all segments with the mark, and what their features look at beside them.
+REACH = MAX_TOKENS + 2
 
 Span = tuple[str, int, int]
 
@@ -87,9 +88,10 @@ def base_spans(text: str) -> list[Span]:
 # --- the random field -----------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9A-Za-z]{24,}|[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\s]")
-#: Where the random field looks at all.
-_CUE = re.compile(r"[0-9]{2,}|@|[\[(](?:at|dot)[\])]|\b(?:AT|DOT|dot)\b")
-#: Every typed segment holds one of these.
+_WORD = re.compile(r"\S+")
+#: An e-mail address holds one of these.
+_MARK = re.compile(r"@|\bat\b", re.IGNORECASE)
+#: Every typed segment holds one of these, so the random field looks around them only.
 _TELLING = re.compile(r"[0-9]|@|\b(?:dot|DOT)\b")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _CUE_WORDS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "key": "secret", "token": "secret", "secret": "secret", "password": "secret", "host": "ip", "ip": "ip", "server": "ip", "version": "number", "page": "number", "year": "number", "section": "number"}
@@ -182,15 +184,17 @@ class Field:
             for i, j, k in zip(starts, ends, kinds, strict=True):
                 inside[i:j] |= k > 0
             label = [(q, k) for q, (i, j, k) in enumerate(zip(starts, ends, kinds, strict=True)) if k or j == i + 1 and not inside[i]]
-        return n, s, e, ids, open_, label, spans
+        mail = np.array([bool(_MARK.search(text, spans[i][0], spans[j - 1][1])) for i, j in zip(starts, ends, strict=True)], bool)
+        return n, s, e, ids, open_, label, spans, mail
 
     def scores(self, lat: tuple) -> np.ndarray:
         """[segment, type]; -inf where a type may not be."""
-        n, s, e, ids, open_, _, _ = lat
+        n, s, e, ids, open_, _, _, mail = lat
         w = np.concatenate([self.weights, np.zeros((len(self.weights), 1))], 1)
         out = w[:, ids].sum(2).T if len(ids) else np.zeros((0, len(self.weights)))
         out[e - s > 1, 0] = -np.inf
         out[~open_, 1:] = -np.inf
+        out[~mail, 1 + KINDS.index("email")] = -np.inf
         return out
 
     def train(self, data: list[tuple], rounds: int, seed: int, rate: float = 0.2, l2: float = 1e-3) -> None:
@@ -199,7 +203,7 @@ class Field:
         for _ in range(rounds):
             order.shuffle(data)
             for lat in data:
-                n, s, e, ids, _, label, _ = lat
+                n, s, e, ids, _, label, _, _ = lat
                 z = self.scores(lat)
                 total = np.logaddexp.reduce(z, 1)
                 by_end, by_start = [np.flatnonzero(e == k) for k in range(n + 1)], [np.flatnonzero(s == k) for k in range(n + 1)]
@@ -222,7 +226,7 @@ class Field:
     def best(self, text: str, blocked=()) -> list[Span]:
         """The best segmentation's typed segments; none touches a blocked range."""
         lat = self.lattice(text, blocked=blocked)
-        n, s, e, _, _, _, spans = lat
+        n, s, e, _, _, _, spans, _ = lat
         if not n:
             return []
         z = self.scores(lat)
@@ -312,30 +316,33 @@ def field() -> Field:
 
 
 def added_spans(text: str, base: list[Span], model: Field) -> list[Span]:
-    """Segments that the random field finds beside the base spans, in windows around cues.
+    """Segments that the random field finds beside the base spans: those of its best path over the whole text.
 
-    A window reaches REACH tokens to each side of its cues, so it holds every
-    candidate segment with a cue in it whole; windows that touch are one.
+    It is run in windows of REACH words to each side of a telling mark that no base
+    span covers. A word is a token or more, so windows hold every segment that may
+    have a type, with all that its features look at; windows that touch are one.
     """
+    taken = sorted((a, b) for _, a, b in base)
+    first = [a for a, _ in taken]
+    telling = [m.start() for m in _TELLING.finditer(text) if not ((k := bisect_right(first, m.start())) and m.end() <= max(b for _, b in taken[max(0, k - 4) : k]))]
+    if not telling:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    begins = [a for a, _ in words]
     windows: list[list[int]] = []
-    for m in _CUE.finditer(text):
-        a, b = max(0, m.start() - 6 * REACH), min(len(text), m.end() + 6 * REACH)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = b
+    for at in telling:
+        k = bisect_right(begins, at) - 1
+        lo, hi = max(0, k - REACH), min(len(words) - 1, k + REACH)
+        if windows and lo <= windows[-1][1]:
+            windows[-1][1] = max(hi, windows[-1][1])
         else:
-            windows.append([a, b])
-    taken = sorted((a, b) for _, a, b in base)
+            windows.append([lo, hi])
     out = []
-    for a, b in windows:
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+    for lo, hi in windows:
+        a, b = words[lo][0], words[hi][1]
         near = [(x - a, y - a) for x, y in taken if x < b and a < y]
-        if all(any(x <= m.start() - a and m.end() - a <= y for x, y in near) for m in _CUE.finditer(text, a, b)):
-            continue  # every cue is in a base span
         out += [(k, x + a, y + a) for k, x, y in model.best(text[a:b], near)]
-    return sorted(set(out), key=lambda s: (s[1], s[2]))
+    return out
 
 
 def written(spans: list[Span]) -> str:
@@ -346,7 +353,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Counts, digest and spans of personal data in every whole text.
 
     Null or empty text: counts 0, the digest of nothing, no spans. Each row is
-    read by itself, so ties, repeated rows and extra columns change nothing.
+    read by itself, so ties, repeated rows and extra columns change nothing. Very
+    long texts are read whole; the random field holds one window at a time.
     Offsets are code points, ends exclusive. n_added counts the random field's.
     """
     bounded_batches(docs.sparkSession)
