@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed_text, let
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: A line that begins with a copyright mark, marks before it aside.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*"
@@ -48,24 +48,29 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
     time they occur, that are a whole known text by themselves, and notices lists
     their licences once, in order, comma-joined ("" for none). Null or empty text:
     the digest of nothing. Copies of a row are judged each by itself, but rows of
-    equal id and text share their lines' count. licenses: (license, text), by
+    equal id and text share their lines' count. Very long texts are read whole. licenses: (license, text), by
     default those known here; rows with nulls are passed over.
     """
-    known = (licenses if licenses is not None else known_licenses(docs.sparkSession)).select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).dropna()
-    lines = canonical_lines(F.col("text"))
-    known = known.select("license", digest(F.array_join(lines, " ")).alias("known")).groupBy("known").agg(F.min("license").alias("license"))
+    spark, lines = docs.sparkSession, canonical_lines(F.col("text"))
+    given = (licenses if licenses is not None else known_licenses(spark)).select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).dropna()
+    known = given.select("license", digest(F.array_join(lines, " ")).alias("known"))
+    if licenses is None:
+        known = known.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license string, known string"))
+    known = known.groupBy("known").agg(F.min("license").alias("license"))
     if known.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES:
         known = F.broadcast(known)
-    base = keyed_text(docs, id_col, text_col).select("doc_id", let(lines, lambda x: F.struct(digest(F.array_join(x, " ")).alias("digest"), F.transform(x, digest).alias("lines"))).alias("f"))
-    base = base.select("doc_id", F.col("f.digest").alias("digest"), F.col("f.lines").alias("lines"))
-    found = base.select("doc_id", "digest", F.explode("lines").alias("known")).join(known, "known")
-    noticed = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("license")).alias("all"))
-    rows = base.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
-    whole = rows.join(known.select(F.col("known").alias("digest"), F.col("license").alias("text_license")), "digest", "left")
-    right = noticed.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "n", "all")
-    joined = whole.join(right, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
-    one = (F.coalesce("n", F.lit(0)) / F.col("copies")).cast("long")
-    out = joined.select("doc_id", "digest", "text_license", one.alias("n_notices"), F.coalesce(F.array_join("all", ","), F.lit("")).alias("notices"), "copies")
+    # One pass over a text: its digest, and as rows that digest and those of its lines.
+    row = lambda d: lambda x, i: F.struct(d.alias("digest"), x.alias("known"), (i == 0).alias("whole"))
+    digests = let(lines, lambda x: let(digest(F.array_join(x, " ")), lambda d: F.transform(F.concat(F.array(d), F.transform(x, digest)), row(d))))
+    each = keyed_text(docs, id_col, text_col).select("doc_id", F.explode(digests).alias("e")).select("doc_id", "e.digest", "e.known", "e.whole")
+    found = each.join(known, "known", "left").where("whole or license is not null")
+    sums = found.groupBy("doc_id", "digest").agg(
+        F.count_if("whole").alias("copies"),
+        F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
+        F.count_if(~F.col("whole")).alias("n"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),
+    )
+    out = sums.select("doc_id", "digest", "text_license", (F.col("n") / F.col("copies")).cast("long").alias("n_notices"), "notices", "copies")
     return out.select(*out.columns[:-1], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
@@ -81,7 +86,7 @@ def oracle() -> str:
     rows = [*TEXTS.items(), *((k, n) for k, ns in NOTICES.items() for n in ns)]
     return f"""
 WITH texts(license, text) AS (VALUES {", ".join(f"({quote(k)}, {quote(t)})" for k, t in rows)}),
-known AS (SELECT {digest("array_to_string(l, ' ')")} AS d, min(license) AS license FROM (SELECT license, {lines} AS l FROM texts) GROUP BY 1),
+known AS (SELECT d, min(license) AS license FROM (SELECT {digest("array_to_string(l, ' ')")} AS d, license FROM (SELECT license, {lines} AS l FROM texts) UNION ALL VALUES {", ".join(f"({quote(d)}, {quote(k)})" for k, d in DIGESTS.items())}) GROUP BY d),
 docs AS (SELECT doc_id, l, {digest("array_to_string(l, ' ')")} AS digest FROM (SELECT doc_id, {lines} AS l FROM documents)),
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
   FROM (SELECT doc_id, unnest(list_transform(l, lambda x: {digest("x")})) AS d FROM docs) JOIN known USING (d) GROUP BY doc_id)
