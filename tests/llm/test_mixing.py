@@ -48,3 +48,10 @@ def test_edges(spark):
     empty = docs.limit(0)
     assert mixing.mix(empty, mixing.tempered_weights(empty)).count() == 0
     assert mixing.mix(empty, {"a": 1.0}).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(k, "t", f"s{k % 2}", k, -k, "own") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __s long, __i long, __row string")
+    got = mixing.mix(docs, {"s0": 1.0, "s1": 2.0})
+    assert got.columns[:6] == docs.columns and sorted(tuple(r)[:6] for r in got.collect()) == sorted(rows)

@@ -173,7 +173,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     `share` are equal at equal distance; the longest is reported (ties: more equal
     tokens, then the earliest). With stretch "longest" every such stretch counts, and
     none is missed for a least of 13 or more and a share of 0.8 or more; with "top"
-    only the best-scoring one (MATCH, MISMATCH) of each diagonal. The benchmark goes to every executor where it has
+    only the best-scoring one (MATCH, MISMATCH) of each diagonal. Very long texts are
+    read whole, one at a time. The benchmark goes to every executor where it has
     at most broadcast_chars characters in at most broadcast_items rows, else seeds
     are joined by a shuffle with the same result. Null or empty texts on either
     side share nothing. Rows that repeat give rows that repeat on the training
@@ -277,4 +278,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, sh
 
         return docs.where(clean(F.coalesce("text", F.lit(""))))
     bad = overlaps(docs, benchmark, least, share, broadcast_chars, broadcast_items, stretch).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

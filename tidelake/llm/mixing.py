@@ -70,7 +70,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
     there every source is within one block of its weight. Later slots that a used-up
     source would have had stay empty. A null source counts as "". Sources without a
     weight raise an error when rows of theirs are met. Rows with equal ids follow
-    each other in any order; columns named mix_* in docs are replaced.
+    each other in any order; columns named mix_* in docs are replaced, others stay.
+    Texts are moved and never read, however long.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_place", "mix_on_target")
     if not weights:
@@ -79,7 +80,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
     parts = quantised(weights, period)
     slots = spark.createDataFrame([(s, parts[s], k, t) for t, (s, k) in enumerate(schedule(parts))], "__s string, __n int, __k int, __t int")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__s": source, "__o": order_key(F.col("doc_id"))})
+    # A row is one value from here on, so that names of its columns cannot clash with those needed here.
+    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), source.alias("__s"), order_key(F.col("doc_id")).alias("__o"))
     sizes = keyed.groupBy("__s").agg(F.count("*").alias("__rows")).withColumn("__cuts", F.ceil(F.col("__rows") / PART_ROWS))
     # The parts of a source are ranges of the order key, so that their offsets need only the parts' counts.
     cut = F.floor(F.col("__o") * F.col("__cuts") / F.lit(1 << 32)).cast("long")
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
         .withColumn("__before", F.sum("__m").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)))
         .select("__s", "__c", F.coalesce("__before", F.lit(0)).alias("__before"))
     )
-    number = F.row_number().over(Window.partitionBy("__s", "__c").orderBy("__o", "doc_id")) - 1
+    number = F.row_number().over(Window.partitionBy("__s", "__c").orderBy("__o", "__id")) - 1
     numbered = placed.withColumn("__i", number).join(before, ["__s", "__c"]).withColumn("__i", F.col("__i") + F.col("__before"))
     block = F.floor(F.col("__i") / block_rows)
     per_source = F.broadcast(slots.select("__s", "__n").distinct())
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
         .withColumn("mix_place", (F.col("__i") % block_rows).cast("int"))
         .withColumn("mix_on_target", F.col("mix_slot") < F.lit(first_gap if first_gap is not None else 0))
     )
-    return out.select(*docs.columns, "mix_block", "mix_slot", "mix_place", "mix_on_target")
+    return out.select("__row.*", "mix_block", "mix_slot", "mix_place", "mix_on_target")
 
 
 def oracle(block_rows: int = 64, period: int = 1000, exponent: float = 0.5) -> str:

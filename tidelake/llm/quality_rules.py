@@ -187,7 +187,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **op
 
     max_rows is the bound that lets the labelled sample be broadcast to the scan
     and its statistics (a few numbers a row) be fetched. Labels with a null id or
-    a null quality are passed over. No labels, or labels of one kind: no rules.
+    a null quality are passed over. No labels, or labels of one kind: no rules. Where
+    labelled ids repeat among docs, any 4 * max_rows of their rows are learnt from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)

@@ -77,7 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     id hash); max_words bounds the words looked up, those in `least` positives or
     more whose share among positives is most clearly, and by `clear` standard
     errors at least, above that among unlabelled documents. The prior is the share
-    of toxic labels among all labels that are not held out. With no positives the
+    of toxic labels among all labels that are not held out; an id labelled both ways
+    counts as positive, and a null label or id is passed over. With no positives the
     model scores every text the prior (0.01 at least, also where there are no labels).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
@@ -124,7 +125,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
     A null or empty text has no words and scores the model's bias; a null id is
-    not held out; rows that repeat give equal rows; other columns are not read.
+    not held out; rows that repeat give equal rows; other columns are not read. Very
+    long texts are read whole.
     """
     bounded_batches(docs.sparkSession)
 
