@@ -171,3 +171,12 @@ def test_components_of_chains_and_stars(spark, monkeypatch, tmp_path):
         assert got.keys() == up.keys()
     groups = {frozenset(i for i in up if up[i] == c) for c in set(up.values())}
     assert {frozenset(g) for (k, _), g in whole.items() if k == 3} == groups == {frozenset(g) for (k, _), g in whole.items() if k > 3}
+
+
+def test_likely_rows_hold_all_wanted(spark, monkeypatch):
+    rows, wanted = spark.range(5000).withColumnRenamed("id", "doc_id"), spark.range(0, 5000, 50).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id for r in m.likely(rows, wanted).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 1000
+    assert m.likely(rows, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(m, "MOST_BITS", 64)
+    assert {r.doc_id for r in m.likely(rows, rows).collect()} == set(range(5000))

@@ -31,6 +31,8 @@ SMALL_BUCKET = 8
 HUBS = 3
 #: Links between classes so far, up to so many of which one task joins at once (16 MB).
 LINKS_AT_ONCE = 1 << 20
+#: Bits by hash of the ids whose texts are wanted.
+MOST_BITS = 1 << 24
 #: Counters of shingles by hash: an order of all shingles, rare ones first, needs no more than this on the driver.
 CELLS = 1 << 16
 
@@ -336,6 +338,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.store(out)
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of rows whose doc_id may be among wanted's, by one bit for each hash of an id: what is left out need not be shuffled to a join.
+
+    The bits go to every task, 2 MB of them at most; where they are all taken every
+    row passes, and the join that follows is exact in any case.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
+    mask = np.zeros(bits >> 6, np.int64)
+    for word, taken in words:
+        mask[word] = taken
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 6] >> (x & 63) & 1).astype(bool))
+
+    return rows.where(may(at))
+
+
 def keyed_classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, class_id, class_key): a row a document with an id; the last two are the least (doc_id, text_key) of its class."""
     base = keyed_text(docs, id_col, text_col)
@@ -350,7 +374,7 @@ def keyed_classes(docs: DataFrame, least: float, id_col: str, text_col: str) ->
         keys = nodes.select("node", F.col("first").alias("doc_id"), "text_key")
         met = buckets.select("node").distinct()
         wanted = scratch.store(keys.join(met, "node"))
-        texts = base.withColumn("text_key", text_key("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+        texts = likely(base.where("doc_id is not null"), wanted).withColumn("text_key", text_key("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
         sets = scratch.store(weighted_sets(texts))
         links = scratch.store(links_of(pairs, sets, least))
         scratch.drop(pairs, wanted)
