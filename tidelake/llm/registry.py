@@ -10,54 +10,66 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import decontam, license_scan, lm_score, minhash, mixing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
-from .common import table
+from .common import Scratch, ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, by digests of whole texts and of lines."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of the whole corpus."""
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    ensure_checkpoint_dir(spark)
+    with Scratch(spark) as scratch:
+        return lm_score.score(docs, lm_score.fit(docs, scratch)).checkpoint()
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out fifth are not learnt from."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mixture of sources by the square root of their sizes."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.tempered_weights(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "mix_on_target")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and spans."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to 400-byte strings that also start elsewhere."""
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches that documents share with benchmark items."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stretch="longest")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to windows of 20 words that also start earlier."""
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base checks and the verdict of the learned decision list for every document."""
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
