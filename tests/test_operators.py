@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidelake.operators import metrics, relational, selection, temporal
+from tidelake.operators import metrics, relational, reports, selection, temporal
 from tidelake.operators.storage import ensure_checkpoint_dir, global_row_number
 
 
@@ -154,3 +154,66 @@ def test_shared_resources_against_enumeration(spark):
     got = {x.case: x for x in selection.select_with_shared_resources(df, "case", "item", "choice", "gain", "own", "room").collect()}
     for case, best in want.items():
         assert got[case].utility == best and (got[case].status == "optimal") == (best is not None)
+
+
+def test_pairwise_accuracy(spark):
+    r = random.Random(8)
+    rows = [(k, r.choice([None, *range(7)]), r.choice([None, *range(6)])) for k in ("a", "b", None) for _ in range(40)] + [("one", 1, 1), ("none", None, 2)]
+    got = {x.k: (x.pairs, x.accuracy) for x in metrics.pairwise_accuracy(spark.createDataFrame(rows, "k string, p int, a int"), ["k"], "p", "a").collect() if x.k is not None}
+    for k in ("a", "b", "one"):
+        known = [(p, a) for kk, p, a in rows if kk == k and p is not None and a is not None]
+        pairs = [(x, y) for x in known for y in known if x[1] > y[1]]
+        right = sum(1 if x[0] > y[0] else 0.5 if x[0] == y[0] else 0 for x, y in pairs)
+        assert got[k][0] == len(pairs) and (got[k][1] is None if not pairs else abs(got[k][1] - right / len(pairs)) < 1e-9)
+    assert "none" not in got
+    assert metrics.pairwise_accuracy(spark.createDataFrame([], "k string, p int, a int"), ["k"], "p", "a").count() == 0
+
+
+def test_pareto_front_and_boxes(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice(["a", None]), r.randrange(6), r.randrange(6), r.choice([None, *range(6)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, k string, s int, x int, y int")
+    for blocks in (1, 4):
+        got = sorted(x.id for x in relational.pareto_front(df, ["k"], "s", ["x", "y"], blocks).collect())
+        full = [x for x in rows if x[4] is not None]
+        beats = lambda b, a: b[1] == a[1] and b[2] <= a[2] and b[3] >= a[3] and b[4] >= a[4] and b[2:] != a[2:]
+        assert got == [a[0] for a in full if not any(beats(b, a) for b in full)]
+    assert relational.pareto_front(df.limit(0), ["k"], "s", ["x", "y"]).count() == 0
+    for n in (1, 3):
+        boxes = [(i, *[v for _ in range(n) for lo in [r.uniform(-5, 5)] for v in (lo, lo + r.choice([0.0, 1.0, 4.0]))]) for i in range(60)]
+        names = [(f"l{k}", f"h{k}") for k in range(n)]
+        df = spark.createDataFrame(boxes, "id int, " + ", ".join(f"{c} double" for pair in names for c in pair))
+        got = sorted((x.a, x.b) for x in relational.box_overlaps(df, "id", names, 1.5).collect())
+        over = lambda a, b: all(a[1 + 2 * k] < b[2 + 2 * k] and b[1 + 2 * k] < a[2 + 2 * k] for k in range(n))
+        assert got == sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and over(a, b))
+
+
+def test_looped_integral_and_display(spark):
+    steps = spark.createDataFrame([(0.0, 2.0), (3.0, 0.0), (4.5, 1.0)], "t double, r double")
+    rate = lambda t: 2.0 if t % 6 < 3 else 0.0 if t % 6 < 4.5 else 1.0
+    spans = [(0.0, 6.0), (1.0, 1.0), (5.0, 20.5), (-2.0, 3.0), (4.0, 2.5), (None, 1.0)]
+    got = [x.v for x in temporal.looped_integral(steps, "t", "r", 6.0, spark.createDataFrame(spans, "a double, b double").coalesce(1), "a", "b", "v").collect()]
+    for (a, b), v in zip(spans, got):
+        if a is None:
+            assert v is None
+            continue
+        lo, hi = min(a, b), max(a, b)
+        want = sum(rate(lo + (k + 0.5) / 1000) for k in range(round((hi - lo) * 1000))) / 1000
+        assert abs(v - (want if b >= a else -want)) < 1e-6
+    rows = [("u", 0.0, 0.0, 1), ("u", 2.0, 1.0, 2), ("u", 9.0, 1.0, 3), ("u", 10.0, 3.0, 4), ("v", 1.0, None, 5)]
+    shown = temporal.display_records(spark.createDataFrame(rows, "k string, w double, m double, i int"), ["k"], "w", "m", 0.5, "i").collect()
+    assert sorted((x.frame, x.wall) for x in shown) == [(0, 0.0), (1, 1.0), (2, 9.0), (3, 9.25), (4, 9.5), (5, 9.75)]
+
+
+def test_upsert_and_checks(spark):
+    a = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 3.0, 3.0)], "k int, v double, w double")
+    b = spark.createDataFrame([(1, 9.0, 8.0), (2, None, None), (4, 4.0, None)], "k int, v double, w double")
+    got = sorted((x.k, x.v, x.w, x.origin) for x in relational.upsert(a, b, ["k"], ["v", "w"]).collect())
+    assert got == [(1, 1.0, 8.0, "filled"), (2, None, None, "stored"), (3, 3.0, 3.0, "stored"), (4, 4.0, None, "added")]
+    wrong = reports.protocol_faults(a, b, ["k"], ["v"]).collect()
+    assert sorted((x.k, x.field, x.found, x.wanted) for x in wrong) == [(1, "v", "1.0", "9.0"), (3, None, None, None)]
+    failed = reports.first_failed(a, [("v", F.col("v") > 0), ("w", F.col("w") > 5)]).collect()
+    assert [x.failed for x in sorted(failed, key=lambda x: x.k)] == ["w", "v", "w"]
+    rows = [("c", "r", 0.0, 1), ("c", "q", None, 2), ("c", "q", 1.0, 2), ("d", "r", 0.5, 3)]
+    faults = reports.profile_faults(spark.createDataFrame(rows, "c string, q string, e double, id int"), ["c"], "q", "e", "r", ["id"]).collect()
+    assert sorted((x.rule, x.key) for x in faults) == [("bad error", "2"), ("missing quality", "d"), ("reference differs", "3"), ("repeated key", "2")]

@@ -72,3 +72,34 @@ def test_sinks_and_resume(spark, tmp_path):
     assert len(built) == 2
     spark.createDataFrame([(3, [1], 0.1)], df.schema).write.mode("overwrite").parquet(f"{tmp_path}/s/data")
     assert not sinks.is_complete(spark, f"{tmp_path}/s", "v2")
+
+
+def test_journal_and_cache(spark, tmp_path):
+    stage = {"status": "done", "started_at": "2024-01-01T00:00:00Z", "finished_at": "2024-01-01T00:01:00+00:00"}
+    (tmp_path / "j.json").write_text(json.dumps({"tasks": {"a": {"stages": {"x": stage, "y": {"status": "running", "started_at": "2024-01-01T00:01:00Z"}}}}}))
+    rows = {r.stage: r for r in files.journal(spark, f"{tmp_path}/j.json").collect()}
+    assert (rows["x"].finished - rows["x"].started).seconds == 60 and rows["y"].finished is None
+    (tmp_path / "k.json").write_text(json.dumps({"tasks": {"a": {"stages": {"x": {"started_at": "2024-01-01T00:00:00Z"}}}}}))
+    with pytest.raises(ValueError, match="status"):
+        files.journal(spark, f"{tmp_path}/k.json")
+    line = {"scene": "s", "frame": 1, "value": 0.5}
+    (tmp_path / "c").write_text("\n".join(json.dumps(x) for x in (line, line, line | {"frame": 2})))
+    got = files.cached_values(spark, f"{tmp_path}/c", "scene string, frame int")
+    assert got.count() == 2 and got.select("key").distinct().count() == 2
+    (tmp_path / "d").write_text("\n".join(json.dumps(x) for x in (line, line | {"value": 0.6})))
+    with pytest.raises(ValueError, match="measured twice"):
+        files.cached_values(spark, f"{tmp_path}/d", "scene string, frame int")
+    (tmp_path / "e").write_text(json.dumps({"scene": "s", "value": 1.0}))
+    with pytest.raises(ValueError, match="lack"):
+        files.cached_values(spark, f"{tmp_path}/e", "scene string, frame int")
+
+
+def test_reports(spark, tmp_path):
+    a = spark.createDataFrame([(1, [1])], "x int, y array<int>")
+    b = spark.createDataFrame([(2.5, "t")], "z double, x string")
+    sinks.flat_csv_of_all([a, b], f"{tmp_path}/all")
+    got = spark.read.csv(f"{tmp_path}/all", header=True)
+    assert got.columns == ["x", "y", "z"] and sorted(tuple(r) for r in got.fillna("").collect()) == [("1", "[1]", ""), ("t", "", "2.5")]
+    assert sinks.markdown_table(spark.createDataFrame([("a|b", 1.23456, None)], "n string, v double, w int")) == "| n | v | w |\n| --- | --- | --- |\n| a\\|b | 1.235 | NA |\n"
+    with pytest.raises(ValueError, match="more than"):
+        sinks.markdown_table(spark.range(5), most=4)

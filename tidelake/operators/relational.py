@@ -142,3 +142,67 @@ def fair_share(df: DataFrame, by: Sequence[str], key: str, demand: str, capacity
     # The water level is that of the first demand that does not fit.
     water = F.min(F.when(F.col(demand) > F.col("__l"), F.col("__l"))).over(Window.partitionBy(*by))
     return level.withColumn(name, F.least(F.col(demand), F.coalesce(water, F.col(demand)))).drop("__l")
+
+
+def pareto_front(df: DataFrame, by: Sequence[str], smaller: str, larger: Sequence[str], blocks: int = 16) -> DataFrame:
+    """Rows that no row of their group dominates: at most as much of one, at least as much of each other, better in one. Rows with a null there are left out.
+
+    Rows are brought down to different points; blocks of points by hash drop what
+    their own points dominate, and only what is left is held against a whole group.
+    """
+    axes = [smaller, *larger]
+    points = df.select(*by, *axes).dropna(subset=axes).distinct()
+
+    def undominated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        a, b = rows.alias("a"), rows.alias("b")
+        at_least = (F.col(f"b.{smaller}") <= F.col(f"a.{smaller}"))
+        better = F.col(f"b.{smaller}") < F.col(f"a.{smaller}")
+        for c in larger:
+            at_least &= F.col(f"b.{c}") >= F.col(f"a.{c}")
+            better |= F.col(f"b.{c}") > F.col(f"a.{c}")
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        return a.join(b, same & at_least & better, "left_anti")
+
+    block = F.pmod(F.xxhash64(*axes), F.lit(blocks))
+    left = undominated(points.withColumn("__block", block), [*by, "__block"]).drop("__block")
+    front = undominated(left, by)
+    return df.join(front.withColumnsRenamed({c: f"__{c}" for c in front.columns}), _all([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, *axes]]), "left_semi")
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out &= c
+    return out
+
+
+def box_overlaps(boxes: DataFrame, id_col: str, axes: Sequence[tuple[str, str]], cell: float) -> DataFrame:
+    """(a, b), a < b, of boxes that overlap strictly on all axes (low, high).
+
+    A box lies in every cell of the first two axes that it reaches; a pair is taken in
+    the cell where the overlap begins, so once. cell is about the extent of a box: the
+    rows of a box follow its extent, the pairs looked at the density of a cell.
+    """
+    edges = [F.floor(F.col(c) / cell).cast("long") for pair in axes[:2] for c in pair]
+    cells = boxes.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"{s}{k}") for k, pair in enumerate(axes) for s, c in zip(("l", "h"), pair, strict=True)], F.explode(F.sequence(edges[0], edges[1])).alias("cx"), *([F.sequence(edges[2], edges[3]).alias("ys")] if len(axes) > 1 else []))
+    cells = cells.withColumn("cy", F.explode("ys")).drop("ys") if len(axes) > 1 else cells.withColumn("cy", F.lit(0))
+    a, b = cells.alias("a"), cells.alias("b")
+    over = [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), F.col("a.id") < F.col("b.id")]
+    for k in range(len(axes)):
+        over += [F.col(f"a.l{k}") < F.col(f"b.h{k}"), F.col(f"b.l{k}") < F.col(f"a.h{k}")]
+    for k, c in enumerate(("cx", "cy")[: len(axes)]):
+        over.append(F.col(f"a.{c}") == F.floor(F.greatest(f"a.l{k}", f"b.l{k}") / cell))
+    return a.join(b, _all(over)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def upsert(stored: DataFrame, fresh: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Keys of both sides with stored values, and fresh ones where there is none or it is null; origin: stored, filled or added."""
+    a = stored.select(*on, *[F.col(v).alias(f"__a_{v}") for v in values], F.lit(True).alias("__ina"))
+    b = fresh.select(*on, *[F.col(v).alias(f"__b_{v}") for v in values])
+    filled = F.lit(False)
+    for v in values:
+        filled |= F.col(f"__a_{v}").isNull() & F.col(f"__b_{v}").isNotNull()
+    origin = F.when(F.col("__ina").isNull(), "added").when(filled, "filled").otherwise("stored")
+    return a.join(b, list(on), "full").select(*on, *[F.coalesce(f"__a_{v}", f"__b_{v}").alias(v) for v in values], origin.alias("origin"))

@@ -119,3 +119,31 @@ def eta_seconds(df: DataFrame, by: Sequence[str], done: str, seconds: str, remai
     """by, eta: mean of the last finished tasks times what remains."""
     k = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(done).desc(), F.col(seconds)))
     return df.withColumn("__k", k).where(F.col("__k") <= last).groupBy(*by).agg((F.avg(seconds) * remaining).alias("eta"))
+
+
+def profile_faults(df: DataFrame, context: Sequence[str], quality: str, error: str, reference: str, key: Sequence[str]) -> DataFrame:
+    """rule and key of what a quality profile breaks: repeated keys, errors that are missing or negative, a reference not equal to itself, contexts without one of the qualities."""
+    name = lambda columns: F.concat_ws(":", *columns)
+    row = lambda bad, rule: df.where(bad).select(F.lit(rule).alias("rule"), name([*key]).alias("key"))
+    repeated = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated key").alias("rule"), name([*key]).alias("key"))
+    wanted = df.select(quality).distinct()
+    have = df.groupBy(*context).agg(F.count_distinct(quality).alias("n")).join(F.broadcast(wanted.agg(F.count("*").alias("all"))))  # one row
+    lacking = have.where("n < all").select(F.lit("missing quality").alias("rule"), name([*context]).alias("key"))
+    e = F.col(error)
+    return repeated.unionByName(row(e.isNull() | (e < 0), "bad error")).unionByName(row((F.col(quality) == reference) & (e != 0), "reference differs")).unionByName(lacking)
+
+
+def protocol_faults(references: DataFrame, declared: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """on, field, found, wanted: values of references that are not those declared for their method, nulls being equal; methods that nothing declares have field null."""
+    want = declared.select(*on, *[F.col(v).cast("string").alias(f"__{v}") for v in values], F.lit(True).alias("__known"))
+    both = references.select(*on, *[F.col(v).cast("string").alias(v) for v in values]).join(want, list(on), "left")
+    fields = F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).alias("found"), F.col(f"__{v}").alias("wanted")) for v in values])
+    wrong = F.filter(fields, lambda x: ~x["found"].eqNullSafe(x["wanted"]))
+    unknown = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("found"), F.lit(None).cast("string").alias("wanted")))
+    return both.select(*on, F.explode(F.when(F.col("__known").isNull(), unknown).otherwise(wrong)).alias("x")).select(*on, "x.*")
+
+
+def first_failed(df: DataFrame, stages: Sequence[tuple[str, Column]], name: str = "failed") -> DataFrame:
+    """df with the first stage whose condition does not hold, a null condition included; null where all hold."""
+    cases = [F.when(~F.coalesce(ok, F.lit(False)), stage) for stage, ok in stages]
+    return df.withColumn(name, F.coalesce(*cases))

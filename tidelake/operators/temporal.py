@@ -161,3 +161,40 @@ def finish_times(df: DataFrame, by: Sequence[str], arrival: str, service: str, o
     total = df.withColumn("__s", F.sum(service).over(w))
     slack = F.max(F.col(arrival) - (F.col("__s") - F.col(service))).over(w)
     return total.withColumn(name, slack + F.col("__s")).drop("__s")
+
+
+def looped_integral(steps: DataFrame, at: str, rate: str, length: float, spans: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """spans with the integral from start to end of a rate that steps at `at` (the first at 0) and goes round after `length`.
+
+    steps is one trace of few rows, which goes to every task as one array; a span is
+    whole rounds and what is left of them on both sides. An end before its start
+    gives the negative integral; a null end or no steps give null.
+    """
+    w = Window.orderBy(at)  # one trace
+    until = F.coalesce(F.lead(at).over(w), F.lit(float(length))).cast("double")
+    rows = steps.select(F.col(at).cast("double").alias("a"), until.alias("b"), F.col(rate).cast("double").alias("r"))
+    trace = rows.withColumn("before", F.coalesce(F.sum((F.col("b") - F.col("a")) * F.col("r")).over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    whole = trace.agg(F.array_sort(F.collect_list(F.struct("a", "b", "r", "before"))).alias("__trace"), F.sum((F.col("b") - F.col("a")) * F.col("r")).alias("__total"))
+    both = spans.join(F.broadcast(whole))  # one row
+
+    def upto(c: str) -> Column:
+        t = F.col(c).cast("double")
+        rest = F.pmod(t, F.lit(float(length)))
+        step = F.try_element_at(F.filter("__trace", lambda x: x["a"] <= rest), F.lit(-1))
+        return F.floor(t / length) * F.col("__total") + step["before"] + (rest - step["a"]) * step["r"]
+
+    return both.withColumn(name, upto(end) - upto(start)).drop("__trace", "__total")
+
+
+def display_records(df: DataFrame, by: Sequence[str], wall: str, media: str, step: float, order: str) -> DataFrame:
+    """by, frame, wall: for every multiple of `step` of media time between two rows of a group, the wall time in between, linear.
+
+    A row (wall, media) begins the interval that the next one of its group ends; an
+    interval in which media time stands still or goes back shows nothing.
+    """
+    w = Window.partitionBy(*by).orderBy(wall, order)
+    rows = df.select(*by, F.col(wall).cast("double").alias("__w0"), F.col(media).cast("double").alias("__m0"), F.lead(F.col(wall).cast("double")).over(w).alias("__w1"), F.lead(F.col(media).cast("double")).over(w).alias("__m1"))
+    first, last = F.ceil(F.col("__m0") / step), F.ceil(F.col("__m1") / step) - 1
+    shown = rows.where((F.col("__m1") > F.col("__m0")) & (last >= first)).withColumn("frame", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    part = (F.col("frame") * step - F.col("__m0")) / (F.col("__m1") - F.col("__m0"))
+    return shown.select(*by, "frame", (F.col("__w0") + part * (F.col("__w1") - F.col("__w0"))).alias("wall"))

@@ -127,3 +127,34 @@ def _little_endian(content: str, at: int) -> Column:
     """The eight bytes after `at` as hex, most significant first."""
     text = F.hex(F.substring(content, at + 1, 8))
     return F.concat(*[F.substring(text, 2 * k + 1, 2) for k in range(7, -1, -1)])
+
+
+def journal(spark: SparkSession, path: str) -> DataFrame:
+    """task, stage, status, started, finished of JSON journals {tasks: {name: {stages: {name: {status, started_at, finished_at}}}}}; times are ISO texts with a zone, a status is required."""
+    schema = "tasks map<string, struct<stages: map<string, struct<status: string, started_at: string, finished_at: string>>>>"
+    doc = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    tasks = doc.select(F.explode("tasks").alias("task", "t")).select("task", F.explode("t.stages").alias("stage", "s"))
+    time = lambda c: F.col(c).cast("timestamp")
+    rows = tasks.select("task", "stage", "s.status", time("s.started_at").alias("started"), time("s.finished_at").alias("finished"))
+    require(rows.groupBy("task", "stage").count(), F.col("count") > 1, "stages that repeat")
+    return require(rows, F.col("status").isNull() | (F.col("finished") < F.col("started")), "stages without a status, or that end before they start")
+
+
+def context_key(columns: Sequence[str]) -> Column:
+    """SHA-256 of a context as canonical JSON: fields in order of name, nulls written."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def cached_values(spark: SparkSession, path: str, context: str, value: str = "value double") -> DataFrame:
+    """Cached measurements of JSON lines with the key of their context; a context that two lines measure differently is refused, equal lines count once.
+
+    context and value are schemas; every field of the context is required.
+    """
+    known = spark.read.schema(f"{context}, {value}").json(path, mode="FAILFAST")
+    names = [c for c in known.columns if c not in {v.strip().split(" ")[0] for v in value.split(",")}]
+    lacks = F.lit(False)
+    for c in names:
+        lacks |= F.col(c).isNull()
+    keyed = require(known, lacks, "contexts that lack a field").withColumn("key", context_key(names)).distinct()
+    require(keyed.groupBy("key").count(), F.col("count") > 1, "contexts measured twice with different results")
+    return keyed

@@ -25,6 +25,28 @@ def flat_csv(df: DataFrame, path: str) -> None:
     df.withColumns({c: F.to_json(c) for c in nested}).write.csv(path, header=True)
 
 
+def flat_csv_of_all(frames: Sequence[DataFrame], path: str) -> None:
+    """One CSV of tables of different shapes: its columns are theirs together in order of name, empty where a table lacks one."""
+    if not frames:
+        raise ValueError("no tables")
+    nested = lambda df: [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    plain = [df.select(*[(F.to_json(c) if c in nested(df) else F.col(c).cast("string")).alias(c) for c in df.columns]) for df in frames]
+    both = plain[0]
+    for df in plain[1:]:
+        both = both.unionByName(df, allowMissingColumns=True)
+    both.select(*sorted(both.columns)).write.csv(path, header=True)
+
+
+def markdown_table(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A summary as a Markdown table: numbers to so many digits, nulls as NA; tables of more rows than `most` are refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda x: "NA" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(x) for x in r] for r in rows]]
+    return "".join("| " + " | ".join(r) + " |\n" for r in lines)
+
+
 def export_decisions(decisions: DataFrame, path: str) -> None:
     """A table of decisions and one of their selections (decision_id, instance_id, quality) from the map `selection`."""
     decisions.drop("selection").write.parquet(f"{path}/decisions")
