@@ -80,8 +80,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
     parts = quantised(weights, period)
     slots = spark.createDataFrame([(s, parts[s], k, t) for t, (s, k) in enumerate(schedule(parts))], "__s string, __n int, __k int, __t int")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    # A row is one value from here on, so that names of its columns cannot clash with those needed here.
-    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), source.alias("__s"), order_key(F.col("doc_id")).alias("__o"))
+    # Columns go by number from here on, so that their names cannot clash with those needed here.
+    held = {f"__row{k}": name for k, name in enumerate(docs.columns)}
+    keyed = docs.select("*", F.col("doc_id"), source, order_key(F.col("doc_id"))).toDF(*held, "__id", "__s", "__o")
     sizes = keyed.groupBy("__s").agg(F.count("*").alias("__rows")).withColumn("__cuts", F.ceil(F.col("__rows") / PART_ROWS))
     # The parts of a source are ranges of the order key, so that their offsets need only the parts' counts.
     cut = F.floor(F.col("__o") * F.col("__cuts") / F.lit(1 << 32)).cast("long")
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 64, per
         .withColumn("mix_place", (F.col("__i") % block_rows).cast("int"))
         .withColumn("mix_on_target", F.col("mix_slot") < F.lit(first_gap if first_gap is not None else 0))
     )
-    return out.select("__row.*", "mix_block", "mix_slot", "mix_place", "mix_on_target")
+    return out.select(*[F.col(k).alias(name) for k, name in held.items()], "mix_block", "mix_slot", "mix_place", "mix_on_target")
 
 
 def oracle(block_rows: int = 64, period: int = 1000, exponent: float = 0.5) -> str:
