@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidelake.plans import audits, estimation, lookups, quality, relations, reports, selection, sequences, streams, text  # noqa: F401
+    from tidelake.plans import audits, estimation, lookups, planning, quality, relations, reports, selection, sequences, streams, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
