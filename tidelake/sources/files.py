@@ -158,3 +158,98 @@ def cached_values(spark: SparkSession, path: str, context: str, value: str = "va
     keyed = require(known, lacks, "contexts that lack a field").withColumn("key", context_key(names)).distinct()
     require(keyed.groupBy("key").count(), F.col("count") > 1, "contexts measured twice with different results")
     return keyed
+
+
+def hash_list(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, name) of a list of SHA-256 digests and names, as sha256sum writes it; lines that are no such pair and names that repeat are refused."""
+    parts = spark.read.text(path).where(F.trim("value") != "").select(F.regexp_extract("value", r"^([0-9a-f]{64}) [ *](.+)$", 1).alias("digest"), F.regexp_extract("value", r"^([0-9a-f]{64}) [ *](.+)$", 2).alias("name"), "value")
+    rows = require(parts, F.col("digest") == "", "lines that are no digest and name").drop("value")
+    require(rows.groupBy("name").count(), F.col("count") > 1, "names that repeat")
+    return rows
+
+
+def hash_list_faults(spark: SparkSession, list_path: str, root: str) -> DataFrame:
+    """(name, fault) of the files below root against a hash list: changed, missing, or unlisted (the list itself is not). Files are hashed whole, each in a task, up to 2 GB."""
+    base = _file_path(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    there = files.select(F.substring(_plain(F.col("path")), len(base) + 2, 4096).alias("name"), F.sha2("content", 256).alias("found"))
+    itself = _file_path(spark, list_path)[len(base) + 1 :]
+    both = hash_list(spark, list_path).join(there.where(F.col("name") != itself), "name", "full")
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("digest").isNull(), "unlisted").when(F.col("digest") != F.col("found"), "changed")
+    return both.select("name", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def _plain(path: Column) -> Column:
+    """A file's path without its scheme and host."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?", "")
+
+
+def _file_path(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath()
+
+
+def full_coverage(spark: SparkSession, quality_path: str, profile_path: str, key: str, values: str) -> DataFrame:
+    """Rows of measured quality (JSON lines) bound to their profiles (JSON lines of the key and profile_id); a key that one side lacks or has twice is refused.
+
+    key and values are schemas, such as "scene string, quality int" and "psnr double, mse double"; a missing or negative value is refused.
+    """
+    names, measures = ([v.strip().split(" ")[0] for v in s.split(",")] for s in (key, values))
+    quality = spark.read.schema(f"{key}, {values}").json(quality_path, mode="FAILFAST")
+    bound = spark.read.schema(f"{key}, profile_id string").json(profile_path, mode="FAILFAST")
+    for df in (quality, bound):
+        require(df.groupBy(*names).count(), F.col("count") > 1, "keys that repeat")
+    both = quality.withColumn("__q", F.lit(True)).join(bound.withColumn("__b", F.lit(True)), names, "full")
+    require(both, F.col("__q").isNull() | F.col("__b").isNull(), "keys that one side lacks")
+    bad = F.lit(False)
+    for m in measures:
+        bad |= F.col(m).isNull() | F.isnan(m) | (F.col(m) < 0)
+    return require(both.drop("__q", "__b"), bad, "values that are missing or negative")
+
+
+PREPARED = "object struct<id: string>, representations array<struct<id: string, quality: int, segments: array<string>>>, package struct<segments: array<struct<id: string, path: string, bytes: long>>>"
+
+
+def prepared_content(spark: SparkSession, root: str, validate_files: bool = True) -> DataFrame:
+    """object_id, representation_id, quality, place, segment_id, path, bytes of the manifests root/*/manifest.json.
+
+    A segment that no package index has, or that it has twice, is refused; so is a file
+    that is missing or of another size, unless only the metadata is asked for.
+    """
+    doc = spark.read.schema(PREPARED).json(f"{root}/*/manifest.json", multiLine=True, mode="FAILFAST").withColumn("directory", F.regexp_extract(_plain(F.col("_metadata.file_path")), r"^(.*)/manifest\.json$", 1))
+    require(doc, F.col("object.id").isNull() | F.col("representations").isNull() | F.col("package.segments").isNull(), "manifests that lack a part")
+    index = doc.select("directory", F.explode("package.segments").alias("s")).select("directory", F.col("s.id").alias("segment_id"), "s.path", "s.bytes")
+    require(index.groupBy("directory", "segment_id").count(), F.col("count") > 1, "segments indexed twice")
+    wanted = doc.select("directory", F.col("object.id").alias("object_id"), F.explode("representations").alias("r")).select("directory", "object_id", F.col("r.id").alias("representation_id"), "r.quality", F.posexplode("r.segments").alias("place", "segment_id"))
+    rows = require(wanted.join(index, ["directory", "segment_id"], "left"), F.col("path").isNull() | F.col("bytes").isNull(), "segments without an index entry")
+    if validate_files:
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_plain(F.col("path")).alias("__file"), F.col("length").alias("__length"))
+        named = rows.withColumn("__file", F.concat_ws("/", "directory", "path")).join(sizes, "__file", "left")
+        require(named, F.col("__length").isNull() | (F.col("__length") != F.col("bytes")), "segment files that are missing or of another size")
+    return rows.select("object_id", "representation_id", "quality", "place", "segment_id", F.concat_ws("/", "directory", "path").alias("path"), "bytes")
+
+
+BUNDLE = "objects array<struct<object_id: string, profile: string, manifest: string>>"
+
+
+def quality_bundle(spark: SparkSession, root: str, values: str = "psnr double, mse double") -> DataFrame:
+    """object_id, quality_id and values of a bundle: SHA256SUMS, index.json, and the profile and the manifest of each object that the index names.
+
+    Every listed file must have its digest, every profile and manifest must be listed, a
+    profile must be its object's and name the digest of its manifest, and an object's
+    qualities must not repeat.
+    """
+    require(hash_list_faults(spark, f"{root}/SHA256SUMS", root), F.lit(True), "files that are not as listed")
+    index = spark.read.schema(BUNDLE).json(f"{root}/index.json", multiLine=True, mode="FAILFAST").select(F.explode("objects").alias("o")).select("o.*")
+    require(index.groupBy("object_id").count(), F.col("count") > 1, "objects that repeat")
+    listed = hash_list(spark, f"{root}/SHA256SUMS")
+    digests = index.join(listed.select(F.col("name").alias("manifest"), F.col("digest").alias("__manifest")), "manifest", "left").join(listed.select(F.col("name").alias("profile"), F.lit(True).alias("__listed")), "profile", "left")
+    require(digests, F.col("__manifest").isNull() | F.col("__listed").isNull(), "profiles or manifests that are not listed")
+    kinds = ", ".join(f"{v.strip().split(' ')[0]}: {v.strip().split(' ')[1]}" for v in values.split(","))
+    doc = spark.read.schema(f"object_id string, manifest_sha256 string, rows array<struct<quality_id: string, {kinds}>>").json(f"{root}/profiles", multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
+    name = F.substring(_plain(F.col("_metadata.file_path")), len(_file_path(spark, root)) + 2, 4096)
+    profiles_ = doc.select(name.alias("profile"), F.col("object_id").alias("__owner"), "manifest_sha256", "rows")
+    both = require(digests.join(profiles_, "profile", "left"), ~F.coalesce((F.col("__owner") == F.col("object_id")) & (F.col("manifest_sha256") == F.col("__manifest")), F.lit(False)), "profiles of another object or manifest")
+    rows = both.select("object_id", F.explode("rows").alias("r")).select("object_id", "r.*")
+    require(rows.groupBy("object_id", "quality_id").count(), F.col("count") > 1, "qualities that repeat")
+    return rows

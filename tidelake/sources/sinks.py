@@ -85,3 +85,20 @@ def run_stage(spark: SparkSession, path: str, configuration: str, build) -> Data
 def _fingerprint(df: DataFrame, columns: Sequence[str]) -> str:
     row = fingerprint(df, columns).first()
     return row["fingerprint"] if row else ""
+
+
+def manifest_xml(rates: DataFrame, path: str, content: str, rank: str, duration_s: float) -> None:
+    """A manifest in XML of representation_rates(): one Representation an element, in order of content and rank, with its rates as attributes; equal rates give equal bytes.
+
+    Rates beyond 32 bits are cut there and written in full as requiredBandwidth as well.
+    """
+    most = 2**32 - 1
+    attributes = [F.concat_ws("-", content, rank).alias("_id"), F.col(content).alias("_content"), F.col(rank).alias("_rank"), F.least(F.col("required_bps"), F.lit(most)).alias("_bandwidth"), F.when(F.col("required_bps") > most, F.col("required_bps")).alias("_requiredBandwidth"), F.col("mean_bps").alias("_meanBandwidth"), F.col("segments").alias("_segments")]
+    rows = rates.orderBy(content, rank).select(*attributes).coalesce(1)  # a manifest is one small document
+    rows.write.format("xml").option("rootTag", f'MPD type="static" mediaPresentationDuration="PT{duration_s:g}S"').option("rowTag", "Representation").option("declaration", 'version="1.0" encoding="UTF-8"').save(path)
+
+
+def event_log(events: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """A stream's events as JSON lines, each once across restarts; a running query, which with available_now ends at the events that are there."""
+    writer = events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
