@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as f
@@ -13,7 +14,10 @@ def test_texts(spark):
     lit = F.lit
     assert one(spark, f.clock_text(lit(3725))) == "01:02:05" and one(spark, f.clock_text(lit(360000))) == "100:00:00"
     assert [one(spark, f.iso_duration(lit(x))) for x in (2.0, 10.0, 0.25, 0.0)] == ["PT2S", "PT10S", "PT0.25S", "PT0S"]
-    assert one(spark, f.frame_range(lit("3-5, 9,x,7-7"))) == [3, 4, 5, 9, 7]
+    assert one(spark, f.frame_range(lit("3-5, 9,7:7"))) == [3, 4, 5, 9, 7] and one(spark, f.frame_range(lit(None).cast("string"))) is None
+    for wrong in ("3-5,x", "5-3", "1,1", "", "1-2,2"):
+        with pytest.raises(Exception, match="no frame range"):
+            one(spark, f.frame_range(lit(wrong)))
     args = F.array(*[lit(x) for x in ("run", "--n", "5", "--last")])
     assert one(spark, f.option_value(args, "--n")) == "5" and one(spark, f.option_value(args, "--last")) is None and one(spark, f.option_value(args, "--no")) is None
     assert [one(spark, f.available(lit(x).cast("double"), 2)) for x in (None, float("inf"), 1.005)][:2] == ["unavailable", "∞"]

@@ -20,6 +20,14 @@ def test_traces(spark, tmp_path):
     (tmp_path / "d.csv").write_text("t,mbps\n0,-1\n")
     with pytest.raises(ValueError, match="negative"):
         files.bandwidth_trace(spark, f"{tmp_path}/d.csv", "hold")
+    (tmp_path / "e.csv").write_text("at_s,mbps\n1,1\n2,2\n")
+    with pytest.raises(ValueError, match="starts at zero"):
+        files.bandwidth_trace(spark, f"{tmp_path}/e.csv", "hold")
+    with pytest.raises(ValueError, match="horizon"):
+        files.bandwidth_trace(spark, f"{tmp_path}/a.csv", duration_s=3.0)
+    assert tuple(files.constant_trace(spark, 2.5, 4.0).first()) == (0, 2.5, 4.0, "stop")
+    with pytest.raises(ValueError, match="rate"):
+        files.constant_trace(spark, -1.0)
 
 
 def test_series_events_profiles(spark, tmp_path):

@@ -43,10 +43,20 @@ def byte_range(header: Column, size: Column) -> Column:
 
 
 def frame_range(text: Column) -> Column:
-    """"a-b,c" as the list of whole numbers it names, in order as written."""
+    """"a-b,c" or "a:b,c" as the list of whole numbers it names, in order as written; a part that is no number or range, a range that runs down and a number named twice are errors."""
     parts = F.split(F.regexp_replace(text, r"\s", ""), ",")
-    one = lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))
-    return F.flatten(F.transform(F.filter(parts, lambda p: p.rlike(r"^\d+(-\d+)?$")), one))
+    ends = lambda p: F.split(p, "[-:]")
+    low, high = (lambda p: ends(p)[0].cast("int")), (lambda p: F.element_at(ends(p), -1).cast("int"))
+    sound = F.forall(parts, lambda p: p.rlike(r"^\d+([-:]\d+)?$") & (F.try_element_at(ends(p), F.lit(1)).try_cast("int") <= F.try_element_at(ends(p), F.lit(-1)).try_cast("int")))
+    numbers = F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))
+    bad = F.raise_error(F.concat(F.lit("no frame range: "), text)).cast("array<int>")
+    return F.when(text.isNull(), F.lit(None)).when(~F.coalesce(sound, F.lit(False)), bad).when(F.size(F.array_distinct(numbers)) < F.size(numbers), bad).otherwise(numbers)
+
+
+def first_available(*columns: str) -> Column:
+    """Struct name, value (as text) of the first of the columns that is not null; null where all are."""
+    told = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))) for c in columns]
+    return F.coalesce(*told)
 
 
 def option_value(arguments: Column, name: str) -> Column:

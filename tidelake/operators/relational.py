@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,3 +206,21 @@ def upsert(stored: DataFrame, fresh: DataFrame, on: Sequence[str], values: Seque
         filled |= F.col(f"__a_{v}").isNull() & F.col(f"__b_{v}").isNotNull()
     origin = F.when(F.col("__ina").isNull(), "added").when(filled, "filled").otherwise("stored")
     return a.join(b, list(on), "full").select(*on, *[F.coalesce(f"__a_{v}", f"__b_{v}").alias(v) for v in values], origin.alias("origin"))
+
+
+def interpolated(points: DataFrame, grid: DataFrame, key: str, axes: Mapping[str, float | None], value: str, name: str) -> DataFrame:
+    """key and the value between the grid's corners around each point, linear on every axis; null where a corner that counts is missing.
+
+    axes maps columns that both sides have to a period, or None where the axis ends and
+    points beyond it take its end. Grid values of an axis with a period lie in [0, period);
+    every axis has few values. A point makes at most 2^axes rows.
+    """
+    out = points.select(key, *axes).withColumn("__w", F.lit(1.0))
+    for a, period in axes.items():
+        both = bracket(grid.select(a), out, a, period)
+        ends = F.array(F.struct(F.col("lo").alias("at"), (1 - F.col("w")).alias("part")), F.struct(F.col("hi").alias("at"), F.col("w").alias("part")))
+        kept = [c for c in out.columns if c not in (a, "__w")]
+        out = both.select(*kept, "__w", F.explode(ends).alias("__e")).where("__e.part > 0").select(*kept, F.col("__e.at").alias(a), (F.col("__w") * F.col("__e.part")).alias("__w"))
+    corners = grid.select(*[F.col(a).cast("double").alias(a) for a in axes], F.col(value).alias("__v"))
+    rows = out.join(corners, list(axes), "left").groupBy(key)
+    return rows.agg(F.when(F.count("__v") == F.count("*"), F.sum(F.col("__w") * F.col("__v"))).alias(name))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TIME_NAMES = ("time_s", "time_seconds", "timestamp", "t")
+TIME_NAMES = ("time_s", "time_seconds", "timestamp", "time", "at_s", "t")
 RATE_NAMES = ("mbps", "bandwidth_mbps", "rate_mbps")
 BITS_NAMES = ("bps", "bandwidth_bps", "rate_bps")
 END_POLICIES = ("hold", "stop", "error")
@@ -48,8 +48,9 @@ def _checked_trace(points: DataFrame) -> DataFrame:
 def bandwidth_trace(spark: SparkSession, path: str, end_policy: str = "stop", duration_s: float | None = None, loop: bool = False) -> DataFrame:
     """(time_s, mbps, end_s, end_policy) of a trace in CSV, or JSON of {points, duration_s, loop, end_policy} or a bare list.
 
-    A row holds until the next; the last until the horizon. A horizon is required
-    unless the policy is hold; rates in bits a second become megabits.
+    A row holds until the next; the last until the horizon. A trace starts at zero. A
+    horizon is required unless the policy is hold, and lies past the last point; rates in
+    bits a second become megabits.
     """
     if end_policy not in END_POLICIES:
         raise ValueError(f"end policy {end_policy}")
@@ -67,11 +68,24 @@ def bandwidth_trace(spark: SparkSession, path: str, end_policy: str = "stop", du
     points = _checked_trace(points)
     if end_policy != "hold" and not loop and duration_s is None:
         raise ValueError("a horizon is required unless the end policy is hold")
+    first, last = points.agg(F.min("time_s"), F.max("time_s")).first()
+    if first != 0:
+        raise ValueError(f"a trace starts at zero, not at {first}")
+    if duration_s is not None and duration_s <= last:
+        raise ValueError(f"the horizon {duration_s} is not past the last point {last}")
     nxt = F.lead("time_s").over(Window.orderBy("time_s"))  # one trace: thousands of points
     end = F.coalesce(nxt, F.lit(duration_s).cast("double"), F.lit(float("inf")))
     return points.withColumn("end_s", end).withColumn("end_policy", F.lit("loop" if loop else end_policy))
 
 
+def constant_trace(spark: SparkSession, mbps: float, duration_s: float | None = None) -> DataFrame:
+    """The trace of one rate, where there is only a number: it holds to the horizon, or for good."""
+    if not 0 <= mbps < float("inf") or duration_s is not None and not duration_s > 0:
+        raise ValueError(f"a rate of {mbps} for {duration_s} seconds")
+    end = float("inf") if duration_s is None else float(duration_s)
+    return spark.createDataFrame([(0.0, float(mbps), end, "hold" if duration_s is None else "stop")], "time_s double, mbps double, end_s double, end_policy string")
+
+
 def telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Events of JSON lines under a schema; a line that does not parse is an error, not a null."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
