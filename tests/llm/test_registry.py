@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n != "op7_decontamination"])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in ("op7_decontamination", "op12_top_k", "op13_vector_codes")])
 def test_query_keeps_every_document(spark, name):
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     got = registry.queries()[name](spark, DATA).count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, license_scan, lm_score, minhash, mixing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontam, license_scan, lm_score, merkle, minhash, mixing, pii, quality_rules, substring_dedup, suffix_dedup, topk, toxicity, vector_codes
 from .common import Scratch, ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +75,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its row, changed where 7 divides its id's CRC-32, folds to the root."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), tampered, {"n_chars": F.col("n_chars") + 1})
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of largest inner product with each query, which are the vectors whose id 50 divides."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen-part codes of every vector, with their errors."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op2_lm_score": op2_lm_score, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
+    return {"op1_license_scan": op1_license_scan, "op2_lm_score": op2_lm_score, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op11_merkle_manifest": op11_merkle_manifest, "op12_top_k": op12_top_k, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op4_mixing": mixing.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_license_scan": license_scan.oracle(), "op4_mixing": mixing.oracle(), "op11_merkle_manifest": merkle.oracle(), "op12_top_k": topk.oracle(), "op13_vector_codes": vector_codes.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
