@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars
-from tidelake.operators import metrics, relational, reports
+from tidelake.operators import metrics, relational, reports, temporal
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -132,9 +132,15 @@ def clock_play_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("on"), us("nxt") - us("ts")).otherwise(0)) / 1000000.0, 3).alias("played_s"))
 
 
-@query("SELECT o_orderkey AS batch, count(*) AS transfers, round(sum(l_quantity), 2) AS bytes, count(*) FILTER (WHERE l_returnflag = 'A') AS failed, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'A') = 0 THEN round(sum(l_quantity) / greatest(date_diff('day', min(o_orderdate), max(l_shipdate)), 1), 6) END AS rate FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("""
+WITH t AS (SELECT o_orderkey AS batch, l_quantity AS q, l_returnflag = 'A' AS failed, greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE) - 3 * l_linenumber) AS a, CAST(l_shipdate AS DATE) AS z FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+busy AS (SELECT batch, sum(greatest(date_diff('day', CASE WHEN reach > a THEN reach ELSE a END, z), 0)) AS busy FROM (SELECT *, max(z) OVER (PARTITION BY batch ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t WHERE z > a) GROUP BY batch)
+SELECT batch, count(*) AS transfers, round(sum(q), 2) AS bytes, count(*) FILTER (WHERE failed) AS failed, CASE WHEN count(*) FILTER (WHERE failed) = 0 THEN round(sum(q) / max(busy), 6) END AS rate FROM t LEFT JOIN busy USING (batch) GROUP BY batch""")
 def batch_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as one batch of transfers: a rate from what came in while it was busy, none if one failed; bytes count in any case."""
+    """An order's lines as one batch of transfers, each three days a place long: a rate over the time that at least one of them took, none if one failed; bytes count in any case."""
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    failed, busy = F.count_if(F.col("l_returnflag") == "A"), F.greatest(F.datediff(F.max("l_shipdate"), F.min("o_orderdate")), F.lit(1))
-    return joined.groupBy(F.col("o_orderkey").alias("batch")).agg(F.count("*").alias("transfers"), F.round(F.sum("l_quantity"), 2).alias("bytes"), failed.alias("failed"), F.when(failed == 0, F.round(F.sum("l_quantity") / busy, 6)).alias("rate"))
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    rows = joined.select(F.col("o_orderkey").alias("batch"), "l_quantity", (F.col("l_returnflag") == "A").alias("bad"), F.greatest(day("o_orderdate"), day("l_shipdate") - 3 * F.col("l_linenumber")).alias("a"), day("l_shipdate").alias("z"))
+    sums = rows.groupBy("batch").agg(F.count("*").alias("transfers"), F.round(F.sum("l_quantity"), 2).alias("bytes"), F.count_if("bad").alias("failed"))
+    both = sums.join(temporal.interval_union(rows, ["batch"], "a", "z"), "batch", "left")
+    return both.select("batch", "transfers", "bytes", "failed", F.when(F.col("failed") == 0, F.round(F.col("bytes") / F.col("busy"), 6)).alias("rate"))
