@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.scan import placed
 from tidelake.operators.storage import Scratch, ensure_checkpoint_dir
 
 
@@ -75,12 +76,15 @@ def shared_prefix(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence
     return sums.select(*by, "n_a", "n_b", F.coalesce(F.col("__d") - 1, F.col("n_a")).cast("long").alias("shared"))
 
 
-def zipped(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Rows of a with the value of b's row of the same place, of groups that have as many rows on both sides; others are left out."""
-    w = Window.partitionBy(*by)
-    numbered = lambda df: df.withColumns({"__k": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
-    mate = numbered(b).select(*by, "__k", "__n", F.col(value).alias(name))
-    return numbered(a).join(mate, [*by, "__k", "__n"]).drop("__k", "__n")
+def aligned(a: DataFrame, b: DataFrame, by: Sequence[str], time: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows of a with the value of b's row of the same group and time, of groups whose times are the same on both sides, each once; groups that differ in one time are left out whole."""
+    key = [*by, *time]
+    side = b.groupBy(*key).agg(F.first(value).alias(name), F.count("*").alias("__nb"))
+    both = a.withColumn("__na", F.lit(True)).join(side, key, "full")
+    twice = F.count("*").over(Window.partitionBy(*key)) > 1
+    wrong = both.withColumn("__w", F.col("__na").isNull() | F.col("__nb").isNull() | (F.col("__nb") > 1) | twice)
+    whole = wrong.groupBy(*by).agg(F.bool_or("__w").alias("__w")).where("NOT __w").select(*by)
+    return wrong.drop("__w", "__na", "__nb").join(whole, list(by), "left_semi")
 
 
 def inverse_distance(near: DataFrame, items: DataFrame, item_id: str, value: str, name: str) -> DataFrame:
@@ -133,15 +137,26 @@ def overlapping_pairs(df: DataFrame, by: Sequence[str], key: str, low: str, high
     return x.join(y, same).where(first).select(*[F.col(f"x.{c}").alias(c) for c in by], F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"))
 
 
-def fair_share(df: DataFrame, by: Sequence[str], key: str, demand: str, capacity: float, name: str = "granted") -> DataFrame:
-    """Max-min fair grants of `capacity` to each group's demands, by prefix sums over sorted demands."""
-    w = Window.partitionBy(*by).orderBy(demand, key)
-    before = F.coalesce(F.sum(demand).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(w) + 1
-    level = df.withColumn("__l", (F.lit(capacity) - before) / left)
-    # The water level is that of the first demand that does not fit.
-    water = F.min(F.when(F.col(demand) > F.col("__l"), F.col("__l"))).over(Window.partitionBy(*by))
-    return level.withColumn(name, F.least(F.col(demand), F.coalesce(water, F.col(demand)))).drop("__l")
+def fair_share(df: DataFrame, by: Sequence[str], key: str, demand: str, capacity: int, name: str = "granted") -> DataFrame:
+    """Max-min fair grants in whole units of `capacity` to each group's demands (whole, null counts as 0): small demands are met, the others get equal shares, and what is left over goes one each to the first of those by key.
+
+    The level is found among a group's different demands, and places among those that
+    are not met are counted by ranges of the key, so no group meets in one task.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    with Scratch(df.sparkSession) as scratch:
+        rows = scratch.store(df.withColumn("__d", F.greatest(F.coalesce(F.col(demand).cast("long"), F.lit(0)), F.lit(0))))
+        values = rows.groupBy(*by, "__d").agg(F.count("*").alias("__n"))
+        w = Window.partitionBy(*by).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+        spent, met = F.coalesce(F.sum(F.col("__d") * F.col("__n")).over(w), F.lit(0)), F.coalesce(F.sum("__n").over(w), F.lit(0))
+        levels = values.withColumns({"__rest": int(capacity) - spent, "__left": F.sum("__n").over(Window.partitionBy(*by)) - met})
+        # Demands are met as long as every one that is no smaller could have as much.
+        short = levels.where("__d * __left > __rest").groupBy(*by).agg(F.min_by(F.struct("__rest", "__left"), "__d").alias("__l"), F.min("__d").alias("__from"))
+        both = scratch.store(rows.join(short, list(by), "left"))
+        open_ = both.where("__d >= __from")
+        shared = placed(open_, by, [key], scratch).withColumn(name, F.expr("__l.__rest DIV __l.__left") + (F.col("__place") < F.expr("__l.__rest % __l.__left")).cast("long")).drop("__place")
+        rest = both.where("__from IS NULL OR __d < __from").withColumn(name, F.col("__d"))
+        return shared.unionByName(rest).drop("__d", "__l", "__from").checkpoint()
 
 
 def pareto_front(df: DataFrame, by: Sequence[str], smaller: str, larger: Sequence[str], blocks: int = 16) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators.metrics import aggregate
+from tidelake.operators.storage import global_row_number
 
 
 def profile_rollup(df: DataFrame, by: Sequence[str], values: Sequence[str], weight: str, lower_is_better: Sequence[str] = ()) -> DataFrame:
@@ -42,6 +43,29 @@ def signatures(df: DataFrame, item: str, member: str) -> DataFrame:
     return df.select(item, member).distinct().groupBy(item).agg(F.concat_ws(":", F.count("*"), h(1), h(2)).alias("signature"), F.count("*").alias("n"))
 
 
+def class_masks(df: DataFrame, item: str, member: str) -> DataFrame:
+    """item, n_classes, mask: which classes of members an item has, as hex text of bits, the lowest first in each byte, trailing zeros left out.
+
+    Members that the same items have are one class, so that their bytes count together;
+    classes are numbered from 0 by their least member. Bits are gathered by Spark's
+    bitmaps, in buckets of 32,768 classes; a bucket's text is as long as its last bit needs.
+    """
+    pairs = df.select(F.col(item).alias("item"), F.col(member).alias("member")).distinct()
+    alike = signatures(pairs, "member", "item").select("member", "signature")
+    least = alike.groupBy("signature").agg(F.min("member").alias("first"))
+    number = global_row_number(least, ["first"], "bit").select("signature", (F.col("bit") - 1).alias("bit"))
+    bits = pairs.join(alike, "member").join(number, "signature").select("item", "bit").distinct()
+    parts = bits.groupBy("item", F.expr("bit DIV 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    return parts.groupBy("item").agg(F.sum(F.bitmap_count("bits")).alias("n_classes"), F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("all")).select(
+        F.col("item").alias(item), "n_classes", _trimmed(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("all", -1)["bucket"]), lambda b: F.coalesce(F.hex(F.get(F.filter("all", lambda x: x["bucket"] == b), F.lit(0))["bits"]), F.lit("0" * 8192))), "")).alias("mask")
+    )
+
+
+def _trimmed(hexes: Column) -> Column:
+    """Without bytes of zero at the end."""
+    return F.regexp_replace(hexes, "(00)+$", "")
+
+
 def differing_rows(a: DataFrame, b: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Keys whose values differ, nulls being equal, or that one side lacks."""
     x = a.select(*on, F.struct(*values).alias("__a"), F.lit(True).alias("__ina"))
@@ -72,14 +96,14 @@ def restricted(df: DataFrame, by: Sequence[str], rank: str, allowed: DataFrame)
 
 
 def package_faults(members: DataFrame, sources: DataFrame, source: str, place: str) -> DataFrame:
-    """rule and key of what an index breaks: keys (source, place) that repeat, members without a source, sources without members, places that do not add up to those from 1 on."""
+    """rule and key of what an index breaks: keys (source, place) that repeat, members without a source, sources without members, places that are not 1 to n."""
     row = lambda df, rule, *key: df.select(F.lit(rule).alias("rule"), F.concat_ws(":", *key).alias("key"))
-    sums = members.groupBy(source).agg(F.sum(place).alias("__s"), F.count("*").alias("__n"))
+    sums = members.groupBy(source).agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"), F.count_distinct(place).alias("__d"), F.count("*").alias("__n"))
     twice = members.groupBy(source, place).agg(F.count("*").alias("__n")).where("__n > 1")
     out = row(twice, "repeated key", source, place)
     out = out.unionByName(row(sums.join(sources, source, "left_anti"), "no source", source))
     out = out.unionByName(row(sources.join(members, source, "left_anti"), "not covered", source))
-    return out.unionByName(row(sums.where("__s != __n * (__n + 1) / 2"), "offset sum", source))
+    return out.unionByName(row(sums.where("__lo != 1 OR __hi != __n OR __d != __n"), "places", source))
 
 
 def synthetic_cases(spark: SparkSession, n: int, items: int, seed: int) -> DataFrame:

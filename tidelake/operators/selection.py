@@ -170,6 +170,67 @@ def select_within_budget(choices: DataFrame, case: str, item: str, choice: str,
     return choices.select(case, item, choice, cost, utility, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {SELECTED}")
 
 
+BOUNDS = "status string, utility double, cost long, upper double, gap double, selection array<int>"
+
+
+def _binned(bins: np.ndarray, costs: np.ndarray, utilities: np.ndarray, room: int) -> tuple[float, int, list[int]] | None:
+    """(utility, cost, choices) of most utility, and of least cost among those, whose bins fit; one table of (utility, -cost) pairs in lexicographic order."""
+    gain, spent = np.full(room + 1, -np.inf), np.zeros(room + 1, np.int64)
+    gain[0], picks = 0.0, []
+    for k in range(len(bins)):
+        best, least, pick = np.full(room + 1, -np.inf), np.zeros(room + 1, np.int64), np.full(room + 1, -1, np.int16)
+        for c in np.flatnonzero(np.isfinite(bins[k])).tolist():
+            b = int(bins[k, c])
+            if b > room:
+                continue
+            value, total = gain[: room + 1 - b] + utilities[k, c], spent[: room + 1 - b] + int(costs[k, c])
+            held, paid = best[b:], least[b:]
+            better = (value > held) | (value == held) & (value > -np.inf) & (total < paid)
+            held[better], paid[better], pick[b:][better] = value[better], total[better], c
+        gain, spent = best, least
+        picks.append(pick)
+    if not np.isfinite(gain).any():
+        return None
+    at = int(np.lexsort((spent, -gain))[0])
+    out, left = [], at
+    for k in range(len(bins) - 1, -1, -1):
+        out.append(int(picks[k][left]))
+        left -= int(bins[k, out[-1]])
+    return float(gain[at]), int(spent[at]), out[::-1]
+
+
+def bounds_within_budget(choices: DataFrame, case: str, item: str, choice: str, cost: str, utility: str, budget: str, bins: int = 1024) -> DataFrame:
+    """case and BOUNDS: the budget in `bins` parts; costs rounded up give a selection that keeps within it, rounded down an upper bound that none exceeds.
+
+    Of equal utilities the cheaper selection wins. status: optimal (of the rounded case),
+    cheapest where rounding up leaves nothing but the cheapest choices fit, else infeasible
+    with an upper bound of null. gap is upper - utility; the exact optimum lies between.
+    A case's items times bins are bounded, whatever the budget.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        key, room = rows[case].iloc[0], int(rows[budget].iloc[0])
+        wide = rows.pivot_table(index=item, columns=choice, values=cost, aggfunc="first")
+        costs = wide.to_numpy(float)
+        gains = rows.pivot_table(index=item, columns=choice, values=utility, aggfunc="first").reindex_like(wide).to_numpy(float)
+        status, lower, upper = "infeasible", None, None
+        if np.nanmin(costs, 1).sum() <= room:
+            parts = bins if room else 0
+            # With no budget at all only choices that cost nothing fit.
+            scaled = lambda up: np.ceil(costs * bins / room - 1e-9) if up else np.floor(costs * bins / room + 1e-9)
+            zero = np.where(costs > 0, 1.0, costs)
+            lower, top = _binned(scaled(True) if room else zero, costs, gains, parts), _binned(scaled(False) if room else zero, costs, gains, parts)
+            upper, status = top[0], "optimal" if lower else "cheapest"
+            if lower is None:
+                order = [min(np.flatnonzero(np.isfinite(costs[k])).tolist(), key=lambda c: (costs[k, c], -gains[k, c], c)) for k in range(len(costs))]  # noqa: B023
+                lower = sum(gains[k, c] for k, c in enumerate(order)), int(sum(costs[k, c] for k, c in enumerate(order))), order
+        gain, spent, chosen = lower or (None, None, None)
+        return pd.DataFrame({case: [key], "status": pd.Series([status], dtype=object), "utility": [gain], "cost": pd.array([spent], "Int64"), "upper": [upper], "gap": [None if upper is None else upper - gain], "selection": [chosen]})
+
+    kind = dict(choices.dtypes)[case]
+    return choices.select(case, item, choice, cost, utility, budget).groupBy(case).applyInPandas(one, f"{case} {kind}, {BOUNDS}")
+
+
 Spendings = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 

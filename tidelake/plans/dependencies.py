@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.operators import graphs
+from tidelake.operators import graphs, packages
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -44,3 +44,62 @@ def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = c.agg(F.min("c_custkey").alias("first"))
     nodes = c.join(F.broadcast(first)).select("c_custkey", F.when(up >= F.col("first"), up).alias("up"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))  # first: one row
     return graphs.chain_sums(nodes, "c_custkey", "up", "cents").select("c_custkey", "layer", "total")
+
+
+#: A package a customer: orders are its frames, lines its payloads, a segment for each line number, status and epoch of four frames. Some lines break a rule.
+#: These texts run as they are in both engines.
+_FRAMES = "SELECT o_custkey AS package, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey AS frame, CAST(o_totalprice AS BIGINT) AS moment FROM {orders}"
+_LINES = """SELECT o_custkey AS package, l_orderkey * 100 + line AS id, l_linestatus AS mode, line AS quality, l_orderkey AS frame, CAST(floor((place - 1) / 4) AS BIGINT) AS e, moment, CAST(l_quantity AS BIGINT) AS bytes, l_partkey AS digest, l_returnflag, CAST(round(l_tax * 100) AS INT) AS tax, CAST(round(l_discount * 100) AS INT) AS dis
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line FROM {lineitem}) l0 JOIN {orders} ON o_orderkey = l_orderkey JOIN (""" + _FRAMES + """) f ON f.package = o_custkey AND f.frame = o_orderkey"""
+_PAYLOADS = "SELECT package, id, mode, quality, CASE WHEN tax = 8 AND dis = 1 THEN -1 ELSE frame END AS frame, e + CASE WHEN tax = 8 AND dis = 2 THEN 1 ELSE 0 END AS epoch, moment + CASE WHEN tax = 8 AND dis = 3 THEN 1 ELSE 0 END AS moment, bytes, digest, l_returnflag = 'A' AS refresh FROM (" + _LINES + ") l"
+_NEEDED = "SELECT package, id, CASE WHEN tax = 7 AND dis = 1 THEN id - 101 ELSE id - 1 END AS parent FROM (" + _LINES + ") l WHERE quality > 1 UNION ALL SELECT package, id, id + 1 FROM (" + _LINES + ") l WHERE quality = 1 AND tax = 7 AND dis = 2"
+_SEGMENT = "concat_ws('-', mode, quality, e)"
+_MEMBERS = "SELECT package, " + _SEGMENT + """ AS segment, row_number() OVER (PARTITION BY package, mode, quality, e ORDER BY id) AS place, CASE WHEN tax = 6 AND dis = 1 THEN -id ELSE id END AS id,
+CAST(16 + coalesce(sum(bytes) OVER (PARTITION BY package, mode, quality, e ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN tax = 6 AND dis = 2 THEN 1 WHEN tax = 6 AND dis = 3 THEN -1 ELSE 0 END AS BIGINT) AS offset, bytes + CASE WHEN tax = 6 AND dis = 4 THEN 1 ELSE 0 END AS length, digest FROM (""" + _LINES + ") l"
+_SEGMENTS = "SELECT package, " + _SEGMENT + " AS segment, mode, quality, e AS epoch, 16 AS header, CAST(16 + sum(bytes) + CASE WHEN max(tax) = 5 THEN 1 ELSE 0 END AS BIGINT) AS bytes, min(frame) AS first_frame, max(frame) + CASE WHEN max(dis) = 5 THEN 1 ELSE 0 END AS last_frame FROM (" + _LINES + ") l GROUP BY package, mode, quality, e"
+
+
+def _package_sql() -> str:
+    t = {"orders": "orders", "lineitem": "lineitem"}
+    row = lambda rule, key, rest: f"SELECT DISTINCT package, '{rule}' AS rule, {key} AS key FROM {rest}"
+    text = lambda *c: " || ':' || ".join(f"CAST({x} AS VARCHAR)" for x in c)
+    rules = [
+        row("frame repeats", text("frame"), "(SELECT package, frame FROM frames GROUP BY ALL HAVING count(*) > 1)"),
+        row("frame order", text("frame"), "ordered WHERE frame <= f OR moment <= t"),
+        row("payload repeats", text("id"), "(SELECT package, id FROM payloads GROUP BY ALL HAVING count(*) > 1)"),
+        row("unknown frame", text("id"), "placed WHERE position IS NULL"),
+        row("wrong epoch", text("id"), "placed WHERE epoch <> position // 4"),
+        row("timestamp differs", text("id"), "placed WHERE moment <> media"),
+        row("sample missing", text("mode", "quality", "frame"), "(SELECT DISTINCT package, mode, quality FROM payloads) k JOIN known USING (package) ANTI JOIN payloads USING (package, mode, quality, frame)"),
+        row("no refresh", text("id"), "placed p WHERE position IS NOT NULL AND NOT EXISTS (SELECT 1 FROM placed q WHERE q.package = p.package AND q.mode = p.mode AND q.quality = p.quality AND q.position // 4 = p.position // 4 AND q.position <= p.position AND q.refresh)"),
+        row("dependency of another frame", text("n.id", "n.parent"), "needs n JOIN payloads a USING (package, id) JOIN payloads b ON b.package = n.package AND b.id = n.parent WHERE a.frame <> b.frame").replace("DISTINCT package", "DISTINCT n.package"),
+        row("missing dependency", text("id"), "needs n SEMI JOIN payloads p USING (package, id) WHERE (package, parent) NOT IN (SELECT (package, id) FROM payloads)"),
+        row("dependency cycle", text("c"), "turning WHERE c NOT IN (SELECT id FROM needs n WHERE (package, parent) NOT IN (SELECT (package, id) FROM payloads))"),
+        row("unpackaged payload", text("id"), "payloads ANTI JOIN members USING (package, id)"),
+        row("unknown member", text("segment", "id"), "members ANTI JOIN payloads USING (package, id)"),
+        row("member differs", text("segment", "m.id"), "members m JOIN payloads p USING (package, id) WHERE m.length <> p.bytes OR m.digest <> p.digest"),
+        row("offset gap", text("segment", "id"), "swept w WHERE w.offset > due"),
+        row("offset overlap", text("segment", "id"), "swept w WHERE w.offset < due"),
+        row("segment length", text("segment"), "(SELECT package, segment, s.bytes, max(m.offset + length) AS stop FROM swept m JOIN segments s USING (package, segment) GROUP BY ALL) WHERE stop <> bytes"),
+        row("segment crosses", text("segment", "m.id"), "members m JOIN payloads p USING (package, id) JOIN segments s USING (package, segment) WHERE p.mode <> s.mode OR p.quality <> s.quality OR p.epoch <> s.epoch"),
+        row("frame range", text("segment"), "segments s LEFT JOIN (SELECT package, segment, min(frame) AS lo, max(frame) AS hi FROM members JOIN payloads USING (package, id) GROUP BY ALL) USING (package, segment) WHERE first_frame IS DISTINCT FROM lo OR last_frame IS DISTINCT FROM hi"),
+    ]
+    return f"""WITH RECURSIVE frames AS ({_FRAMES.format(**t)}), payloads AS MATERIALIZED ({_PAYLOADS.format(**t)}), needs AS MATERIALIZED ({_NEEDED.format(**t)}), members AS MATERIALIZED ({_MEMBERS.format(**t)}), segments AS MATERIALIZED ({_SEGMENTS.format(**t)}),
+ordered AS (SELECT *, lag(frame) OVER w AS f, lag(moment) OVER w AS t, row_number() OVER w - 1 AS k FROM frames WINDOW w AS (PARTITION BY package ORDER BY place, frame)),
+known AS (SELECT package, frame, min(k) AS position, min(moment) AS media FROM ordered GROUP BY ALL),
+placed AS MATERIALIZED (SELECT * FROM payloads LEFT JOIN known USING (package, frame)),
+swept AS (SELECT m.*, coalesce(lag(m.offset + length) OVER (PARTITION BY package, segment ORDER BY place, m.offset, id), header) AS due FROM members m JOIN segments USING (package, segment)),
+clo AS (SELECT package, id AS c, parent AS p FROM needs UNION SELECT clo.package, clo.c, n.parent FROM clo JOIN needs n ON n.package = clo.package AND n.id = clo.p),
+turning AS (SELECT package, c FROM clo WHERE c = p)
+""" + " UNION ALL ".join(rules)
+
+
+def package_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem")}
+    return [spark.sql(text, **{k: v for k, v in t.items() if "{" + k + "}" in text}) for text in (_FRAMES, _PAYLOADS, _NEEDED, _SEGMENTS, _MEMBERS)]
+
+
+@query(_package_sql())
+def package_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's package of orders breaks of the rules of an index."""
+    return packages.package_index_faults(*package_tables(spark, sf_dir), epoch_frames=4)

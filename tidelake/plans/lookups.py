@@ -89,19 +89,20 @@ def restricted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'repeated key' AS rule, l_orderkey || ':' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL
 SELECT 'no source', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey UNION ALL
 SELECT 'not covered', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL
-SELECT 'offset sum', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING sum(l_linenumber) <> count(*) * (count(*) + 1) / 2""")
+SELECT 'places', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)""")
 def package_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index of lines breaks: unique keys, known sources, coverage, and places that add up."""
+    """What an index of lines breaks: unique keys, known sources, coverage, and places from 1 to n."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     return reports.package_faults(lines, orders, "l_orderkey", "l_linenumber")
 
 
-@query("SELECT a.event_id, b.event_id AS mate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.k = b.k WHERE a.user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'click') = count(*) FILTER (WHERE event_type = 'view'))")
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS t, o_totalprice AS v FROM orders), b AS (SELECT o_custkey AS k, o_orderkey AS t, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 3 GROUP BY ALL)
+SELECT t AS o_orderkey, v AS o_totalprice, n AS n_lines FROM a JOIN b USING (k, t) WHERE k NOT IN (SELECT k FROM a FULL JOIN b USING (k, t) WHERE v IS NULL OR n IS NULL)""")
 def aligned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's clicks and views side by side, of users who have as many of either."""
-    e = table(spark, sf_dir, "events")
-    side = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
-    return relational.zipped(side("click"), side("view"), ["user_id"], ["ts", "event_id"], "event_id", "mate").select("event_id", "mate")
+    """Orders side by side with their counts of larger lines, of customers who have the same orders in both series."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    n = table(spark, sf_dir, "lineitem").where("l_quantity > 3").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")).join(o, "o_orderkey").select("o_custkey", "o_orderkey", "n")
+    return relational.aligned(o, n, ["o_custkey"], ["o_orderkey"], "n", "n_lines").select("o_orderkey", "o_totalprice", "n_lines")
 
 
 @query("SELECT event_id, CASE WHEN abs(value * 90 - round(value * 90)) < 1e-6 THEN CAST(round(value * 90) AS BIGINT) END AS ticks FROM events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators import neighbours
 from tidelake.operators import relational as r
 from tidelake.registry import query
 from tidelake.sources.tables import table
@@ -84,6 +85,21 @@ def reply_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ancestor.conv_id", F.col("ancestor.turn").alias("ancestor"), F.col("node.turn").alias("node"), "depth")
 
 
+_SPANS = "(SELECT greatest(max(p_size) - min(p_size), 10)::DOUBLE AS s1, greatest(max(ln(p_retailprice)) - min(ln(p_retailprice)), 0.5) AS s2, greatest(max(p_partkey % 360) - min(p_partkey % 360), 90)::DOUBLE AS s3 FROM part)"
+
+
+@query(f"""WITH q AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS x, ln(900 + abs(s_acctbal) / 10) AS y, CAST(s_suppkey * 7 % 360 AS DOUBLE) AS z FROM supplier),
+d AS (SELECT s_suppkey, p_partkey, sqrt((abs(p_size / s1 - x / s1)) ** 2 + (abs(ln(p_retailprice) / s2 - y / s2)) ** 2 + least(abs(p_partkey % 360 / s3 - z / s3), 360 / s3 - abs(p_partkey % 360 / s3 - z / s3)) ** 2) AS d FROM q, part, {_SPANS})
+SELECT s_suppkey AS query, p_partkey AS item, CAST(k AS INTEGER) AS rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(d, 12), p_partkey) AS k FROM d) WHERE k <= 4""")
+def nearest_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts nearest to each supplier in size, in price as a ratio and in an angle, each in spans of the parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 360).alias("z"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("x"), (900 + F.abs("s_acctbal") / 10).alias("y"), (F.col("s_suppkey") * 7 % 360).alias("z"))
+    (items, queries), periods = neighbours.on_axes(p, {"x": ("linear", 10.0), "y": ("log", 0.5), "z": (360.0, 90.0)}, s)
+    out = neighbours.nearest_pruned(queries, items, "s_suppkey", "p_partkey", "__at", 4, periods, same=False)
+    return out.select("query", "item", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT conv_id, turn, role FROM conversations a WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.role <> a.role)")
 def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose parent turn is there and of another role."""
@@ -129,11 +145,14 @@ def resource_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.groupBy("l_shipyear").agg(F.count_if(F.col("a") & F.col("b")).alias("both_sides"), F.count_if(F.col("a") & ~F.col("b")).alias("only_first"), F.count_if(F.col("b") & ~F.col("a")).alias("only_second"))
 
 
-@query("SELECT c_nationkey, c_custkey, round(least(d, coalesce(w, d)), 4) AS granted FROM (SELECT *, min(CASE WHEN d > l THEN l END) OVER (PARTITION BY c_nationkey) AS w FROM (SELECT c_nationkey, c_custkey, d, (20000 - coalesce(sum(d) OVER (PARTITION BY c_nationkey ORDER BY d, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER (PARTITION BY c_nationkey) - row_number() OVER (PARTITION BY c_nationkey ORDER BY d, c_custkey) + 1) AS l FROM (SELECT c_nationkey, c_custkey, greatest(c_acctbal, 0) AS d FROM customer)))")
+@query("""WITH d AS (SELECT c_nationkey, c_custkey, CAST(greatest(round(c_acctbal * 100), 0) AS BIGINT) AS d FROM customer),
+l AS (SELECT *, 2000003 - coalesce(sum(d) OVER w, 0) AS r, count(*) OVER (PARTITION BY c_nationkey) - coalesce(count(d) OVER w, 0) AS n FROM d WINDOW w AS (PARTITION BY c_nationkey ORDER BY d, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT c_nationkey, min(d) AS f, arg_min(r, (d, -n)) AS r, arg_min(n, (d, -n)) AS n FROM l WHERE d * n > r GROUP BY c_nationkey)
+SELECT c_nationkey, c_custkey, CAST(CASE WHEN f IS NULL OR d < f THEN d ELSE s.r // s.n + CASE WHEN row_number() OVER (PARTITION BY c_nationkey, d >= f ORDER BY c_custkey) <= s.r % s.n THEN 1 ELSE 0 END END AS BIGINT) AS granted FROM d LEFT JOIN s USING (c_nationkey)""")
 def fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20,000 a nation shared among its customers' demands."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("d"))
-    return r.fair_share(c, ["c_nationkey"], "c_custkey", "d", 20000.0).select("c_nationkey", "c_custkey", F.round("granted", 4).alias("granted"))
+    """20,000.03 a nation shared in whole cents among its customers' demands."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.greatest(F.round(F.col("c_acctbal") * 100), F.lit(0.0)).cast("long").alias("d"))
+    return r.fair_share(c, ["c_nationkey"], "c_custkey", "d", 2000003).select("c_nationkey", "c_custkey", "granted")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, -1 AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size FROM part")

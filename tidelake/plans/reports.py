@@ -48,6 +48,18 @@ def incidence_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("n").agg(F.count("*").alias("items"), F.count_distinct("signature").alias("signatures"))
 
 
+@query("""WITH pairs AS (SELECT DISTINCT s_nationkey AS item, l_partkey AS member FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+sets AS (SELECT member, list_sort(list(item)) AS s FROM pairs GROUP BY member), classes AS (SELECT s, row_number() OVER (ORDER BY min(member)) - 1 AS bit FROM sets GROUP BY s),
+bits AS (SELECT DISTINCT item, bit FROM pairs JOIN sets USING (member) JOIN classes USING (s)),
+bytes AS (SELECT item, bit // 8 AS k, CAST(sum(1 << CAST(bit % 8 AS INTEGER)) AS BIGINT) AS v, count(*) AS n FROM bits GROUP BY ALL),
+rows AS (SELECT item, max(k) AS top, CAST(sum(n) AS BIGINT) AS n_classes FROM bytes GROUP BY item)
+SELECT item AS s_nationkey, n_classes, string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY k) AS mask FROM (SELECT item, n_classes, unnest(range(0, top + 1)) AS k FROM rows) LEFT JOIN bytes USING (item, k) GROUP BY item, n_classes""")
+def class_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each nation, as bits, the classes of parts that the same nations' suppliers have shipped."""
+    pairs = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return reports.class_masks(pairs, "s_nationkey", "l_partkey")
+
+
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(*) AS clones FROM lineitem GROUP BY ALL")
 def merged_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the same alternative as one, their values added up."""

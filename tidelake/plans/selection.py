@@ -45,6 +45,23 @@ def knapsack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("region", "status", "utility", "cost", F.array_join("selection", ",").alias("selection"))
 
 
+#: The same walk with costs in fortieths of the budget, rounded up and down.
+_BRACKET = f"""WITH RECURSIVE ranked AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY nation) AS i, CAST((cost * 40 + budget - 1) // budget AS BIGINT) AS up, CAST(cost * 40 // budget AS BIGINT) AS down FROM {_CHOICES} JOIN {_BUDGETS} USING (region)),
+walk AS (SELECT region, i, cost, utility, up, down FROM ranked WHERE i = 1 UNION ALL
+SELECT DISTINCT r.region, r.i, w.cost + r.cost, w.utility + r.utility, w.up + r.up, w.down + r.down FROM walk w JOIN ranked r ON r.region = w.region AND r.i = w.i + 1),
+whole AS (SELECT walk.*, budget FROM walk JOIN (SELECT region, max(i) AS i, max(budget) AS budget FROM ranked GROUP BY region) USING (region, i))"""
+
+
+@query(f"""{_BRACKET} SELECT region, arg_max(utility, (utility, -cost)) FILTER (WHERE up <= 40) AS utility, CAST(arg_max(cost, (utility, -cost)) FILTER (WHERE up <= 40) AS BIGINT) AS cost, max(utility) FILTER (WHERE down <= 40) AS upper,
+max(utility) FILTER (WHERE down <= 40) - max(utility) FILTER (WHERE up <= 40) AS gap, max(utility) FILTER (WHERE up <= 40) <= max(utility) FILTER (WHERE cost <= budget) AND max(utility) FILTER (WHERE cost <= budget) <= max(utility) FILTER (WHERE down <= 40) AS brackets FROM whole GROUP BY region""")
+def knapsack_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's selection with the budget in forty parts, the bound above it, and whether the exact optimum lies between."""
+    c = _budgeted(spark, sf_dir)
+    rough = s.bounds_within_budget(c, "region", "nation", "choice", "cost", "utility", "budget", bins=40).drop("status", "selection")
+    exact = s.select_within_budget(c, "region", "nation", "choice", "cost", "utility", "budget").select("region", F.col("utility").alias("exact"))
+    return rough.join(exact, "region").select("region", "utility", "cost", "upper", "gap", F.col("exact").between(F.col("utility"), F.col("upper")).alias("brackets"))
+
+
 @query(_SELECT)
 def knapsack_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by fronts of spendings, as cases with very many bins are solved."""
