@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,47 @@ def located(points: DataFrame, at: str, source: str, piece: str) -> DataFrame:
     out = points.withColumns({"__t": t, "__s": F.col(source).cast("long"), "__p": F.col(piece).cast("long")})
     out = out.withColumns({"loop": F.expr("__t DIV __s"), "content_time": F.expr("__t % __s")}).withColumn("gop", F.expr("content_time DIV __p"))
     return out.withColumn("segment", F.expr("loop * ((__s - 1) DIV __p + 1) + gop")).drop("__t", "__s", "__p")
+
+
+def expanded(entries: DataFrame, by: Sequence[str], place: str, start: str, length: str, repeat: str, end: str) -> DataFrame:
+    """by, number (from 0), start, length, fault of run-length entries: an entry is repeat + 1 pieces of `length` that follow each other.
+
+    An entry without a start goes on from the one before, the first from 0. A repeat of -1
+    goes on up to the next entry's start, or to `end`. fault, on the first piece of an
+    entry: "length" where it is not above 0, "repeat" where it is below -1, or -1 without
+    a known end (such an entry gives that one row, with no length); "overlap" or "gap"
+    where a start is not where the pieces before ended.
+    """
+    w = Window.partitionBy(*by).orderBy(place)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    t, d, r = F.col(start).cast("long"), F.col(length).cast("long"), F.coalesce(F.col(repeat).cast("long"), F.lit(0))
+    rows = entries.select(*by, place, t.alias("__t"), d.alias("__d"), r.alias("__r"), F.coalesce(F.lead(t).over(w), F.when(F.lead(d).over(w).isNull(), F.col(end).cast("long"))).alias("__until"))
+    bad = F.when(F.coalesce(F.col("__d"), F.lit(0)) <= 0, "length").when((F.col("__r") < -1) | (F.col("__r") == -1) & F.col("__until").isNull(), "repeat")
+    rows = rows.withColumn("__bad", bad)
+    # Entries since the last given start; an open one is always the last of its run.
+    run = F.sum(F.col("__t").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    span = F.when(F.col("__bad").isNotNull() | (F.col("__r") == -1), 0).otherwise(F.col("__d") * (F.col("__r") + 1))
+    in_run = Window.partitionBy(*by, "__run").orderBy(place)
+    rows = rows.withColumns({"__run": run, "__span": span})
+    base = F.coalesce(F.first("__t").over(in_run), F.lit(0))
+    rows = rows.withColumn("__s", base + F.coalesce(F.sum("__span").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    count = F.when(F.col("__bad").isNotNull(), 1).when(F.col("__r") == -1, F.greatest(F.ceil((F.col("__until") - F.col("__s")) / F.col("__d")), F.lit(0))).otherwise(F.col("__r") + 1)
+    rows = rows.withColumn("__n", count.cast("long"))
+    stop = F.when(F.col("__bad").isNotNull(), F.col("__s")).when(F.col("__r") == -1, F.greatest(F.col("__until"), F.col("__s"))).otherwise(F.col("__s") + F.col("__span"))
+    rows = rows.withColumns({"__stop": stop, "__first": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    last = F.lag("__stop").over(w)
+    rows = rows.withColumn("__fault", F.coalesce(F.col("__bad"), F.when(F.col("__t") < last, "overlap").when(F.col("__t") > last, "gap")))
+    out = rows.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    begin = F.col("__s") + F.col("__k") * F.col("__d")
+    whole = F.when(F.col("__bad").isNotNull(), None).when((F.col("__r") == -1), F.least(F.col("__d"), F.col("__until") - begin)).otherwise(F.col("__d"))
+    return out.select(*by, (F.col("__first") + F.col("__k")).alias("number"), F.when(F.col("__bad").isNull(), begin).otherwise(F.col("__s")).alias("start"), whole.alias("length"), F.when(F.col("__k") == 0, F.col("__fault")).alias("fault"))
+
+
+def timeline_faults(pieces: DataFrame, index: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, number, fault): pieces that carry a fault, and where pieces and a side-car index (by, number, start, length) differ: not indexed, not in the timeline, start or length."""
+    own = pieces.where("fault IS NOT NULL").select(*by, "number", "fault")
+    a = pieces.select(*by, "number", F.col("start").alias("__s"), F.col("length").alias("__l"), F.lit(True).alias("__a"))
+    b = index.select(*by, "number", F.col("start").cast("long").alias("__is"), F.col("length").cast("long").alias("__il"), F.lit(True).alias("__b"))
+    both = a.join(b, [*by, "number"], "full")
+    fault = F.when(F.col("__b").isNull(), "not indexed").when(F.col("__a").isNull(), "not in the timeline").when(~F.col("__s").eqNullSafe(F.col("__is")), "start").when(~F.col("__l").eqNullSafe(F.col("__il")), "length differs")
+    return own.unionByName(both.withColumn("fault", fault).where("fault IS NOT NULL").select(*by, "number", "fault"))

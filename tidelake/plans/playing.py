@@ -60,3 +60,21 @@ def looping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = timeline.located(table(spark, sf_dir, "events").join(u, "user_id").withColumn("m", minute), "m", "s", "p")
     n = events.groupBy("user_id", "segment").agg(F.count("*").alias("n_events"))
     return segments.join(n, ["user_id", "segment"], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+
+
+#: An order's lines as entries of a timeline: some begin anew, some go on to the next start, a few have no length.
+_ENTRIES = """SELECT l_orderkey, k, CASE WHEN dis = 5 THEN 200 * k + tax END AS t, CASE WHEN dis = 9 THEN 0 ELSE q END AS d, CASE WHEN dis = 4 THEN -1 ELSE tax % 3 END AS r, 2000 AS stop
+FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_tax * 100) AS INT) AS tax, CAST(round(l_discount * 100) AS INT) AS dis FROM {lineitem}) x"""
+
+
+@query(f"""WITH e AS ({_ENTRIES.format(lineitem="lineitem")}),
+a AS (SELECT *, coalesce(lead(t) OVER w, CASE WHEN lead(k) OVER w IS NULL THEN stop END) AS till, sum(CASE WHEN t IS NULL THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM e WINDOW w AS (PARTITION BY l_orderkey ORDER BY k)),
+b AS (SELECT *, CASE WHEN d <= 0 THEN 'length' WHEN r = -1 AND till IS NULL THEN 'repeat' END AS bad FROM a),
+c AS (SELECT *, coalesce(first_value(t) OVER w, 0) + coalesce(sum(CASE WHEN bad IS NULL AND r >= 0 THEN d * (r + 1) ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM b WINDOW w AS (PARTITION BY l_orderkey, run ORDER BY k)),
+n AS (SELECT *, CAST(CASE WHEN bad IS NOT NULL THEN 1 WHEN r = -1 THEN greatest(ceil((till - s) / d), 0) ELSE r + 1 END AS BIGINT) AS n, CASE WHEN bad IS NOT NULL THEN s WHEN r = -1 THEN greatest(till, s) ELSE s + d * (r + 1) END AS fin FROM c),
+f AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, CASE WHEN bad IS NOT NULL THEN bad WHEN t < lag(fin) OVER w THEN 'overlap' WHEN t > lag(fin) OVER w THEN 'gap' END AS fault FROM n WINDOW w AS (PARTITION BY l_orderkey ORDER BY k))
+SELECT l_orderkey, CAST(base + i AS BIGINT) AS number, CAST(CASE WHEN bad IS NULL THEN s + i * d ELSE s END AS BIGINT) AS start, CAST(CASE WHEN bad IS NOT NULL THEN NULL WHEN r = -1 THEN least(d, till - s - i * d) ELSE d END AS BIGINT) AS length, CASE WHEN i = 0 THEN fault END AS fault FROM f, LATERAL (SELECT unnest(range(0, n)) AS i)""")
+def expanded_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each order's run-length timeline, with what is wrong with its entries."""
+    e = spark.sql(_ENTRIES, lineitem=table(spark, sf_dir, "lineitem"))
+    return timeline.expanded(e, ["l_orderkey"], "k", "t", "d", "r", "stop")

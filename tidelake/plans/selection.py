@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions import providers
 from tidelake.operators import selection as s
 from tidelake.registry import query
 from tidelake.sources.tables import table
@@ -139,3 +140,26 @@ def shared_resource_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.withColumn("resources", F.array(own, common)).withColumn("budget", F.col("budget") + 40)
     out = s.select_with_shared_resources(rows, "region", "nation", "choice", "utility", "resources", "budget")
     return out.select("region", "status", "utility", "cost", F.array_join("selection", ",").alias("selection"))
+
+
+_PROVIDED = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_quantity END AS weight, l_linenumber - 1 AS visible, CAST(round(l_discount * 100) AS INT) AS pixels, l_extendedprice AS base, l_extendedprice / 7 AS own FROM {lineitem}"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN weight IS NULL OR pixels <= 0 THEN NULL WHEN visible <= 0 THEN 0 ELSE round(least(weight * visible / pixels * (base - own), 500000), 4) END AS value,
+CASE WHEN weight IS NULL THEN 'missing weight' WHEN pixels <= 0 THEN 'no pixels' WHEN visible <= 0 THEN 'not visible' END AS reason FROM ({_PROVIDED.format(lineitem="lineitem")})""")
+def provided_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density utilities of lines by a provider that SQL calls as a table function, with the reason where there is none."""
+    providers.register(spark, "density_value", providers.Density())
+    rows = spark.sql(_PROVIDED, lineitem=table(spark, sf_dir, "lineitem"))
+    out = spark.sql("SELECT * FROM density_value(TABLE(SELECT * FROM {rows}), most => 500000.0D)", rows=rows)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("value", 4).alias("value"), "reason")
+
+
+@query("SELECT n_name, p_brand, round(sum(value), 2) AS value FROM (SELECT n_name, p_brand, greatest(count(*) * (max(l_discount) - avg(l_discount)), 0.5) AS value FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name, p_brand) GROUP BY ALL")
+def provided_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality gains of brands in nations by a provider, from SQL."""
+    providers.register(spark, "quality_value", providers.Quality())
+    names = {"lineitem": "l", "part": "p", "supplier": "s", "nation": "n"}
+    t = {v: table(spark, sf_dir, k) for k, v in names.items()}
+    rows = spark.sql("SELECT n_name, p_brand, count(*) AS seen, max(l_discount) AS base_error, avg(l_discount) AS error FROM {l} JOIN {p} ON p_partkey = l_partkey JOIN {s} ON s_suppkey = l_suppkey JOIN {n} ON n_nationkey = s_nationkey GROUP BY n_name, p_brand", **t)
+    return spark.sql("SELECT n_name, p_brand, round(value, 2) AS value FROM quality_value(TABLE(SELECT * FROM {rows}), floor => 0.5D)", rows=rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as f
+from tidelake.functions.strict import strict_json
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -73,3 +74,14 @@ def vector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     return e.join(nxt, "vec_id").select("vec_id", F.round(f.array_mse(F.col("embedding"), F.col("b")), 6).alias("mse"))
+
+
+#: Event properties, some of which are made wrong in one way each.
+_PROPS = "CASE event_id % 8 WHEN 1 THEN replace(props, '}', ', \"k\": 1}') WHEN 2 THEN '{\"k\": NaN}' WHEN 3 THEN concat(props, ' x') WHEN 4 THEN concat(props, ',', props) WHEN 5 THEN NULL WHEN 6 THEN rpad(props, 100, ' ') ELSE props END"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 8 IN (0, 7) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 8 = 5 THEN 'missing' WHEN event_id % 8 = 6 THEN 'too long' WHEN event_id % 8 BETWEEN 1 AND 4 THEN 'malformed' END AS fault FROM (SELECT event_id, props, {_PROPS} AS text FROM events)""")
+def strict_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number of each event's properties, or why they are no strict JSON: a name twice, NaN, something after the end, too many bytes."""
+    e = table(spark, sf_dir, "events").select("event_id", strict_json(F.expr(_PROPS), 64).alias("j"))
+    return e.select("event_id", F.try_variant_get("j.value", "$.k", "bigint").alias("k"), "j.fault")

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidelake.functions.strict import strict_json
 
 TIME_NAMES = ("time_s", "time_seconds", "timestamp", "time", "at_s", "t")
 RATE_NAMES = ("mbps", "bandwidth_mbps", "rate_mbps")
@@ -127,6 +130,63 @@ def manifest_xml(spark: SparkSession, path: str, row_tag: str = "Representation"
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
+def strict_documents(spark: SparkSession, path: str, schema: str, max_bytes: int = 16 << 20) -> DataFrame:
+    """(path, document) of JSON files that hold one document each, under a schema.
+
+    Files longer than max_bytes are refused before they are read; so are texts that are no
+    JSON, have a name twice, NaN or an infinity, or anything after their end, and
+    documents that the schema does not fit.
+    """
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    require(sizes, F.col("length") > max_bytes, "documents that are too long")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    require(texts.select("path", strict_json(F.col("value"), max_bytes)["fault"].alias("fault")), F.col("fault").isNotNull(), "documents that are not strict JSON")
+    fitted = texts.select("path", *_fitted(schema))
+    require(fitted.select("path", "unfit"), F.col("unfit"), "documents that the schema does not fit")
+    return fitted.select("path", "document")
+
+
+def _fitted(schema: str) -> tuple[Column, Column]:
+    """document: value under a schema; unfit: whether it has another form."""
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    read = F.from_json("value", f"{schema}, __unfit string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__unfit"})
+    return F.struct(*[read[n].alias(n) for n in names]).alias("document"), (read.isNull() | read["__unfit"].isNotNull()).alias("unfit")
+
+
+def strict_lines(spark: SparkSession, path: str, schema: str, max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Documents of JSON lines under a schema, and (path, text, fault) of the lines that are refused; blank lines do not count."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), "value", strict_json(F.col("value"), max_bytes)["fault"].alias("fault"))
+    read = lines.select("path", "value", *_fitted(schema), "fault").withColumn("fault", F.coalesce("fault", F.when(F.col("unfit"), "schema")))
+    bad = read.where("fault IS NOT NULL").select("path", F.substring("value", 1, 200).alias("text"), "fault")
+    return read.where("fault IS NULL").select("document.*"), bad
+
+
+MPD_NAMESPACE = "urn:mpeg:dash:schema:mpd:2011"
+
+
+def manifest_timelines(spark: SparkSession, path: str, profile: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, representation, place, t, d, r, end) of the segment timelines of MPD manifests, and (path, representation, bandwidth, timescale).
+
+    A manifest must be in the MPD namespace and, if asked, name a profile. end is the
+    presentation's length in the timeline's units, null where the manifest has none; only
+    lengths of whole and decimal seconds, minutes and hours are read (PT1H2M3.5S).
+    """
+    manifest_xml(spark, path, "MPD")  # refuses a DTD
+    schema = "_xmlns string, _profiles string, _mediaPresentationDuration string, Period array<struct<AdaptationSet: array<struct<Representation: array<struct<_id: string, _bandwidth: long, SegmentTemplate: struct<_timescale: long, SegmentTimeline: struct<S: array<struct<_t: long, _d: long, _r: long>>>>>>>>>>"
+    doc = spark.read.format("xml").option("rowTag", "MPD").schema(schema).load(path).withColumn("path", F.col("_metadata.file_path"))
+    require(doc, ~F.col("_xmlns").eqNullSafe(F.lit(MPD_NAMESPACE)), "manifests of another namespace")
+    if profile:
+        require(doc, ~F.coalesce(F.array_contains(F.split("_profiles", r"\s*,\s*"), profile), F.lit(False)), f"manifests without the profile {profile}")
+    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract("_mediaPresentationDuration", rf"([0-9.]+){unit}", 1), F.lit("")).cast("decimal(20,6)"), F.lit(0))
+    seconds = F.when(F.col("_mediaPresentationDuration").rlike(r"^PT([0-9.]+H)?([0-9.]+M)?([0-9.]+S)?$"), part("H") * 3600 + part("M") * 60 + part("S"))
+    reps = doc.withColumn("seconds", seconds).select("path", "seconds", F.explode("Period").alias("p")).select("path", "seconds", F.explode("p.AdaptationSet").alias("a")).select("path", "seconds", F.explode("a.Representation").alias("r"))
+    reps = reps.select("path", "seconds", F.col("r._id").alias("representation"), F.col("r._bandwidth").alias("bandwidth"), F.coalesce("r.SegmentTemplate._timescale", F.lit(1)).cast("long").alias("timescale"), F.col("r.SegmentTemplate.SegmentTimeline.S").alias("s"))
+    require(reps, F.col("representation").isNull() | F.col("s").isNull(), "representations without an id or a timeline")
+    require(reps.groupBy("path", "representation").count(), F.col("count") > 1, "representations that repeat")
+    entries = reps.select("path", "representation", F.floor(F.col("seconds") * F.col("timescale")).cast("long").alias("end"), F.posexplode("s").alias("place", "x"))
+    return entries.select("path", "representation", "place", F.col("x._t").alias("t"), F.col("x._d").alias("d"), F.col("x._r").alias("r"), "end"), reps.select("path", "representation", "bandwidth", "timescale")
+
+
 def container_header(spark: SparkSession, path: str, magic: bytes, schema: str) -> DataFrame:
     """path and header struct of binary containers: magic, header length (8 bytes, little endian), JSON header."""
     size = len(magic)
