@@ -60,9 +60,9 @@ def test_both_ways_against_brute_force(spark):
     want = brute(docs, items)
     assert (102, 4) in want and len(want) > 10
     for limits in ({}, {"broadcast_items": 2}):
-        got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal, -r.doc_start) for r in d.overlaps(left, right, **limits).collect()}
+        got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal, -r.doc_start) for r in d.overlaps(left, right, stretch="top", **limits).collect()}
         assert got == want, limits
-        kept = {r.doc_id for r in d.drop_contaminated(left, right, **limits).collect()}
+        kept = {r.doc_id for r in d.drop_contaminated(left, right, stretch="top", **limits).collect()}
         assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
@@ -113,7 +113,7 @@ def test_longest_stretch_by_definition(spark):
     assert all(any(i == 1000 + k for i, _ in want) for k in range(5 + 35))
     left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for limits in ({}, {"broadcast_items": 2}):
-        got = {(x.doc_id, x.item_id): (x.n_tokens, x.n_equal, -x.doc_start) for x in d.overlaps(left, right, stretch="longest", **limits).collect()}
+        got = {(x.doc_id, x.item_id): (x.n_tokens, x.n_equal, -x.doc_start) for x in d.overlaps(left, right, **limits).collect()}
         assert got == want, limits
-        kept = {x.doc_id for x in d.drop_contaminated(left, right, stretch="longest", **limits).collect()}
+        kept = {x.doc_id for x in d.drop_contaminated(left, right, **limits).collect()}
         assert kept == {i for i, _ in docs} - {i for i, _ in want}

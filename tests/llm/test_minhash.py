@@ -180,3 +180,11 @@ def test_likely_rows_hold_all_wanted(spark, monkeypatch):
     assert m.likely(rows, wanted.limit(0)).count() == 0
     monkeypatch.setattr(m, "MOST_BITS", 64)
     assert {r.doc_id for r in m.likely(rows, rows).collect()} == set(range(5000))
+
+
+def test_keep_one_of_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f g h", "x", "p", "q"), (2, "a b c d e f g h", "y", "r", "s"), (3, None, "z", "t", "u"), (None, "a b", "w", "v", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc_id_of_class string, __text_key_of_class string, __id string")
+    got = m.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.collect() if r.doc_id != 2)

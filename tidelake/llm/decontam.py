@@ -128,7 +128,7 @@ class Index:
         self.bounds = np.searchsorted(k[order], np.arange(len(self.offsets) + 1))
         self.hashes, self.owners, self.places = h[order], cat(owners, np.int64)[order], cat(places, np.int64)[order]
 
-    def overlaps(self, text: str, least: int, share: float, stretch: str = "top") -> list[tuple[int, int, int, int, int]]:
+    def overlaps(self, text: str, least: int, share: float, stretch: str = "longest") -> list[tuple[int, int, int, int, int]]:
         """(item, doc start, item start, tokens, equal tokens) of the best verified stretch with each item."""
         get = self.vocabulary.get
         ids = np.array([get(t, 0) for t in tokens(text)], np.uint64)
@@ -166,14 +166,14 @@ class Index:
         return [(item, *hit) for item, (_, hit) in sorted(best.items())]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "top") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "longest") -> DataFrame:
     """One row for each document and benchmark item that share a stretch: HITS.
 
     A stretch has `least` tokens or more, or `share` of a shorter item's, of which
     `share` are equal at equal distance; the longest is reported (ties: more equal
-    tokens, then the earliest). With stretch "longest" every such stretch counts, and
-    none is missed for a least of 13 or more and a share of 0.8 or more; with "top"
-    only the best-scoring one (MATCH, MISMATCH) of each diagonal. Very long texts are
+    tokens, then the earliest). None is missed for a least of 13 or more and a share of
+    0.8 or more; with stretch "top" only the best-scoring one (MATCH, MISMATCH) of each
+    diagonal is looked at, which is faster and misses some. Very long texts are
     read whole, one at a time. The benchmark goes to every executor where it has
     at most broadcast_chars characters in at most broadcast_items rows, else seeds
     are joined by a shuffle with the same result. Null or empty texts on either
@@ -215,7 +215,7 @@ def as_hits(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: float, stretch: str = "top") -> DataFrame:
+def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: float, stretch: str = "longest") -> DataFrame:
     """As overlaps(), for a benchmark of any size: seeds of both sides meet by hash.
 
     Seeds of training windows that no benchmark window has leave in the join; a
@@ -247,16 +247,19 @@ def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: fl
     left, right = docs.withColumn("key", key("doc_id")), items.withColumn("key", key("item_id")).dropDuplicates(["key"])
     ours = left.dropDuplicates(["key"]).select("key", "text").mapInPandas(lambda b: seeds(b, True), schema)
     theirs = right.select("key", "text").mapInPandas(lambda b: seeds(b, False), schema).withColumnsRenamed({"key": "item_key", "place": "item_place"})
-    pairs = ours.join(theirs, "seed").select("key", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+    # Both texts go once to a pair, with all its diagonals; a pair has at most as many as both texts have tokens.
+    met = ours.join(theirs, "seed").select("key", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal"))
+    pairs = met.groupBy("key", "item_key").agg(F.collect_set("diagonal").alias("diagonals"))
     both = pairs.join(left.select("key", "doc_id", F.col("text").alias("doc_text")), "key").join(right.select(F.col("key").alias("item_key"), "item_id", F.col("text").alias("item_text")), "item_key")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, item, diagonal, a, b in zip(batch["doc_id"].astype(object), batch["item_id"].astype(object), batch["diagonal"], batch["doc_text"], batch["item_text"], strict=True):
+            for doc, item, diagonals, a, b in zip(batch["doc_id"].astype(object), batch["item_id"].astype(object), batch["diagonals"], batch["doc_text"], batch["item_text"], strict=True):
                 x, y = token_ids(a), token_ids(b)
-                if hit := STRETCHES[stretch](x, y, diagonal, enough(len(y), least, share), share):
-                    rows.append((doc, item, *hit))
+                for diagonal in map(int, diagonals):
+                    if hit := STRETCHES[stretch](x, y, diagonal, enough(len(y), least, share), share):
+                        rows.append((doc, item, *hit))
             yield as_hits(rows)
 
     hits = both.mapInPandas(verified, HITS)
@@ -265,7 +268,7 @@ def overlaps_by_shuffle(docs: DataFrame, items: DataFrame, least: int, share: fl
     return best.select("doc_id", "item_id", (-F.col("b")["col3"]).cast("int").alias("doc_start"), F.col("b.item_start"), F.col("b.n_tokens"), F.col("b.n_equal"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "top") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_chars: int = 4 << 20, broadcast_items: int = 1 << 16, stretch: str = "longest") -> DataFrame:
     """docs without the rows that share a stretch with a benchmark item, as overlaps() finds it; other columns stay as they are."""
     bounded_batches(docs.sparkSession)
     index = small_index(keyed_text(benchmark, "item_id"), broadcast_chars, broadcast_items)

@@ -410,10 +410,11 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     Rows with a null id stay. Of rows that repeat both id and text one stays; where
     they differ in other columns it is any of them. Rows of one id and different texts
-    stay or go each by its own class.
+    stay or go each by its own class. Very long texts are read whole, each by itself.
+    Columns go by number here, so that no name can clash.
     """
-    id_, key = "__doc_id_of_class", "__text_key_of_class"
-    kept = keyed_classes(docs, least, "doc_id", "text").select(F.col("class_id").alias(id_), F.col("class_key").alias(key)).distinct()
-    keyed = docs.where("doc_id is not null").withColumns({id_: F.col("doc_id").cast("long"), key: text_key("text")})
-    first = keyed.join(kept, [id_, key], "left_semi").dropDuplicates([id_, key])
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    held = {f"__row{k}": name for k, name in enumerate(docs.columns)}
+    keyed = docs.select("*", F.col("doc_id").cast("long"), text_key("text")).toDF(*held, "__id", "__key")
+    kept = keyed_classes(docs, least, "doc_id", "text").select(F.col("class_id").alias("__id"), F.col("class_key").alias("__key")).distinct()
+    first = keyed.where("__id is not null").join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return first.select(*held).unionByName(keyed.where("__id is null").select(*held)).toDF(*docs.columns)
