@@ -2,8 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame. All but the last return the columns of documents. Whole texts go through
-all stages; null and empty texts pass every filter but the near-duplicate stage, which
-takes them for copies of each other.
+all stages, however long; null and empty texts pass every filter but the near-duplicate
+stage, which takes them for copies of each other. Of rows that repeat id and text one
+passes that stage; the other stages treat each row by itself. Further columns go along,
+whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -58,11 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's result is written to the shared folder and read again, and goes once the next is written."""
+    """STAGES over documents; each stage's result is written to the shared folder and read again, and goes once the next is written. The last one stays there, as the result reads it."""
     ensure_checkpoint_dir(spark)
-    with Scratch(spark) as scratch:
+    scratch = Scratch(spark)
+    try:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         for _, stage in STAGES:
             before, docs = docs, scratch.store(stage(spark, docs, sf_dir))
             scratch.drop(before)
-        return docs.checkpoint()
+        return docs
+    except BaseException:
+        scratch.remove(scratch.folder)
+        raise
