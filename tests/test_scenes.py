@@ -89,3 +89,47 @@ def test_projected_area(spark):
     assert area(spark, (1, 1, -2), (1, 2, -1)) is None
     # seen from the side two sides show: x from 1/2 to 1, their union is the outline
     assert math.isclose(area(spark, (1, -1, -4), (2, 1, -2.5)), 200 * 100 / 4 * ((2 - 1) / 2.5 * (2 / 2.5) + (1 / 2.5 - 1 / 4) * (2 / 2.5 + 2 / 4) / 2))
+
+
+def test_padded_boxes_and_bounded_growth(spark):
+    df = spark.createDataFrame([("a", k, 0.2 + k / 20) for k in range(8)], "s string, k int, h double")
+    got = scenes.placed(df, "s", "k", (-1, -1, -1), (1, 1, 1), 0.1, 3, size="h").orderBy("k").collect()
+    for i in got:
+        for j in got:
+            if i.k < j.k:
+                assert max(abs(i.x - j.x), abs(i.y - j.y), abs(i.z - j.z)) >= 0.4 + (i.k + j.k) / 20 + 0.1
+    with pytest.raises(Exception, match="no place"):
+        scenes.placed(df, "s", "k", (0, 0, 0), (0, 0, 0), 0.1, 3, size="h", most_growths=3).collect()
+
+
+def cut_area(low, high, rows, width, height):
+    """By sampling: of every pixel's middle, how many outward sides of the box it hits."""
+    m = np.array(rows, float)
+    n, total = 400, 0.0
+    for d in range(3):
+        for end, turn in ((low, -1), (high, 1)):
+            a, b = (d + 1) % 3, (d + 2) % 3
+            u = (np.arange(n) + 0.5) / n
+            p = np.zeros((n, n, 4))
+            p[..., d], p[..., 3] = end[d], 1
+            p[..., a], p[..., b] = (low[a] + u * (high[a] - low[a]))[:, None], (low[b] + u * (high[b] - low[b]))[None]
+            c = p @ m.T
+            da, db = m[:, a] * (high[a] - low[a]), m[:, b] * (high[b] - low[b])
+            w = c[..., 3]
+            seen = (w > 0) & (np.abs(c[..., :3]) <= w[..., None]).all(axis=2)
+            ju = [(da[k] * w - c[..., k] * da[3]) / w**2 for k in (0, 1)]
+            jv = [(db[k] * w - c[..., k] * db[3]) / w**2 for k in (0, 1)]
+            total += max(0.0, turn * float(((ju[0] * jv[1] - ju[1] * jv[0]) * seen).sum()) / n**2)
+    return total * width * height / 4
+
+
+def test_turned_boxes_against_sampling(spark):
+    r = np.random.default_rng(8)
+    for _ in range(6):
+        t = r.uniform(-0.7, 0.7)
+        c, s = math.cos(t), math.sin(t)
+        rows = [[c, 0, s, 0], [0, 1.5, 0, 0], [1.02 * s, 0, -1.02 * c, -2.02], [s, 0, -c, 0]]
+        low = np.array([r.uniform(-2, 1), r.uniform(-2, 1), r.uniform(-7, -2)])
+        high = low + r.uniform(0.5, 2.5, 3)
+        want = cut_area(low, high, rows, 200, 100)
+        assert abs(area(spark, low, high, rows) - want) <= 0.02 * want + 20

@@ -59,9 +59,16 @@ def first_available(*columns: str) -> Column:
     return F.coalesce(*told)
 
 
-def option_value(arguments: Column, name: str) -> Column:
-    """What follows a flag in an argument list; null where the flag is missing or last."""
-    return F.when(F.array_contains(arguments, F.lit(name)), F.get(arguments, F.array_position(arguments, F.lit(name)).cast("int")))
+def option_value(arguments: Column, *names: str) -> Column:
+    """What a flag of one of these names is given, as `--flag value` or `--flag=value`; the first of them that has a value counts, null where none has."""
+    flags = F.array(*[F.lit(n) for n in names])
+
+    def given(word: Column, k: Column) -> Column:
+        named = F.filter(flags, lambda n: F.startswith(word, F.concat(n, F.lit("="))))
+        inline = F.when(F.size(named) > 0, F.substring(word, F.length(named[0]) + 2, F.length(word)))
+        return F.when(F.array_contains(flags, word), F.get(arguments, k + 1)).otherwise(inline)
+
+    return F.get(F.filter(F.transform(arguments, given), lambda v: v.isNotNull()), F.lit(0))
 
 
 def safe_relative_path(path: Column) -> Column:
@@ -136,3 +143,14 @@ def array_mse(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.nullif(F.size(a), F.lit(0)))
+
+
+def similarity_scale(matrix: Column, tolerance: float = 1e-6) -> Column:
+    """How much a 3 x 3 matrix scales, if it only turns and scales: its rows are orthogonal and equally long, and it does not mirror; else null."""
+    dot = lambda i, j: F.aggregate(F.zip_with(matrix[i], matrix[j], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    square = dot(0, 0)
+    near = lambda x, want: F.abs(x - want) <= tolerance * square
+    rigid = near(dot(1, 1), square) & near(dot(2, 2), square) & near(dot(0, 1), F.lit(0.0)) & near(dot(0, 2), F.lit(0.0)) & near(dot(1, 2), F.lit(0.0))
+    m = lambda i, j: matrix[i][j]
+    det = m(0, 0) * (m(1, 1) * m(2, 2) - m(1, 2) * m(2, 1)) - m(0, 1) * (m(1, 0) * m(2, 2) - m(1, 2) * m(2, 0)) + m(0, 2) * (m(1, 0) * m(2, 1) - m(1, 1) * m(2, 0))
+    return F.when((square > 0) & rigid & (det > 0), F.sqrt(square))

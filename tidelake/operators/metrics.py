@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.storage import Scratch, ensure_checkpoint_dir
+
 
 def distribution(value: str) -> list[Column]:
     """count, total, mean, median, low and high; all but the count null without values."""
@@ -24,13 +26,53 @@ def nearest_rank_percentile(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
+def counted_values(df: DataFrame, by: Sequence[str], value: str, scratch: Scratch) -> DataFrame:
+    """by, value, n, before, all: how often each value of a group is there, how many of the group's values are less, and how many it has; nulls do not count.
+
+    Values are counted first and then dealt by ranges, so that neither a group's rows nor
+    its different values meet in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    dealt = scratch.store(counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__part").agg(F.sum("n").alias("__sum"))
+    ahead = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = sums.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__part").alias("__of"), F.coalesce(ahead, F.lit(0)).alias("__ahead"), F.sum("__sum").over(Window.partitionBy(*by)).alias("all"))
+    same = F.col("__part") == F.col("__of")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    local = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__local", local).join(parts, same).select(*by, value, "n", (F.col("__local") + F.col("__ahead")).alias("before"), "all")
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """by and a column for each of wanted, name: (kind, q).
+
+    "interpolated": between the values at (n - 1) q; "nearest": the value of rank
+    ceil(q n); "lower": the value at index floor(n q), at most n - 1 (half: (n - 1) // 2).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    with Scratch(df.sparkSession) as scratch:
+        counts = counted_values(df, by, value, scratch)
+        n, end = F.col("all"), F.col("before") + F.col("n")
+        at = lambda place: F.max(F.when((place >= F.col("before")) & (place < end), F.col(value)))
+        out = []
+        for name, (kind, q) in wanted.items():
+            if kind == "interpolated":
+                place = (n - 1) * q
+                low, high = at(F.floor(place)), at(F.ceil(place))
+                out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+            elif kind == "nearest":
+                out.append(at(F.greatest(F.ceil(n * q) - 1, F.lit(0))).alias(name))
+            elif kind == "lower":
+                out.append(at(F.floor((n - 1) / 2) if q == 0.5 else F.least(n - 1, F.floor(n * q))).alias(name))
+            else:
+                raise ValueError(f"no percentile {kind}")
+        return counts.groupBy(*by).agg(*out).checkpoint()
+
+
 def lower_percentile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """The value at index floor(n q), at most n - 1, of the sorted values (half: (n - 1) // 2); by rank, so no group is gathered."""
-    w = Window.partitionBy(*by)
-    n = F.count(value).over(w)
-    at = F.floor((n - 1) / 2) if q == 0.5 else F.least(n - 1, F.floor(n * q))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__at", at)
-    return ranked.where("__i = __at").select(*by, F.col(value).alias(name))
+    """The value at index floor(n q), at most n - 1, of the sorted values (half: (n - 1) // 2)."""
+    return order_statistics(df, by, value, {name: ("lower", q)})
 
 
 def harmonic_mean(value: str) -> Column:
@@ -79,15 +121,14 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
 
 
 def ranks_by_value(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """df with the rank from 0 of each row's value, ties sharing the mean of their ranks.
-
-    Rows are counted by value first, so that a window sees a group's different values
-    and not its rows.
-    """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("__n") - 1) / 2).drop("__n")
-    return df.join(ranks, [*by, value])
+    """df with the rank from 0 of each row's value in its group, ties sharing the mean of their ranks; a null value has no rank."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with Scratch(df.sparkSession) as scratch:
+        ranks = counted_values(df, by, value, scratch).select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col(value).alias("__v"), (F.col("before") + (F.col("n") - 1) / 2).alias(name), "all")
+        same = F.col(value) == F.col("__v")
+        for k, c in enumerate(by):
+            same &= F.col(c).eqNullSafe(F.col(f"__by{k}"))
+        return df.join(ranks, same, "left").drop("__v", "all", *[f"__by{k}" for k in range(len(by))]).checkpoint()
 
 
 def top_agreement(df: DataFrame, by: Sequence[str], key: str, predicted: str, actual: str, k: int) -> DataFrame:
@@ -107,7 +148,7 @@ def share_of_total(value: str, by: Sequence[str]) -> Column:
 def ranking_agreement(df: DataFrame, by: Sequence[str], predicted: str, actual: str) -> DataFrame:
     """mae, rmse, bias and Spearman correlation (average ranks) of two columns, by group."""
     e = F.col(predicted) - F.col(actual)
-    ranked = df.withColumn("__p", average_rank(predicted, by)).withColumn("__a", average_rank(actual, by))
+    ranked = ranks_by_value(ranks_by_value(df, by, predicted, "__p"), by, actual, "__a")
     return ranked.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr("__p", "__a").alias("spearman"))
 
 
@@ -121,16 +162,24 @@ def distinct_sum(df: DataFrame, by: Sequence[str], key: str, size: str, name: st
     return df.groupBy(*by, key).agg(F.max(size).alias("__s")).groupBy(*by).agg(F.sum("__s").alias(name))
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
-    """Order-free SHA-256 of rows: hashes of rows are sorted and hashed in buckets by hash prefix, then the buckets' hashes.
+def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """Order-free SHA-256 of rows: hashes of rows are sorted and hashed in buckets by their first hex digits, then the buckets' hashes by three digits less, and so on.
 
-    Repeated rows count. A bucket is a 4096th of the rows of a group, so no task
-    sorts a whole large group.
+    Repeated rows count. With three digits a bucket is a 4096th of a group; more digits,
+    which are part of what is hashed, are for groups of more than some hundred million rows.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(*by, row.alias("__h")).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int") % buckets)
-    part = rows.groupBy(*by, "__b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__p"))
-    return part.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__p"))), lambda x: x["__p"]), ""), 256).alias("fingerprint"))
+    level = df.select(*by, row.alias("__h")).withColumn("__b", F.substring("__h", 1, digits)).groupBy(*by, "__b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__p"))
+    for k in range(digits - 3, -3, -3):
+        level = _joined(level, by, max(k, 0))
+    return level.select(*by, F.col("__p").alias("fingerprint"))
+
+
+def _joined(level: DataFrame, by: Sequence[str], digits: int) -> DataFrame:
+    """Buckets of fewer digits: the hash of their own buckets' hashes in order."""
+    up = level.withColumn("__u", F.substring("__b", 1, digits))
+    parts = up.groupBy(*by, "__u").agg(F.array_sort(F.collect_list(F.struct("__b", "__p"))).alias("__all"))
+    return parts.select(*by, F.col("__u").alias("__b"), F.sha2(F.array_join(F.transform("__all", lambda x: x["__p"]), ""), 256).alias("__p"))
 
 
 def pairwise_accuracy(df: DataFrame, by: Sequence[str], predicted: str, actual: str) -> DataFrame:
@@ -155,3 +204,19 @@ def pairwise_accuracy(df: DataFrame, by: Sequence[str], predicted: str, actual:
     ties = ties.groupBy(*by).agg(F.sum((F.col("__s") * F.col("__s") - F.col("__q")) / 2).alias("__tied"))
     pairs = F.col("__right") + F.col("__wrong") + F.col("__tied")
     return parted.join(ties, list(by)).select(*by, pairs.cast("long").alias("pairs"), F.when(pairs > 0, (F.col("__right") + F.col("__tied") / 2) / pairs).alias("accuracy"))
+
+
+def frame_summary(df: DataFrame, by: Sequence[str], sse: str, count: str, duration: str, data_range: float = 1.0) -> DataFrame:
+    """pooled_quality() with the mean of decibels weighted by duration, the measured share of all time, and how many frames are without error."""
+    own = F.when((F.col(count) > 0) & (F.col(sse) > 0), psnr(F.col(sse) / F.nullif(F.col(count), F.lit(0)), data_range))
+    good = (F.col(count) > 0) & F.col(sse).isNotNull()
+    time = df.groupBy(*by).agg(
+        (F.sum(own * F.col(duration)) / F.nullif(F.sum(F.when(own.isNotNull(), F.col(duration))), F.lit(0.0))).alias("timed_psnr_db"),
+        (F.sum(F.when(good, F.col(duration))) / F.nullif(F.sum(duration), F.lit(0.0))).alias("time_coverage"),
+        F.count_if(good & (F.col(sse) == 0)).alias("n_infinite"),
+    )
+    pooled = pooled_quality(df, by, sse, count, data_range)
+    same = F.lit(True)
+    for c in by:
+        same &= pooled[c].eqNullSafe(time[c])
+    return pooled.join(time, same).select(*[pooled[c] for c in pooled.columns], "timed_psnr_db", "time_coverage", "n_infinite")

@@ -39,14 +39,19 @@ def joint_oracle(every: DataFrame, budgets: DataFrame, case: str, cost: str, err
     return scored.groupBy(case).agg(F.count("*").alias("feasible"), F.min(key).alias("__b")).select(case, "feasible", "__b.cost", "__b.pooled", "__b.selection")
 
 
-def oracle_gap(decided: DataFrame, oracle: DataFrame, on: Sequence[str], error: str) -> DataFrame:
-    """decided with gap and relative_gap to the oracle's error; a decision that beats the oracle by more than rounding is an error. An oracle of zero has no relative gap."""
-    best = oracle.select(*on, F.col(error).alias("__o"))
-    gap = F.col(error) - F.col("__o")
-    wrong = gap < -F.greatest(F.lit(1e-10), F.abs("__o") * 1e-12)
-    checked = F.when(wrong, F.raise_error(F.lit("a decision beats the oracle")).cast("double")).otherwise(F.greatest(gap, F.lit(0.0)))
-    rows = decided.join(best, list(on)).withColumn("gap", checked)
-    return rows.withColumn("relative_gap", F.col("gap") / F.nullif(F.col("__o"), F.lit(0.0))).drop("__o")
+def oracle_gap(decided: DataFrame, oracle: DataFrame, on: Sequence[str], error: str, places: int = 9) -> DataFrame:
+    """decided with gap, in decimals of so many places, and relative_gap to the oracle's error.
+
+    Errors are compared as decimals, so that what differs below the last place is equal;
+    a decision whose error is then below the oracle's is an error. An oracle of zero has
+    no relative gap.
+    """
+    exact = lambda c: F.col(c).cast(f"decimal(38,{places})")
+    best = oracle.select(*on, exact(error).alias("__least"))
+    rows = decided.join(best, list(on)).withColumn("gap", (exact(error) - F.col("__least")).cast("double"))
+    sound = F.assert_true(F.coalesce(F.col("gap") >= 0, F.lit(True)), F.lit("a decision beats the oracle"))
+    share = F.col("gap") / F.nullif(F.col("__least").cast("double"), F.lit(0.0))
+    return rows.where(sound.isNull()).withColumn("relative_gap", share).drop("__least")
 
 
 def policy_values(policy: str, quality: str, base: str, own: str, case: str, item: str, choice: str) -> Column:
@@ -170,6 +175,13 @@ def plan(targets: DataFrame, case: str, item: str, choice: str, weight: str, qua
     return out.select(case, item, F.coalesce("__best", "__cheap").alias(choice), F.when(F.col("__best").isNull(), "fallback").otherwise("planned").alias("status"))
 
 
+def plan_rates(planned: DataFrame, targets: DataFrame, case: str, item: str, choice: str, resources: str, budget: str) -> DataFrame:
+    """case, union_bytes, budget, fits of a plan: the bytes of all resources that its choices need, each once a case, whoever shares them."""
+    taken = planned.select(case, item, choice).join(targets, [case, item, choice]).select(case, F.col(budget).alias("budget"), F.explode_outer(resources).alias("__r"))
+    once = taken.groupBy(case, "budget", "__r.id").agg(F.max("__r.bytes").alias("__b"))
+    return once.groupBy(case).agg(F.coalesce(F.sum("__b"), F.lit(0)).alias("union_bytes"), F.max("budget").alias("budget"), F.coalesce(F.coalesce(F.sum("__b"), F.lit(0)) <= F.max("budget"), F.lit(False)).alias("fits"))
+
+
 def replayed(recorded: DataFrame, again: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """on, verdict of decisions made again: same, changed (nulls being equal), lost (recorded only) or new."""
     a = recorded.select(*on, F.struct(*values).alias("__a"))

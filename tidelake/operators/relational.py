@@ -17,6 +17,13 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequenc
     return left.join(side, list(on), "left").withColumn(missing, F.when(F.col("__hit").isNull(), "not found")).drop("__hit")
 
 
+def lookup_one(left: DataFrame, index: DataFrame, on: Sequence[str], values: Sequence[str], missing: str = "reason") -> DataFrame:
+    """As lookup(), for an index whose keys may repeat: a target with several entries gets none of them, and the reason "ambiguous"."""
+    side = index.groupBy(*on).agg(*[F.first(v).alias(v) for v in values], F.count("*").alias("__n"))
+    found = left.join(side, list(on), "left").withColumn(missing, F.when(F.col("__n").isNull(), "not found").when(F.col("__n") > 1, "ambiguous"))
+    return found.withColumns({v: F.when(F.col("__n") == 1, F.col(v)) for v in values}).drop("__n")
+
+
 def paired(base: DataFrame, other: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Rows of both sides by key with other - base of each value as delta_*."""
     a = base.select(*on, *[F.col(v).alias(f"base_{v}") for v in values])
@@ -159,31 +166,34 @@ def fair_share(df: DataFrame, by: Sequence[str], key: str, demand: str, capacity
         return shared.unionByName(rest).drop("__d", "__l", "__from").checkpoint()
 
 
-def pareto_front(df: DataFrame, by: Sequence[str], smaller: str, larger: Sequence[str], blocks: int = 16) -> DataFrame:
+def pareto_front(df: DataFrame, by: Sequence[str], smaller: str, larger: Sequence[str], block_points: int = 2048) -> DataFrame:
     """Rows that no row of their group dominates: at most as much of one, at least as much of each other, better in one. Rows with a null there are left out.
 
-    Rows are brought down to different points; blocks of points by hash drop what
-    their own points dominate, and only what is left is held against a whole group.
+    Rows are brought down to different points. Blocks of about block_points points by hash
+    drop what their own points dominate, again and again in other blocks as long as that
+    drops a tenth of them; only what is then left is held against a whole group.
     """
     axes = [smaller, *larger]
-    points = df.select(*by, *axes).dropna(subset=axes).distinct()
 
     def undominated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         a, b = rows.alias("a"), rows.alias("b")
-        at_least = (F.col(f"b.{smaller}") <= F.col(f"a.{smaller}"))
+        at_least = F.col(f"b.{smaller}") <= F.col(f"a.{smaller}")
         better = F.col(f"b.{smaller}") < F.col(f"a.{smaller}")
         for c in larger:
             at_least &= F.col(f"b.{c}") >= F.col(f"a.{c}")
             better |= F.col(f"b.{c}") > F.col(f"a.{c}")
-        same = F.lit(True)
-        for k in keys:
-            same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        return a.join(b, same & at_least & better, "left_anti")
-
-    block = F.pmod(F.xxhash64(*axes), F.lit(blocks))
-    left = undominated(points.withColumn("__block", block), [*by, "__block"]).drop("__block")
-    front = undominated(left, by)
-    return df.join(front.withColumnsRenamed({c: f"__{c}" for c in front.columns}), _all([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, *axes]]), "left_semi")
+        return a.join(b, _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]) & at_least & better, "left_anti")
+
+    ensure_checkpoint_dir(df.sparkSession)
+    with Scratch(df.sparkSession) as scratch:
+        points = scratch.store(df.select(*by, *axes).dropna(subset=axes).distinct())
+        left, before, turn = points.count(), None, 0
+        while left > block_points and (before is None or left < 0.9 * before):
+            block = F.pmod(F.xxhash64(F.lit(turn), *axes), F.lit(-(-left // block_points)))
+            points = scratch.store(undominated(points.withColumn("__block", block), [*by, "__block"]).drop("__block"))
+            left, before, turn = points.count(), left, turn + 1
+        front = scratch.store(undominated(points, by)).withColumnsRenamed({c: f"__{c}" for c in [*by, *axes]})
+        return df.join(front, _all([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, *axes]]), "left_semi").checkpoint()
 
 
 def _all(conditions: Sequence[Column]) -> Column:

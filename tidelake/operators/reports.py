@@ -130,6 +130,66 @@ def missing_bytes(wanted: DataFrame, resident: DataFrame, by: Sequence[str], key
     return new.groupBy(*by, key).agg(F.max(size).alias("__s")).groupBy(*by).agg(F.sum("__s").alias("missing_bytes"), F.count("*").alias("n_missing"))
 
 
+def owned_bytes(wanted: DataFrame, resident: DataFrame, owner: str, choice: str, key: str, size: str) -> DataFrame:
+    """owner, choice, missing_bytes, reason: bytes of a choice's distinct resources that are not resident; no bytes and the reason "shared" where a resource is another owner's too, "size differs" where it has two sizes."""
+    pairs = wanted.groupBy(owner, choice, key).agg(F.max(size).alias("__s"))
+    facts = wanted.groupBy(key).agg((F.count_distinct(owner) > 1).alias("__shared"), (F.count_distinct(size) > 1).alias("__differs"))
+    held = resident.select(key).distinct().withColumn("__held", F.lit(True))
+    sums = pairs.join(facts, key).join(held, key, "left").groupBy(owner, choice).agg(F.sum(F.when(F.col("__held").isNull(), F.col("__s")).otherwise(0)).alias("missing_bytes"), F.bool_or("__shared").alias("__shared"), F.bool_or("__differs").alias("__differs"))
+    reason = F.when(F.col("__shared"), "shared").when(F.col("__differs"), "size differs")
+    return sums.select(owner, choice, F.when(reason.isNull(), F.col("missing_bytes")).alias("missing_bytes"), reason.alias("reason"))
+
+
+def smallest_that_hold(rows: DataFrame, by: Sequence[str], variant: str, prefix: str, mean: str, worst: str, size: str, most_mean: float, most_worst: float, near: float) -> DataFrame:
+    """by, variant, size, near_variants: the smallest variant whose mean and worst loss hold for every prefix that its group has, ties by variant; and how many others that hold are within `near` of its size."""
+    held = F.bool_and(F.coalesce((F.col(mean) <= most_mean) & (F.col(worst) <= most_worst), F.lit(False)))
+    each = rows.groupBy(*by, variant).agg(held.alias("__ok"), F.count_distinct(prefix).alias("__n"), F.max(size).alias(size))
+    wanted = rows.groupBy(*by).agg(F.count_distinct(prefix).alias("__all"))
+    good = each.join(wanted, list(by)).where("__ok AND __n = __all").select(*by, variant, size)
+    least = good.groupBy(*by).agg(F.min(F.struct(size, variant)).alias("__m"))
+    both = good.join(least, list(by))
+    return both.groupBy(*by).agg(F.first("__m")[variant].alias(variant), F.first("__m")[size].alias(size), (F.count_if(F.col(size) <= F.col("__m")[size] * (1 + near)) - 1).alias("near_variants"))
+
+
+def conservation_faults(delivered: DataFrame, by: Sequence[str], time: str, tie: str, amount: str, capacity: str, tolerance: float) -> DataFrame:
+    """Rows by whose time more has come than could: the sum of amounts so far is above `capacity`, what the link could carry by then, by more than tolerance; by, time, tie, over."""
+    so_far = F.sum(amount).over(Window.partitionBy(*by).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0))
+    over = so_far - F.col(capacity)
+    return delivered.withColumn("over", over).where(F.col("over") > tolerance).select(*by, time, tie, "over")
+
+
+def catalog_faults(rows: DataFrame, content: str, variant: str, place: str, mapping: str, rate: str, length: str) -> DataFrame:
+    """rule and key of what a catalog of variants breaks: "places" (a variant's are not 0 to n - 1), "mapping" (variants of a content map a place differently, or not all have it), "rate" (a variant has several), "whole frames" (a piece is no whole number of frames)."""
+    key = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c]).alias("key")
+    row = lambda df, rule, *c: df.select(F.lit(rule).alias("rule"), key(*c)).distinct()
+    per = rows.groupBy(content, variant).agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"), F.count_distinct(place).alias("__d"), F.count("*").alias("__n"), F.count_distinct(rate).alias("__rates"))
+    out = row(per.where("__lo != 0 OR __hi != __n - 1 OR __d != __n"), "places", content, variant)
+    variants = rows.groupBy(content).agg(F.count_distinct(variant).alias("__v"))
+    maps = rows.groupBy(content, place).agg(F.count_distinct(mapping).alias("__m"), F.count_distinct(variant).alias("__have")).join(variants, content)
+    out = out.unionByName(row(maps.where("__m != 1 OR __have != __v"), "mapping", content, place))
+    out = out.unionByName(row(per.where("__rates != 1"), "rate", content, variant))
+    frames = F.col(length) * F.col(rate)
+    return out.unionByName(row(rows.where(F.abs(frames - F.round(frames)) > 1e-6), "whole frames", content, variant, place))
+
+
+def window_picks(windows: DataFrame, value: str, spread: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """kind and the row of windows that stands for it: of the kinds low, middle and high by two quantiles of `value`, the window nearest to its kind's medians of value and spread, each in interquartile ranges; ties by start.
+
+    Quantiles come from counts by value over all windows; only five numbers a kind travel.
+    """
+    cuts = windows.agg(F.percentile(value, low).alias("__l"), F.percentile(value, high).alias("__h"))
+    kind = F.when(F.col(value) <= F.col("__l"), "low").when(F.col(value) >= F.col("__h"), "high").otherwise("middle")
+    named = windows.join(F.broadcast(cuts)).withColumn("kind", kind).drop("__l", "__h")  # cuts: one row
+    q = lambda c, p: F.percentile(c, p)
+    facts = named.groupBy("kind").agg(*[f.alias(n) for c, k in ((value, "v"), (spread, "s")) for f, n in ((q(c, 0.5), f"__{k}m"), (q(c, 0.75) - q(c, 0.25), f"__{k}r"))])
+    far = F.lit(0.0)
+    for c, k in ((value, "v"), (spread, "s")):
+        far += F.abs(F.col(c) - F.col(f"__{k}m")) / F.when(F.col(f"__{k}r") > 0, F.col(f"__{k}r")).otherwise(1.0)
+    ranked = named.join(F.broadcast(facts), "kind").withColumn("__far", F.round(far, 9))  # three rows
+    best = ranked.groupBy("kind").agg(F.min_by(F.struct(*windows.columns), F.struct("__far", "start")).alias("__w"))
+    return best.select("kind", "__w.*")
+
+
 def window_classes(df: DataFrame, time: str, value: str, length: str, slide: str) -> DataFrame:
     """start, n, mean, variance and class of hopping windows: stable, variable or middle by thirds of the variance, low, middle or high by thirds of the mean."""
     w = df.groupBy(F.window(time, length, slide)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))

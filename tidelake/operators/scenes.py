@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -16,7 +15,7 @@ from tidelake.functions.scalars import transformed
 LAYOUTS = ("line", "circle")
 
 
-def layout(df: DataFrame, by: Sequence[str], order: str, kind: str, spacing: float = 1.25, radii: tuple[float, float] = (2.0, 1.2)) -> DataFrame:
+def layout(df: DataFrame, by: Sequence[str], order: str, kind: str, spacing: float = 1.0, radii: tuple[float, float] = (3.0, 2.0)) -> DataFrame:
     """df with x, y, z: each scene's objects in order on a line about its middle, or around an ellipse."""
     if kind not in LAYOUTS:
         raise ValueError(f"layout {kind}, not one of {LAYOUTS}")
@@ -28,12 +27,14 @@ def layout(df: DataFrame, by: Sequence[str], order: str, kind: str, spacing: flo
     return df.withColumns({"x": x, "y": F.lit(0.0), "z": z})
 
 
-def placed(df: DataFrame, scene: str, key: str, low: Sequence[float], high: Sequence[float], apart: float, seed: int, attempts: int = 64, growth: float = 1.25) -> DataFrame:
-    """scene, key, x, y, z: objects at random places of a box, no two nearer than `apart`; repeated keys count once.
+def placed(df: DataFrame, scene: str, key: str, low: Sequence[float], high: Sequence[float], apart: float, seed: int, attempts: int = 64, growth: float = 1.5, size: str | None = None, most_growths: int = 64) -> DataFrame:
+    """scene, key, x, y, z: objects at random places of a box, none in another's way; repeated keys count once.
 
-    Each object in order of key tries `attempts` places; where none is free, the box grows
-    about its middle by `growth` and it tries again. Places follow (seed, scene) only. One
-    task places one scene, whose objects must be few.
+    Objects are in each other's way if they are nearer than `apart`; with size, a column of
+    half edges, if their boxes, padded by `apart`, overlap on all axes. Each object in order
+    of key tries `attempts` places; where none is free, the box grows about its middle by
+    `growth` and it tries again, at most `most_growths` times, after which it is an error.
+    Places follow (seed, scene) only. One task places one scene, whose objects must be few.
     """
     if apart < 0 or attempts < 1 or growth <= 1:
         raise ValueError("a distance of at least 0, an attempt and a growth above 1 are needed")
@@ -42,20 +43,25 @@ def placed(df: DataFrame, scene: str, key: str, low: Sequence[float], high: Sequ
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows[scene].iloc[0]
         draw = np.random.default_rng([seed, *str(name).encode()])
-        keys, reach = sorted(rows[key].unique()), half.copy()
+        own = rows.sort_values(list(rows.columns)).drop_duplicates(key)
+        keys, reach, grown = own[key].to_numpy(), half.copy(), 0
+        sizes = own[size].to_numpy(float) if size else np.zeros(len(keys))
         places = np.zeros((len(keys), 3))
         for k in range(len(keys)):
             while True:
                 tries = middle + draw.uniform(-1, 1, (attempts, 3)) * reach
-                free = (np.linalg.norm(tries[:, None] - places[None, :k], axis=2) >= apart).all(1)
+                gaps = np.abs(tries[:, None] - places[None, :k])
+                free = (gaps.max(axis=2) >= sizes[:k] + sizes[k] + apart).all(1) if size else (np.linalg.norm(gaps, axis=2) >= apart).all(1)
                 if free.any():
                     places[k] = tries[np.argmax(free)]
                     break
-                reach *= growth
+                if grown == most_growths:
+                    raise ValueError(f"scene {name} has no place for {keys[k]} after {grown} growths")
+                reach, grown = reach * growth, grown + 1
         return pd.DataFrame({scene: name, key: keys, "x": places[:, 0], "y": places[:, 1], "z": places[:, 2]})
 
     kinds = dict(df.dtypes)
-    return df.select(scene, key).groupBy(scene).applyInPandas(one, f"{scene} {kinds[scene]}, {key} {kinds[key]}, x double, y double, z double")
+    return df.select(scene, key, *([size] if size else [])).groupBy(scene).applyInPandas(one, f"{scene} {kinds[scene]}, {key} {kinds[key]}, x double, y double, z double")
 
 
 def sine_yaw(frame: Column, period: int, amplitude: float) -> Column:
@@ -90,51 +96,93 @@ def source_local(turn: Column, offset: Column, object_turn: Column, scale: Colum
     return F.struct(product.alias("turn"), there.alias("offset"))
 
 
-def _outward_triangles() -> list[tuple[tuple[int, ...], ...]]:
-    """Corners (bits of x, y, z) of a box's twelve triangles, each anticlockwise as seen from outside."""
+#: Of a side: its corner of least other coordinates and the two edges from it, in clip space; whether a turn from the first edge to the second is anticlockwise as seen from outside.
+_SIDE = "struct<o:array<double>,a:array<double>,b:array<double>,turn:double>"
+#: Lines nearer than this to each other, on a side that reaches from 0 to 1, are one.
+_TOUCH = 1e-9
+
+
+def _sides(low: Column, high: Column, rows: Column) -> Column:
+    """The six sides of a box."""
+    step = lambda d: F.transform(rows, lambda r: r[d] * (high[d] - low[d]))
+    least = transformed(rows, F.concat(low, F.array(F.lit(1.0))))
     out = []
-    for axis, side in itertools.product(range(3), (0, 1)):
-        u, v = (axis + 1) % 3, (axis + 2) % 3
-        ring = [(0, 0), (1, 0), (1, 1), (0, 1)] if side else [(0, 0), (0, 1), (1, 1), (1, 0)]
-        quad = [tuple(side if d == axis else a if d == u else b for d in range(3)) for a, b in ring]
-        out += [(quad[0], quad[1], quad[2]), (quad[0], quad[2], quad[3])]
-    return out
+    for d in range(3):
+        first, second = step((d + 1) % 3), step((d + 2) % 3)
+        far = F.zip_with(least, step(d), lambda x, y: x + y)
+        out += [F.struct(o.alias("o"), first.alias("a"), second.alias("b"), F.lit(turn).alias("turn")) for o, turn in ((least, -1.0), (far, 1.0))]
+    return F.array(*out).cast(f"array<{_SIDE}>")
+
+
+def _on(side: Column, u: Column, v: Column) -> Column:
+    """The place on the screen of a side's point, both in [-1, 1] where it is seen."""
+    x, y, w = (side["o"][k] + u * side["a"][k] + v * side["b"][k] for k in (0, 1, 3))
+    return F.struct((x / w).alias("x"), (y / w).alias("y"))
+
+
+def _cut_area(side: Column) -> Column:
+    """Signed area on the screen of what is in view of a side.
+
+    A point of a side is o + u a + v b, and in view where ten linear conditions on (u, v)
+    hold: four of the side and six of the view. Each of their lines bounds what is in view
+    along one range at most, which the other nine conditions narrow; the ranges, each run
+    through with the view on its left, close the outline, whose area is a sum over them.
+    """
+    rule = lambda c, u, v: F.struct(c.cast("double").alias("c"), u.cast("double").alias("u"), v.cast("double").alias("v"), F.sqrt(u * u + v * v).cast("double").alias("n"))
+    lit = lambda x: F.lit(float(x))
+    rules = [rule(lit(0), lit(1), lit(0)), rule(lit(1), lit(-1), lit(0)), rule(lit(0), lit(0), lit(1)), rule(lit(1), lit(0), lit(-1))]
+    rules += [rule(*[side[part][3] + sign * side[part][k] for part in ("o", "a", "b")]) for k in range(3) for sign in (1, -1)]
+    # Conditions in which (u, v) do not occur hold or not for the whole side.
+    scaled = F.transform(F.array(*rules), lambda r: F.when(r["n"] > 0, F.struct((r["c"] / r["n"]).alias("c"), (r["u"] / r["n"]).alias("u"), (r["v"] / r["n"]).alias("v"))).otherwise(F.struct(r["c"].alias("c"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))))
+
+    def edges(all_: Column) -> Column:
+        def edge(line: Column, own: Column) -> Column:
+            u, v = -line["c"] * line["u"], -line["c"] * line["v"]
+
+            def narrowed(at: Column, k: Column) -> Column:
+                r = F.get(all_, k)
+                off, along = r["c"] + r["u"] * u + r["v"] * v, r["u"] * line["v"] - r["v"] * line["u"]
+                same = F.abs(along) <= 1e-12
+                # Of lines that are one the first counts; where their conditions are opposite, nothing lies between.
+                opposite = r["u"] * line["u"] + r["v"] * line["v"] < 0
+                shut = same & ((off < -_TOUCH) | (off <= _TOUCH) & ((k < own) | opposite))
+                low = F.when(shut, F.lit(float("inf"))).when(~same & (along > 0), F.greatest(at["low"], -off / along)).otherwise(at["low"])
+                high = F.when(~same & (along < 0), F.least(at["high"], -off / along)).otherwise(at["high"])
+                return F.when(k == own, at).otherwise(F.struct(low.alias("low"), high.alias("high")))
+
+            whole = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+            reach = F.aggregate(F.sequence(F.lit(0), F.lit(9)), whole, narrowed)
+            ends = lambda t: _on(side, u + t * line["v"], v - t * line["u"])
+            piece = F.struct(ends(reach["low"]).alias("p"), ends(reach["high"]).alias("q"))
+            return F.when(((line["u"] != 0) | (line["v"] != 0)) & (reach["low"] < reach["high"]), piece["p"]["x"] * piece["q"]["y"] - piece["q"]["x"] * piece["p"]["y"])
+
+        return F.aggregate(F.transform(all_, edge), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0))) / 2
+
+    return F.transform(F.array(scaled), edges)[0]
+
+
+def _whole_area(side: Column) -> Column:
+    """Signed area on the screen of a side's two halves along the diagonal from its first corner, of which each counts if its corners are in view."""
+    at = lambda u, v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: side["o"][k] + u * side["a"][k] + v * side["b"][k])
+    seen = lambda p: (p[3] > 0) & (F.abs(p[0]) <= p[3]) & (F.abs(p[1]) <= p[3]) & (F.abs(p[2]) <= p[3])
+    start, end = at(0, 0), at(1, 1)
+
+    def half(p: Column, q: Column, r: Column) -> Column:
+        x, y = ([c[k] / c[3] for c in (p, q, r)] for k in (0, 1))
+        return F.when(seen(p) & seen(q) & seen(r), ((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2).otherwise(0.0)
+
+    return half(start, at(1, 0), end) + half(start, end, at(0, 1))
 
 
 def projected_area(low: Column, high: Column, rows: Column, width: float, height: float, clip: bool = True) -> Column:
     """Pixels that the sides of a box facing the camera cover, each side by itself.
 
-    rows is a 4 x 4 matrix to clip space, -w <= x, y, z <= w. With `clip` triangles are cut
-    at the six planes; without, those with a corner outside count nothing. Null where the
-    box has no extent on an axis.
+    rows is a 4 x 4 matrix to clip space, where -w <= x, y, z <= w is in view. With `clip`
+    what is in view of a side counts; without, the halves of sides that are in view as a
+    whole. A side faces the camera if it shows its outside, as then its outline runs
+    anticlockwise. Null where the box has no extent on an axis.
     """
-    corner = lambda bits: F.array(*[(high if b else low)[d] for d, b in enumerate(bits)], F.lit(1.0))
-    triangles = F.array(*[F.array(*[transformed(rows, corner(bits)) for bits in t]) for t in _outward_triangles()])
-    planes = F.array(*[F.array(*[F.lit(float(s) if d == axis else 0.0) for d in range(3)], F.lit(1.0)) for axis in range(3) for s in (1, -1)])
-    away = lambda plane, p: plane[0] * p[0] + plane[1] * p[1] + plane[2] * p[2] + plane[3] * p[3]
-
-    def cut(polygon: Column, plane: Column) -> Column:
-        def side(p: Column, k: Column) -> Column:
-            q = F.element_at(polygon, F.when(k == 0, F.size(polygon)).otherwise(k))
-            at, before = away(plane, p), away(plane, q)
-            crossing = F.zip_with(q, p, lambda a, b: a + before / (before - at) * (b - a))
-            none = F.slice(F.array(p), 1, 0)
-            return F.concat(F.when((at >= 0) != (before >= 0), F.array(crossing)).otherwise(none), F.when(at >= 0, F.array(p)).otherwise(none))
-
-        return F.flatten(F.transform(polygon, side))
-
-    def turned_area(polygon: Column) -> Column:
-        def part(p: Column, k: Column) -> Column:
-            q = F.element_at(polygon, F.when(k == 0, F.size(polygon)).otherwise(k))
-            return q[0] / q[3] * (p[1] / p[3]) - p[0] / p[3] * (q[1] / q[3])
-
-        twice = F.aggregate(F.transform(polygon, part), F.lit(0.0), lambda t, x: t + x)
-        return F.when(F.forall(polygon, lambda p: p[3] > 1e-12), F.greatest(twice / 2, F.lit(0.0))).otherwise(0.0)
-
-    def whole(polygon: Column) -> Column:
-        return F.forall(polygon, lambda p: (p[3] > 0) & (F.abs(p[0]) <= p[3]) & (F.abs(p[1]) <= p[3]) & (F.abs(p[2]) <= p[3]))
-
-    kept = F.transform(triangles, lambda t: F.aggregate(planes, t, cut)) if clip else F.filter(triangles, whole)
-    area = F.aggregate(F.transform(F.filter(kept, lambda t: F.size(t) > 2), turned_area), F.lit(0.0), lambda t, x: t + x)
+    one = lambda side: F.greatest((_cut_area if clip else _whole_area)(side) * side["turn"], F.lit(0.0))
+    area = F.aggregate(F.transform(_sides(low, high, rows), one), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
     solid = F.forall(F.zip_with(low, high, lambda a, b: a < b), lambda b: b)
     return F.when(solid, area * (width * height / 4))

@@ -198,3 +198,31 @@ def display_records(df: DataFrame, by: Sequence[str], wall: str, media: str, ste
     shown = rows.where((F.col("__m1") > F.col("__m0")) & (last >= first)).withColumn("frame", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     part = (F.col("frame") * step - F.col("__m0")) / (F.col("__m1") - F.col("__m0"))
     return shown.select(*by, "frame", (F.col("__w0") + part * (F.col("__w1") - F.col("__w0"))).alias("wall"))
+
+
+def sample_durations(df: DataFrame, by: Sequence[str], time: str, tie: str, explicit: str, rate: float, name: str = "duration") -> DataFrame:
+    """How long each sample holds and why: its explicit duration, else until the next one's time, else 1 / rate; name and name_from (explicit, next, rate). Negative explicit durations do not count."""
+    own = F.when(F.col(explicit) >= 0, F.col(explicit).cast("double"))
+    gap = (F.lead(time).over(Window.partitionBy(*by).orderBy(time, tie)) - F.col(time)).cast("double")
+    source = F.when(own.isNotNull(), "explicit").when(gap.isNotNull(), "next").otherwise("rate")
+    return df.withColumns({name: F.coalesce(own, gap, F.lit(1.0 / rate)), f"{name}_from": source})
+
+
+def stall_pairs(df: DataFrame, by: Sequence[str], time: str, tie: str, kind: str, start: str, end: str, shown: str, period: float, near: float) -> DataFrame:
+    """by, started, ended, stalled, cause of each stall: a start with the next end; an end without one and a start that never ends are left out.
+
+    cause: "startup" if nothing had been shown by then, "boundary" if it began within
+    `near` after or before a multiple of `period`, else "feature". Of starts that follow
+    each other without an end the first counts.
+    """
+    w = Window.partitionBy(*by).orderBy(time, tie)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(F.col(kind) == shown).over(before), F.lit(False))
+    # A stall's number is how many ends came before it.
+    number = F.coalesce(F.sum((F.col(kind) == end).cast("int")).over(before), F.lit(0))
+    marks = df.withColumns({"__seen": seen, "__k": number}).where(F.col(kind).isin(start, end))
+    starts = F.min(F.when(F.col(kind) == start, F.struct(F.col(time).alias("t"), F.col(tie).alias("i"), F.col("__seen").alias("seen"))))
+    pairs = marks.groupBy(*by, "__k").agg(starts.alias("__s"), F.min(F.when(F.col(kind) == end, F.col(time))).alias("ended")).where("__s IS NOT NULL AND ended IS NOT NULL")
+    phase = F.pmod(F.col("__s.t").cast("double"), F.lit(float(period)))
+    cause = F.when(~F.col("__s.seen"), "startup").when((phase <= near) | (phase >= period - near), "boundary").otherwise("feature")
+    return pairs.select(*by, F.col("__s.t").alias("started"), "ended", (F.col("ended") - F.col("__s.t")).alias("stalled"), cause.alias("cause"))

@@ -70,11 +70,12 @@ def frame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(scalars.frame_range(text), ",").alias("frames"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 >= 2 THEN CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_size % 5 >= 4 THEN p_brand END AS brand FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 >= 2 THEN CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_size % 5 >= 4 THEN p_brand WHEN p_size % 5 = 3 THEN 'b=' || p_type END AS brand FROM part")
 def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two options of argument lists that are cut short."""
-    given = F.slice(F.array(F.lit("--size"), F.col("p_size").cast("string"), F.lit("--brand"), F.col("p_brand")), F.lit(1), F.col("p_size").cast("int") % 5)
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.option_value(given, "--size").alias("size"), scalars.option_value(given, "--brand").alias("brand"))
+    """Two options of argument lists that are cut short; one has two names and may be joined to its value."""
+    words = F.array(F.lit("--size"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 5 == 3, F.concat(F.lit("-b=b="), F.col("p_type"))).otherwise("--brand"), F.col("p_brand"))
+    given = F.slice(words, F.lit(1), F.col("p_size").cast("int") % 5)
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.option_value(given, "--size").alias("size"), scalars.option_value(given, "--brand", "-b").alias("brand"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'price' WHEN p_size > 20 THEN 'brand' WHEN p_size > 10 THEN 'kind' END AS name, CASE WHEN p_size > 40 THEN CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) WHEN p_size > 20 THEN p_brand WHEN p_size > 10 THEN p_type END AS value FROM part")

@@ -19,8 +19,8 @@ def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.95) AS nearest_p95 FROM events GROUP BY event_type")
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated and nearest-rank percentiles."""
-    p = m.interpolated_percentile
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(p("value", 0.5), 6).alias("p50"), F.round(p("value", 0.95), 6).alias("p95"), m.nearest_rank_percentile("value", 0.95).alias("nearest_p95"))
+    out = m.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": ("interpolated", 0.5), "p95": ("interpolated", 0.95), "nearest_p95": ("nearest", 0.95)})
+    return out.withColumns({"p50": F.round("p50", 6), "p95": F.round("p95", 6)})
 
 
 @query("SELECT event_type, l[CAST(least(len(l) - 1, floor(len(l) * 0.95)) AS BIGINT) + 1] AS lower_p95 FROM (SELECT event_type, list_sort(list(value)) AS l FROM events GROUP BY event_type)")

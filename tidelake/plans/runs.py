@@ -10,7 +10,7 @@ from tidelake.registry import query
 from tidelake.sources.tables import table
 
 
-@query("SELECT n_regionkey, n_nationkey, round((k - (n - 1) / 2) * 1.25, 6) AS line_x, round(cos(2 * pi() * k / n) * 2, 6) AS ring_x, round(sin(2 * pi() * k / n) * 1.2, 6) AS ring_z FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)")
+@query("SELECT n_regionkey, n_nationkey, round(k - (n - 1) / 2, 6) AS line_x, round(cos(2 * pi() * k / n) * 3, 6) AS ring_x, round(sin(2 * pi() * k / n) * 2, 6) AS ring_z FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)")
 def scene_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations of a region on a line and around an ellipse."""
     n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
@@ -21,14 +21,14 @@ def scene_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scene_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations of a region at random places at least 0.8 apart."""
-    return scenes.placed(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", (-3.5, -0.9, -1.2), (3.5, 0.9, 1.2), 0.8, 238019)
+    """Nations of a region at random places at least 0.5 apart."""
+    return scenes.placed(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", (-2.0, -1.0, -2.0), (2.0, 1.0, 2.0), 0.5, 7)
 
 
-@query("SELECT o_orderkey, round(sin(2 * pi() * (o_orderkey % 180) / 180) * 40, 6) AS yaw FROM orders")
+@query("SELECT o_orderkey, round(sin(2 * pi() * (o_orderkey % 250) / 250) * 30, 6) AS yaw FROM orders")
 def camera_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a swinging camera is turned at each order's frame."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(scenes.sine_yaw(F.col("o_orderkey"), 180, 40.0), 6).alias("yaw"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(scenes.sine_yaw(F.col("o_orderkey"), 250, 30.0), 6).alias("yaw"))
 
 
 _SEEN = "(SELECT p_partkey, p_retailprice / 1000 - 1.5 AS x, p_size / 50 - 0.5 AS y, p_size / 10 - 1 AS z, radians(p_size) AS t FROM part)"
@@ -43,14 +43,32 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round("at.u", 4).alias("u"), F.round("at.v", 4).alias("v"))
 
 
-@query("SELECT p_partkey, round(640 * 480 / 4 * 4 / pow(2 + p_size / 10, 2), 4) AS area FROM part")
+#: Boxes before a camera that is turned by some degrees: near ones reach past the view, some lie behind it.
+_BOX = "SELECT p_partkey, (p_partkey % 7) / 2.0 - 1.5 AS x, (p_size % 5) / 2.0 - 1 AS y, 1.0 - p_size / 8.0 AS z, 0.4 + (p_partkey % 3) * 0.7 AS h, radians(p_size % 11 * 7.0 - 35) AS t FROM {part}"
+#: Clip coordinates of a point (px, py, pz): turned, then seen through a lens of near plane 1.
+_CLIP = "[cos(t) * px + sin(t) * pz, 1.5 * py, -1.02 * (cos(t) * pz - sin(t) * px) - 2.02, sin(t) * px - cos(t) * pz]"
+
+
+@query(f"""WITH RECURSIVE b AS ({_BOX.format(part="part")}),
+sides AS (SELECT d, s, unnest(CASE WHEN s = 1 THEN [1, 2, 3, 4] ELSE [4, 3, 2, 1] END) AS corner, generate_subscripts([1, 2, 3, 4], 1) AS k FROM range(3) t(d), (VALUES (-1), (1)) u(s)),
+corners AS (SELECT p_partkey, t, d, s, k, x + h * CASE d WHEN 0 THEN s WHEN 1 THEN b2 ELSE a2 END AS px, y + h * CASE d WHEN 1 THEN s WHEN 2 THEN b2 ELSE a2 END AS py, z + h * CASE d WHEN 2 THEN s WHEN 0 THEN b2 ELSE a2 END AS pz
+  FROM b, (SELECT *, CASE WHEN corner IN (2, 3) THEN 1 ELSE -1 END AS a2, CASE WHEN corner IN (3, 4) THEN 1 ELSE -1 END AS b2 FROM sides)),
+cut AS (
+  SELECT p_partkey, d, s, 0 AS step, list({_CLIP} ORDER BY k) AS p FROM corners GROUP BY p_partkey, d, s
+  UNION ALL
+  SELECT p_partkey, d, s, step + 1, flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(
+    CASE WHEN (e[i] >= 0) <> (e[(i + len(p) - 2) % len(p) + 1] >= 0) THEN [list_transform([1, 2, 3, 4], lambda c: p[(i + len(p) - 2) % len(p) + 1][c] + e[(i + len(p) - 2) % len(p) + 1] / (e[(i + len(p) - 2) % len(p) + 1] - e[i]) * (p[i][c] - p[(i + len(p) - 2) % len(p) + 1][c]))] ELSE [] END,
+    CASE WHEN e[i] >= 0 THEN [p[i]] ELSE [] END)))
+  FROM (SELECT *, list_transform(p, lambda q: q[4] + CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END * q[step // 2 + 1]) AS e FROM cut WHERE step < 6)),
+area AS (SELECT p_partkey, greatest(coalesce(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i][1] / p[i][4] * (p[i % len(p) + 1][2] / p[i % len(p) + 1][4]) - p[i % len(p) + 1][1] / p[i % len(p) + 1][4] * (p[i][2] / p[i][4]))), 0) / 2, 0) AS a FROM cut WHERE step = 6)
+SELECT p_partkey, round(sum(a) * 640 * 480 / 4, 3) AS area FROM area GROUP BY p_partkey""")
 def projected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of boxes straight ahead, at a distance by size: only the near side faces the camera."""
-    far = -(F.col("p_size") / 10 + 2)
-    low, high = F.array(F.lit(-1.0), F.lit(-1.0), far - 1), F.array(F.lit(1.0), F.lit(1.0), far)
-    lens = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, -1.02, -2.02], [0, 0, -1, 0]]
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in lens])
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(scenes.projected_area(low, high, rows, 640, 480), 4).alias("area"))
+    """Pixels of boxes before a turned camera, cut at the edges of its view."""
+    b = spark.sql(_BOX, part=table(spark, sf_dir, "part"))
+    low, high = (F.array(*[F.col(c).cast("double") + sign * F.col("h").cast("double") for c in "xyz"]) for sign in (-1, 1))
+    c, s, none = F.cos("t"), F.sin("t"), F.lit(0.0)
+    rows = F.array(F.array(c, none, s, none), F.array(none, F.lit(1.5), none, none), F.array(1.02 * s, none, -1.02 * c, F.lit(-2.02)), F.array(s, none, -c, none))
+    return b.select("p_partkey", F.round(scenes.projected_area(low, high, rows, 640, 480), 3).alias("area"))
 
 
 _LEFT = "(SELECT n_nationkey, o_orderpriority FROM nation, (SELECT DISTINCT o_orderpriority FROM orders) EXCEPT SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P')"

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidelake.plans import audits, dependencies, estimation, grids, lookups, planning, playing, quality, relations, reports, runs, selection, sequences, streams, text  # noqa: F401
+    from tidelake.plans import audits, dependencies, estimation, grids, lookups, planning, playing, quality, relations, reports, runs, selection, sequences, streams, summaries, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

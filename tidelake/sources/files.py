@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelake.functions.strict import strict_json
+from tidelake.operators.graphs import decode_layers
+from tidelake.operators.relational import closure
+from tidelake.sources import segments
 
 TIME_NAMES = ("time_s", "time_seconds", "timestamp", "time", "at_s", "t")
 RATE_NAMES = ("mbps", "bandwidth_mbps", "rate_mbps")
@@ -95,8 +98,13 @@ def telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def visibility_series(spark: SparkSession, path: str) -> DataFrame:
-    """(time_s, instance_id, weight) from CSV in long form or with one column an instance; repeated keys are refused."""
-    raw = spark.read.csv(path, header=True)
+    """(time_s, instance_id, weight) from CSV in long form or with one column an instance, or from JSON: rows of the long form, or of time_s and a map `weights`; repeated keys are refused."""
+    if path.endswith((".json", ".jsonl")):
+        schema = "time_s double, instance_id string, weight double, weights map<string,double>"
+        rows = spark.read.schema(schema).json(path, multiLine=path.endswith(".json"), mode="FAILFAST")
+        raw = rows.select("time_s", F.explode(F.coalesce("weights", F.create_map("instance_id", "weight"))).alias("instance_id", "weight"))
+    else:
+        raw = spark.read.csv(path, header=True)
     if {"time_s", "instance_id", "weight"} <= set(raw.columns):
         long = raw.select(F.col("time_s").cast("double").alias("time_s"), "instance_id", F.col("weight").cast("double").alias("weight"))
     else:
@@ -115,6 +123,26 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     return require(flat, F.col("sse").isNull() | (F.col("sse") < 0), "errors that are missing or negative")
 
 
+def profile_resources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(resource_id, bytes, depends_on) of a nested profile document's resource table, and (instance_id, gop_id, quality_id, resource_id, depth): what each quality needs with all that this depends on.
+
+    A resource that repeats, has no bytes, is named by a quality or another resource and is
+    not in the table, or depends on itself, is refused.
+    """
+    schema = "resources array<struct<resource_id: string, bytes: long, depends_on: array<string>>>"
+    table = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST").select(F.explode("resources").alias("r")).select("r.*").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
+    require(table.groupBy("resource_id").count(), F.col("count") > 1, "resources that repeat")
+    require(table, F.col("resource_id").isNull() | F.col("bytes").isNull() | (F.col("bytes") < 0), "resources without bytes")
+    edges = table.select("resource_id", F.explode("depends_on").alias("parent"))
+    require(decode_layers(table, edges, "resource_id", "resource_id", "parent"), F.col("fault").isNotNull(), "resources that cannot be had")
+    named = profiles(spark, path).select("instance_id", "gop_id", "quality_id", F.explode("resource_ids").alias("resource_id"))
+    require(named.join(table, "resource_id", "left_anti"), F.lit(True), "qualities that name an unknown resource")
+    far = closure(edges, "parent", "resource_id").select(F.col("node").alias("resource_id"), "ancestor", "depth")
+    needs = named.join(far, "resource_id").select("instance_id", "gop_id", "quality_id", F.col("ancestor").alias("resource_id"), "depth")
+    every = named.withColumn("depth", F.lit(0)).unionByName(needs).groupBy("instance_id", "gop_id", "quality_id", "resource_id").agg(F.min("depth").alias("depth"))
+    return table, every
+
+
 def run_artifacts(spark: SparkSession, root: str, parts: Sequence[str] = ("scenario", "objects", "duration", "method")) -> DataFrame:
     """Completion markers <root>/<part>/.../completion.json with the path's parts as columns."""
     pattern = "/".join(["*"] * len(parts))
@@ -188,19 +216,10 @@ def manifest_timelines(spark: SparkSession, path: str, profile: str | None = Non
 
 
 def container_header(spark: SparkSession, path: str, magic: bytes, schema: str) -> DataFrame:
-    """path and header struct of binary containers: magic, header length (8 bytes, little endian), JSON header."""
-    size = len(magic)
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    require(raw.select((F.substring("content", 1, size) != F.lit(magic)).alias("wrong"), "path"), F.col("wrong"), "containers with a wrong magic")
-    length = F.conv(_little_endian("content", size), 16, 10).cast("long")
-    header = F.substring(F.col("content"), F.lit(size + 9), length.cast("int")).cast("string")
-    return raw.select("path", F.from_json(header, schema, {"mode": "FAILFAST"}).alias("header"))
-
-
-def _little_endian(content: str, at: int) -> Column:
-    """The eight bytes after `at` as hex, most significant first."""
-    text = F.hex(F.substring(content, at + 1, 8))
-    return F.concat(*[F.substring(text, 2 * k + 1, 2) for k in range(7, -1, -1)])
+    """path and header struct of binary containers, a file or those below a folder: magic, header length (8 bytes, little endian), JSON header. Only headers are read."""
+    segments.register(spark)
+    raw = require(spark.read.format("tidelake_header").option("magic", magic.hex()).load(path), F.col("fault").isNotNull(), "containers with a wrong magic or header")
+    return raw.select("path", F.from_json(F.col("header").cast("string"), schema, {"mode": "FAILFAST"}).alias("header"))
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
@@ -214,6 +233,22 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     return require(rows, F.col("status").isNull() | (F.col("finished") < F.col("started")), "stages without a status, or that end before they start")
 
 
+def results_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Results of a CSV file as sinks write them, under a schema: nested columns are JSON texts there. Empty and "NA" cells are null; a column that is missing, or a cell that does not fit, is refused; further columns are left out."""
+    fields = StructType.fromDDL(schema).fields
+    raw = spark.read.csv(path, header=True, multiLine=True)
+    if lacks := [f.name for f in fields if f.name not in raw.columns]:
+        raise ValueError(f"{path} has no column {lacks[0]}")
+    nested = lambda f: f.dataType.typeName() in ("struct", "array", "map")
+    cell = lambda f: F.when(~F.col(f.name).isin("", "NA"), F.col(f.name))
+    read = {f.name: F.from_json(cell(f), f.dataType) if nested(f) else cell(f).try_cast(f.dataType) for f in fields}
+    both = raw.select(*[cell(f).alias(f"__{f.name}") for f in fields], *[c.alias(n) for n, c in read.items()])
+    unfit = F.lit(False)
+    for f in fields:
+        unfit |= F.col(f"__{f.name}").isNotNull() & F.col(f.name).isNull()
+    return require(both, unfit, "cells that do not fit the schema").select(*read)
+
+
 def context_key(columns: Sequence[str]) -> Column:
     """SHA-256 of a context as canonical JSON: fields in order of name, nulls written."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

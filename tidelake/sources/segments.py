@@ -34,16 +34,21 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def index_bytes(stream, size: int, path: str, magic: bytes = MAGIC) -> tuple[bytes, int]:
+    """The index of a container and where its members' bytes begin; nothing else is read."""
+    head = stream.read(len(magic) + 8)
+    if head[: len(magic)] != magic:
+        raise ValueError(f"{path} has another magic")
+    length = int.from_bytes(head[len(magic) :], "little")
+    if len(head) < len(magic) + 8 or length > min(size - len(head), LARGEST_INDEX):
+        raise ValueError(f"the index of {path} is cut off or too long")
+    return stream.read(length), len(head) + length
+
+
 def index_of(stream, size: int, path: str) -> tuple[list[dict], int]:
     """Members of a segment and where their bytes begin; a malformed index is refused."""
-    head = stream.read(len(MAGIC) + 8)
-    if head[: len(MAGIC)] != MAGIC:
-        raise ValueError(f"{path} is no segment")
-    length = int.from_bytes(head[len(MAGIC) :], "little")
-    if len(head) < len(MAGIC) + 8 or length > min(size - len(head), LARGEST_INDEX):
-        raise ValueError(f"the index of {path} is cut off or too long")
-    members, begin = json.loads(stream.read(length))["members"], len(head) + length
-    seen = set()
+    index, begin = index_bytes(stream, size, path)
+    members, seen = json.loads(index)["members"], set()
     for m in members:
         if m["id"] in seen:
             raise ValueError(f"{path} has two members {m['id']}")
@@ -70,6 +75,14 @@ def read_members(stream, size: int, path: str, first: int, last: int, ids: set[s
         yield path, m["id"], m["offset"], m["length"], m["sha256"], data
 
 
+def files_below(path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the files below a folder with a suffix, but for those in folders that begin with an underscore."""
+    system, path = opened(path)
+    here = system.get_file_info(path)
+    found = [here] if here.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and (f is here or f.path.endswith(suffix) and "/_" not in f.path[len(path) :]))
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -85,11 +98,7 @@ class SegmentReader(DataSourceReader):
         self.ids = set(options["ids"].split(",")) if options.get("ids") else None
 
     def partitions(self) -> list[Range]:
-        system, path = opened(self.path)
-        here = system.get_file_info(path)
-        found = [here] if here.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
-        files = [f for f in found if f.type == fs.FileType.File and f.path.endswith(SUFFIX) and "/_" not in f.path[len(path) :]]
-        return [Range(f.path, f.size, a, min(a + self.split, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, max(1, f.size), self.split)]
+        return [Range(path, size, a, min(a + self.split, size)) for path, size in files_below(self.path, SUFFIX) for a in range(0, max(1, size), self.split)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         system, _ = opened(self.path)
@@ -185,8 +194,39 @@ class SegmentSource(DataSource):
         return SegmentWriter(self.options, overwrite)
 
 
+class HeaderReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.magic = options["path"], bytes.fromhex(options.get("magic", MAGIC.hex()))
+
+    def partitions(self) -> list[Range]:
+        return [Range(path, size, 0, size) for path, size in files_below(self.path)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        system, _ = opened(self.path)
+        with system.open_input_file(partition.path) as stream:
+            try:
+                yield partition.path, index_bytes(stream, partition.size, partition.path, self.magic)[0], None
+            except ValueError as fault:
+                yield partition.path, None, str(fault)
+
+
+class HeaderSource(DataSource):
+    """(path, header, fault) of containers with a magic of the option "magic" (hex): the bytes of their index, or what is wrong with it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidelake_header"
+
+    def schema(self) -> str:
+        return "path string, header binary, fault string"
+
+    def reader(self, schema) -> HeaderReader:
+        return HeaderReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentSource)
+    spark.dataSource.register(HeaderSource)
 
 
 def write_segments(df: DataFrame, path: str, segment: str, order: str, id_col: str, content: str, mode: str = "append") -> None:

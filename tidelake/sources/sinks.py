@@ -48,9 +48,21 @@ def markdown_table(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
 
 
 def export_decisions(decisions: DataFrame, path: str) -> None:
-    """A table of decisions and one of their selections (decision_id, instance_id, quality) from the map `selection`."""
-    decisions.drop("selection").write.parquet(f"{path}/decisions")
-    decisions.select("decision_id", F.explode("selection").alias("instance_id", "quality")).write.parquet(f"{path}/selections")
+    """Flat tables of nested decisions, joined by decision_id: decisions; selections (instance_id, quality) from the map `selection`; and, where the columns are there, candidates from `candidates` (an array of structs of instance_id, quality, utility, cost; each with whether it was selected) and visibility from `visibility` (a map of instance_id to a number).
+
+    The four are written one after the other, each anew; a null map or array gives no rows.
+    """
+    nested = [c for c in ("selection", "candidates", "visibility") if c in decisions.columns]
+    chosen = decisions.select("decision_id", F.explode("selection").alias("instance_id", "quality"))
+    tables = {"decisions": decisions.drop(*nested), "selections": chosen}
+    if "candidates" in nested:
+        each = decisions.select("decision_id", F.posexplode("candidates").alias("place", "c")).select("decision_id", "place", "c.*")
+        marked = each.join(chosen.withColumn("selected", F.lit(True)), ["decision_id", "instance_id", "quality"], "left")
+        tables["candidates"] = marked.withColumn("selected", F.coalesce("selected", F.lit(False)))
+    if "visibility" in nested:
+        tables["visibility"] = decisions.select("decision_id", F.explode("visibility").alias("instance_id", "visible"))
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def commit(df: DataFrame, path: str, configuration: str) -> str:
