@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, keyed_text
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 24
 #: Words on each side of a telling mark that the random field reads: all segments with the mark, and what their features look at beside them.
@@ -94,7 +94,22 @@ _MARK = re.compile(r"@|\bat\b", re.IGNORECASE)
 #: Every typed segment holds one of these, so the random field looks around them only.
 _TELLING = re.compile(r"[0-9]|@|\b(?:dot|DOT)\b")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
-_CUE_WORDS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "key": "secret", "token": "secret", "secret": "secret", "password": "secret", "host": "ip", "ip": "ip", "server": "ip", "version": "number", "page": "number", "year": "number", "section": "number"}
+_LABEL, _DOT, _AT = r"[A-Za-z0-9_%+-]+", r"\s*(?:\.|\[dot\]|\(dot\)|\bdot\b)\s*", r"\s*(?:@|\[at\]|\(at\)|\bat\b)\s*"
+#: An address, spelt out or not: labels, one "at", labels, and a last one of letters.
+_ADDRESS = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}", re.IGNORECASE)
+_ENDS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk"))
+#: Keys with the prefixes that common services give theirs.
+_KEY = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}|(?:AKIA|ASIA)[0-9A-Z]{16}|sk-[0-9A-Za-z]{20,64}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}")
+_CUE_WORDS = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "key": "secret", "token": "secret", "secret": "secret", "password": "secret", "iban": "iban", "account": "iban", "host": "ip", "ip": "ip", "server": "ip", "version": "number", "page": "number", "year": "number", "section": "number"}
+
+
+def iban(text: str) -> bool:
+    """Whether a text has the form of an international account number, and its check digits."""
+    if not _IBAN.fullmatch(text):
+        return False
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 def shape(text: str) -> str:
@@ -126,8 +141,13 @@ def segment_features(text: str, spans: list[tuple[int, int]], i: int, j: int) ->
     lower = whole.lower()
     marks = len(re.findall(r"@|[\[(]at[\])]|\bat\b", lower))
     dots = len(re.findall(r"[\[(]dot[\])]|\bdot\b", lower))
-    if marks == 1 and (dots or "." in lower.split("@")[-1]) and re.search(r"[a-z]\Z", lower) and form[:1] in "a9":
+    if marks == 1 and (dots or "." in lower) and _ADDRESS.fullmatch(whole):
         out.append("address")
+        out += ["known-end"] if re.split(r"[^a-z]+", lower)[-1] in _ENDS else []
+    if n and _KEY.fullmatch(whole):
+        out.append("key-form")
+    if n >= 6 and iban(whole):
+        out.append("account")
     if marks > 1:
         out.append("marks")
     if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and n == len(re.sub(r"[^0-9]", "", lower)) and not re.search("[a-z]", lower):
@@ -136,13 +156,15 @@ def segment_features(text: str, spans: list[tuple[int, int]], i: int, j: int) ->
         out.append("stop")
     if "\n" in whole:
         out.append("line")
-    return out
+    # A key's or an account's form tells all; what it happens to consist of would only blur it.
+    sure = [f for f in out if f in ("key-form", "account")]
+    return [*sure, *(["cut"] if "cut" in out else [])] if sure else out
 
 
 class Field:
     """Weights of (type, feature); type 0 is outside, whose segments are one token."""
 
-    def __init__(self, seed: int = 7, lines: int = 360, rounds: int = 8):
+    def __init__(self, seed: int = 7, lines: int = 480, rounds: int = 8):
         self.index: dict[str, int] = {}
         data = [self.lattice(t, gold, grow=True) for t, gold in generated(seed, lines)]
         self.weights = np.zeros((len(KINDS) + 1, len(self.index)))
@@ -261,6 +283,7 @@ def generated(seed: int, lines: int) -> Iterator[tuple[str, list[Span]]]:
     r = random.Random(seed)
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 8)))
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    letter = lambda: r.choice("ABDEFG") + r.choice("BERS")
 
     def card() -> str:
         digits = r.choice("3456") + num(r.choice((13, 14, 14, 14)))
@@ -282,10 +305,18 @@ def generated(seed: int, lines: int) -> Iterator[tuple[str, list[Span]]]:
         if kind == "phone":
             a, b, c = num(3), num(3), num(4)
             return kind, r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {num(3)} {num(7)}", f"1-{a}-{b}-{c}"])
-        return kind, "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64))))
+        mixed = lambda k, of: "".join(r.choice(of) for _ in range(k - 1)) + r.choice("0123456789")
+        if kind == "iban":
+            country, account = r.choice(["DE", "FR", "GB", "ES"]), r.choice(["", "".join(r.choice("ABCDEFGH") for _ in range(4))]) + num(r.choice((14, 18)))
+            check = 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+            whole = f"{country}{check:02d}{account}"
+            return kind, r.choice([whole, " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))])
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        every = letters + letters.lower() + "0123456789"
+        return kind, r.choice([mixed(r.choice((32, 40, 40, 64)), "0123456789abcdef")] * 3 + ["ghp_" + mixed(36, every), "AKIA" + mixed(16, letters + "0123456789"), "sk-" + mixed(r.choice((32, 48)), every)])
 
     def harmless() -> str:
-        return r.choice([f"{r.randint(0, 9)}.{r.randint(0, 9)}", num(4), f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)},{num(3)}", num(r.randint(1, 12)), num(16), num(16), num(15), num(20), f"{num(3)}-{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", "dot", "at", f"{word()} at {word()}", f"{word()} at {word()} {word()} {word()}", f"v{num(1)}.{num(1)}.{num(1)}"])
+        return r.choice([f"{r.randint(0, 9)}.{r.randint(0, 9)}", num(4), f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)},{num(3)}", num(r.randint(1, 12)), num(16), num(16), num(15), num(20), f"{num(3)}-{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", "dot", "at", f"{word()} at {word()}", f"{word()} at {word()} {word()} {word()}", f"{word()} at {num(1)} dot {num(1)} {word()}", f"{word()} dot {word()} at {word()}", f"{word()} at {word()} dot", f"{letter()}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", letter() + num(14), f"v{num(1)}.{num(1)}.{num(1)}"])
 
     for _ in range(lines):
         text, gold = "", []
