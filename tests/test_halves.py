@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars
-from tidelake.operators import metrics, planning, relational, reports, temporal
+from tidelake.operators import metrics, planning, relational, reports, runs, temporal
 from tidelake.sources import files, sinks
 
 
@@ -106,3 +106,47 @@ def test_results_read_again_as_written(spark, tmp_path):
         files.results_csv(spark, f"{tmp_path}/r", "z int")
     with pytest.raises(ValueError, match="do not fit"):
         files.results_csv(spark, f"{tmp_path}/r", "t int").collect()
+
+
+def test_matrices_are_bounded(spark):
+    axis = spark.range(30).selectExpr("id AS a"), spark.range(40).selectExpr("id % 20 AS b")
+    done = spark.createDataFrame([(0, 0), (29, 19), (99, 0)], "a long, b long")
+    assert runs.work_list(axis, done, ["a", "b"]).count() == 30 * 20 - 2
+    with pytest.raises(ValueError, match="600 cells"):
+        runs.work_list(axis, done, ["a", "b"], most_cells=599)
+
+
+def test_arrays_for_every_task_are_bounded(spark, monkeypatch):
+    from tidelake.operators import storage
+
+    monkeypatch.setattr(storage, "MOST_STEPS", 3)
+    axis = spark.range(4).selectExpr("CAST(id AS DOUBLE) AS v")
+    assert relational.bracket(axis.where("v < 3"), axis, "v").count() == 4
+    with pytest.raises(Exception, match="more than 3 steps: 4"):
+        relational.bracket(axis, axis, "v").collect()
+
+
+def test_an_objective_of_ones_own(spark):
+    from tidelake.operators import selection
+
+    df = spark.createDataFrame([(2.0, 3.0, 4.0, 5.0, 1.0)], "q double, a double, n double, b double, e double")
+    selection.register_utility("twice", lambda q, a, n, d0, d: 2 * q)
+    try:
+        value = lambda m: df.select(selection.utility(m, "q", "a", "n", "b", "e").alias("x")).first().x
+        assert value("twice") == 4.0 and value("weighted_sse") == 12.0 and value("share_quality") == 1.5
+        with pytest.raises(ValueError, match="already"):
+            selection.register_utility("twice", None)
+        with pytest.raises(ValueError, match="no method"):
+            value("other")
+    finally:
+        del selection.UTILITIES["twice"]
+
+
+def test_flat_tables_and_series(spark):
+    df = spark.createDataFrame([(1, ((2, [3, 4]), {"k": 5}))], "a int, b struct<c:struct<d:int,e:array<int>>,f:map<string,int>>")
+    assert [tuple(r) for r in reports.flattened(df).collect()] == [(1, 2, "[3,4]", '{"k":5}')] and reports.flattened(df).columns == ["a", "b_c_d", "b_c_e", "b_f"]
+    with pytest.raises(ValueError, match="one name"):
+        reports.flattened(spark.createDataFrame([((1,), 2)], "a struct<b:int>, a_b int"))
+    rows = spark.createDataFrame([("g", 1.0, "x", 2.0, 1.0, 0.5), ("g", 0.0, "x", 1.0, 0.0, 0.0)], "g string, t double, i string, w double, s double, v double")
+    r = reports.visibility_in_time(rows, ["g"], "t", "i", "w", "s", "v").first()
+    assert (r.solo, r.visible, r.occlusion) == (2.0, 1.0, 0.5) and [tuple(x) for x in r.series] == [(0.0, 0.0, 0.0, None), (1.0, 2.0, 1.0, 0.5)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators.scan import placed
-from tidelake.operators.storage import Scratch, ensure_checkpoint_dir
+from tidelake.operators.storage import Scratch, bounded, ensure_checkpoint_dir
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequence[str], missing: str = "reason") -> DataFrame:
@@ -105,9 +105,9 @@ def inverse_distance(near: DataFrame, items: DataFrame, item_id: str, value: str
 def bracket(axis: DataFrame, points: DataFrame, at: str, period: float | None = None) -> DataFrame:
     """points with lo, hi and w: the axis values on both sides and the share of hi; clipped at the ends, or going round where the axis has a period.
 
-    axis has one column of few distinct values; it goes to every task as one array.
+    axis has one column of few distinct values, MOST_STEPS at most; it goes to every task as one array.
     """
-    known = axis.select(F.col(axis.columns[0]).cast("double").alias("v")).distinct().agg(F.array_sort(F.collect_set("v")).alias("__axis"))
+    known = axis.select(F.col(axis.columns[0]).cast("double").alias("v")).distinct().agg(F.array_sort(F.collect_set("v")).alias("__axis")).select(bounded("__axis").alias("__axis"))
     both = points.join(F.broadcast(known))  # one row
     x = F.pmod(F.col(at).cast("double"), F.lit(period)) if period else F.col(at).cast("double")
     below, above = F.array_max(F.filter("__axis", lambda v: v <= x)), F.array_min(F.filter("__axis", lambda v: v > x))

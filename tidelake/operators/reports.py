@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tidelake.operators.metrics import aggregate
 from tidelake.operators.storage import global_row_number
@@ -32,6 +33,44 @@ def visibility_aggregate(df: DataFrame, by: Sequence[str], weight: str, solo: st
     return df.groupBy(*by).agg(a.alias("solo"), b.alias("visible"), F.when(a > 0, 1 - b / F.nullif(a, F.lit(0.0))).alias("occlusion"))
 
 
+def visibility_in_time(df: DataFrame, by: Sequence[str], time: str, item: str, weight: str, solo: str, visible: str) -> DataFrame:
+    """by, item, solo, visible, occlusion as of visibility_aggregate(), and series: (time, solo, visible, occlusion) of the item's samples in order of time. The samples of an item in a group are as many as its times, which must be few."""
+    keys = [*by, item]
+    at = df.groupBy(*keys, time).agg(F.sum(F.col(weight) * F.col(solo)).alias("__a"), F.sum(F.col(weight) * F.col(visible)).alias("__b"))
+    hidden = F.when(F.col("__a") > 0, 1 - F.col("__b") / F.nullif(F.col("__a"), F.lit(0.0)))
+    series = F.array_sort(F.collect_list(F.struct(F.col(time).alias("time"), F.col("__a").alias("solo"), F.col("__b").alias("visible"), hidden.alias("occlusion"))))
+    a, b = F.sum("__a"), F.sum("__b")
+    return at.groupBy(*keys).agg(a.alias("solo"), b.alias("visible"), F.when(a > 0, 1 - b / F.nullif(a, F.lit(0.0))).alias("occlusion"), series.alias("series"))
+
+
+def flattened(df: DataFrame, between: str = "_") -> DataFrame:
+    """df with every nested struct as columns of its own, named by the way to them; arrays and maps as JSON text. Two columns of one name are refused."""
+
+    def leaves(kind: StructType, way: list[str]) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            here = [*way, f.name]
+            path = ".".join(f"`{p}`" for p in here)
+            if isinstance(f.dataType, StructType):
+                out += leaves(f.dataType, here)
+            else:
+                nested = isinstance(f.dataType, (ArrayType, MapType))
+                out.append((F.to_json(F.col(path)) if nested else F.col(path)).alias(between.join(here)))
+        return out
+
+    flat = df.select(*leaves(df.schema, []))
+    if len(set(flat.columns)) < len(flat.columns):
+        raise ValueError(f"columns of one name among {flat.columns}")
+    return flat
+
+
+def uncovered(rows: DataFrame, context: Sequence[str], frame: str, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(context, frame): the frames that a context ought to have, by `wanted` (by, frame), and has not; by names those columns of the context that wanted goes by."""
+    contexts = rows.select(*context).distinct()
+    due = contexts.join(wanted.select(*by, frame).distinct(), list(by))
+    return due.join(rows, [*context, frame], "left_anti").select(*context, frame)
+
+
 def gain_by_step(df: DataFrame, by: Sequence[str], rank: str, error: str, name: str = "gain") -> DataFrame:
     """Error of the rank below less own error; null for the lowest."""
     return df.withColumn(name, F.lag(error).over(Window.partitionBy(*by).orderBy(rank)) - F.col(error))

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def work_list(axes: Sequence[DataFrame], done: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The cells of the product of a matrix's axes that are not done, once each; axes are the small tables that a matrix is planned from."""
-    cells = axes[0].distinct()
-    for axis in axes[1:]:
-        cells = cells.crossJoin(axis.distinct())
-    return cells.select(*on).join(done.select(*on).distinct(), list(on), "left_anti")
+def cells_of(axes: Sequence[DataFrame], most_cells: int = 10_000_000) -> DataFrame:
+    """The product of a matrix's axes, each value once; a matrix of more cells than most_cells is refused before it is made."""
+    axes = [axis.distinct() for axis in axes]
+    size = math.prod(axis.count() for axis in axes)
+    if size > most_cells:
+        raise ValueError(f"a matrix of {size} cells")
+    return reduce(DataFrame.crossJoin, axes)
 
 
-def run_matrix(axes: Sequence[DataFrame], done: DataFrame, on: Sequence[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def work_list(axes: Sequence[DataFrame], done: DataFrame, on: Sequence[str], most_cells: int = 10_000_000) -> DataFrame:
+    """The cells of a matrix that are not done, once each; axes are the small tables that it is planned from."""
+    return cells_of(axes, most_cells).select(*on).join(done.select(*on).distinct(), list(on), "left_anti")
+
+
+def run_matrix(axes: Sequence[DataFrame], done: DataFrame, on: Sequence[str], build: Callable[[DataFrame], DataFrame], most_cells: int = 10_000_000) -> DataFrame:
     """Results of the whole matrix with origin: those done, and build() of the cells that are left. build() gives done's columns."""
-    fresh = build(work_list(axes, done, on)).select(*done.columns).withColumn("origin", F.lit("built"))
-    planned = axes[0].distinct()
-    for axis in axes[1:]:
-        planned = planned.crossJoin(axis.distinct())
-    kept = done.join(planned.select(*on), list(on), "left_semi").withColumn("origin", F.lit("done"))
+    fresh = build(work_list(axes, done, on, most_cells)).select(*done.columns).withColumn("origin", F.lit("built"))
+    kept = done.join(cells_of(axes, most_cells).select(*on), list(on), "left_semi").withColumn("origin", F.lit("done"))
     return kept.unionByName(fresh)
 
 

@@ -8,7 +8,7 @@ cases: applyInPandas gets one case at a time, whose items are bounded.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,21 +24,29 @@ def weighted_gain(df: DataFrame, by: Sequence[str], rank: str, error: str, weigh
     return df.withColumn(name, weight * (base - F.col(error)))
 
 
+#: Objectives by name: functions of a quality, a visible area, pixels, a base's error and an own error.
+UTILITIES: dict[str, Callable[[Column, Column, Column, Column, Column], Column]] = {
+    "share_quality": lambda q, a, n, d0, d: a / F.nullif(n, F.lit(0)) * q,
+    "visibility_psnr": lambda q, a, n, d0, d: F.when(a > 0, q).otherwise(0.0),
+    "visibility_mse": lambda q, a, n, d0, d: a / F.nullif(n, F.lit(0)) * (d0 - d),
+    "solo_sse": lambda q, a, n, d0, d: n * (d0 - d),
+    "weighted_sse": lambda q, a, n, d0, d: a * (d0 - d),
+    "historical_mse": lambda q, a, n, d0, d: F.sqrt(F.greatest(a / F.nullif(n, F.lit(0)), F.lit(0.0))) * (d0 - d),
+}
+
+
+def register_utility(name: str, objective: Callable[[Column, Column, Column, Column, Column], Column]) -> None:
+    """Adds an objective of one's own to UTILITIES; a name that is taken is refused."""
+    if name in UTILITIES:
+        raise ValueError(f"the method {name} is there already")
+    UTILITIES[name] = objective
+
+
 def utility(method: str, quality: str, area: str, pixels: str, base_mse: str, mse: str) -> Column:
-    """One of the named objectives over joined columns."""
-    q, a, n, d0, d = (F.col(c) for c in (quality, area, pixels, base_mse, mse))
-    share = a / F.nullif(n, F.lit(0))
-    methods = {
-        "share_quality": lambda: share * q,
-        "visibility_psnr": lambda: F.when(a > 0, q).otherwise(0.0),
-        "visibility_mse": lambda: share * (d0 - d),
-        "solo_sse": lambda: n * (d0 - d),
-        "weighted_sse": lambda: a * (d0 - d),
-        "historical_mse": lambda: F.sqrt(F.greatest(share, F.lit(0.0))) * (d0 - d),
-    }
-    if method not in methods:
-        raise ValueError(f"no method {method}")
-    return F.coalesce(methods[method](), F.lit(0.0))
+    """One of the named objectives over joined columns; 0 where it is null."""
+    if method not in UTILITIES:
+        raise ValueError(f"no method {method}, only {sorted(UTILITIES)}")
+    return F.coalesce(UTILITIES[method](*(F.col(c) for c in (quality, area, pixels, base_mse, mse))), F.lit(0.0))
 
 
 def discretised(cost: Column, step: int, up: bool = True) -> Column:

@@ -1,4 +1,4 @@
-"""What operators need of a session: the shared folder, tables written there, and row numbers over a whole table."""
+"""What operators need of a session: the shared folder, tables written there, arrays of a checked length, and row numbers over a whole table."""
 
 from __future__ import annotations
 
@@ -6,10 +6,19 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Values that an array which goes to every task may have.
+MOST_STEPS = 100_000
+
+
+def bounded(array: str) -> Column:
+    """An array column, or an error if it is longer than MOST_STEPS."""
+    return F.when(F.size(array) <= MOST_STEPS, F.col(array)).otherwise(F.raise_error(F.concat(F.lit(f"more than {MOST_STEPS} steps: "), F.size(array).cast("string"))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the cluster shares; where that is unset, a new one on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.storage import bounded
+
 
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 as a double, for zoned and unzoned timestamps alike (the session's zone is UTC)."""
@@ -166,7 +168,7 @@ def finish_times(df: DataFrame, by: Sequence[str], arrival: str, service: str, o
 def looped_integral(steps: DataFrame, at: str, rate: str, length: float, spans: DataFrame, start: str, end: str, name: str) -> DataFrame:
     """spans with the integral from start to end of a rate that steps at `at` (the first at 0) and goes round after `length`.
 
-    steps is one trace of few rows, which goes to every task as one array; a span is
+    steps is one trace of MOST_STEPS rows at most, which goes to every task as one array; a span is
     whole rounds and what is left of them on both sides. An end before its start
     gives the negative integral; a null end or no steps give null.
     """
@@ -174,7 +176,7 @@ def looped_integral(steps: DataFrame, at: str, rate: str, length: float, spans:
     until = F.coalesce(F.lead(at).over(w), F.lit(float(length))).cast("double")
     rows = steps.select(F.col(at).cast("double").alias("a"), until.alias("b"), F.col(rate).cast("double").alias("r"))
     trace = rows.withColumn("before", F.coalesce(F.sum((F.col("b") - F.col("a")) * F.col("r")).over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    whole = trace.agg(F.array_sort(F.collect_list(F.struct("a", "b", "r", "before"))).alias("__trace"), F.sum((F.col("b") - F.col("a")) * F.col("r")).alias("__total"))
+    whole = trace.agg(F.array_sort(F.collect_list(F.struct("a", "b", "r", "before"))).alias("__trace"), F.sum((F.col("b") - F.col("a")) * F.col("r")).alias("__total")).select(bounded("__trace").alias("__trace"), "__total")
     both = spans.join(F.broadcast(whole))  # one row
 
     def upto(c: str) -> Column:

@@ -82,11 +82,13 @@ def _axes(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]
     return [table(spark, sf_dir, "nation").select("n_nationkey"), orders.select("o_orderpriority").distinct()], done
 
 
-@query(f"SELECT * FROM {_LEFT}")
+@query("SELECT n_nationkey, o_orderpriority, month FROM nation, (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders) EXCEPT SELECT c_nationkey, o_orderpriority, strftime(o_orderdate, '%Y-%m') FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'")
 def remaining_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of nations and priorities without a pending order."""
-    axes, done = _axes(spark, sf_dir)
-    return runs.work_list(axes, done, ["n_nationkey", "o_orderpriority"])
+    """Cells of nations, priorities and months without a pending order."""
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    done = orders.where("o_orderstatus = 'P'").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumnRenamed("c_nationkey", "n_nationkey")
+    axes = [table(spark, sf_dir, "nation").select("n_nationkey"), orders.select("o_orderpriority"), orders.select("month")]
+    return runs.work_list(axes, done, ["n_nationkey", "o_orderpriority", "month"])
 
 
 @query(f"SELECT c_nationkey AS n_nationkey, o_orderpriority, count(*) AS n, 'done' AS origin FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' GROUP BY ALL UNION ALL SELECT n_nationkey, o_orderpriority, count(o_orderkey), 'built' FROM {_LEFT} LEFT JOIN (SELECT c_nationkey AS n_nationkey, o_orderpriority, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey) USING (n_nationkey, o_orderpriority) GROUP BY ALL")

@@ -163,3 +163,31 @@ def discretisation_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")]], "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("cases"), F.count_if(F.col("g") <= 0.5).alias("feasible"), F.round(F.max("g"), 6).alias("largest_gap"), F.round(F.median("g"), 6).alias("median_gap"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("all"))
     return out.select(name("l_returnflag").alias("kind"), name("l_linestatus").alias("step"), name("l_linenumber").alias("items"), "cases", "feasible", "largest_gap", "median_gap")
+
+
+@query("""WITH a AS (SELECT l_suppkey % 10 AS g, l_linenumber AS i, year(l_shipdate) AS t, sum(l_quantity * l_discount) AS s, sum(l_quantity * least(l_tax, l_discount)) AS v FROM lineitem GROUP BY ALL)
+SELECT g, i, round(sum(s), 3) AS solo, round(sum(v), 3) AS visible, round(CASE WHEN sum(s) > 0 THEN 1 - sum(v) / sum(s) END, 6) AS occlusion, string_agg(t || ':' || printf('%.3f', round(CASE WHEN s > 0 THEN 1 - v / s END, 3)), ',' ORDER BY t) AS series FROM a GROUP BY g, i""")
+def visibility_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of lines' discounts their taxes show, in all and by year."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), F.col("l_linenumber").alias("i"), F.year("l_shipdate").alias("t"), "l_quantity", "l_discount", F.least("l_tax", "l_discount").alias("v"))
+    out = reports.visibility_in_time(rows, ["g"], "t", "i", "l_quantity", "l_discount", "v")
+    text = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["time"].cast("string"), F.format_string("%.3f", F.round(x["occlusion"], 3)))), ",")
+    return out.select("g", "i", F.round("solo", 3).alias("solo"), F.round("visible", 3).alias("visible"), F.round("occlusion", 6).alias("occlusion"), text.alias("series"))
+
+
+@query("SELECT o_orderkey AS \"order_key\", o_custkey AS order_customer_key, c_nationkey AS order_customer_nation, o_totalprice AS price, '[' || o_orderkey || ',' || o_custkey || ']' AS keys FROM orders JOIN customer ON c_custkey = o_custkey")
+def flattened_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that hold their customer as a struct within a struct, as one flat table."""
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    customer = F.struct(F.col("o_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    nested = joined.select(F.struct(F.col("o_orderkey").alias("key"), customer.alias("customer")).alias("order"), F.col("o_totalprice").alias("price"), F.array("o_orderkey", "o_custkey").alias("keys"))
+    return reports.flattened(nested)
+
+
+@query("SELECT l_returnflag, p_brand, l_linenumber, month FROM (SELECT DISTINCT l_returnflag, p_brand, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey), (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders) EXCEPT SELECT l_returnflag, p_brand, l_linenumber, strftime(l_shipdate, '%Y-%m') FROM lineitem JOIN part ON p_partkey = l_partkey")
+def uncovered_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders in which a brand has no line of some state and place shipped."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_returnflag", "p_brand", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    months = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    wanted = rows.select("l_returnflag").distinct().join(months.distinct())  # a handful of states by months
+    return reports.uncovered(rows, ["l_returnflag", "p_brand", "l_linenumber"], "month", wanted, ["l_returnflag"])

@@ -85,3 +85,19 @@ def strict_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number of each event's properties, or why they are no strict JSON: a name twice, NaN, something after the end, too many bytes."""
     e = table(spark, sf_dir, "events").select("event_id", strict_json(F.expr(_PROPS), 64).alias("j"))
     return e.select("event_id", F.try_variant_get("j.value", "$.k", "bigint").alias("k"), "j.fault")
+
+
+#: Paths of pages, most of which leave their root in one way each.
+_PATH = "CASE page_id % 9 WHEN 0 THEN concat('a/', page_id, '.html') WHEN 1 THEN concat('../', page_id) WHEN 2 THEN concat('a/%2e%2e/', page_id) WHEN 3 THEN concat('a/%252e%252e/', page_id) WHEN 4 THEN concat('/', page_id) WHEN 5 THEN concat('a//', page_id) WHEN 6 THEN concat('a', chr(92), page_id) WHEN 7 THEN concat('a/./', page_id) ELSE concat('b/c..d/', page_id) END"
+
+
+@query("SELECT page_id, page_id % 9 IN (0, 8) AS safe FROM pages")
+def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths stay below their root, escapes of escapes included."""
+    return table(spark, sf_dir, "pages").select("page_id", f.safe_relative_path(F.expr(_PATH)).alias("safe"))
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CAST(round((least(greatest(p_retailprice, 900), 2000) - 900) / 1100 * {2**b - 1}) AS INTEGER) AS q{b}" for b in (8, 12, 16)) + " FROM part")
+def quantised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of prices of eight, twelve and sixteen bits."""
+    return table(spark, sf_dir, "part").select("p_partkey", *[f.quantised(F.col("p_retailprice"), 900.0, 2000.0, b).alias(f"q{b}") for b in (8, 12, 16)])
