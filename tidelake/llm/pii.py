@@ -206,17 +206,20 @@ class Field:
             for i, j, k in zip(starts, ends, kinds, strict=True):
                 inside[i:j] |= k > 0
             label = [(q, k) for q, (i, j, k) in enumerate(zip(starts, ends, kinds, strict=True)) if k or j == i + 1 and not inside[i]]
-        mail = np.array([bool(_MARK.search(text, spans[i][0], spans[j - 1][1])) for i, j in zip(starts, ends, strict=True)], bool)
-        return n, s, e, ids, open_, label, spans, mail
+        # What an address, a key and an account must have, whatever else speaks for them.
+        whole = [text[spans[i][0] : spans[j - 1][1]] for i, j in zip(starts, ends, strict=True)]
+        must = {"email": [bool(_MARK.search(w)) for w in whole], "secret": [not re.search(r"\s", w) for w in whole], "iban": [iban(w) for w in whole]}
+        return n, s, e, ids, open_, label, spans, {k: np.array(v, bool) for k, v in must.items()}
 
     def scores(self, lat: tuple) -> np.ndarray:
         """[segment, type]; -inf where a type may not be."""
-        n, s, e, ids, open_, _, _, mail = lat
+        n, s, e, ids, open_, _, _, must = lat
         w = np.concatenate([self.weights, np.zeros((len(self.weights), 1))], 1)
         out = w[:, ids].sum(2).T if len(ids) else np.zeros((0, len(self.weights)))
         out[e - s > 1, 0] = -np.inf
         out[~open_, 1:] = -np.inf
-        out[~mail, 1 + KINDS.index("email")] = -np.inf
+        for kind, has in must.items():
+            out[~has, 1 + KINDS.index(kind)] = -np.inf
         return out
 
     def train(self, data: list[tuple], rounds: int, seed: int, rate: float = 0.2, l2: float = 1e-3) -> None:
@@ -316,7 +319,7 @@ def generated(seed: int, lines: int) -> Iterator[tuple[str, list[Span]]]:
         return kind, r.choice([mixed(r.choice((32, 40, 40, 64)), "0123456789abcdef")] * 3 + ["ghp_" + mixed(36, every), "AKIA" + mixed(16, letters + "0123456789"), "sk-" + mixed(r.choice((32, 48)), every)])
 
     def harmless() -> str:
-        return r.choice([f"{r.randint(0, 9)}.{r.randint(0, 9)}", num(4), f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)},{num(3)}", num(r.randint(1, 12)), num(16), num(16), num(15), num(20), f"{num(3)}-{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", "dot", "at", f"{word()} at {word()}", f"{word()} at {word()} {word()} {word()}", f"{word()} at {num(1)} dot {num(1)} {word()}", f"{word()} dot {word()} at {word()}", f"{word()} at {word()} dot", f"{letter()}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", letter() + num(14), f"v{num(1)}.{num(1)}.{num(1)}"])
+        return r.choice([f"{r.randint(0, 9)}.{r.randint(0, 9)}", num(4), f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)},{num(3)}", num(r.randint(1, 12)), num(16), num(16), num(15), num(20), f"{num(3)}-{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", "dot", "at", f"{word()} at {word()}", f"{word()} at {word()} {word()} {word()}", f"{word()} at {num(1)} dot {num(1)} {word()}", f"{word()} dot {word()} at {word()}", f"{word()} at {word()} dot", f"{letter()}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", letter() + num(14), " ".join(f"w{num(3)}" for _ in range(12)), f"v{num(1)}.{num(1)}.{num(1)}"])
 
     for _ in range(lines):
         text, gold = "", []
