@@ -1,3 +1,6 @@
+import duckdb
+
+from tidelake import registry
 from tidelake.operators import packages as p
 
 FRAMES = [(0, 1, 100, 0.0), (0, 2, 101, 0.1), (0, 3, 102, 0.2), (0, 4, 103, 0.3)]
@@ -42,3 +45,17 @@ def test_each_planted_fault_is_told(spark):
     got = p.package_index_faults(*[spark.createDataFrame(rows, s) for rows, s in zip(tables, SCHEMAS)], epoch_frames=2)
     told = {(r.package, r.rule) for r in got.collect()}
     assert {(n, rule) for n, rule in enumerate(rules)} <= told
+
+
+def test_moments_are_rounded_as_in_sql(spark, tmp_path):
+    """Prices whose whole parts rise while the rounded ones do not, and the other way round."""
+    prices = [(1, 7, 100.6), (2, 7, 101.4), (3, 8, 50.4), (4, 8, 50.6), (5, 9, 10.5), (6, 9, 11.5)]
+    lines = [(o, 1, 5, 6, 10.0 * o, 3.5, 0.04, 0.05, "A", "F") for o, _, _ in prices]
+    spark.createDataFrame(prices, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {tuple(map(str, r)) for r in duck.sql(registry.oracle_sql()["package_index"]).fetchall()}
+    assert ("7", "frame order", "2") in want
+    assert {tuple(map(str, r)) for r in registry.queries()["package_index"](spark, str(tmp_path)).collect()} == want
