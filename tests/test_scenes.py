@@ -1,6 +1,7 @@
 """Layouts, placement, projection and areas against geometry worked out by hand or with numpy."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -133,3 +134,15 @@ def test_turned_boxes_against_sampling(spark):
         high = low + r.uniform(0.5, 2.5, 3)
         want = cut_area(low, high, rows, 200, 100)
         assert abs(area(spark, low, high, rows) - want) <= 0.02 * want + 20
+
+
+def test_many_boxes_take_seconds(spark):
+    """As expressions of nested arrays these took minutes; every box counts as it does by itself."""
+    rows = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, -1.02, -2.02], [0, 0, -1, 0]]
+    df = spark.range(12000).withColumn("x", F.col("id") % 7 - 4.0).withColumn("y", F.col("id") % 5 - 3.0)
+    low, high = F.array("x", "y", F.lit(-4.0)), F.array(F.col("x") + 1, F.col("y") + 2, F.lit(-2.5))
+    start = time.monotonic()
+    got = {(r.x, r.y): (r.n, r.lo, r.hi) for r in df.select("x", "y", scenes.projected_area(low, high, matrix(rows), 200, 100).alias("area")).groupBy("x", "y").agg(F.count("*").alias("n"), F.min("area").alias("lo"), F.max("area").alias("hi")).collect()}
+    assert time.monotonic() - start < 60
+    assert sum(n for n, _, _ in got.values()) == 12000 and all(lo == hi for _, lo, hi in got.values())
+    assert math.isclose(got[0.0, -1.0][1], area(spark, (0, -1, -4), (1, 1, -2.5)))

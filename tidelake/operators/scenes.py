@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,31 +97,22 @@ def source_local(turn: Column, offset: Column, object_turn: Column, scale: Colum
     return F.struct(product.alias("turn"), there.alias("offset"))
 
 
-#: Of a side: its corner of least other coordinates and the two edges from it, in clip space; whether a turn from the first edge to the second is anticlockwise as seen from outside.
-_SIDE = "struct<o:array<double>,a:array<double>,b:array<double>,turn:double>"
 #: Lines nearer than this to each other, on a side that reaches from 0 to 1, are one.
 _TOUCH = 1e-9
+#: Boxes worked on at once: their arrays stay in the processor's cache.
+_AT_ONCE = 2048
 
 
-def _sides(low: Column, high: Column, rows: Column) -> Column:
-    """The six sides of a box."""
-    step = lambda d: F.transform(rows, lambda r: r[d] * (high[d] - low[d]))
-    least = transformed(rows, F.concat(low, F.array(F.lit(1.0))))
-    out = []
+def _sides(low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Of each side of boxes: its corner of least other coordinates and the two edges from it, in clip space; whether a turn from the first edge to the second is anticlockwise as seen from outside."""
+    step = [rows[:, :, d] * (high - low)[:, d, None] for d in range(3)]
+    least = rows[:, :, 0] * low[:, 0, None] + rows[:, :, 1] * low[:, 1, None] + rows[:, :, 2] * low[:, 2, None] + rows[:, :, 3]
     for d in range(3):
-        first, second = step((d + 1) % 3), step((d + 2) % 3)
-        far = F.zip_with(least, step(d), lambda x, y: x + y)
-        out += [F.struct(o.alias("o"), first.alias("a"), second.alias("b"), F.lit(turn).alias("turn")) for o, turn in ((least, -1.0), (far, 1.0))]
-    return F.array(*out).cast(f"array<{_SIDE}>")
+        for o, turn in ((least, -1.0), (least + step[d], 1.0)):
+            yield o, step[(d + 1) % 3], step[(d + 2) % 3], turn
 
 
-def _on(side: Column, u: Column, v: Column) -> Column:
-    """The place on the screen of a side's point, both in [-1, 1] where it is seen."""
-    x, y, w = (side["o"][k] + u * side["a"][k] + v * side["b"][k] for k in (0, 1, 3))
-    return F.struct((x / w).alias("x"), (y / w).alias("y"))
-
-
-def _cut_area(side: Column) -> Column:
+def _cut_area(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Signed area on the screen of what is in view of a side.
 
     A point of a side is o + u a + v b, and in view where ten linear conditions on (u, v)
@@ -128,50 +120,45 @@ def _cut_area(side: Column) -> Column:
     along one range at most, which the other nine conditions narrow; the ranges, each run
     through with the view on its left, close the outline, whose area is a sum over them.
     """
-    rule = lambda c, u, v: F.struct(c.cast("double").alias("c"), u.cast("double").alias("u"), v.cast("double").alias("v"), F.sqrt(u * u + v * v).cast("double").alias("n"))
-    lit = lambda x: F.lit(float(x))
-    rules = [rule(lit(0), lit(1), lit(0)), rule(lit(1), lit(-1), lit(0)), rule(lit(0), lit(0), lit(1)), rule(lit(1), lit(0), lit(-1))]
-    rules += [rule(*[side[part][3] + sign * side[part][k] for part in ("o", "a", "b")]) for k in range(3) for sign in (1, -1)]
+    one, none = np.ones(len(o)), np.zeros(len(o))
+    rules = [(none, one, none), (one, -one, none), (none, none, one), (one, none, -one)]
+    rules += [tuple(x[:, 3] + sign * x[:, k] for x in (o, a, b)) for k in range(3) for sign in (1, -1)]
+    c, u, v = (np.stack(x) for x in zip(*rules, strict=True))  # [conditions, boxes]
     # Conditions in which (u, v) do not occur hold or not for the whole side.
-    scaled = F.transform(F.array(*rules), lambda r: F.when(r["n"] > 0, F.struct((r["c"] / r["n"]).alias("c"), (r["u"] / r["n"]).alias("u"), (r["v"] / r["n"]).alias("v"))).otherwise(F.struct(r["c"].alias("c"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))))
-
-    def edges(all_: Column) -> Column:
-        def edge(line: Column, own: Column) -> Column:
-            u, v = -line["c"] * line["u"], -line["c"] * line["v"]
-
-            def narrowed(at: Column, k: Column) -> Column:
-                r = F.get(all_, k)
-                off, along = r["c"] + r["u"] * u + r["v"] * v, r["u"] * line["v"] - r["v"] * line["u"]
-                same = F.abs(along) <= 1e-12
-                # Of lines that are one the first counts; where their conditions are opposite, nothing lies between.
-                opposite = r["u"] * line["u"] + r["v"] * line["v"] < 0
-                shut = same & ((off < -_TOUCH) | (off <= _TOUCH) & ((k < own) | opposite))
-                low = F.when(shut, F.lit(float("inf"))).when(~same & (along > 0), F.greatest(at["low"], -off / along)).otherwise(at["low"])
-                high = F.when(~same & (along < 0), F.least(at["high"], -off / along)).otherwise(at["high"])
-                return F.when(k == own, at).otherwise(F.struct(low.alias("low"), high.alias("high")))
-
-            whole = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-            reach = F.aggregate(F.sequence(F.lit(0), F.lit(9)), whole, narrowed)
-            ends = lambda t: _on(side, u + t * line["v"], v - t * line["u"])
-            piece = F.struct(ends(reach["low"]).alias("p"), ends(reach["high"]).alias("q"))
-            return F.when(((line["u"] != 0) | (line["v"] != 0)) & (reach["low"] < reach["high"]), piece["p"]["x"] * piece["q"]["y"] - piece["q"]["x"] * piece["p"]["y"])
-
-        return F.aggregate(F.transform(all_, edge), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0))) / 2
-
-    return F.transform(F.array(scaled), edges)[0]
-
-
-def _whole_area(side: Column) -> Column:
+    n = np.sqrt(u * u + v * v)
+    bent = n > 0
+    n = np.where(bent, n, 1.0)
+    c, u, v = c / n, np.where(bent, u / n, 0.0), np.where(bent, v / n, 0.0)
+    out = none.copy()
+    for k in range(len(rules)):
+        lu, lv = u[k], v[k]
+        pu, pv = -c[k] * lu, -c[k] * lv
+        off, along = c + u * pu + v * pv, u * lv - v * lu
+        same = np.abs(along) <= 1e-12
+        # Of lines that are one the first counts; where their conditions are opposite, nothing lies between.
+        first = np.arange(len(rules))[:, None] < k
+        shut = same & ((off < -_TOUCH) | (off <= _TOUCH) & (first | (u * lu + v * lv < 0)))
+        shut[k] = False
+        at = -off / np.where(same, 1.0, along)
+        low = np.where(~same & (along > 0), at, -np.inf).max(0)
+        high = np.where(~same & (along < 0), at, np.inf).min(0)
+        good = bent[k] & ~shut.any(0) & (low < high)
+        if good.any():
+            ends = [(pu + t * lv, pv - t * lu) for t in (low, high)]
+            (px, py), (qx, qy) = (((o[:, 0] + s * a[:, 0] + t * b[:, 0]) / w, (o[:, 1] + s * a[:, 1] + t * b[:, 1]) / w) for s, t in ends for w in (o[:, 3] + s * a[:, 3] + t * b[:, 3],))
+            out += np.where(good, px * qy - qx * py, 0.0)
+    return out / 2
+
+
+def _whole_area(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Signed area on the screen of a side's two halves along the diagonal from its first corner, of which each counts if its corners are in view."""
-    at = lambda u, v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: side["o"][k] + u * side["a"][k] + v * side["b"][k])
-    seen = lambda p: (p[3] > 0) & (F.abs(p[0]) <= p[3]) & (F.abs(p[1]) <= p[3]) & (F.abs(p[2]) <= p[3])
-    start, end = at(0, 0), at(1, 1)
+    seen = lambda p: (p[:, 3] > 0) & (np.abs(p[:, :3]) <= p[:, 3:]).all(1)
 
-    def half(p: Column, q: Column, r: Column) -> Column:
-        x, y = ([c[k] / c[3] for c in (p, q, r)] for k in (0, 1))
-        return F.when(seen(p) & seen(q) & seen(r), ((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2).otherwise(0.0)
+    def half(*corners: np.ndarray) -> np.ndarray:
+        x, y = ([p[:, k] / p[:, 3] for p in corners] for k in (0, 1))
+        return np.where(np.all([seen(p) for p in corners], 0), ((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2, 0.0)
 
-    return half(start, at(1, 0), end) + half(start, end, at(0, 1))
+    return half(o, o + a, o + a + b) + half(o, o + a + b, o + b)
 
 
 def projected_area(low: Column, high: Column, rows: Column, width: float, height: float, clip: bool = True) -> Column:
@@ -180,9 +167,23 @@ def projected_area(low: Column, high: Column, rows: Column, width: float, height
     rows is a 4 x 4 matrix to clip space, where -w <= x, y, z <= w is in view. With `clip`
     what is in view of a side counts; without, the halves of sides that are in view as a
     whole. A side faces the camera if it shows its outside, as then its outline runs
-    anticlockwise. Null where the box has no extent on an axis.
+    anticlockwise. Null where the box has no extent on an axis, or where a number is missing.
+    Boxes are worked out an Arrow batch at a time, as arrays over its boxes.
     """
-    one = lambda side: F.greatest((_cut_area if clip else _whole_area)(side) * side["turn"], F.lit(0.0))
-    area = F.aggregate(F.transform(_sides(low, high, rows), one), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+
+    @F.arrow_udf("double")
+    def areas(numbers: pa.Array) -> pa.Array:
+        flat = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), 22)
+        out = np.zeros(len(flat))
+        with np.errstate(all="ignore"):
+            for k in range(0, len(flat), _AT_ONCE):
+                part = flat[k : k + _AT_ONCE]
+                for o, a, b, turn in _sides(part[:, :3], part[:, 3:6], part[:, 6:].reshape(-1, 4, 4)):
+                    out[k : k + _AT_ONCE] += np.maximum((_cut_area if clip else _whole_area)(o, a, b) * turn, 0.0)
+        return pa.array(out * (width * height / 4))
+
+    numbers = [x.cast("double") for x in (*[low[k] for k in range(3)], *[high[k] for k in range(3)], *[rows[i][j] for i in range(4) for j in range(4)])]
+    # A missing number goes as NaN, since an array of numbers has none missing.
+    area = areas(F.array(*[F.coalesce(x, F.lit(float("nan"))) for x in numbers]))
     solid = F.forall(F.zip_with(low, high, lambda a, b: a < b), lambda b: b)
-    return F.when(solid, area * (width * height / 4))
+    return F.when(solid & F.forall(F.array(*numbers), lambda x: x.isNotNull()), area)
