@@ -32,6 +32,23 @@ def test_pruned_neighbours_equal_all_pairs(spark, n, same):
         assert np.mean([x.compared for x in got if x["rank"] == 1]) < 0.4 * n
 
 
+def test_what_is_compared_hardly_grows(spark):
+    """Ten times the items, with many equal ones: about as many are compared, and equal ones are ranked by id."""
+    means = []
+    for n in (2000, 20000):
+        at = [F.rand(k) for k in (1, 2, 3)]
+        items = spark.range(n).select("id", F.when(F.col("id") % 10 == 7, F.array(*[F.lit(0.5)] * 3)).otherwise(F.array(*at)).alias("v"))
+        asked = spark.createDataFrame([(-k, [k / 40, 0.3, 0.9 - k / 50]) for k in range(1, 40)] + [(-40, [0.5, 0.5, 0.5])], "id long, v array<double>")
+        got = neighbours.nearest_pruned(asked, items, "id", "id", "v", 3, [None, None, 1.0], same=False).collect()
+        points = {x.id: x.v for x in items.collect()}
+        for q in asked.collect():
+            want = sorted((round(gap(q.v, v, [None, None, 1.0]), 12), i) for i, v in points.items())[:3]
+            assert [x.item for x in sorted((x for x in got if x.query == q.id), key=lambda x: x.rank)] == [i for _, i in want]
+        assert sorted(x.item for x in got if x.query == -40) == [7, 17, 27]
+        means.append(np.mean([x.compared for x in got if x["rank"] == 1]))
+    assert means[1] < 2 * means[0]
+
+
 def test_no_items(spark):
     none = spark.createDataFrame([], "id int, v array<double>")
     assert neighbours.nearest_pruned(spark.createDataFrame([(1, [0.0])], "id int, v array<double>"), none, "id", "id", "v", 3).count() == 0

@@ -1,17 +1,19 @@
 """Nearest neighbours on scaled axes, exact, of which most pairs are never compared.
 
-Items are dealt to the nearest of a few pivots and to a ring by their distance from it. A
-query's k-th nearest of a bounded sample is a first bound; by the triangle inequality only
-rings that lie within the bound of the query's own distance from a pivot can hold nearer
-items, and only those are joined.
+Halving along the widest axis deals items to cells of some thousands, whose number grows with
+the items; a query's k-th nearest of a sample is a first bound, and only cells that reach into
+it are asked. There the same halving leaves boxes of a few items, and again only those within
+the bound are compared, so that a query's work hardly grows with the items.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,53 +46,188 @@ def distance(a: Column, b: Column, periods: Sequence[float | None] | None = None
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, d: s + d * d))
 
 
-def _pivots(points: np.ndarray, periods: Sequence[float | None] | None, n: int) -> np.ndarray:
-    """n of the points, each farthest from those before."""
-    far, chosen = np.full(len(points), np.inf), []
-    for _ in range(min(n, len(points))):
-        chosen.append(int(far.argmax()))
-        gap = np.abs(points - points[chosen[-1]])
-        for k, p in enumerate(periods or []):
-            if p:
-                gap[:, k] = np.minimum(gap[:, k], p - gap[:, k])
-        far = np.minimum(far, np.sqrt((gap * gap).sum(axis=1)))
-    return points[chosen]
+@dataclass(frozen=True)
+class Halves:
+    """Points halved along their widest axis until a node has `most` of them at most, or equal ones only.
 
+    order: of the points by leaf. By node: axis (-1: a leaf), cut, children (below holds what
+    is at most the cut), and the range of order that it holds. lo and hi: what a node can hold.
+    """
 
-def nearest_pruned(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, periods: Sequence[float | None] | None = None, same: bool = True, pivots: int = 16, rings: int = 64, sample: int = 256) -> DataFrame:
+    order: np.ndarray
+    axis: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+    parent: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray, most: int, lo: np.ndarray, hi: np.ndarray) -> Halves:
+        order, nodes, left = np.arange(len(points)), [[-1, 0.0, -1, -1, -1, 0, len(points), lo, hi]], [0]
+        while left:
+            at = left.pop()
+            start, stop, low, high = nodes[at][5:]
+            block = points[order[start:stop]]
+            span = block.max(0) - block.min(0) if stop > start else np.zeros(1)
+            k = int(span.argmax())
+            if stop - start <= most or not span[k] > 0:
+                continue
+            by = np.argsort(block[:, k], kind="stable")
+            order[start:stop] = order[start:stop][by]
+            values = block[by, k]
+            cut = values[(len(values) - 1) // 2]
+            if cut == values[-1]:
+                cut = values[np.searchsorted(values, cut) - 1]
+            middle = start + int(np.searchsorted(values, cut, "right"))
+            first, second = high.copy(), low.copy()
+            first[k] = second[k] = cut
+            nodes[at][:4] = k, cut, len(nodes), len(nodes) + 1
+            left += [len(nodes), len(nodes) + 1]
+            nodes += [[-1, 0.0, -1, -1, at, start, middle, low, first], [-1, 0.0, -1, -1, at, middle, stop, second, high]]
+        return cls(order, *[np.array(x) for x in zip(*nodes, strict=True)])
+
+    def leaves(self, points: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The node that each point falls to; nodes of which `last` is true are not looked into."""
+        node, open_ = np.zeros(len(points), np.int64), np.arange(len(points))
+        while len(open_):
+            at = node[open_]
+            open_, at = open_[~last[at]], at[~last[at]]
+            node[open_] = np.where(points[open_, self.axis[at]] <= self.cut[at], self.below[at], self.above[at])
+        return node
+
+
+def _outside(points: np.ndarray, lo: np.ndarray, hi: np.ndarray, periods: Sequence[float | None]) -> np.ndarray:
+    """How far points are from boxes, at least."""
+    total = 0.0
+    for k, p in enumerate(periods):
+        x = points[..., k]
+        gap = np.maximum(np.maximum(lo[..., k] - x, x - hi[..., k]), 0)
+        for turned in (x - p, x + p) if p else ():
+            gap = np.minimum(gap, np.maximum(np.maximum(lo[..., k] - turned, turned - hi[..., k]), 0))
+        total = total + gap * gap
+    return np.sqrt(total)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, periods: Sequence[float | None]) -> np.ndarray:
+    """distance() of points."""
+    total = 0.0
+    for k, p in enumerate(periods):
+        gap = np.abs(a[..., k] - b[..., k])
+        gap = np.minimum(gap, p - gap) if p else gap
+        total = total + gap * gap
+    return np.sqrt(total)
+
+
+def _points(column: pa.ChunkedArray | pa.Array, axes: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, axes)
+
+
+#: Items of a cell that one task looks at together, and of a box in it.
+_CELL, _BOX = 4096, 16
+#: Numbers in the sample of vectors that goes to the driver and every task (8 MB).
+_SAMPLED = 1 << 20
+
+
+def nearest_pruned(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, periods: Sequence[float | None] | None = None, same: bool = True, sample: int = 256) -> DataFrame:
     """(query, item, distance, rank, compared): each query's k nearest items, ties (to twelve decimals) by item; compared is how many items its distance was worked out to.
 
-    same: ids are of one table, and an item is not its own neighbour. The sample and the
-    pivots, `sample` vectors at most, go to the driver and every task; they only set bounds.
+    same: ids are of one table, and an item is not its own neighbour. Vectors are of one
+    length; those with a null or non-finite coordinate take no part. A sample, of an eighth
+    of the items and `sample` vectors at least and 2^20 numbers at most, goes to the driver
+    and every task; it only sets bounds. Of equal vectors only those that can count are dealt.
     """
-    drawn = items.select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(item_id), item_id).limit(sample).collect()
-    if not drawn:
-        return queries.select(F.col(query_id).alias("query")).limit(0).join(items.select(F.col(item_id).alias("item")), F.lit(False)).select("query", "item", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("compared"))
-    centres = _pivots(np.array([r.v for r in drawn], float), periods, pivots)
-    literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    away = F.array(*[distance(F.col("__v"), literal(c), periods) for c in centres])
-    known = items.sparkSession.createDataFrame([([(r.id, r.v) for r in drawn],)], f"__sample array<struct<id:{dict(items.dtypes)[item_id]},v:array<double>>>")
-
-    dealt = items.select(F.col(item_id).alias("item"), F.col(vector).alias("__v")).withColumn("__d", away)
-    dealt = dealt.withColumn("r", F.array_min("__d")).withColumn("cell", F.array_position("__d", F.col("r")).cast("int")).drop("__d")
-    widths = dealt.groupBy("cell").agg(F.max("r").alias("far")).collect()  # a row a pivot
-    width = F.element_at(F.create_map(*[x for w in widths for x in (F.lit(w.cell), F.lit(max(w.far / rings, 1e-12)))]), F.col("cell"))
-    ringed = dealt.withColumn("ring", F.floor(F.col("r") / width))
-
-    asked = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q")).join(F.broadcast(known))  # one row
-    others = F.filter("__sample", lambda s: s["id"] != F.col("query")) if same else F.col("__sample")
-    bound = F.get(F.sort_array(F.transform(others, lambda s: distance(F.col("__q"), s["v"], periods))), F.lit(k - 1))
-    asked = asked.withColumn("__b", F.coalesce(bound * (1 + 1e-9) + 1e-12, F.lit(math.inf))).drop("__sample")
-    cells = F.array(*[F.struct(F.lit(w.cell).alias("cell"), F.lit(w.far).alias("far"), distance(F.col("__q"), literal(centres[w.cell - 1]), periods).alias("d")) for w in widths])
-    spread = asked.withColumn("__c", F.explode(cells)).select("query", "__q", "__b", "__c.*").where("d - __b <= far")
-    first, last = F.greatest(F.floor((F.col("d") - F.col("__b")) / width), F.lit(0)), F.least(F.floor((F.col("d") + F.col("__b")) / width), F.lit(rings + 1))
-    # An endless bound reaches every ring.
-    first, last = F.when(F.col("__b") == math.inf, 0).otherwise(first), F.when(F.col("__b") == math.inf, rings + 1).otherwise(last)
-    reach = spread.withColumn("ring", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    pairs = reach.select("query", "__q", "__b", "cell", "ring").join(ringed.drop("r"), ["cell", "ring"])
-    if same:
-        pairs = pairs.where("query != item")
-    near = pairs.select("query", "item", distance(F.col("__q"), F.col("__v"), periods).alias("distance"))
+    wanted = k + same
+    whole = F.forall("__v", lambda x: x.isNotNull() & (F.abs(x) < math.inf))
+    taken = lambda df, key, name: df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("__v")).where(F.col("__v").isNotNull() & whole)
+    held, asked = taken(items, item_id, "item"), taken(queries, query_id, "query")
+    some = held.select(F.size("__v").alias("n")).first()
+    if not some:
+        return asked.select("query").limit(0).join(held.select("item"), F.lit(False)).select("query", "item", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("compared"))
+    axes = some.n
+    turns = [float(p) if p else None for p in periods or [None] * axes]
+    ends = held.agg(F.count("*").alias("n"), *[f(F.col("__v")[c]).alias(f"{name}{c}") for c in range(axes) for f, name in ((F.min, "lo"), (F.max, "hi"))]).first()
+    most = min(max(_SAMPLED // axes, 1), max(sample, ends.n // 8))
+    drawn = _points(held.where(F.pmod(F.xxhash64("item"), F.lit(max(ends.n // most, 1))) == 0).select("__v").toArrow()["__v"], axes)
+    lo, hi = (np.array([ends[f"{name}{c}"] for c in range(axes)], float) for name in ("lo", "hi"))
+    tree = Halves.of(drawn, max(16, 4 * wanted), lo, hi)
+    drawn, sizes = drawn[tree.order], tree.stop - tree.start
+    leaf = tree.axis < 0
+    cell = leaf | (sizes * ends.n <= _CELL * len(drawn))
+    kinds = dict(held.dtypes) | dict(asked.dtypes)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(tree.leaves(_points(batch["__v"], axes), cell)), batch["item"], batch["__v"]], ["cell", "item", "__v"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _points(batch["__v"], axes)
+            bound, node = np.full(len(at), np.inf), tree.leaves(at, leaf)
+            while (short := (sizes[node] < wanted) & (node > 0)).any():
+                node[short] = tree.parent[node[short]]
+            by = np.argsort(node, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(node[by])) + 1):
+                near = drawn[tree.start[node[own[0]]] : tree.stop[node[own[0]]]] if len(own) else drawn[:0]
+                if len(near) >= wanted:
+                    bound[own] = np.partition(_apart(at[own][:, None], near[None], turns), wanted - 1, axis=1)[:, wanted - 1] * (1 + 1e-9) + 1e-12
+            query, node, out = np.arange(len(at)), np.zeros(len(at), np.int64), []
+            while len(query):
+                reached = _outside(at[query], tree.lo[node], tree.hi[node], turns) <= bound[query]
+                query, node = query[reached], node[reached]
+                out.append((query[cell[node]], node[cell[node]]))
+                query, node = query[~cell[node]], node[~cell[node]]
+                query, node = np.concatenate([query, query]), np.concatenate([tree.below[node], tree.above[node]])
+            query, node = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (query, node)
+            yield pa.record_batch([pa.array(node), batch["query"].take(pa.array(query)), batch["__v"].take(pa.array(query)), pa.array(bound[query])], ["cell", "query", "__v", "__b"])
+
+    def compared(asking: pa.Table, there: pa.Table) -> pa.Table:
+        names, ids, v = asking["query"].combine_chunks(), there["item"].combine_chunks(), _points(there["__v"], axes)
+        at, bound, found = _points(asking["__v"], axes), asking["__b"].to_numpy(), []
+        if len(v) and len(at):
+            boxes = Halves.of(v, _BOX, v.min(0), v.max(0))
+            v, ids = v[boxes.order], ids.take(pa.array(boxes.order))
+            small = np.sort(boxes.start[boxes.axis < 0])
+            count = np.diff(small, append=len(v))
+            low, high = np.minimum.reduceat(v, small), np.maximum.reduceat(v, small)
+            own = (names.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)) if same else None
+            step = max((1 << 20) // len(v), 1)
+            for first in range(0, len(at), step):
+                part = at[first : first + step]
+                query, box = np.nonzero(_outside(part[:, None], low[None], high[None], turns) <= bound[first : first + step, None])
+                n = count[box]
+                item = np.repeat(small[box] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                query = np.repeat(query, n)
+                if same:
+                    other = own[0][first + query] != own[1][item]
+                    query, item = query[other], item[other]
+                looked = np.bincount(query, minlength=len(part))
+                d = _apart(part[query], v[item], turns)
+                close = d <= bound[first + query]
+                query, item, d = query[close], item[close], d[close]
+                by = np.lexsort((d, query))
+                query, item, d = query[by], item[by], d[by]
+                begin = np.searchsorted(query, np.arange(len(part)))
+                until = np.append(begin[1:], len(query))
+                # Up to the k-th, and what ties with it to twelve decimals.
+                limit = np.where(until - begin >= k, d[np.minimum(begin + k - 1, len(d) - 1)] if len(d) else 0.0, np.inf) + 2e-12
+                good = d <= limit[query]
+                found.append((first + query[good], item[good], d[good]))
+                # What was looked at counts once a query, with or without a neighbour here.
+                found.append((first + np.flatnonzero(looked), np.full(np.count_nonzero(looked), -1), looked[looked > 0].astype(float)))
+        query, item, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        near = item >= 0
+        return pa.table({"query": names.take(pa.array(query)), "item": ids.take(pa.array(item, mask=~near)), "distance": pa.array(d.astype(float), mask=~near), "seen": np.where(near, 0, d).astype(np.int64)})
+
+    like = Window.partitionBy("__v").orderBy("item")
+    counted = held.withColumn("__r", F.row_number().over(like)).where(F.col("__r") <= wanted).drop("__r")
+    cells = counted.mapInArrow(dealt, f"cell long, item {kinds['item']}, __v array<double>").groupBy("cell")
+    reach = asked.mapInArrow(spread, f"cell long, query {kinds['query']}, __v array<double>, __b double").groupBy("cell")
+    near = reach.cogroup(cells).applyInArrow(compared, f"query {kinds['query']}, item {kinds['item']}, distance double, seen long")
     by = Window.partitionBy("query")
-    ranked = near.withColumns({"rank": F.row_number().over(by.orderBy(F.round("distance", 12), "item")), "compared": F.count("*").over(by)})
-    return ranked.where(F.col("rank") <= k).select("query", "item", "distance", "rank", "compared")
+    ranked = near.withColumns({"rank": F.row_number().over(by.orderBy(F.col("distance").isNull(), F.round("distance", 12), "item")), "compared": F.sum("seen").over(by)})
+    return ranked.where((F.col("rank") <= k) & F.col("distance").isNotNull()).select("query", "item", "distance", "rank", "compared")
