@@ -99,3 +99,22 @@ def test_shares_of_a_bucket_add_up_to_one(spark, scratch):
     unused = np.flatnonzero(model.totals[1:] == 0) + 1
     outside = np.exp(model.network.log_probabilities(np.zeros((len(unused) + 1, 4), np.int64), np.append(unused, 0))).sum()
     assert abs(sum(np.exp(g.log_prob) for g in got) + outside - 1) < 1e-3
+
+
+def test_every_place_is_learned_from(spark, scratch):
+    """What one place of a text tells of the next is learned in one pass, wherever it stands."""
+    r = random.Random(4)
+    pair = lambda: r.choice(["p r", "q s"])
+    rows = [(i, f"{pair()} " + " ".join(r.choices("fg", k=5))) for i in range(20000)]
+    model = m.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), scratch)
+    texts = [(1, "p r f f f g f"), (2, "p s f f f g f"), (3, "q s f f f g f"), (4, "q r f f f g f")]
+    got = {x.doc_id: x.log_prob for x in m.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[1] - got[2] > 1 and got[3] - got[4] > 1
+
+
+def test_words_are_those_of_split():
+    texts = ["a b c  d", "", "  ", "x", "İstanbul ẞ \x1cq\x85z", "w" * 1_200_000 + " a"]
+    codes, sizes = m.hashed(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert sizes.tolist() == [len(t.lower().split()) for t in texts]
+    assert codes.tolist() == [m.code_of(w) for w in words] and len(set(codes.tolist())) == len(set(words))

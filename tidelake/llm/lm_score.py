@@ -4,22 +4,22 @@ A window network sees the two tokens on each side of a place and predicts the
 token in it; a text's score is the sum of the log-probabilities of all its tokens,
 each given its neighbours. Everything it learns comes from the whole corpus. The
 network knows the commonest words and buckets of all others; each partition trains
-a copy of it on its masked places, a share of every document's, and copies are
-averaged by the places they saw (iterative parameter mixing, McDonald et al. 2010).
+a copy of it on all of its places, masked in turn, and copies are averaged by the
+places they saw (iterative parameter mixing, McDonald et al. 2010).
 The counts of all words, a table that grows with the corpus, tell the words of a
 bucket apart: P(word | neighbours) = P(bucket | neighbours) n(word) / n(bucket).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,35 +32,81 @@ SIDES = (-2, -1, 1, 2)
 WORDS, BUCKETS = 767, 256
 IDS, CLASS = 1 + WORDS + BUCKETS, 32
 WIDTH = 16
-#: One place in MASK_EVERY is trained on.
-MASK_EVERY = 7
-STEP = 1024
-
+#: Places of one step of training, and of one step of scoring.
+STEP, SCORED = 7168, 8192
 
 #: Codes of words beyond the commonest have this bit and 63 bits of hash.
 RARE = 1 << 63
 
 
+#: Base of the polynomial that hashes words, and its inverse modulo 2^64; how many bytes are hashed at once.
+_BASE = 0x9E6C63D0876A9A35
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = 1 << 19
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+#: What else str.split() takes for space.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^n powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << n) - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
+
+
+def _hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, and where it starts: its bytes as digits of a number, whose bits are then mixed."""
+    edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
+    start, stop = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    power, inverse = _powers(max(len(data), _BYTES).bit_length())
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=upto[1:])
+    h = (upto[stop] - upto[start]) * inverse[start]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h ^ (h >> np.uint64(31))) | np.uint64(RARE), start
+
+
+def hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words, in small letters, of all texts one after the other, and how many each text has; the bytes of many texts are looked at together."""
+    plain = [t if t.isascii() else _WIDE.sub(" ", t) for t in map(str.lower, texts)]
+    parts = [t.encode("utf-8", "surrogatepass") for t in plain]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    data = np.frombuffer(b" ".join(parts), np.uint8)
+    space = _SPACE[data]
+    codes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        # A word is not cut: a piece ends with the next space.
+        until = at + _BYTES
+        while until < len(data) and not (found := space[until : until + _BYTES]).any():
+            until += _BYTES
+        until = until + int(found.argmax()) if until < len(data) else len(data)
+        h, start = _hashes(data[at:until], space[at:until])
+        codes.append(h), places.append(at + start)
+        at = until
+    return np.concatenate(codes), np.bincount(np.searchsorted(ends, np.concatenate(places), "right"), minlength=len(texts))
+
+
 def code_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, seed=42) | RARE
+    return int(hashed([word])[0][0])
 
 
-class Vocabulary(dict):
-    """Code of each word: the id of a common one, else its hash. Only common words are kept: to hash the others is faster than to look them up among very many."""
+class Vocabulary:
+    """Code of each word: the id of a common one, else its hash."""
 
     def __init__(self, common: tuple[int, ...]):
-        super().__init__()
-        self.known = {c: k + 1 for k, c in enumerate(common)}
+        codes = np.array(common, np.uint64)
+        self.ids = np.append(np.argsort(codes).astype(np.uint64) + np.uint64(1), np.uint64(0))
+        self.known = np.append(np.sort(codes), np.uint64(0))
 
-    def __missing__(self, word: str) -> int:
-        code = code_of(word)
-        if code in self.known:
-            code = self[word] = self.known[code]
-        return code
+    def coded(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words of texts, and how many each text has."""
+        codes, sizes = hashed(texts)
+        at = np.searchsorted(self.known[:-1], codes)
+        return np.where(self.known[at] == codes, self.ids[at], codes), sizes
 
     def codes(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.coded([text])[0]
 
 
 def ids_of(codes: np.ndarray) -> np.ndarray:
@@ -72,12 +118,18 @@ def keys_of(codes: np.ndarray) -> np.ndarray:
     return codes << np.uint64(1)
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """[places, sides] of neighbours' ids."""
+def padded(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one row, with as many zeros between two texts as a window reaches, and where each id is."""
     reach = max(SIDES)
-    padded = np.zeros(len(ids) + 2 * reach, np.int64)
-    padded[reach : reach + len(ids)] = ids
-    return np.stack([padded[reach + s : reach + s + len(ids)] for s in SIDES], 1)
+    at = np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    out = np.zeros(len(ids) + reach * (len(sizes) + 1), np.int64)
+    out[at] = ids
+    return out, at
+
+
+def contexts(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[places, sides] of neighbours' ids."""
+    return np.stack([row[at + s] for s in SIDES], 1)
 
 
 @dataclass
@@ -107,60 +159,67 @@ class Network:
             at += v.size
         return Network(out)
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         p = self.parts
-        seen = p["embedding"][context]
-        return seen, np.tanh((seen * p["gate"]).sum(1) + p["shift"])
+        seen = sum((p["embedding"] * p["gate"][s])[context[:, s]] for s in range(len(SIDES)))
+        return np.tanh(seen + p["shift"])
+
+    @staticmethod
+    def by_class(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of places by the class of their tokens, where classes begin and end in it, and tokens within their class in that order."""
+        kind = (token // CLASS).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        return order, np.searchsorted(kind[order], np.arange(IDS // CLASS + 1)), (token % CLASS)[order]
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         p = self.parts
-        _, h = self.hidden(context)
-        kind, member = token // CLASS, token % CLASS
-        z = h @ p["class"] + p["class_bias"]
-        top = z.max(1)
-        out = z[np.arange(len(z)), kind] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(IDS // CLASS + 1))
-        for k in range(IDS // CLASS):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                z = h[at] @ p["member"][k] + p["member_bias"][k]
-                top = z.max(1)
-                out[at] += z[np.arange(len(z)), member[at]] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        return out
+        order, cut, member = self.by_class(token)
+        h = self.hidden(context)[order]
+
+        def log_share(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+            z -= z.max(1, keepdims=True)
+            chosen = z[np.arange(len(z)), right]
+            return chosen - np.log(np.exp(z, out=z).sum(1))
+
+        out = log_share(h @ p["class"] + p["class_bias"], token[order] // CLASS)
+        for k in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[k], cut[k + 1])
+            out[at] += log_share(h[at] @ p["member"][k] + p["member_bias"][k], member[at])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def gradient(self, context: np.ndarray, token: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log-probability."""
         p, n = self.parts, len(token)
-        seen, h = self.hidden(context)
-        kind, member = token // CLASS, token % CLASS
+        order, cut, member = self.by_class(token)
+        h = self.hidden(context)[order]
         g = {k: np.zeros_like(v) for k, v in p.items()}
 
         def residual(z: np.ndarray, right: np.ndarray) -> np.ndarray:
-            e = np.exp(z - z.max(1, keepdims=True))
+            z -= z.max(1, keepdims=True)
+            e = np.exp(z, out=z)
             e /= -e.sum(1, keepdims=True) * n
             e[np.arange(len(z)), right] += 1 / n
             return e
 
-        d = residual(h @ p["class"] + p["class_bias"], kind)
+        d = residual(h @ p["class"] + p["class_bias"], token[order] // CLASS)
         g["class"], g["class_bias"] = h.T @ d, d.sum(0)
         dh = d @ p["class"].T
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(IDS // CLASS + 1))
-        for k in range(IDS // CLASS):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                d = residual(h[at] @ p["member"][k] + p["member_bias"][k], member[at])
-                g["member"][k], g["member_bias"][k] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ p["member"][k].T
+        for k in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[k], cut[k + 1])
+            d = residual(h[at] @ p["member"][k] + p["member_bias"][k], member[at])
+            g["member"][k], g["member_bias"][k] = h[at].T @ d, d.sum(0)
+            dh[at] += d @ p["member"][k].T
         dh *= 1 - h * h
         g["shift"] = dh.sum(0)
-        g["gate"] = np.einsum("nsw,nw->sw", seen, dh)
-        flat = context.ravel()
-        spread = (dh[:, None, :] * p["gate"]).reshape(-1, WIDTH)
-        by = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
-        g["embedding"][flat[by][first]] = np.add.reduceat(spread[by], first)
+        for s in range(len(SIDES)):
+            ids = context[order, s].astype(np.int16)
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[by], prepend=-1))
+            some, sums = ids[by[first]], np.add.reduceat(dh[by], first)
+            g["embedding"][some] += sums * p["gate"][s]
+            g["gate"][s] = (sums * p["embedding"][some]).sum(0)
         return g
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> tuple[Network, int]:
@@ -185,23 +244,36 @@ class Model:
     counts: DataFrame
 
 
+def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:
+    """Texts in groups of about as many letters as are hashed at once."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            held.append(text)
+            size += len(text)
+            if size >= _BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(key, n) of every word of all texts; each task adds up before the shuffle."""
     bounded_batches(docs.sparkSession)
 
-    def as_rows(counts: Counter[str]) -> pd.DataFrame:
-        codes = np.fromiter(map(code_of, counts), np.uint64, len(counts))
-        return pd.DataFrame({"key": keys_of(codes).view(np.int64), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+    def as_rows(codes: list[np.ndarray]) -> pd.DataFrame:
+        key, n = np.unique(np.concatenate(codes), return_counts=True)
+        return pd.DataFrame({"key": keys_of(key).view(np.int64), "n": n.astype(np.int64)})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(text.lower().split())
-            if len(counts) > 500_000:
-                yield as_rows(counts)
-                counts.clear()
-        yield as_rows(counts)
+        held = [np.zeros(0, np.uint64)]
+        for texts in grouped(batches):
+            held.append(hashed(texts)[0])
+            if sum(map(len, held)) > 2_000_000:
+                yield as_rows(held)
+                held = [np.zeros(0, np.uint64)]
+        yield as_rows(held)
 
     return docs.select("text").mapInPandas(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -230,30 +302,30 @@ def fit(docs: DataFrame, scratch: Scratch, rounds: int = 1) -> Model:
     counts = scratch.store(count_words(docs))
     common, totals = statistics(counts)
     network = Network.initial(totals)
-    for turn in range(rounds):
-        network = mixed_round(docs, common, network, turn)
+    for _ in range(rounds):
+        network = mixed_round(docs, common, network)
     return Model(common, totals, network, counts)
 
 
-def mixed_round(docs: DataFrame, common: tuple[int, ...], start: Network, turn: int) -> Network:
+def mixed_round(docs: DataFrame, common: tuple[int, ...], start: Network) -> Network:
+    """The mean, by places, of copies that each task trains on every place of its texts."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((common, start))
 
     def places(batches: Iterator[pd.DataFrame], words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held_context, held_token, held = [], [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                ids = ids_of(words.codes(text))
-                at = np.arange((len(text) + turn) % MASK_EVERY, len(ids), MASK_EVERY)
-                if len(at):
-                    held_context.append(contexts(ids)[at]), held_token.append(ids[at])
-                    held += len(at)
+        for texts in grouped(batches):
+            codes, sizes = words.coded(texts)
+            ids = ids_of(codes)
+            row, at = padded(ids, sizes)
+            for a in range(0, len(ids), STEP):
+                part = at[a : a + STEP]
+                held_context.append(contexts(row, part)), held_token.append(row[part])
+                held += len(part)
                 if held >= STEP:
                     c, t = np.concatenate(held_context), np.concatenate(held_token)
-                    for k in range(0, held - STEP + 1, STEP):
-                        yield c[k : k + STEP], t[k : k + STEP]
-                    k = held - held % STEP
-                    held_context, held_token, held = [c[k:]], [t[k:]], held % STEP
+                    yield c[:STEP], t[:STEP]
+                    held_context, held_token, held = [c[STEP:]], [t[STEP:]], held - STEP
         if held:
             yield np.concatenate(held_context), np.concatenate(held_token)
 
@@ -292,12 +364,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     buckets = 1 << depth
     shared = docs.sparkSession.sparkContext.broadcast((model.common, model.network, np.log(np.maximum(model.totals, 1))))
 
-    def read(texts: list[bytes]) -> list[np.ndarray]:
-        words = Vocabulary(shared.value[0])
-        return [words.codes(t.decode()) for t in texts]
+    def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return Vocabulary(shared.value[0]).coded([t.decode() for t in texts])
 
     def asks(table: pa.Table) -> pa.Table:
-        codes = np.concatenate(read(table["text"].to_pylist()))
+        codes, _ = read(table["text"].to_pylist())
         return asked_table(asked(table["batch"][0].as_py(), 0, np.unique(keys_of(codes[codes >= RARE])), [], buckets))
 
     def told(questions: pa.Table, known: pa.Table) -> pa.Table:
@@ -318,9 +389,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             return schema.empty_table()
         _, network, totals = shared.value
         names, texts = columns(table)
-        codes = read(texts)
-        sizes = np.array([len(c) for c in codes])
-        codes = np.concatenate(codes)
+        codes, sizes = read(texts)
         rare = np.flatnonzero(codes >= RARE)
         keys, place = np.unique(keys_of(codes[rare]), return_inverse=True)
         counts, cut = np.ones(len(keys), np.int64), edges(keys, buckets)
@@ -329,14 +398,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         token = ids_of(codes)
         logs = np.zeros(len(token))
         logs[rare] = np.log(counts)[place] - totals[token[rare]]
-        # Neighbours of all texts at once: between two texts lie as many zeros as a window reaches.
-        reach = max(SIDES)
-        at = np.arange(len(token)) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
-        padded = np.zeros(len(token) + reach * (len(sizes) + 1), np.int64)
-        padded[at] = token
-        for a in range(0, len(token), 8 * STEP):
-            part = slice(a, a + 8 * STEP)
-            logs[part] += network.log_probabilities(np.stack([padded[at[part] + s] for s in SIDES], 1), token[part])
+        row, at = padded(token, sizes)
+        for a in range(0, len(token), SCORED):
+            part = slice(a, a + SCORED)
+            logs[part] += network.log_probabilities(contexts(row, at[part]), token[part])
         total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
         return pa.table([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total, pa.float64())], schema=schema)
 
