@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,3 +117,37 @@ def test_bounds_hold_the_optimum(spark, bins):
         assert x.upper == upper and x.utility <= exact <= x.upper and x.gap == x.upper - x.utility
         assert x.status == ("optimal" if lower else "cheapest") and (lower is None or (-x.utility, x.cost) == lower)
     assert "infeasible" in seen and "optimal" in seen
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Several blocks of queries and items; equal vectors, nulls, NaN and endless numbers."""
+    monkeypatch.setattr(relational, "_ASKED", 20)
+    monkeypatch.setattr(relational, "_HELD", 90)
+    r = random.Random(9)
+    rows = [(i, [r.choice([0.0, 0.25, r.gauss(0, 1)]) for _ in range(6)]) for i in range(300)]
+    rows += [(300, None), (301, [None] + [0.0] * 5), (302, [math.nan] + [0.0] * 5), (303, [math.inf] + [0.0] * 5)] + [(304 + i, [0.5] * 6) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    odd = lambda v: v is None or None in v
+
+    def far(a, b):
+        if odd(a) or odd(b):
+            return (2, 0.0)
+        d = math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+        return (1, 0.0) if math.isnan(d) else (0, d)
+
+    asked = [x for x in rows if x[0] % 4 == 0 or x[0] >= 300]
+    got = relational.nearest(df.where("id % 4 = 0 OR id >= 300"), df, "id", "id", "v", 5).collect()
+    assert len(got) == 5 * len(asked)
+    for q, v in asked:
+        want = sorted((*far(v, w), i) for i, w in rows if i != q)[:5]
+        mine = sorted((x.rank, x.item) for x in got if x.query == q)
+        assert [i for _, i in mine] == [i for *_, i in want]
+    assert relational.nearest(df.limit(0), df, "id", "id", "v", 5).count() == 0 == relational.nearest(df, df.limit(0), "id", "id", "v", 5).count()
+
+
+def test_many_vectors_are_compared_in_seconds(spark):
+    """Expressions of arrays took minutes for these 36 million pairs."""
+    df = spark.range(60000).select("id", F.array(*[F.randn(k) for k in range(32)]).alias("v"))
+    start = time.monotonic()
+    assert relational.nearest(df.where("id % 100 = 0"), df, "id", "id", "v", 5).count() == 3000
+    assert time.monotonic() - start < 45

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,19 +121,93 @@ def bracket(axis: DataFrame, points: DataFrame, at: str, period: float | None =
     return both.withColumns({"lo": lo, "hi": hi, "w": F.when(gap > 0, F.greatest(part, F.lit(0.0)) / F.when(gap > 0, gap)).otherwise(0.0)}).drop("__axis")
 
 
-def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
+#: Queries and items that one task holds against each other, and pairs worked out at once (of which an array takes 8 MB).
+_ASKED, _HELD, _PAIRS = 4096, 16384, 1 << 20
+
+
+def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int) -> DataFrame:
     """(query, item, distance, rank) of each query's k nearest items by Euclidean distance, ties by item id; exact.
 
-    Queries are a stated set held against all items in blocks of them: each block
-    keeps k rows a query before the blocks meet, so k * blocks rows a query shuffle.
+    Blocks of queries meet blocks of items, as many as the tables need: all pairs are
+    bounded by a product of matrices, and those that can be among the k nearest of their
+    block are worked out in full. A distance to or from a null vector, one with nulls or
+    one of another length is null, and comes last; NaN comes before it.
     """
-    a = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q"))
-    b = items.select(F.col(item_id).alias("item"), F.col(vector).alias("__v"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).alias("__b"))
-    gap = F.aggregate(F.zip_with("__q", "__v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    all_pairs = a.join(b, F.col("query") != F.col("item")).withColumn("distance", F.sqrt(gap)).drop("__q", "__v")
-    near = lambda w: F.row_number().over(Window.partitionBy(*w).orderBy("distance", "item"))
-    local = all_pairs.withColumn("__r", near(["query", "__b"])).where(F.col("__r") <= k).drop("__r")
-    return local.withColumn("rank", near(["query"])).where(F.col("rank") <= k).select("query", "item", "distance", "rank")
+    blocks = lambda df, size: max(-(-df.count() // size), 1)
+    n, m = blocks(queries, _ASKED), blocks(items, _HELD)
+    dealt = lambda df, key, name, mine, own, all_, other: df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("__v"), F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(all_ - 1))).alias(other))
+    a = dealt(queries, query_id, "query", "__a", n, m, "__b")
+    b = dealt(items, item_id, "item", "__b", m, n, "__a")
+    kinds = dict(queries.dtypes)[query_id], dict(items.dtypes)[item_id]
+
+    def compared(asking: pa.Table, there: pa.Table) -> pa.Table:
+        out = []
+        if len(asking) and len(there):
+            names, ids = asking["query"].to_numpy(zero_copy_only=False), there["item"].to_numpy(zero_copy_only=False)
+            axes = int(np.median([len(v) for v in there["__v"].to_pylist()[:100] if v is not None] or [0]))
+            (p, odd_p), (q, odd_q) = (_matrix(t["__v"], axes) for t in (asking, there))
+            by_id = np.argsort(ids, kind="stable")
+            ids, q, odd_q = ids[by_id], q[by_id], odd_q[by_id]
+            # Where a number is not finite no product bounds a distance, and the pair is worked out.
+            plain = np.where(np.isfinite(q), q, 0.0)
+            squares, wild = (plain * plain).sum(1), ~np.isfinite(q).all(1)
+            step, last = max(_PAIRS // len(ids), 1), min(k - 1 + int(wild.sum()), len(ids) - 1)
+            # What rounding can move a square by, in parts of the numbers that it comes from.
+            rounding, some = 2e-12 * (axes + 8), max(_PAIRS // max(axes, 1), 1)
+            for first in range(0, len(names), step):
+                part, odd = p[first : first + step], odd_p[first : first + step, None]
+                same = names[first : first + step, None] == ids
+                tame = np.where(np.isfinite(part), part, 0.0)
+                own = (tame * tame).sum(1)[:, None]
+                near = own + squares - 2 * (tame @ plain.T)
+                near[:, wild] = -np.inf
+                near[:, odd_q] = np.inf
+                near[same] = np.inf
+                limit = np.partition(near, last, axis=1)[:, last, None] + rounding * (own + squares.max())
+                limit[~np.isfinite(part).all(1)] = np.inf
+                rows, at = np.nonzero((near <= limit) & ~(same | odd_q | odd))
+                for c in range(0, len(rows), some):
+                    r, i = rows[c : c + some], at[c : c + some]
+                    total = np.zeros(len(r))
+                    for x in range(axes):
+                        gap = part[r, x] - q[i, x]
+                        total += gap * gap
+                    out.append((first + r, i, np.sqrt(total), np.zeros(len(r), bool)))
+                if odd.any() or odd_q.any():
+                    # Of null distances the first k by id are enough.
+                    missing = (odd_q | odd) & ~same
+                    rows, at = np.nonzero(missing & (np.cumsum(missing, axis=1) <= k))
+                    out.append((first + rows, at, np.zeros(len(rows)), np.ones(len(rows), bool)))
+        if not out:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
+        query, item, d, none = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((item, d, none, query))
+        query, item, d, none = query[order], item[order], d[order], none[order]
+        good = np.arange(len(query)) - np.searchsorted(query, query) < k
+        take = lambda column, at: column.combine_chunks().take(pa.array(at))
+        item = by_id[item[good]] if len(query) else item
+        return pa.table({"query": take(asking["query"], query[good]), "item": take(there["item"], item), "distance": pa.array(d[good], mask=none[good])})
+
+    local = a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInArrow(compared, f"query {kinds[0]}, item {kinds[1]}, distance double")
+    by = F.row_number().over(Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), "item"))
+    return local.withColumn("rank", by).where(F.col("rank") <= k).select("query", "item", "distance", "rank")
+
+
+def _matrix(vectors: pa.ChunkedArray, axes: int) -> tuple[np.ndarray, np.ndarray]:
+    """[vectors, axes], and which are null, hold nulls or are of another length; these are zeros."""
+    v = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+    odd = size != axes
+    held = v.filter(pa.array(~odd))
+    out = np.zeros((len(v), axes))
+    if axes:
+        flat = held.flatten()
+        out[~odd] = flat.to_numpy(zero_copy_only=False).reshape(-1, axes)
+        empty = np.zeros(len(v), bool)
+        empty[~odd] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, axes).any(1)
+        odd |= empty
+        out[odd] = 0.0
+    return out, odd
 
 
 def overlapping_pairs(df: DataFrame, by: Sequence[str], key: str, low: str, high: str, width: float) -> DataFrame:
