@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelake import registry
+from tidelake.functions import scalars
 from tidelake.operators import scenes
 
 
@@ -146,3 +148,14 @@ def test_many_boxes_take_seconds(spark):
     assert time.monotonic() - start < 60
     assert sum(n for n, _, _ in got.values()) == 12000 and all(lo == hi for _, lo, hi in got.values())
     assert math.isclose(got[0.0, -1.0][1], area(spark, (0, -1, -4), (1, 1, -2.5)))
+
+
+def test_turned_points_without_arrays(spark):
+    r = np.random.default_rng(2)
+    rows = [tuple(map(float, x)) for x in r.normal(size=(20, 7))] + [(0.0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "w double, x double, y double, z double, a double, b double, c double")
+    q, p = [F.col(c) for c in "wxyz"], [F.col(c) for c in "abc"]
+    for got in df.select(scalars.transformed(scalars.rotation(*q), F.array(*p)).alias("want"), F.array(*scalars.rotated(p, *q)).alias("got")).collect():
+        assert got.got == got.want or np.allclose(got.got, got.want)
+    plan = registry.queries()["rotated_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,12 +127,20 @@ def whole_ticks(seconds: Column, scale: int, tolerance: float = 1e-6) -> Column:
     return F.when(F.abs(ticks - F.round(ticks)) < tolerance, F.round(ticks).cast("long"))
 
 
-def rotation(w: Column, x: Column, y: Column, z: Column) -> Column:
-    """Rows of the rotation matrix of a quaternion of any length above zero; null for one of none."""
+def _rotation(w: Column, x: Column, y: Column, z: Column) -> list[list[Column]]:
     n = F.sqrt(w * w + x * x + y * y + z * z)
     w, x, y, z = (F.when(n > 0, c / F.when(n > 0, n)) for c in (w, x, y, z))
-    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
-    return F.array(*[F.array(*r) for r in rows])
+    return [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+
+
+def rotation(w: Column, x: Column, y: Column, z: Column) -> Column:
+    """Rows of the rotation matrix of a quaternion of any length above zero; null for one of none."""
+    return F.array(*[F.array(*r) for r in _rotation(w, x, y, z)])
+
+
+def rotated(point: Sequence[Column], w: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    """The three coordinates of a point turned by a quaternion: transformed(rotation(...), point) without arrays, so that a coordinate that is not read costs nothing."""
+    return [r[0] * point[0] + r[1] * point[1] + r[2] * point[2] for r in _rotation(w, x, y, z)]
 
 
 def transformed(matrix: Column, point: Column) -> Column:

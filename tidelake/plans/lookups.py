@@ -117,9 +117,8 @@ _W, _X, _Y, _Z = (f"({c} / sqrt(l_quantity ** 2 + l_tax ** 2 + l_discount ** 2 +
 @query(f"SELECT l_orderkey, l_linenumber, round((1 - 2 * ({_Y} ** 2 + {_Z} ** 2)) + 2 * (2 * ({_X} * {_Y} - {_Z} * {_W})) + 3 * (2 * ({_X} * {_Z} + {_Y} * {_W})), 6) AS x FROM lineitem")
 def rotated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first coordinate of (1, 2, 3) turned by a quaternion of each line."""
-    m = scalars.rotation(*[F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount", "l_linenumber")])
-    point = scalars.transformed(m, F.array(*[F.lit(float(k)) for k in (1, 2, 3)]))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(point[0], 6).alias("x"))
+    x, _, _ = scalars.rotated([F.lit(float(k)) for k in (1, 2, 3)], *[F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount", "l_linenumber")])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"))
 
 
 @query("SELECT user_id, round(sum(CASE WHEN playing THEN epoch_us(nxt) - epoch_us(ts) ELSE 0 END) / 1000000.0, 3) AS played_s FROM (SELECT user_id, ts, coalesce(last_value(CASE WHEN event_type = 'click' THEN true WHEN event_type = 'error' THEN false END IGNORE NULLS) OVER w, false) AS playing, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE nxt IS NOT NULL GROUP BY user_id")
