@@ -80,3 +80,17 @@ def test_chain_sums(spark):
 
 def test_no_nodes(spark):
     assert found(spark, [], []) == {}
+
+
+def test_chains_send_no_table_through_the_driver(spark, monkeypatch):
+    """Each round's table joins by shuffles, however small it is."""
+    plans, store = [], graphs.Scratch.store
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(self, df)
+
+    monkeypatch.setattr(graphs.Scratch, "store", noted)
+    df = spark.createDataFrame([(k, k - 1 if k else None, 1) for k in range(40)], "n int, p int, v int")
+    assert {(r.n, r.layer, r.total) for r in graphs.chain_sums(df, "n", "p", "v").collect()} == {(k, k, k + 1) for k in range(40)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)

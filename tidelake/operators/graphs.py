@@ -50,8 +50,9 @@ def _chains(known: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     sized = "size" in known.columns
     carried = ["size"] if sized else []
-    parents = needs.join(known.select(F.col("node").alias("parent"), F.lit(True).alias("there")), "parent", "left")
-    begun = known.join(parents.withColumnRenamed("child", "node"), "node", "left")
+    # Broadcasts would go through the driver anew in each round.
+    parents = needs.join(known.select(F.col("node").alias("parent"), F.lit(True).alias("there")).hint("merge"), "parent", "left")
+    begun = known.join(parents.withColumnRenamed("child", "node").hint("merge"), "node", "left")
     ending = F.when(F.col("parent").isNull(), "root").when(F.col("there").isNull(), MISSING)
     state = begun.select("node", *carried, F.when(ending.isNull(), F.col("parent")).alias("to"), F.when(ending.isNull(), 1).otherwise(0).cast("long").alias("steps"), ending.alias("ending"), (ending == MISSING).alias("own"))
     state = scratch.store(state)
@@ -59,13 +60,13 @@ def _chains(known: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
     left, same = going.count(), False
     while left and not (same and leap >= left):
         ahead = done.unionByName(going).select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("ending").alias("end"), *[F.col(c).alias(f"more_{c}") for c in carried])
-        both = going.drop("ending").join(ahead, "to").select("node", *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in carried], F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("ending"), "own")
+        both = going.drop("ending").join(ahead.hint("merge"), "to").select("node", *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in carried], F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("ending"), "own")
         moved = scratch.store(both)
         done, going, leap = done.unionByName(moved.where("ending IS NOT NULL")), moved.where("ending IS NULL"), 2 * leap
         left, before = going.count(), left
         same = left == before
     loops = going.select(F.col("to").alias("node")).distinct().withColumn("looped", F.lit(True))
-    endless = going.join(loops, "node", "left").select("node", *carried, F.lit(None).cast("long").alias("layer"), F.when(F.col("looped"), CYCLE).otherwise(BLOCKED).alias("fault"))
+    endless = going.join(loops.hint("merge"), "node", "left").select("node", *carried, F.lit(None).cast("long").alias("layer"), F.when(F.col("looped"), CYCLE).otherwise(BLOCKED).alias("fault"))
     fault = F.when(F.col("ending") == MISSING, F.when(F.coalesce("own", F.lit(False)), MISSING).otherwise(BLOCKED))
     return done.select("node", *carried, F.when(fault.isNull(), F.col("steps")).alias("layer"), fault.alias("fault")).unionByName(endless)
 
