@@ -53,6 +53,17 @@ def test_run_length_timelines(spark):
     assert [x.fault for x in timeline.expanded(bad, ["rep"], "place", "t", "d", "r", "end").orderBy("number").collect()] == ["length", "repeat", "repeat", "overlap"]
 
 
+def test_timelines_are_sorted_once(spark):
+    # Places of two columns, and spans that fit a long within a run but not over all runs of a key.
+    long = 1 << 62
+    rows = [("a", 1, 1, 5, long, 0), ("a", 1, 2, None, 7, 1), ("a", 2, 0, 9, long, 0), ("a", 2, 4, 30, 10, -1)]
+    df = spark.createDataFrame(rows, "rep string, x int, y int, t long, d long, r long").withColumn("end", F.lit(45))
+    out = timeline.expanded(df, ["rep"], ["x", "y"], "t", "d", "r", "end")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    got = sorted(tuple(r)[1:] for r in out.collect())
+    assert got == [(0, 5, long, None), (1, 5 + long, 7, None), (2, 12 + long, 7, None), (3, 9, long, "overlap"), (4, 30, 10, "overlap"), (5, 40, 5, None)]
+
+
 MPD = """<?xml version="1.0"?><MPD xmlns="{ns}" profiles="urn:a, urn:b" mediaPresentationDuration="PT1M2.5S"><Period><AdaptationSet>
 <Representation id="r1" bandwidth="100"><SegmentTemplate timescale="10"><SegmentTimeline><S t="0" d="100" r="2"/><S d="50" r="-1"/></SegmentTimeline></SegmentTemplate></Representation>
 <Representation id="r2" bandwidth="200"><SegmentTemplate timescale="10"><SegmentTimeline><S d="600"/></SegmentTimeline></SegmentTemplate></Representation></AdaptationSet></Period></MPD>"""

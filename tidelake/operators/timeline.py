@@ -35,7 +35,7 @@ def located(points: DataFrame, at: str, source: str, piece: str) -> DataFrame:
     return out.withColumn("segment", F.expr("loop * ((__s - 1) DIV __p + 1) + gop")).drop("__t", "__s", "__p")
 
 
-def expanded(entries: DataFrame, by: Sequence[str], place: str, start: str, length: str, repeat: str, end: str) -> DataFrame:
+def expanded(entries: DataFrame, by: Sequence[str], place: str | Sequence[str], start: str, length: str, repeat: str, end: str) -> DataFrame:
     """by, number (from 0), start, length, fault of run-length entries: an entry is repeat + 1 pieces of `length` that follow each other.
 
     An entry without a start goes on from the one before, the first from 0. A repeat of -1
@@ -43,20 +43,25 @@ def expanded(entries: DataFrame, by: Sequence[str], place: str, start: str, leng
     entry: "length" where it is not above 0, "repeat" where it is below -1, or -1 without
     a known end (such an entry gives that one row, with no length); "overlap" or "gap"
     where a start is not where the pieces before ended.
+
+    Entries are sorted once, by `by` and place. Give as place the columns by which an
+    earlier window numbered them, rather than the number, and its sort serves here too.
     """
-    w = Window.partitionBy(*by).orderBy(place)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    places = [place] if isinstance(place, str) else list(place)
+    w = Window.partitionBy(*by).orderBy(*places)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     t, d, r = F.col(start).cast("long"), F.col(length).cast("long"), F.coalesce(F.col(repeat).cast("long"), F.lit(0))
-    rows = entries.select(*by, place, t.alias("__t"), d.alias("__d"), r.alias("__r"), F.coalesce(F.lead(t).over(w), F.when(F.lead(d).over(w).isNull(), F.col(end).cast("long"))).alias("__until"))
+    rows = entries.select(*by, *[c for c in places if c not in by], t.alias("__t"), d.alias("__d"), r.alias("__r"), F.coalesce(F.lead(t).over(w), F.when(F.lead(d).over(w).isNull(), F.col(end).cast("long"))).alias("__until"))
     bad = F.when(F.coalesce(F.col("__d"), F.lit(0)) <= 0, "length").when((F.col("__r") < -1) | (F.col("__r") == -1) & F.col("__until").isNull(), "repeat")
     rows = rows.withColumn("__bad", bad)
-    # Entries since the last given start; an open one is always the last of its run.
-    run = F.sum(F.col("__t").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     span = F.when(F.col("__bad").isNotNull() | (F.col("__r") == -1), 0).otherwise(F.col("__d") * (F.col("__r") + 1))
-    in_run = Window.partitionBy(*by, "__run").orderBy(place)
-    rows = rows.withColumns({"__run": run, "__span": span})
-    base = F.coalesce(F.first("__t").over(in_run), F.lit(0))
-    rows = rows.withColumn("__s", base + F.coalesce(F.sum("__span").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("__span", span)
+    # Spans since the last given start are all so far less those before it; summed by halves of 32 bits, as only the difference is known to fit a long.
+    halves = {"__high": F.shiftright("__span", 32), "__low": F.col("__span").bitwiseAND(F.lit(0xFFFFFFFF))}
+    sums = {n: F.coalesce(F.sum(half).over(before), F.lit(0)) for n, half in halves.items()}
+    rows = rows.withColumns({"__base": F.coalesce(F.last("__t", True).over(so_far), F.lit(0)), **sums})
+    since = {n: F.col(n) - F.coalesce(F.last(F.when(F.col("__t").isNotNull(), F.col(n)), True).over(so_far), F.lit(0)) for n in halves}
+    rows = rows.withColumns(since).withColumn("__s", F.col("__base") + (F.col("__high") * F.lit(1 << 32) + F.col("__low")))
     count = F.when(F.col("__bad").isNotNull(), 1).when(F.col("__r") == -1, F.greatest(F.ceil((F.col("__until") - F.col("__s")) / F.col("__d")), F.lit(0))).otherwise(F.col("__r") + 1)
     rows = rows.withColumn("__n", count.cast("long"))
     stop = F.when(F.col("__bad").isNotNull(), F.col("__s")).when(F.col("__r") == -1, F.greatest(F.col("__until"), F.col("__s"))).otherwise(F.col("__s") + F.col("__span"))

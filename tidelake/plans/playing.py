@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators import clock, timeline
@@ -76,5 +76,9 @@ f AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 P
 SELECT l_orderkey, CAST(base + i AS BIGINT) AS number, CAST(CASE WHEN bad IS NULL THEN s + i * d ELSE s END AS BIGINT) AS start, CAST(CASE WHEN bad IS NOT NULL THEN NULL WHEN r = -1 THEN least(d, till - s - i * d) ELSE d END AS BIGINT) AS length, CASE WHEN i = 0 THEN fault END AS fault FROM f, LATERAL (SELECT unnest(range(0, n)) AS i)""")
 def expanded_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of each order's run-length timeline, with what is wrong with its entries."""
-    e = spark.sql(_ENTRIES, lineitem=table(spark, sf_dir, "lineitem"))
-    return timeline.expanded(e, ["l_orderkey"], "k", "t", "d", "r", "stop")
+    place = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    hundredths = lambda c: F.round(F.col(c) * 100).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *place, F.col("l_quantity").cast("long").alias("q"), hundredths("l_tax").alias("tax"), hundredths("l_discount").alias("dis"))
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*place))
+    e = rows.select("l_orderkey", *place, F.when(F.col("dis") == 5, 200 * k + F.col("tax")).alias("t"), F.when(F.col("dis") == 9, 0).otherwise(F.col("q")).alias("d"), F.when(F.col("dis") == 4, -1).otherwise(F.col("tax") % 3).alias("r"), F.lit(2000).alias("stop"))
+    return timeline.expanded(e, ["l_orderkey"], place, "t", "d", "r", "stop")
