@@ -1,6 +1,9 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidelake.functions import providers
 from tidelake.functions.strict import strict_json
 from tidelake.operators import timeline
@@ -99,3 +102,39 @@ def test_a_provider_of_ones_own(spark):
     for text, what in (("SELECT * FROM ratio(TABLE(SELECT k, a FROM ratios))", "number column b"), ("SELECT * FROM ratio(TABLE(ratios), other => 1)", "no option other"), ("SELECT * FROM ratio(TABLE(SELECT *, 1 AS value FROM ratios))", "which is there")):
         with pytest.raises(Exception, match=what):
             spark.sql(text).collect()
+
+
+def test_a_provider_over_batches(spark):
+    class Ratio(providers.Provider):
+        needs = ("a", "b")
+
+        def value(self, a, b, *, scale: float = 1.0):
+            return (None, "no b") if b == 0 else (scale * a / b, None)
+
+    nan, inf = float("nan"), float("inf")
+    d = [Decimal("0.1"), Decimal("12345678901234.567"), Decimal("7"), None]
+    numbers = [1.5, 0.0, -2.0, nan, inf, -inf, 1e300, None]
+    rows = [(k, d[k % 4], numbers[k % 8], numbers[k // 8 % 8], numbers[k // 64 % 8], (1 << 60) + k) for k in range(512)]
+    df = spark.createDataFrame(rows, "k int, weight decimal(20,5), visible double, pixels double, base double, own long")
+    two = spark.createDataFrame([("x", 1, 2.0), ("y", 3, 0.0), ("z", None, 1.0), ("u", 1, None)], "k string, a int, b double")
+    cases = [(providers.Density(), df, "most => 2.5"), (Ratio(), two, "scale => 4"), (providers.Quality(), df.selectExpr("k", "visible AS seen", "base AS base_error", "pixels AS error"), "floor => 0.5")]
+    for provider, rows, option in cases:
+        providers.register(spark, "by_row", provider)
+        providers.register(spark, "by_batch", provider, rows.schema)
+        by_row, by_batch = (spark.sql(f"SELECT * FROM {f}(TABLE(SELECT * FROM {{rows}}), {option})", rows=rows) for f in ("by_row", "by_batch"))
+        assert "ArrowEvalPythonUDTF" in by_batch._jdf.queryExecution().executedPlan().toString()
+        assert by_batch.dtypes == by_row.dtypes
+        assert sorted(map(repr, by_batch.collect())) == sorted(map(repr, by_row.collect()))
+    with pytest.raises(ValueError, match="number column b"):
+        providers.register(spark, "by_batch", Ratio(), two.select("k", "a").schema)
+    with pytest.raises(ValueError, match="column reason"):
+        providers.register(spark, "by_batch", Ratio(), two.withColumn("reason", F.lit(1)).schema)
+    providers.register(spark, "by_batch", Ratio(), two.schema)
+    for text, what in (("SELECT * FROM by_batch(TABLE(SELECT * FROM {rows}), other => 1)", "no option other"), ("SELECT * FROM by_batch(TABLE(SELECT b, a, k FROM {rows}))", "takes the columns")):
+        with pytest.raises(Exception, match=what):
+            spark.sql(text, rows=two).collect()
+
+
+def test_densities_are_provided_by_batches(spark):
+    plan = entry.queries()["provided_densities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan

@@ -149,8 +149,8 @@ _PROVIDED = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0.08
 CASE WHEN weight IS NULL THEN 'missing weight' WHEN pixels <= 0 THEN 'no pixels' WHEN visible <= 0 THEN 'not visible' END AS reason FROM ({_PROVIDED.format(lineitem="lineitem")})""")
 def provided_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density utilities of lines by a provider that SQL calls as a table function, with the reason where there is none."""
-    providers.register(spark, "density_value", providers.Density())
     rows = spark.sql(_PROVIDED, lineitem=table(spark, sf_dir, "lineitem"))
+    providers.register(spark, "density_value", providers.Density(), rows.schema)
     out = spark.sql("SELECT * FROM density_value(TABLE(SELECT * FROM {rows}), most => 500000.0D)", rows=rows)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("value", 4).alias("value"), "reason")
 
