@@ -217,3 +217,17 @@ def test_upsert_and_checks(spark):
     rows = [("c", "r", 0.0, 1), ("c", "q", None, 2), ("c", "q", 1.0, 2), ("d", "r", 0.5, 3)]
     faults = reports.profile_faults(spark.createDataFrame(rows, "c string, q string, e double, id int"), ["c"], "q", "e", "r", ["id"]).collect()
     assert sorted((x.rule, x.key) for x in faults) == [("bad error", "2"), ("missing quality", "d"), ("reference differs", "3"), ("repeated key", "2")]
+
+
+def test_medians_read_the_middle_only(spark, monkeypatch):
+    rows = [(k % 3 if k % 7 else None, float("inf") if k % 11 == 0 else float("nan") if k % 13 == 0 else None if k % 17 == 0 else (k * 7919 % 1000) / 7.0) for k in range(3000)] + [(9, None), (10, 5.0), (10, -1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    want = df.groupBy("k").agg(F.count("*").alias("n"), F.median("v").alias("median")).collect()
+    plain = lambda rows: sorted(map(repr, rows))
+    for accuracy in (10_000, 20, 1):
+        assert plain(metrics.medians(df, ["k"], "v", [F.count("*").alias("n")], accuracy).collect()) == plain(want)
+    # A sketch that misses the middle costs time, not the result.
+    monkeypatch.setattr(metrics.F, "percentile_approx", lambda v, *_: F.array(F.min(v), F.min(v)))
+    finite = df.where("v < 1e6")
+    got, want = metrics.medians(finite, ["k"], "v").collect(), finite.groupBy("k").agg(F.median("v").alias("median")).collect()
+    assert {r.k: round(r.median, 9) for r in got} == {r.k: round(r.median, 9) for r in want}

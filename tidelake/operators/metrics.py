@@ -75,6 +75,43 @@ def lower_percentile(df: DataFrame, by: Sequence[str], value: str, q: float, nam
     return order_statistics(df, by, value, {name: ("lower", q)})
 
 
+def medians(df: DataFrame, by: Sequence[str], value: str, facts: Sequence[Column] = (), accuracy: int = 10_000) -> DataFrame:
+    """by, the aggregates `facts` and `median`, exact, as F.median() gives it.
+
+    A sketch of each group sets two bounds around its middle; the second reading counts
+    what is below them and, value by value, what lies between, some 4 / accuracy of the
+    rows. So no group's values meet in one task. A group whose middle is not between its
+    bounds, which the sketch rules out, is worked out by order_statistics().
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    v, margin = F.col(value), min(2 / accuracy, 0.5)
+    with Scratch(df.sparkSession) as scratch:
+        groups = scratch.store(df.groupBy(*by).agg(*facts, F.count(v).alias("__n"), F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias("__cuts")))
+
+        def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+            same = F.lit(True)
+            for k, c in enumerate(by):
+                same &= F.col(c).eqNullSafe(F.col(f"__by{k}"))
+            return left.join(right.withColumnsRenamed({c: f"__by{k}" for k, c in enumerate(by)}), same, how)
+
+        near = matched(df.select(*by, value), groups.select(*by, "__n", "__cuts"), "inner").where(v <= F.col("__cuts")[1])
+        counts = near.groupBy(*by, "__n", F.when(v >= F.col("__cuts")[0], v).alias("__v")).agg(F.count("*").alias("__c"))
+        # What is below both bounds is one null and comes first.
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = lambda place: F.max(F.when((place >= F.col("__before")) & (place < F.col("__before") + F.col("__c")), F.col("__v")))
+        place = (F.col("__n") - 1) / 2
+        middle = counts.withColumn("__before", before).groupBy(*by).agg(at(F.floor(place)).alias("__low"), at(F.ceil(place)).alias("__high"))
+        low, high = F.col("__low"), F.col("__high")
+        out = matched(groups, middle, "left").withColumn("median", F.when(low == high, low.cast("double")).otherwise(0.5 * low + 0.5 * high))
+        out = out.select(*by, *[c for c in groups.columns if c not in by], "median").checkpoint()
+        rest = out.where("__n > 0 AND median IS NULL")
+        kept = [c for c in out.columns if c not in ("__n", "__cuts")]
+        if rest.isEmpty():
+            return out.select(*kept)
+        exact = order_statistics(matched(df, rest.select(*by), "left_semi"), by, value, {"__median": ("interpolated", 0.5)})
+        return matched(out, exact, "left").withColumn("median", F.coalesce("median", "__median")).select(*kept).checkpoint()
+
+
 def harmonic_mean(value: str) -> Column:
     """Of the positive values."""
     v = F.when(F.col(value) > 0, F.col(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators import relational, reports
+from tidelake.operators import metrics, relational, reports
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -153,7 +153,10 @@ def sampling_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def discretisation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative gaps of an estimate: how many cases are within half, the largest and the median."""
     g = F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500) / F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").withColumn("g", g).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("cases"), F.count_if(F.col("g") <= 0.5).alias("feasible"), F.round(F.max("g"), 6).alias("largest_gap"), F.round(F.median("g"), 6).alias("median_gap"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", g.alias("g"))
+    facts = [F.count("*").alias("cases"), F.count_if(F.col("g") <= 0.5).alias("feasible"), F.round(F.max("g"), 6).alias("largest_gap")]
+    out = metrics.medians(rows, ["l_returnflag", "l_linestatus"], "g", facts)
+    return out.select("l_returnflag", "l_linestatus", "cases", "feasible", "largest_gap", F.round("median", 6).alias("median_gap"))
 
 
 @query("SELECT source, lang, count(*) AS markers, CAST(sum(n_chars) AS BIGINT) AS bytes, grouping(lang) = 1 AS whole FROM documents GROUP BY GROUPING SETS ((source, lang), (source))")

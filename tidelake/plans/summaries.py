@@ -159,8 +159,13 @@ FROM (SELECT *, abs(l_extendedprice - l_quantity * 1500) / l_extendedprice AS g
 def discretisation_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative gaps of an estimate at two grains: by kind and step, and by number of items."""
     g = F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500) / F.col("l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").withColumn("g", g)
-    out = rows.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")]], "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("cases"), F.count_if(F.col("g") <= 0.5).alias("feasible"), F.round(F.max("g"), 6).alias("largest_gap"), F.round(F.median("g"), 6).alias("median_gap"))
+    lines = table(spark, sf_dir, "lineitem")
+    kinds = lines.select("l_returnflag", "l_linestatus", "l_linenumber").dtypes
+    grain = lambda k, *keep: F.struct(F.lit(k).alias("grain"), *[(F.col(c) if c in keep else F.lit(None).cast(t)).alias(c) for c, t in kinds])
+    grains = F.explode(F.array(grain(0, "l_returnflag", "l_linestatus"), grain(1, "l_linenumber")))
+    rows = lines.select(grains.alias("b"), g.alias("g")).select("b.*", "g")
+    facts = [F.count("*").alias("cases"), F.count_if(F.col("g") <= 0.5).alias("feasible"), F.round(F.max("g"), 6).alias("largest_gap")]
+    out = metrics.medians(rows, ["grain", "l_returnflag", "l_linestatus", "l_linenumber"], "g", facts).withColumn("median_gap", F.round("median", 6))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("all"))
     return out.select(name("l_returnflag").alias("kind"), name("l_linestatus").alias("step"), name("l_linenumber").alias("items"), "cases", "feasible", "largest_gap", "median_gap")
 
