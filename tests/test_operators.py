@@ -231,3 +231,13 @@ def test_medians_read_the_middle_only(spark, monkeypatch):
     finite = df.where("v < 1e6")
     got, want = metrics.medians(finite, ["k"], "v").collect(), finite.groupBy("k").agg(F.median("v").alias("median")).collect()
     assert {r.k: round(r.median, 9) for r in got} == {r.k: round(r.median, 9) for r in want}
+
+
+def test_package_faults_sort_once(spark):
+    rows = [(1, 1), (1, 2), (1, 2), (1, 2), (2, 1), (2, 3), (3, None), (3, None), (4, 1), (4, 2), (5, 2), (None, 1), (None, 1), (6, 1), (6, None)]
+    members, sources = spark.createDataFrame(rows, "s long, p int"), spark.createDataFrame([(1,), (2,), (4,), (4,), (6,), (7,), (7,), (None,)], "s long")
+    out = reports.package_faults(members, sources, "s", "p")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan and "Join" not in plan
+    want = [("repeated key", k) for k in ("1:2", "3", "1")] + [("no source", k) for k in ("3", "5", "")] + [("not covered", k) for k in ("7", "7", "")] + [("places", k) for k in ("1", "2", "3", "5", "", "6")]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)

@@ -135,14 +135,35 @@ def restricted(df: DataFrame, by: Sequence[str], rank: str, allowed: DataFrame)
 
 
 def package_faults(members: DataFrame, sources: DataFrame, source: str, place: str) -> DataFrame:
-    """rule and key of what an index breaks: keys (source, place) that repeat, members without a source, sources without members, places that are not 1 to n."""
-    row = lambda df, rule, *key: df.select(F.lit(rule).alias("rule"), F.concat_ws(":", *key).alias("key"))
-    sums = members.groupBy(source).agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"), F.count_distinct(place).alias("__d"), F.count("*").alias("__n"))
-    twice = members.groupBy(source, place).agg(F.count("*").alias("__n")).where("__n > 1")
-    out = row(twice, "repeated key", source, place)
-    out = out.unionByName(row(sums.join(sources, source, "left_anti"), "no source", source))
-    out = out.unionByName(row(sources.join(members, source, "left_anti"), "not covered", source))
-    return out.unionByName(row(sums.where("__lo != 1 OR __hi != __n OR __d != __n"), "places", source))
+    """rule and key of what an index breaks: keys (source, place) that repeat, members without a source, sources without members, places that are not 1 to n.
+
+    Members and sources are one stream, sorted once by source; all rules are read from it,
+    so a task holds no table of keys and joins nothing. A source's members meet in one task.
+    """
+    rows = members.select(F.col(source).alias("__s"), F.col(place).alias("__p"), F.lit(False).alias("__is_source"))
+    rows = rows.unionByName(sources.select(F.col(source).alias("__s"), F.lit(None).cast(members.schema[place].dataType).alias("__p"), F.lit(True).alias("__is_source")))
+    w, whole = Window.partitionBy("__s").orderBy("__is_source", "__p"), Window.partitionBy("__s")
+    like = lambda k: (F.col("__at") > k) & F.col("__p").eqNullSafe(F.col(f"__p{k}"))
+    member = ~F.col("__is_source")
+    rows = rows.withColumns({"__at": F.row_number().over(w), "__p1": F.lag("__p", 1).over(w), "__p2": F.lag("__p", 2).over(w)})
+    rows = rows.withColumns({"__again": member & like(1), "__second": member & like(1) & ~like(2)})
+    rows = rows.withColumns({
+        "__lo": F.min("__p").over(whole), "__hi": F.max("__p").over(whole), "__n": F.count_if(member).over(whole),
+        "__d": F.count_if(F.col("__p").isNotNull() & ~F.col("__again")).over(whole), "__sources": F.count_if("__is_source").over(whole),
+    })
+    first, lone = member & (F.col("__at") == 1), F.col("__s").isNull()  # a null is no one's source
+    broken = {
+        "repeated key": F.col("__second"),
+        "no source": first & (lone | (F.col("__sources") == 0)),
+        "not covered": F.col("__is_source") & (lone | (F.col("__n") == 0)),
+        "places": first & F.expr("__lo != 1 OR __hi != __n OR __d != __n"),
+    }
+    key = lambda rule: F.concat_ws(":", "__s", "__p") if rule == "repeated key" else F.concat_ws(":", "__s")
+    found = F.array(*[F.when(c, F.struct(F.lit(rule).alias("rule"), key(rule).alias("key"))) for rule, c in broken.items()])
+    bad = F.lit(False)
+    for c in broken.values():
+        bad |= F.coalesce(c, F.lit(False))
+    return rows.where(bad).select(F.explode(found).alias("f")).where("f IS NOT NULL").select("f.*")
 
 
 def synthetic_cases(spark: SparkSession, n: int, items: int, seed: int) -> DataFrame:
