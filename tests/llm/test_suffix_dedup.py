@@ -46,6 +46,23 @@ def test_against_brute_force(spark):
         assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got), key=str) == want, size
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words: from 400 bytes on cut at both places, and only there; shorter ones stay."""
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(1, 10))) for _ in range(n))
+    rows, long = [], {}
+    for k in range(0, 120, 3):
+        p = words(r.randint(51, 80))
+        for i in (k, k + 1):
+            rows.append((i, f"{words(30)} {i - k}\n{p}\n{i - k} {words(30)}"))
+            long[i] = len(f"\n{p}\n") >= 400
+        rows.append((k + 2, words(120)))
+    assert 10 < sum(long.values()) < 70
+    got = s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=20_000).collect()
+    assert {r.doc_id: r.n_bytes - len(r.kept) >= 400 for r in got} == {i: long.get(i, False) for i, _ in rows}
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got), key=str) == brute(rows)
+
+
 def test_segments_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(s, "SEGMENT", 700)
     import pyarrow as pa
