@@ -63,6 +63,32 @@ def test_planted_passages(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got), key=str) == brute(rows)
 
 
+def later(rows, length=400):
+    """By (id, text): how many bytes a string covers that also starts at a smaller id (null first, equal ids by text) or before in the text."""
+    seen, out = set(), []
+    for i, t in sorted(((i, (t or "").encode()) for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            gone[k : k + length] |= t[k : k + length] in seen
+            seen.add(t[k : k + length])
+        out.append((i, len(t), int(gone.sum())))
+    return sorted(out, key=str)
+
+
+def test_later_copies_are_told_from_first_ones(spark):
+    """A first copy goes as well, but n_later counts only what also starts earlier."""
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = later(rows)
+    assert sum(n for *_, n in want) > 5000
+    for size in (2 << 20, 6000):
+        got = s.remove_repeats(frame, batch_bytes=size).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_later) for r in got), key=str) == want, size
+    passage = "".join(random.Random(3).choices("abcdefgh ", k=500))
+    got = {r.doc_id: (len(r.kept), r.n_later) for r in s.remove_repeats(spark.createDataFrame([(9, "x" + passage), (4, passage + "y"), (7, "z")], "doc_id long, text string")).collect()}
+    assert got == {4: (1, 0), 9: (1, 500), 7: (1, 0)}
+
+
 def test_segments_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(s, "SEGMENT", 700)
     import pyarrow as pa
