@@ -1,6 +1,7 @@
 import duckdb
 
 from tidelake import registry
+from tidelake.operators import graphs
 from tidelake.operators import packages as p
 
 FRAMES = [(0, 1, 100, 0.0), (0, 2, 101, 0.1), (0, 3, 102, 0.2), (0, 4, 103, 0.3)]
@@ -59,3 +60,33 @@ def test_moments_are_rounded_as_in_sql(spark, tmp_path):
     want = {tuple(map(str, r)) for r in duck.sql(registry.oracle_sql()["package_index"]).fetchall()}
     assert ("7", "frame order", "2") in want
     assert {tuple(map(str, r)) for r in registry.queries()["package_index"](spark, str(tmp_path)).collect()} == want
+
+
+def test_rules_shuffle_nothing_once_tables_are_dealt(spark):
+    """All rules read one table dealt by package; only the few payloads on cycles are shuffled to be told once."""
+    out = p.package_index_faults(*[spark.createDataFrame(rows, s) for rows, s in zip([FRAMES, PAYLOADS, NEEDS, SEGMENTS, MEMBERS], SCHEMAS)], epoch_frames=2, buckets=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") >= 4
+    assert out.collect() == []
+
+
+def test_cycles_are_found_within_their_bounds(spark):
+    """Against all needs at once: payloads on cycles and between two, up and down, beside long chains, lacking parents and payloads that are none."""
+    edges = {
+        0: [(1, 2), (2, 1), (1, 50), (50, 100), (100, 101), (101, 100), (3, 1), (50, 7)],
+        1: [(100, 101), (101, 100), (100, 50), (50, 1), (1, 2), (2, 1), (200, 100)],
+        2: [(n, n - 1) for n in range(2, 6)] + [(1, 1), (91, 999), (91, 92), (92, 91), (999, 3)],
+        3: [(n, n - 1) for n in range(2, 6)],
+        4: [(5, 9), (9, 7), (7, 5), (8, 6), (6, 777), (4, 5)],
+    }
+    payloads = [(k, n, "m", 1, n, 0, 0.0, 1, "d", True) for k in edges for n in range(1, 201) if n != 8]
+    needs = [(k, c, up) for k in edges for c, up in edges[k]]
+    tables = [[], payloads, needs, [], []]
+    types = [s.replace("id string", "id int").replace("parent string", "parent int").replace("quality string", "quality int") for s in SCHEMAS]
+    got = p.package_index_faults(*[spark.createDataFrame(rows, s) for rows, s in zip(tables, types)], epoch_frames=2).where("rule IN ('dependency cycle', 'missing dependency')").collect()
+    ids = spark.createDataFrame([(f"{k}:{n}",) for k, n, *_ in payloads], "node string")
+    links = spark.createDataFrame([(f"{k}:{c}", f"{k}:{up}") for k, c, up in needs], "c string, p string")
+    layers = graphs.decode_layers(ids, links, "node", "c", "p").where("fault IN ('cycle', 'missing parent')").collect()
+    want = sorted((*r.node.split(":"), {"cycle": "dependency cycle", "missing parent": "missing dependency"}[r.fault]) for r in layers)
+    assert sorted((str(r.package), r.key, r.rule) for r in got) == want
+    assert ("1", "50", "dependency cycle") in want and ("2", "91", "missing dependency") in want

@@ -63,6 +63,20 @@ class Scratch:
         self.paths.append((out, path))
         return out
 
+    def deal(self, df: DataFrame, by: str, buckets: int) -> DataFrame:
+        """The table stored in buckets by hash of a column: joins, windows and groups by that column and others then shuffle nothing."""
+        path, name = f"{self.folder}/{len(self.paths)}", f"dealt_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only; files of a given path stay
+        self.paths.append((out, path))
+        return out
+
+    def keep(self) -> None:
+        """Tables that a result still reads go when the session's process ends."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
     def drop(self, *frames: DataFrame) -> None:
         for out, path in self.paths:
             if any(out is f for f in frames):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import graphs, packages
+from tidelake.operators.storage import Scratch
 from tidelake.registry import query
 from tidelake.sources.tables import table
 
@@ -53,16 +54,22 @@ def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FRAMES = "SELECT o_custkey AS package, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey AS frame, CAST(o_totalprice AS BIGINT) AS moment FROM {orders}"
 _LINES = """SELECT o_custkey AS package, l_orderkey * 100 + line AS id, l_linestatus AS mode, line AS quality, l_orderkey AS frame, CAST(floor((place - 1) / 4) AS BIGINT) AS e, moment, CAST(l_quantity AS BIGINT) AS bytes, l_partkey AS digest, l_returnflag, CAST(round(l_tax * 100) AS INT) AS tax, CAST(round(l_discount * 100) AS INT) AS dis
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line FROM {lineitem}) l0 JOIN {orders} ON o_orderkey = l_orderkey JOIN (""" + _FRAMES + """) f ON f.package = o_custkey AND f.frame = o_orderkey"""
-_PAYLOADS = "SELECT package, id, mode, quality, CASE WHEN tax = 8 AND dis = 1 THEN -1 ELSE frame END AS frame, e + CASE WHEN tax = 8 AND dis = 2 THEN 1 ELSE 0 END AS epoch, moment + CASE WHEN tax = 8 AND dis = 3 THEN 1 ELSE 0 END AS moment, bytes, digest, l_returnflag = 'A' AS refresh FROM (" + _LINES + ") l"
-_NEEDED = "SELECT package, id, CASE WHEN tax = 7 AND dis = 1 THEN id - 101 ELSE id - 1 END AS parent FROM (" + _LINES + ") l WHERE quality > 1 UNION ALL SELECT package, id, id + 1 FROM (" + _LINES + ") l WHERE quality = 1 AND tax = 7 AND dis = 2"
+#: The same lines for Spark, which has their order's packages from _FRAMES alone: an order that repeats in a package is joined with each of its frames as often, and lines are dealt by order once.
+_NUMBERED = """SELECT package, frame, place, moment, quality, mode, bytes, digest, l_returnflag, tax, dis
+FROM (SELECT l_orderkey, l_linestatus AS mode, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS quality, bytes, l_partkey AS digest, l_returnflag, tax, dis
+  FROM (SELECT *, CAST(l_quantity AS BIGINT) AS bytes, CAST(round(l_tax * 100) AS INT) AS tax, CAST(round(l_discount * 100) AS INT) AS dis FROM {lineitem}) l0) l
+JOIN (SELECT package, frame, place, moment, explode(array_repeat(0, CAST(n AS INT))) FROM (SELECT *, count(*) OVER (PARTITION BY package, frame) AS n FROM {frames} WHERE package IS NOT NULL AND frame IS NOT NULL) f0) f ON frame = l_orderkey"""
+_PAYLOADS = "SELECT package, id, mode, quality, CASE WHEN tax = 8 AND dis = 1 THEN -1 ELSE frame END AS frame, e + CASE WHEN tax = 8 AND dis = 2 THEN 1 ELSE 0 END AS epoch, moment + CASE WHEN tax = 8 AND dis = 3 THEN 1 ELSE 0 END AS moment, bytes, digest, l_returnflag = 'A' AS refresh FROM {lines} l"
+_NEEDED = "SELECT package, id, CASE WHEN tax = 7 AND dis = 1 THEN id - 101 ELSE id - 1 END AS parent FROM {lines} l WHERE quality > 1 UNION ALL SELECT package, id, id + 1 FROM {lines} l WHERE quality = 1 AND tax = 7 AND dis = 2"
 _SEGMENT = "concat_ws('-', mode, quality, e)"
 _MEMBERS = "SELECT package, " + _SEGMENT + """ AS segment, row_number() OVER (PARTITION BY package, mode, quality, e ORDER BY id) AS place, CASE WHEN tax = 6 AND dis = 1 THEN -id ELSE id END AS id,
-CAST(16 + coalesce(sum(bytes) OVER (PARTITION BY package, mode, quality, e ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN tax = 6 AND dis = 2 THEN 1 WHEN tax = 6 AND dis = 3 THEN -1 ELSE 0 END AS BIGINT) AS offset, bytes + CASE WHEN tax = 6 AND dis = 4 THEN 1 ELSE 0 END AS length, digest FROM (""" + _LINES + ") l"
-_SEGMENTS = "SELECT package, " + _SEGMENT + " AS segment, mode, quality, e AS epoch, 16 AS header, CAST(16 + sum(bytes) + CASE WHEN max(tax) = 5 THEN 1 ELSE 0 END AS BIGINT) AS bytes, min(frame) AS first_frame, max(frame) + CASE WHEN max(dis) = 5 THEN 1 ELSE 0 END AS last_frame FROM (" + _LINES + ") l GROUP BY package, mode, quality, e"
+CAST(16 + coalesce(sum(bytes) OVER (PARTITION BY package, mode, quality, e ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN tax = 6 AND dis = 2 THEN 1 WHEN tax = 6 AND dis = 3 THEN -1 ELSE 0 END AS BIGINT) AS offset, bytes + CASE WHEN tax = 6 AND dis = 4 THEN 1 ELSE 0 END AS length, digest FROM {lines} l"""
+_SEGMENTS = "SELECT package, " + _SEGMENT + " AS segment, mode, quality, e AS epoch, 16 AS header, CAST(16 + sum(bytes) + CASE WHEN max(tax) = 5 THEN 1 ELSE 0 END AS BIGINT) AS bytes, min(frame) AS first_frame, max(frame) + CASE WHEN max(dis) = 5 THEN 1 ELSE 0 END AS last_frame FROM {lines} l GROUP BY package, mode, quality, e"
 
 
 def _package_sql() -> str:
     t = {"orders": "orders", "lineitem": "lineitem"}
+    t["lines"] = "(" + _LINES.format(**t) + ")"
     row = lambda rule, key, rest: f"SELECT DISTINCT package, '{rule}' AS rule, {key} AS key FROM {rest}"
     text = lambda *c: " || ':' || ".join(f"CAST({x} AS VARCHAR)" for x in c)
     rules = [
@@ -96,14 +103,24 @@ turning AS (SELECT package, c FROM clo WHERE c = p)
 """ + " UNION ALL ".join(rules)
 
 
-def package_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem")}
+#: Lines that a bucket of the packages is to have: what a task sorts of them, and of the samples they lack, stays in memory.
+BUCKET_LINES = 1 << 19
+
+
+def package_tables(spark: SparkSession, sf_dir: str, scratch: Scratch, buckets: int) -> list[DataFrame]:
+    """Frames, payloads, needs, segments and members, all read from frames and lines that are stored once, dealt by package."""
+    orders, lineitem = (table(spark, sf_dir, n) for n in ("orders", "lineitem"))
     # DuckDB's cast of a number to a whole one rounds, halves to the even one; Spark's cuts.
     whole = lambda text: re.sub(r"CAST\((o_totalprice|l_quantity) AS BIGINT\)", r"CAST(rint(\1) AS BIGINT)", text)
-    return [spark.sql(whole(text), **{k: v for k, v in t.items() if "{" + k + "}" in text}) for text in (_FRAMES, _PAYLOADS, _NEEDED, _SEGMENTS, _MEMBERS)]
+    frames = scratch.deal(spark.sql(whole(_FRAMES), orders=orders), "package", buckets)
+    lines = scratch.deal(spark.sql(whole(_NUMBERED), lineitem=lineitem, frames=frames), "package", buckets)
+    lines = lines.select("*", F.expr("frame * 100 + quality AS id"), F.expr("CAST(floor((place - 1) / 4) AS BIGINT) AS e"))
+    return [frames, *(spark.sql(text, lines=lines) for text in (_PAYLOADS, _NEEDED, _SEGMENTS, _MEMBERS))]
 
 
 @query(_package_sql())
 def package_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each customer's package of orders breaks of the rules of an index."""
-    return packages.package_index_faults(*package_tables(spark, sf_dir), epoch_frames=4)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // BUCKET_LINES))
+    with Scratch(spark) as scratch:
+        return packages.package_index_faults(*package_tables(spark, sf_dir, scratch, buckets), epoch_frames=4, buckets=buckets)
