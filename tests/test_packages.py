@@ -3,6 +3,7 @@ import duckdb
 from tidelake import registry
 from tidelake.operators import graphs
 from tidelake.operators import packages as p
+from tidelake.plans import dependencies
 
 FRAMES = [(0, 1, 100, 0.0), (0, 2, 101, 0.1), (0, 3, 102, 0.2), (0, 4, 103, 0.3)]
 PAYLOADS = [(0, f"{q}{k}", "m", q, 100 + k, k // 2, k / 10, 10, f"d{q}{k}", k % 2 == 0) for q in "ab" for k in range(4)]
@@ -90,3 +91,9 @@ def test_cycles_are_found_within_their_bounds(spark):
     want = sorted((*r.node.split(":"), {"cycle": "dependency cycle", "missing parent": "missing dependency"}[r.fault]) for r in layers)
     assert sorted((str(r.package), r.key, r.rule) for r in got) == want
     assert ("1", "50", "dependency cycle") in want and ("2", "91", "missing dependency") in want
+
+
+def test_buckets_follow_the_lines():
+    """A small table is not dealt into many files because the session has many partitions; a large one has buckets enough."""
+    assert [dependencies.package_buckets(n, 211) for n in (0, 60_000, 600_000)] == [1, 1, 10]
+    assert [dependencies.package_buckets(n, 12) for n in (600_000, 36_000_000)] == [10, 69] and dependencies.package_buckets(36_000_000, 97) == 97

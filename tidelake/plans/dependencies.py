@@ -103,8 +103,14 @@ turning AS (SELECT package, c FROM clo WHERE c = p)
 """ + " UNION ALL ".join(rules)
 
 
-#: Lines that a bucket of the packages is to have: what a task sorts of them, and of the samples they lack, stays in memory.
-BUCKET_LINES = 1 << 19
+#: Lines that a bucket of the packages is to have at most: what a task sorts of them, and of the samples they lack, stays in memory. At least, where the session has partitions for more.
+MOST_LINES, LEAST_LINES = 1 << 19, 1 << 16
+#: Up to so many buckets a task of lines writes into all of them; beyond, there would be too many files, and lines are shuffled by package first.
+MOST_OPEN = 128
+
+
+def package_buckets(lines: int, partitions: int) -> int:
+    return max(1, -(-lines // MOST_LINES), min(partitions, -(-lines // LEAST_LINES)))
 
 
 def package_tables(spark: SparkSession, sf_dir: str, scratch: Scratch, buckets: int) -> list[DataFrame]:
@@ -113,7 +119,8 @@ def package_tables(spark: SparkSession, sf_dir: str, scratch: Scratch, buckets:
     # DuckDB's cast of a number to a whole one rounds, halves to the even one; Spark's cuts.
     whole = lambda text: re.sub(r"CAST\((o_totalprice|l_quantity) AS BIGINT\)", r"CAST(rint(\1) AS BIGINT)", text)
     frames = scratch.deal(spark.sql(whole(_FRAMES), orders=orders), "package", buckets)
-    lines = scratch.deal(spark.sql(whole(_NUMBERED), lineitem=lineitem, frames=frames), "package", buckets)
+    numbered = spark.sql(whole(_NUMBERED), lineitem=lineitem, frames=frames)
+    lines = scratch.deal(numbered if buckets <= MOST_OPEN else numbered.repartition(buckets, "package"), "package", buckets)
     lines = lines.select("*", F.expr("frame * 100 + quality AS id"), F.expr("CAST(floor((place - 1) / 4) AS BIGINT) AS e"))
     return [frames, *(spark.sql(text, lines=lines) for text in (_PAYLOADS, _NEEDED, _SEGMENTS, _MEMBERS))]
 
@@ -121,6 +128,6 @@ def package_tables(spark: SparkSession, sf_dir: str, scratch: Scratch, buckets:
 @query(_package_sql())
 def package_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each customer's package of orders breaks of the rules of an index."""
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // BUCKET_LINES))
+    buckets = package_buckets(table(spark, sf_dir, "lineitem").count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     with Scratch(spark) as scratch:
         return packages.package_index_faults(*package_tables(spark, sf_dir, scratch, buckets), epoch_frames=4, buckets=buckets)
